@@ -92,14 +92,14 @@ r AS (
   SELECT t.*, prefix_turns, pos < prefix_turns AS shared, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS piece
   FROM t JOIN prefix USING (pair_id)),
 a AS (
-  SELECT *, coalesce(sum(CASE WHEN NOT shared THEN length(piece) END) OVER (PARTITION BY pair_id, side ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM r),
+  SELECT *, coalesce(sum(CASE WHEN NOT shared THEN length(piece) END) OVER (PARTITION BY pair_id, side ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM r),
 g AS (
   SELECT pair_id, min(conv_id) FILTER (side = 0) AS chosen_id, min(conv_id) FILTER (side = 1) AS rejected_id, max(prefix_turns)::INT AS prefix_turns,
     coalesce(string_agg(piece, '' ORDER BY pos) FILTER (shared AND side = 0), '') AS prompt,
     coalesce(string_agg(piece, '' ORDER BY pos) FILTER (NOT shared AND side = 0), '') AS chosen,
     coalesce(string_agg(piece, '' ORDER BY pos) FILTER (NOT shared AND side = 1), '') AS rejected,
-    coalesce(string_agg((at + length(role) + 5)::BIGINT || '+' || (length(piece) - length(role) - 6), ',' ORDER BY pos) FILTER (NOT shared AND side = 0 AND role = 'assistant'), '') AS chosen_train,
-    coalesce(string_agg((at + length(role) + 5)::BIGINT || '+' || (length(piece) - length(role) - 6), ',' ORDER BY pos) FILTER (NOT shared AND side = 1 AND role = 'assistant'), '') AS rejected_train
+    coalesce(string_agg((start + length(role) + 5)::BIGINT || '+' || (length(piece) - length(role) - 6), ',' ORDER BY pos) FILTER (NOT shared AND side = 0 AND role = 'assistant'), '') AS chosen_train,
+    coalesce(string_agg((start + length(role) + 5)::BIGINT || '+' || (length(piece) - length(role) - 6), ',' ORDER BY pos) FILTER (NOT shared AND side = 1 AND role = 'assistant'), '') AS rejected_train
   FROM a GROUP BY pair_id)
 SELECT pair_id, chosen_id, rejected_id, prefix_turns, prompt,
   CASE WHEN chosen_id IS NOT NULL THEN chosen END AS chosen, CASE WHEN rejected_id IS NOT NULL THEN rejected END AS rejected, chosen_train, rejected_train FROM g
