@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .gbt import Calibrated, fit_calibrated
-from .words import pieces, split_words
+from .words import by_slices, pieces, split_words
 
-FIT_ROWS = 8_000  #: labelled rows that are fitted on, at most
-POOL_ROWS = 8_000  #: unlabelled rows that views label for each other, at most
+FIT_ROWS = 4_000  #: labelled rows that are fitted on, at most
+POOL_ROWS = 4_000  #: unlabelled rows that views label for each other, at most
 ROUNDS = 3
 SURE = 0.03  #: a view labels a row if its score is so near 0 or 1
 SHARE = 0.1  #: rows that a view labels in a round, as a part of the labelled ones, at most
@@ -52,6 +52,9 @@ class TextView:
         return got
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
+        return by_slices(texts, self.numbers)
+
+    def numbers(self, texts: pa.Array) -> np.ndarray:
         flat, offsets = split_words(texts)
         sizes = np.diff(offsets)
         out = np.zeros((len(sizes), 18))

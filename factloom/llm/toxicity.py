@@ -9,7 +9,6 @@ Labels, lang, source and doc_id are never inputs of a score.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .gbt import Calibrated, fit_calibrated
-from .words import pieces, split_words
+from .words import by_slices, pieces, split_words
 
-FIT_ROWS = 12_000  #: labelled rows that are fitted on, at most
+FIT_ROWS = 4_000  #: labelled rows that are fitted on, at most
 LEARNT = 1500  #: entries of the learnt lexicon, at most
 STARTS = (4, 5, 6, 7, 8)  #: letters of word beginnings that may become entries
 SEEN = 4  #: toxic documents that an entry stands in, at least
@@ -76,6 +75,10 @@ NAMES = 26
 
 def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     """A row of NAMES numbers for each whole text; a null or empty text has zeros."""
+    return by_slices(texts, lambda part: slice_features(part, lexicon))
+
+
+def slice_features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     flat, offsets = split_words(texts)
     sizes = np.diff(offsets)
     out = np.zeros((len(sizes), NAMES))
@@ -112,30 +115,48 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     return out
 
 
-def bare_words(text: str) -> set[str]:
-    return {w.strip(EDGES).lower() for w in text.split()} - {""}
-
+class Vocabulary:
+    """The distinct bare words of sampled documents and their beginnings, as numbers.
 
-def learn_lexicon(words: list[set[str]], y: np.ndarray) -> Lexicon:
-    """Words and beginnings that stand in far more toxic than other documents, by log odds."""
-    seen = {1: (Counter(), Counter()), 0: (Counter(), Counter())}
-    for ws, label in zip(words, y):
-        whole, start = seen[int(label)]
-        whole.update(ws)
-        start.update({w[:n] for w in ws for n in STARTS if len(w) >= n})
-    pos, neg = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-
-    def best(toxic: Counter, other: Counter) -> dict[str, float]:
-        odds = {}
-        for w, n in toxic.items():
-            if n >= SEEN:
-                v = np.log((n + 0.5) / (pos + 1)) - np.log((other[w] + 0.5) / (neg + 1))
-                if v > 1.5:
-                    odds[w] = float(v)
-        top = sorted(odds, key=lambda w: (-odds[w] * np.sqrt(toxic[w]), w))[:LEARNT]
-        return {w: odds[w] for w in top}
+    words and starts are (names, documents, numbers): the pairs of a document and a word (or
+    beginning) that it has, each once.
+    """
 
-    return Lexicon(best(seen[1][0], seen[0][0]), best(seen[1][1], seen[0][1]))
+    def __init__(self, texts: pa.Array):
+        flat, offsets = split_words(texts)
+        coded = flat.dictionary_encode()
+        names, starts, own, firsts = {}, {}, [], []
+        for w in coded.dictionary.to_pylist():
+            low = w.strip(EDGES).lower()
+            own.append(names.setdefault(low, len(names)))
+            firsts.append([starts.setdefault(low[:n], len(starts)) if len(low) >= n else -1 for n in STARTS])
+        doc, code = np.repeat(np.arange(len(texts)), np.diff(offsets)), np.asarray(coded.indices)
+        key = np.unique(doc * max(1, len(own)) + code)
+        doc, code = key // max(1, len(own)), key % max(1, len(own))
+        self.words = self.pairs(names, doc, np.array(own, np.int64)[code] if len(own) else code)
+        at = np.array(firsts, np.int64).reshape(-1, len(STARTS))[code]
+        some = at >= 0
+        self.starts = self.pairs(starts, np.repeat(doc, len(STARTS)).reshape(at.shape)[some], at[some])
+
+    @staticmethod
+    def pairs(names: dict, doc: np.ndarray, number: np.ndarray):
+        key = np.unique(doc * max(1, len(names)) + number)
+        return list(names), key // max(1, len(names)), key % max(1, len(names))
+
+    def lexicon(self, rows: np.ndarray, y: np.ndarray) -> Lexicon:
+        """Words and beginnings that stand in far more toxic than other documents among rows, by log odds."""
+        label = np.full(len(y), -1)
+        label[rows] = y[rows]
+        pos, neg = max(1, int((label == 1).sum())), max(1, int((label == 0).sum()))
+
+        def best(names, doc, number) -> dict[str, float]:
+            toxic, other = (np.bincount(number[label[doc] == k], minlength=len(names)) for k in (1, 0))
+            odds = np.log((toxic + 0.5) / (pos + 1)) - np.log((other + 0.5) / (neg + 1))
+            some = np.flatnonzero((toxic >= SEEN) & (odds > 1.5))
+            top = sorted(some, key=lambda i: (-odds[i] * np.sqrt(toxic[i]), names[i]))[:LEARNT]
+            return {names[i]: float(odds[i]) for i in top if names[i]}
+
+        return Lexicon(best(*self.words), best(*self.starts))
 
 
 @dataclass
@@ -147,32 +168,31 @@ class Model:
         return self.scorer(features(texts, self.lexicon))
 
 
-def fit(texts: list[str], y: np.ndarray) -> Model:
+def fit(held: pa.Array, y: np.ndarray) -> Model:
     """The entries that a row's features count are learnt from other rows of the sample."""
-    words = [bare_words(t) for t in texts]
-    held = pa.array(texts, pa.large_string())
+    vocabulary = Vocabulary(held)
 
     def seen(train: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        return features(held.take(pa.array(rows)), learn_lexicon([words[i] for i in train], y[train]))
+        return features(held.take(pa.array(rows)), vocabulary.lexicon(train, y))
 
     scorer = fit_calibrated(np.zeros((len(y), NAMES)), y, features=seen, trees=120, depth=3)
-    return Model(learn_lexicon(words, y), scorer)
+    return Model(vocabulary.lexicon(np.arange(len(y)), y), scorer)
 
 
 def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, where=None) -> tuple[list[str], np.ndarray]:
+def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, where=None) -> tuple[pa.Array, np.ndarray]:
     """Texts and labels of at most ``rows`` labelled documents, picked by a hash of their ids."""
     own = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null")
     own = own if where is None else own.where(where)
     own = own.groupBy("id").agg(F.max("y").alias("y"))
     few = F.broadcast(own.orderBy(F.xxhash64("id"), "id").limit(rows))  # bounded by rows
     got = docs.join(few, docs["doc_id"] == few["id"]).select("id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "y").toArrow()
-    order = np.argsort(np.asarray(got.column("id").to_numpy()), kind="stable")
-    texts, y = got.column("text").to_pylist(), np.asarray(got.column("y").to_numpy(), np.float64)
-    return [texts[i] for i in order], y[order]
+    got = got.take(pa.array(np.argsort(got.column("id").to_numpy(), kind="stable"))).combine_chunks()
+    text = got.column("text").cast(pa.large_string()).combine_chunks() if got.num_rows else pa.array([], pa.large_string())
+    return text, got.column("y").to_numpy().astype(np.float64)
 
 
 def score(docs: DataFrame, model, name: str = "score") -> DataFrame:

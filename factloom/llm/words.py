@@ -75,3 +75,10 @@ def planes(values: np.ndarray) -> bytes:
 def unplanes(buf: memoryview, n: int, dtype) -> np.ndarray:
     size = np.dtype(dtype).itemsize
     return np.ascontiguousarray(np.frombuffer(buf, np.uint8, n * size).reshape(size, n).T).reshape(-1).view(dtype)
+
+
+def by_slices(texts: pa.Array, rows_of, most_bytes: int = 1 << 20) -> np.ndarray:
+    """rows_of(slice) over slices of about most_bytes, stacked: what a slice needs is bounded."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // most_bytes)) + 1
+    return np.concatenate([rows_of(texts.slice(lo, hi - lo)) for lo, hi in zip([0, *cuts], [*cuts, len(texts)])])
