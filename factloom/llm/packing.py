@@ -12,12 +12,11 @@ short of one; they become sequences of powers of two, which need no padding.
 from __future__ import annotations
 
 import os
-import re
 from collections import deque
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,16 +27,19 @@ from .words import pieces, split_words
 SEQUENCE = 2048
 WINDOW = 32  #: sequences a window
 AHEAD = 8  #: windows whose tokens a task reads ahead, so that its queues hold several sources
-CACHE = 400_000  #: words a worker remembers
+CACHE = 600_000  #: stems and words a worker remembers
 END_ID = 1
 #: Words of Latin letters and trailing ASCII marks: the tokenizer's own rules split them there.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", "[!-&(-/:-@\\[-`{-~]*"
 
 
 class WordTokenizer:
     """Ids of whole texts from ids of their words, each kept once known.
 
-    Right for tokenizers that drop white space and never join across it, as word_bpe_49k does.
+    Right for tokenizers that lower case, drop white space, never join across it, and end every
+    word with a token marked so, as word_bpe_49k does. A plain word is a stem and its marks;
+    stems that are not known yet are encoded together, as one text, and told apart by the
+    tokens that end words. Other words are encoded one by one.
     """
 
     made: dict[str, WordTokenizer] = {}
@@ -47,8 +49,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.words: dict[str, tuple] = {}
-        self.parts: dict[str, tuple] = {}
+        self.ends = np.zeros(self.lib.get_vocab_size(), bool)
+        for token, i in self.lib.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.known: dict[str, bytes] = {}
 
     @classmethod
     def at(cls, path: str) -> WordTokenizer:
@@ -56,28 +60,34 @@ class WordTokenizer:
             cls.made[path] = cls(path)
         return cls.made[path]
 
-    def part(self, p: str) -> tuple:
-        ids = self.parts.get(p)
-        if ids is None:
-            if len(self.parts) > CACHE:
-                self.parts.clear()
-            ids = self.parts[p] = tuple(self.lib.encode(p, add_special_tokens=False).ids)
-        return ids
-
-    def word(self, w: str) -> tuple:
-        ids = self.words.get(w)
-        if ids is None:
-            m = PLAIN.fullmatch(w)
-            if m:
-                ids = self.part(m[1].lower())
-                if m[2]:
-                    ids = ids + self.part(m[2])
-            else:
-                ids = tuple(self.lib.encode(w, add_special_tokens=False).ids)
-            if len(self.words) > CACHE:
-                self.words.clear()
-            self.words[w] = ids
-        return ids
+    def alone(self, w: str) -> bytes:
+        return np.array(self.lib.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def learn(self, stems: list[str]) -> None:
+        ids = np.array(self.lib.encode(" ".join(stems), add_special_tokens=False).ids, np.uint32)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) == len(stems) and (not len(cuts) or cuts[-1] == len(ids)):
+            raw, lo = ids.tobytes(), 0
+            for w, hi in zip(stems, (cuts * 4).tolist()):
+                self.known[w] = raw[lo:hi]
+                lo = hi
+        else:
+            for w in stems:
+                self.known[w] = self.alone(w)
+
+    def units(self, names: list[str], plain: np.ndarray) -> list[bytes]:
+        """Ids of stems (plain), marks and other words."""
+        if len(self.known) > CACHE:
+            self.known.clear()
+        got = [self.known.get(w) for w in names]
+        self.learn([w for w, k, p in zip(names, got, plain) if k is None and p])
+        for i, k in enumerate(got):
+            if k is None:
+                w = names[i]
+                got[i] = self.known.get(w)
+                if got[i] is None:
+                    got[i] = self.known[w] = self.alone(w)
+        return got
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch, and each text's offsets into them."""
@@ -85,15 +95,22 @@ class WordTokenizer:
         if not len(flat):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         coded = flat.dictionary_encode()
-        known = [self.word(w) for w in coded.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, known), np.int64, len(known))
-        own = np.fromiter(chain.from_iterable(known), np.uint32, int(sizes.sum()))
+        words, codes = coded.dictionary, np.asarray(coded.indices)
+        plain = pc.match_substring_regex(words, f"^{LETTERS}{MARKS}$")
+        stem = pc.if_else(plain, pc.replace_substring_regex(pc.utf8_lower(words), f"{MARKS}$", ""), words).dictionary_encode()
+        marks = pc.if_else(plain, pc.replace_substring_regex(words, f"^{LETTERS}", ""), "").dictionary_encode()
+        first, then = np.asarray(stem.indices).astype(np.int64), np.asarray(marks.indices).astype(np.int64)
+        is_plain = np.zeros(len(stem.dictionary), bool)
+        is_plain[first] = np.asarray(plain)
+        held = self.units(stem.dictionary.to_pylist(), is_plain) + [self.known.get(m) or self.known.setdefault(m, self.alone(m)) if m else b"" for m in marks.dictionary.to_pylist()]
+        own = np.frombuffer(b"".join(held), np.uint32)
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
         starts = np.cumsum(sizes) - sizes
-        codes = np.asarray(coded.indices)
-        counts = sizes[codes]
+        two = np.column_stack([first, then + len(stem.dictionary)])[codes].reshape(-1)
+        counts = sizes[two]
         ends = np.cumsum(counts)
-        ids = own[np.arange(ends[-1]) + np.repeat(starts[codes] - (ends - counts), counts)]
-        return ids, np.concatenate(([0], ends))[offsets]
+        ids = own[np.arange(ends[-1]) + np.repeat(starts[two] - (ends - counts), counts)]
+        return ids, np.concatenate(([0], ends[1::2]))[offsets]
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
@@ -107,7 +124,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
         t = WordTokenizer.at(tokenizer)
         kind = "<u2" if max(t.lib.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         part = TaskContext.get().partitionId()
-        for b in pieces(batches, 4 << 20):
+        for b in pieces(batches, 8 << 20):
             ids, at = t.batch(b.column("text"))
             whole = [np.append(ids[i:j], np.uint32(end_id)).astype(kind) for i, j in zip(at, at[1:])]
             yield pa.record_batch(
