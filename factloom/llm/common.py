@@ -38,6 +38,7 @@ def settled(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     shared_dir(spark)
     out = df.checkpoint(eager=True)
+    del df
     release(spark)
     return out
 
@@ -46,9 +47,11 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """df written as compressed Parquet to the shared folder and read back; for large tables."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/factloom-{what}-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
+    del df
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
