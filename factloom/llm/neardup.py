@@ -8,11 +8,12 @@ weighted shingles. Bands of registers give candidates; links are verified on who
 the Jaccard similarity of their shingle sets, and classes are the components of the links.
 
 Exact copies are one node from the start. In a band's bucket every text is first compared with
-the bucket's smallest id alone. Only texts that are then still in different classes are
-compared with each other, by signature, in blocks of bounded size, and what remains by text.
-So groups of near copies never make all their pairs, and no link between different texts is
-left out but by chance of the signatures: a pair of similarity 0.8 shares none of the 24 bands
-with probability 3e-6, and falls below the estimate asked with probability 1e-9.
+the bucket's smallest id alone. Only buckets that then still hold different classes are looked
+at again, in blocks of bounded size: texts outside a block's largest class are compared with
+all others there by counting shared shingles, and the links that join classes are kept. So
+groups of near copies never make all their pairs, and no class is split but by chance of the
+signatures: a pair of similarity 0.8 shares none of the 24 bands with probability 3e-6, and
+falls below the estimate asked of a star's pair with probability 1e-9.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ SIMILAR = 0.8
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 ESTIMATE = 0.55  #: agreeing registers that a pair of SIMILAR surely has
-BLOCK_ROWS = 4096  #: texts of a bucket compared in one task
+BLOCK_ROWS = 1500  #: texts of a bucket compared in one task
 LISTED = 100_000  #: ids broadcast at most (under 2 MB)
 FACTOR = 0xD6E8FEB86659FD93
 
@@ -81,7 +82,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for b in pieces(batches, 3 << 20):
+        for b in pieces(batches, 3 << 19):
             d, h, n = counted(*shingles(b.column("text")))
             who = prob_minhash(d, h, 1 + np.log(n), b.num_rows)
             has = np.zeros(b.num_rows, bool)
@@ -99,12 +100,11 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, keys array<bigint>, sig array<smallint>")
 
 
-def verified(edges: DataFrame, sigs: DataFrame | None, texts: DataFrame) -> DataFrame:
+def verified(edges: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
     """The edges (a, b) whose texts have SIMILAR shingle sets or more."""
-    if sigs is not None:
-        alike = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-        e = edges.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
-        edges = settled(e.where(alike >= int(ESTIMATE * REGISTERS)).select("a", "b"))
+    alike = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
+    e = edges.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
+    edges = settled(e.where(alike >= int(ESTIMATE * REGISTERS)).select("a", "b"))
     need = settled(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct())
     if need.count() <= LISTED:
         texts = texts.join(F.broadcast(need), texts["doc_id"] == need["id"], "left_semi")
@@ -129,6 +129,46 @@ def verified(edges: DataFrame, sigs: DataFrame | None, texts: DataFrame) -> Data
     return both.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
+def joining(label: np.ndarray, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of documents of different labels with SIMILAR shingle sets, enough to join their labels.
+
+    (doc, h) are the distinct shingles by document. Every document outside the most frequent
+    label is compared with all others at once, by counting its shingles' postings.
+    """
+    n = len(label)
+    names, code = np.unique(label, return_inverse=True)
+    root = list(range(len(names)))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    size = np.bincount(doc, minlength=n)
+    by = np.argsort(h, kind="stable")
+    posted, hashes = doc[by], h[by]
+    cut = np.searchsorted(doc, np.arange(n + 1))
+    first, last = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+    a, b = [], []
+    for i in np.flatnonzero(code != np.bincount(code).argmax()):
+        lo, hi = first[cut[i] : cut[i + 1]], last[cut[i] : cut[i + 1]]
+        lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]
+        if not len(lo):
+            continue
+        runs = hi - lo
+        at = np.arange(runs.sum()) + np.repeat(lo - (np.cumsum(runs) - runs), runs)
+        common = np.bincount(posted[at], minlength=n)
+        near = np.flatnonzero((common >= SIMILAR * (size + size[i] - common)) & (code != code[i]))
+        for j in near:
+            x, y = top(code[i]), top(code[j])
+            if x != y:
+                root[x] = y
+                a.append(i)
+                b.append(j)
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(doc_id, class_id) of linked ids: the smallest id each can reach.
 
@@ -169,35 +209,27 @@ def near_classes(docs: DataFrame) -> DataFrame:
     # what the stars left apart within a bucket
     own = bands.join(label, "doc_id", "left").select("key", "doc_id", F.coalesce("class_id", "doc_id").alias("l"))
     mixed = own.groupBy("key").agg(F.min("l").alias("lo"), F.max("l").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("key", "n")
-    rest = own.join(mixed, "key").join(sigs.select("doc_id", "sig"), "doc_id")
+    rest = settled(own.join(mixed, "key"))
+    need = settled(rest.select(F.col("doc_id").alias("id")).distinct())
+    some = texts.join(F.broadcast(need), texts["doc_id"] == need["id"], "left_semi") if need.count() <= LISTED else texts
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_ROWS)).cast("int")
     mine = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    rest = rest.select("key", "doc_id", "l", "sig", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    rest = rest.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "doc_id", "l", "sig")
-
+    rest = rest.select("key", "doc_id", "l", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rest = rest.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "doc_id", "l").join(some, "doc_id")
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def apart(key, group):
-        """Pairs of different classes in two blocks of a bucket whose signatures are alike."""
+        """Links between different classes in two blocks of a bucket, as many as join the classes."""
         t = group.combine_chunks()
-        ids, l, mine = (np.asarray(t.column(c).to_numpy()) for c in ("doc_id", "l", "mine"))
-        sig = np.stack(t.column("sig").to_pylist()).astype(np.int16) if t.num_rows else np.zeros((0, REGISTERS), np.int16)
-        lo, hi = key[1].as_py(), key[2].as_py()
-        left = np.flatnonzero(mine == lo)
-        right = left if lo == hi else np.flatnonzero(mine == hi)
-        a, b = [], []
-        for i in left:
-            j = right[(l[right] != l[i]) & ((ids[right] > ids[i]) | (lo != hi))]
-            j = j[(sig[j] == sig[i]).sum(axis=1) >= ESTIMATE * REGISTERS]
-            a += np.minimum(ids[i], ids[j]).tolist()
-            b += np.maximum(ids[i], ids[j]).tolist()
+        ids, l = t.column("doc_id").to_numpy(), t.column("l").to_numpy()
+        text = t.column("text").combine_chunks()
+        a, b = joining(l, *counted(*shingles(text))[:2])
         kind = t.schema.field("doc_id").type
-        return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
+        return pa.table({"a": pa.array(np.minimum(ids[a], ids[b]), kind), "b": pa.array(np.maximum(ids[a], ids[b]), kind)})
 
-    pairs = rest.groupBy("key", "lo", "hi").applyInArrow(apart, f"a {kind}, b {kind}").distinct().join(stars, ["a", "b"], "left_anti")
-    pairs = settled(pairs)
-    if has_rows(pairs):
-        links = settled(links.union(verified(pairs, None, texts)))
+    found = settled(rest.groupBy("key", "lo", "hi").applyInArrow(apart, f"a {kind}, b {kind}").distinct())
+    if has_rows(found):
+        links = settled(links.union(found))
         label = components(links)
     classes = members.join(label.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("class_id", "rep").alias("class_id"))
     nobody = docs.where(F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id"))
