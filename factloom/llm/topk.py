@@ -81,7 +81,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows of each query, ties to smaller ids.
 
     rows and queries are (vec_id, v) as whole_vectors gives them; a query with fewer than k
-    other rows gets them all. Any number of queries: CHUNK of them are broadcast at a time.
+    other rows gets them all. Scores are 64-bit integers; one that does not fit raises. Any number of queries: CHUNK of them are broadcast at a time.
     """
     spark = rows.sparkSession
     rows = settled(rows)
@@ -143,8 +143,9 @@ def one_chunk(spark, rows, mine, k, dims, kind, cuts) -> DataFrame:
     reach = np.full(len(qids), float(low))
     if tau.num_rows:
         full = tau.column("n").to_numpy() >= k
-        # a unit below covers the rounding of double sums; it only lets more entries through
-        reach[np.searchsorted(qids, tau.column("query_id").to_numpy()[full])] = tau.column("tau").to_numpy()[full] * (1 - 1e-12) - 1
+        # a little below, for the rounding of double sums; it only lets more entries through
+        least = tau.column("tau").to_numpy()[full]
+        reach[np.searchsorted(qids, tau.column("query_id").to_numpy()[full])] = least - np.abs(least) * 1e-12 - 1
     cutoff = spark.sparkContext.broadcast(reach)
 
     def entries(batches):
