@@ -141,7 +141,8 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     """
     base = settled(with_sizes(docs.select("doc_id", "text", "source")).drop("text"))
     plan = settled(source_plan(base, block))
-    takes = draw(plan).groupBy("rank", "block").agg(F.count("*").alias("times"))
+    # settled before it is joined: inferring filters through the permutation's rounds would expand them
+    takes = settled(draw(plan).groupBy("rank", "block").agg(F.count("*").alias("times")))
     words = document_blocks(base, plan, block).join(takes, ["rank", "block"]).groupBy("row_key").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     p = plan.select(F.col("source").alias("s"), "source_size", "target")
     out = base.join(p, F.col("source").eqNullSafe(F.col("s"))).join(words, "row_key", "left")
@@ -156,7 +157,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     """
     base = stored(with_sizes(docs), "mix")
     plan = settled(source_plan(base, block))
-    pieces = document_blocks(base, plan, block).join(draw(plan), ["rank", "block"])
+    pieces = document_blocks(base, plan, block).join(settled(draw(plan).select("rank", "block", "epoch")), ["rank", "block"])
     passes = pieces.groupBy("row_key", "epoch").agg(F.sort_array(F.collect_list(F.struct("begin", "words"))).alias("runs"), F.sum("words").alias("got"))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     partial = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(F.col("all_words"), (r["begin"] + 1).cast("int"), r["words"].cast("int")))), " ")
