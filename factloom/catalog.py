@@ -643,7 +643,7 @@ def near(metric, sql):
 
 near("cosine", "list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[])")
 near("dot", "list_inner_product(embedding::DOUBLE[], q::DOUBLE[])")
-near("l2", "-list_distance(embedding::DOUBLE[], q::DOUBLE[])")
+near("l2", "0 - list_distance(embedding::DOUBLE[], q::DOUBLE[])")
 
 
 @q(f"""WITH h AS (SELECT vec_id, embedding, q, len(list_filter(list_zip(embedding, q), lambda z: (z[1] > 0) <> (z[2] > 0))) AS far FROM embeddings, {QV}), c AS (SELECT * FROM h ORDER BY far, vec_id LIMIT 100)

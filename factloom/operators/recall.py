@@ -55,10 +55,10 @@ def text_search(values: DataFrame, query: str, mode: str = "all", visible: DataF
     words = query_words(query, mode == "phrase")
     toks = values.select(key, tokens(F.col(text)).alias("toks")).select(key, "toks", F.size("toks").alias("len"))
     if mode == "phrase":
-        ws = F.array(*[F.lit(w) for w, _ in words])
-        n = len(words)
-        starts = F.when(F.col("len") >= n, F.sequence(F.lit(1), F.col("len") - n + 1)).otherwise(F.array().cast("array<int>"))
-        counts = [F.size(F.filter(starts, lambda i: F.slice(F.col("toks"), i, F.lit(n)) == ws))]
+        # every token between spaces of its own; a phrase that overlaps itself counts once
+        line = F.concat(F.lit(" "), F.array_join("toks", "  "), F.lit(" "))
+        phrase = " " + "  ".join(w for w, _ in words) + " "
+        counts = [((F.length(line) - F.length(F.replace(line, F.lit(phrase), F.lit("")))) / len(phrase)).cast("int")]
     else:
         counts = [F.size(F.filter("toks", matching(w, p))) for w, p in words]
     x = toks.select(key, "len", *[c.alias(f"f{i}") for i, c in enumerate(counts)])
