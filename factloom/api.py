@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from . import model as M
 from .errors import ConstraintViolated, LimitExceeded
+from .functions import sql as sql_functions
 from .operators import paths, provenance, recall, temporal, writes
 from .plans import cypher as cypher_text
 from .plans import datalog as rules
 from .plans import ir
 from .plans.lower import Lowering
 from .plans.sparql import sparql
+from .sources import store as files
 
 
 @dataclass(frozen=True)
@@ -44,6 +46,15 @@ class Graph:
     def over(statements: DataFrame, **options) -> Graph:
         return Graph(writes.Store.over(statements), options=Options(**options))
 
+    @staticmethod
+    def load(spark: SparkSession, path: str, version: int, **options) -> Graph:
+        return Graph.over(files.load(spark, path, version), **options)
+
+    def save(self, path: str, version: int | None = None) -> int:
+        version = self.store.t if version is None else version
+        files.save(self.statements, path, version)
+        return version
+
     # --- views ---
 
     def at(self, view: M.View) -> Graph:
@@ -86,6 +97,11 @@ class Graph:
     def run(self, op, semantics: ir.Semantics = ir.SPARQL) -> DataFrame:
         return self._checked(Lowering(self.statements, semantics, self.view, self.tx, self.volatile).run(op))
 
+    def sql(self, text: str, name: str = "statement") -> DataFrame:
+        """Plain Spark SQL over the view's statements, with the term helpers."""
+        sql_functions.register(self.statements.sparkSession, M.seen(self.statements, self.view, self.tx), name)
+        return self._checked(self.statements.sparkSession.sql(text))
+
     def triples(self, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
         x = M.seen(self.statements, self.view, self.tx)
         for c, v in (("s", s), ("p", p), ("o", o)):
@@ -114,11 +130,14 @@ class Graph:
     def conflicts(self) -> DataFrame:
         return temporal.conflicts(self.statements, self.view)
 
-    def path(self, start: list[str], path: str, mode: str = "reach", max_hops: int | None = None, virtual: bool = False) -> paths.Found:
+    def path(self, start: list[str], path: str, mode: str = "reach", max_hops: int | None = None, virtual: bool = False, graphs: tuple = ()) -> paths.Found:
         """Rows and verdict of reach, trail, any_shortest, all_shortest or (in time) earliest."""
         spark = self.statements.sparkSession
         starts = spark.createDataFrame([(s,) for s in start], "node string")
         x = M.seen(self.statements, self.view, self.tx)
+        if graphs:  # every hop a member
+            inside = x.where((F.col("p") == M.IN_GRAPH) & F.col("o").isin(*graphs)).select(M.body(F.col("s")).cast("bigint").alias("eid"))
+            x = x.join(inside, "eid", "left_semi").select(*x.columns)
         x = paths.with_virtual(x) if virtual else x
         guard = self.options.path_guard
         if mode == "reach":

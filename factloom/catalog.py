@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import model as M
 from .functions.values import V
+from .functions import sql as sql_functions
 from .functions.sparql import call as sparql_call
 from .operators import intervals, paths, provenance, recall, temporal, writes
 from .plans import ir
@@ -129,12 +130,12 @@ def flagship_orders_by_nation(spark, sf_dir):
     return ask(spark, sf_dir, "PREFIX : <> SELECT ?n (COUNT(*) AS ?orders) { ?o :placedBy ?c . ?c :inNation ?n } GROUP BY ?n")
 
 
-@q("""SELECT r_name AS rn, c_mktsegment AS seg, count(*) AS n, round(sum(o_totalprice), 0) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+@q("""SELECT r_name AS rn, c_mktsegment AS seg, count(*) AS n, round(sum(o_totalprice), 3) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 WHERE o_totalprice > 100000 AND o_orderstatus = 'F' GROUP BY ALL""")
 def snowflake(spark, sf_dir):
     x = ask(spark, sf_dir, """PREFIX : <> SELECT ?rn ?seg (COUNT(?o) AS ?n) (SUM(?t) AS ?total)
       { ?o :status "F" ; :total ?t ; :placedBy ?c . ?c :inNation ?na ; :segment ?seg . ?na :inRegion ?r . ?r :regionName ?rn FILTER(?t > 100000) } GROUP BY ?rn ?seg""")
-    return x.select(M.lex(F.col("rn")).alias("rn"), M.lex(F.col("seg")).alias("seg"), "n", F.round("total", 0).alias("total"))
+    return x.select(M.lex(F.col("rn")).alias("rn"), M.lex(F.col("seg")).alias("seg"), "n", F.round("total", 3).alias("total"))
 
 
 @q("SELECT doc, label FROM (SELECT 'I:d:' || d.doc_id AS doc, 'i:' || quality AS label FROM documents d LEFT JOIN labels l USING (doc_id))")
@@ -214,12 +215,12 @@ def construct_form(spark, sf_dir):
     return sparql("PREFIX : <> CONSTRUCT { ?a :buysFrom ?b } WHERE { ?c :deals ?s ; :inNation ?a . ?s :suppliesFrom ?b }", st, multi=frozenset())
 
 
-@q("""SELECT 'I:n:' || c_nationkey AS n, count(*) AS cnt, count(DISTINCT c_mktsegment) AS d, round(sum(c_acctbal), 0) AS s, round(avg(c_acctbal), 2) AS a, round(min(c_acctbal), 2) AS lo, round(max(c_acctbal), 2) AS hi
+@q("""SELECT 'I:n:' || c_nationkey AS n, count(*) AS cnt, count(DISTINCT c_mktsegment) AS d, round(sum(c_acctbal), 3) AS s, round(avg(c_acctbal), 4) AS a, round(min(c_acctbal), 2) AS lo, round(max(c_acctbal), 2) AS hi
 FROM customer GROUP BY c_nationkey HAVING count(*) > 2""")
 def aggregates(spark, sf_dir):
     x = ask(spark, sf_dir, """PREFIX : <> SELECT ?n (COUNT(*) AS ?cnt) (COUNT(DISTINCT ?g) AS ?d) (SUM(?b) AS ?s) (AVG(?b) AS ?a) (MIN(?b) AS ?lo) (MAX(?b) AS ?hi)
       { ?c :inNation ?n ; :balance ?b ; :segment ?g } GROUP BY ?n HAVING (COUNT(*) > 2)""")
-    return x.select("n", "cnt", "d", F.round("s", 0).alias("s"), F.round("a", 2).alias("a"), num("lo", 2), num("hi", 2))
+    return x.select("n", "cnt", "d", F.round("s", 3).alias("s"), F.round("a", 4).alias("a"), num("lo", 2), num("hi", 2))
 
 
 @q("SELECT 'I:r:' || n_regionkey AS r, string_agg(n_name, '|' ORDER BY n_name) AS names, min('s:' || n_name) AS one FROM nation GROUP BY n_regionkey")
@@ -881,3 +882,29 @@ def approximate_aggregates(spark, sf_dir):
 @q("SELECT (CAST(json_extract_string(props, '$.k') AS BIGINT)) AS k, count(*) AS n FROM events GROUP BY ALL")
 def json_fields(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").cast("bigint").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+
+
+@q("SELECT 'I:n:' || c_nationkey AS n, round(sum(c_acctbal), 3) AS total FROM customer GROUP BY c_nationkey")
+def sql_over_statements(spark, sf_dir):
+    sql_functions.register(spark, ingest.entities(spark, sf_dir), "factloom_statement")
+    return spark.sql("SELECT n.o AS n, round(sum(term_num(b.o)), 3) AS total FROM factloom_statement n JOIN factloom_statement b ON n.s = b.s WHERE n.p = 'inNation' AND b.p = 'balance' GROUP BY n.o")
+
+
+@q("SELECT c_nationkey AS n, quantile_disc(c_acctbal, 0.5) AS med, count(*) AS k FROM customer GROUP BY c_nationkey")
+def percentile_disc(spark, sf_dir):
+    st = ingest.entities(spark, sf_dir)
+    x = cypher("MATCH (c:Customer)-[:inNation]->(n) RETURN n, percentileDisc(c.balance, 0.5) AS med, count(*) AS k", st, multi=frozenset())
+    return x.select(F.regexp_extract("n", r"(\d+)$", 1).cast("int").alias("n"), num("med"), M.num(F.col("k")).cast("bigint").alias("k"))
+
+
+@q("SELECT vec_id, len(embedding) AS dims, true AS near FROM embeddings")
+def half_precision(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    back = recall.from_half(recall.to_half(e)).select("vec_id", F.col("embedding").alias("h"))
+    close = F.forall(F.zip_with("embedding", "h", lambda a, b: F.abs(a - b) < 0.001), lambda x: x)
+    return e.join(back, "vec_id").select("vec_id", F.size("h").cast("bigint").alias("dims"), close.alias("near"))
+
+
+@q(f"WITH RECURSIVE {BOUGHT}, e AS (SELECT DISTINCT u, v FROM bought), r(n, d) AS (SELECT '{START}', 0 UNION SELECT v, d + 1 FROM r JOIN e ON u = n WHERE d < 2) SELECT DISTINCT n AS x FROM r WHERE d = 2")
+def cypher_variable_length(spark, sf_dir):
+    return cypher("MATCH (a:Start)-[:bought*2]->(x) RETURN DISTINCT x", ingest.co_purchases(spark, sf_dir).unionByName(M.literal(spark, [(1 << 60, M.Iri("u:1"), M.RDF_TYPE, M.Iri("Start"), 1)])))

@@ -189,3 +189,30 @@ def expanded(hits: DataFrame, statements: DataFrame, view: M.View = M.NOW) -> Da
     x = M.seen(statements, view)
     mine = hits.select(F.col("eid").alias("hit"), "rank").join(x.select(F.col("eid").alias("hit"), F.col("s").alias("subject")), "hit")
     return mine.join(x.select("eid", "s", "p", "o"), F.col("subject") == F.col("s")).select("rank", "hit", "eid", "s", "p", "o")
+
+
+def to_half(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(key, half): vectors as little-endian 16-bit floats, a quarter of doubles' bytes."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            packed = [None if v is None else np.asarray(v, "<f2").tobytes() for v in b.column(vector).to_pylist()]
+            yield pa.record_batch([b.column(key), pa.array(packed, pa.binary())], [key, "half"])
+
+    kind = vectors.schema[key].dataType.simpleString()
+    return vectors.select(key, vector).mapInArrow(run, f"{key} {kind}, half binary")
+
+
+def from_half(packed: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            vectors = [None if h is None else np.frombuffer(h, "<f2").astype(np.float32) for h in b.column("half").to_pylist()]
+            yield pa.record_batch([b.column(key), pa.array(vectors, pa.list_(pa.float32()))], [key, vector])
+
+    kind = packed.schema[key].dataType.simpleString()
+    return packed.select(key, "half").mapInArrow(run, f"{key} {kind}, {vector} array<float>")

@@ -25,8 +25,8 @@ def escaped(c: Column) -> Column:
     return c
 
 
-def parsed(lines: DataFrame) -> DataFrame:
-    """(s, p, o) of lines (column value); comments and blank lines have none."""
+def parsed(lines: DataFrame, *keep: str) -> DataFrame:
+    """(s, p, o) and the columns named of lines (column value); comments and blank lines have none."""
     g = lambda i: F.regexp_extract("value", LINE, i)
     x = lines.where(F.col("value").rlike(LINE))
     text, dt = unescaped(g(6)), g(7)
@@ -38,7 +38,7 @@ def parsed(lines: DataFrame) -> DataFrame:
     )
     o = F.when(g(3).startswith("<"), M.iri(g(4))).when(g(3).startswith("_:"), F.concat(F.lit("_:"), g(5))).otherwise(literal)
     s = F.when(g(1).startswith("<"), M.iri(F.regexp_extract(g(1), "^<(.*)>$", 1))).otherwise(g(1))
-    return x.select(s.alias("s"), g(2).alias("p"), o.alias("o"))
+    return x.select(s.alias("s"), g(2).alias("p"), o.alias("o"), *keep)
 
 
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
@@ -104,3 +104,31 @@ def import_bundle(spark: SparkSession, lines: DataFrame, next_eid: int, t: int)
         side = ids.select(M.statement_ref("old").alias("k"), M.statement_ref("new").alias("moved"))
         x = x.join(side, F.col(c) == F.col("k"), "left").withColumn(c, F.coalesce("moved", c)).drop("k", "moved")
     return x.select(F.col("new").alias("eid"), "s", "p", "o", F.lit(t).cast("bigint").alias("t_add"), F.lit(None).cast("bigint").alias("t_ret"), "v_from", "v_to", F.lit(None).cast("tinyint").alias("ret_kind"))
+
+
+def turtle(spark: SparkSession, text: str) -> DataFrame:
+    """(s, p, o) of a small Turtle text, read on the driver: prefixes, ; and , lists, literals."""
+    import re
+
+    from ..plans import ir
+    from ..plans.sparql import Parser
+
+    text = re.sub(r"@prefix\s+(\S*)\s*(<[^>]*>)\s*\.", r"PREFIX \1 \2", text)
+    p = Parser(text)
+    rows = []
+    while p.peek()[0]:
+        p.prologue()
+        if p.peek()[0] and not p.word("."):
+            for t in p.triples():
+                name = lambda x: f"_:{x.name.lstrip('_')}" if isinstance(x, ir.Var) else x
+                rows.append((name(t.s), t.p, name(t.o)))
+    return spark.createDataFrame(rows, "s string, p string, o string")
+
+
+def nquads(lines: DataFrame) -> DataFrame:
+    """(s, p, o, graph) of N-Quads lines; graph is null in the default graph."""
+    graph = F.regexp_extract("value", r"\s<([^>]*)>\s*\.\s*$", 1)
+    four = F.regexp_replace("value", r"\s<[^>]*>\s*\.\s*$", " .")
+    is_quad = four.rlike(LINE)
+    x = lines.select(F.when(is_quad, four).otherwise(F.col("value")).alias("value"), F.when(is_quad, F.concat(F.lit("I:"), graph)).alias("graph")).where(F.col("value").rlike(LINE))
+    return parsed(x, "graph")

@@ -387,3 +387,24 @@ def test_cypher_writes(spark):
         g.cypher_write("MATCH (a {name: 'ann'}) DELETE a")
     assert g.cypher_write("MATCH (a {name: 'ann'}) DETACH DELETE a").triples(p="knows").count() == 0
     assert g.cypher_write("MATCH (a)-[k:knows]->(b) DELETE k").triples(p="knows").count() == 0
+
+
+def test_files_formats_and_cyclicity(spark, tmp_path, people):
+    from factloom.api import Graph
+    from factloom.plans.cyclic import is_cyclic
+    from factloom.sources import store
+
+    g = Graph.over(people)
+    v = g.save(str(tmp_path / "s"))
+    h = Graph.load(spark, str(tmp_path / "s"), v)
+    assert values(h.triples(), "eid", "s", "p", "o") == values(g.triples(), "eid", "s", "p", "o")
+    store.convert(spark, str(tmp_path / "s"), v, str(tmp_path / "o"), "parquet", "orc")
+    assert store.load(spark, str(tmp_path / "o"), v, M.NOW, "orc").count() == people.count()
+    assert h.sql("SELECT avg(term_num(o)) AS a FROM statement WHERE p = 'age'").first().a == 32.0
+    t = rdf.turtle(spark, '@prefix e: <http://e/> .\ne:a e:p "x"@en, 5 ; e:q e:b .\n_:n e:p true .')
+    assert values(t, "s", "p", "o") == [("I:http://e/a", "http://e/p", "i:5"), ("I:http://e/a", "http://e/p", "l:en|x"), ("I:http://e/a", "http://e/q", "I:http://e/b"), ("_:n", "http://e/p", "b:true")]
+    quads = spark.createDataFrame([("<a> <p> <b> <g> .",), ('<a> <p> "x" .',), ("# no",)], "value string")
+    assert values(rdf.nquads(quads).fillna("-", ["graph"]), "o", "graph") == [("I:b", "I:g"), ("s:x", "-")]
+    T, V = ir.Triple, ir.Var  # noqa: N806
+    assert is_cyclic([T(V("a"), "p", V("b")), T(V("b"), "p", V("c")), T(V("c"), "p", V("a"))])
+    assert not is_cyclic([T(V("a"), "p", V("b")), T(V("b"), "p", V("c")), T(V("c"), "p", "I:x"), T(V("b"), "q", V("d"))])
