@@ -129,6 +129,6 @@ def nquads(lines: DataFrame) -> DataFrame:
     """(s, p, o, graph) of N-Quads lines; graph is null in the default graph."""
     graph = F.regexp_extract("value", r"\s<([^>]*)>\s*\.\s*$", 1)
     four = F.regexp_replace("value", r"\s<[^>]*>\s*\.\s*$", " .")
-    is_quad = four.rlike(LINE)
+    is_quad = four.rlike(LINE) & (graph != "")
     x = lines.select(F.when(is_quad, four).otherwise(F.col("value")).alias("value"), F.when(is_quad, F.concat(F.lit("I:"), graph)).alias("graph")).where(F.col("value").rlike(LINE))
     return parsed(x, "graph")
