@@ -22,7 +22,7 @@ SHARD_SLOTS = 256
 ROUNDS = 6  #: of the permutation
 CELLS = 4096  #: of the table that turns a draw into a source
 RUN = 1024  #: shards whose counts are summed first
-QUEUE_ROWS = 20_000  #: documents in one part of a source's queue
+QUEUE_ROWS = 2_000  #: documents in one part of a source's queue
 SPAN = float(1 << 60)
 WORD = r"[^\x20\x09-\x0D]+"
 
