@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import has_rows, settled, stored
-from .words import GOLDEN, mix64, pieces, rolling, split_words, word_hashes
+from .words import GOLDEN, give_back, mix64, pieces, rolling, split_words, word_hashes
 
 WORDS = 5
 SIMILAR = 0.8
@@ -96,6 +96,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             sig = (mix64(who) & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16)
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]) for x in (key.view(np.int64), sig)]
             yield pa.record_batch([b.column("doc_id").filter(pa.array(has)), lists[0].cast(pa.list_(pa.int64())), lists[1].cast(pa.list_(pa.int16()))], ["doc_id", "keys", "sig"])
+        give_back()
 
     return docs.mapInArrow(run, f"doc_id {kind}, keys array<bigint>, sig array<smallint>")
 
@@ -124,6 +125,7 @@ def verified(edges: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
                         common = len(np.intersect1d(x, y, assume_unique=True))
                         keep[i] = common >= SIMILAR * (len(x) + len(y) - common)
                 yield pa.record_batch([p.column("a"), p.column("b")], ["a", "b"]).filter(pa.array(keep))
+        give_back()
 
     kind = edges.schema["a"].dataType.simpleString()
     return both.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}").distinct()
@@ -224,6 +226,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
         ids, l = t.column("doc_id").to_numpy(), t.column("l").to_numpy()
         text = t.column("text").combine_chunks()
         a, b = joining(l, *counted(*shingles(text))[:2])
+        give_back()
         kind = t.schema.field("doc_id").type
         return pa.table({"a": pa.array(np.minimum(ids[a], ids[b]), kind), "b": pa.array(np.maximum(ids[a], ids[b]), kind)})
 

@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settled, stored
-from .words import pieces, split_words
+from .words import give_back, pieces, split_words
 
 SEQUENCE = 2048
 WINDOW = 32  #: sequences a window
 AHEAD = 8  #: windows whose tokens a task reads ahead, so that its queues hold several sources
-CACHE = 600_000  #: stems and words a worker remembers
+CACHE = 400_000  #: stems and words a worker remembers
 END_ID = 1
 #: Words of Latin letters and trailing ASCII marks: the tokenizer's own rules split them there.
 LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", "[!-&(-/:-@\\[-`{-~]*"
@@ -124,13 +124,14 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
         t = WordTokenizer.at(tokenizer)
         kind = "<u2" if max(t.lib.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         part = TaskContext.get().partitionId()
-        for b in pieces(batches, 8 << 20):
+        for b in pieces(batches, 6 << 20):
             ids, at = t.batch(b.column("text"))
             whole = [np.append(ids[i:j], np.uint32(end_id)).astype(kind) for i, j in zip(at, at[1:])]
             yield pa.record_batch(
                 [b.column("doc_id"), b.column("source"), pa.array(np.full(b.num_rows, part, np.int32)), pa.array(np.diff(at) + 1), pa.array([x.tobytes() for x in whole], pa.binary())],
                 ["doc_id", "source", "part", "tokens", "ids"],
             )
+        give_back()
 
     kind = src.schema["doc_id"].dataType.simpleString()
     return src.mapInArrow(run, f"doc_id {kind}, source string, part int, tokens bigint, ids binary")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .gbt import Calibrated, fit_calibrated
-from .words import by_slices, pieces, split_words
+from .words import by_slices, give_back, pieces, split_words
 
 FIT_ROWS = 4_000  #: labelled rows that are fitted on, at most
 POOL_ROWS = 4_000  #: unlabelled rows that views label for each other, at most
@@ -26,7 +26,7 @@ SURE = 0.03  #: a view labels a row if its score is so near 0 or 1
 SHARE = 0.1  #: rows that a view labels in a round, as a part of the labelled ones, at most
 CELLS = 16  #: hashed cells of source and of language
 KEEP = 0.5  #: documents below this combined score are rejected
-CACHE = 300_000
+CACHE = 100_000
 MARKS = set("%#*&$!|~^=<>{}[]\\@_+")
 
 
@@ -198,6 +198,8 @@ def quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, pool_rows:
         for b in pieces(batches, 4 << 20):
             t, m, s = shared.value.scores(b)
             yield pa.record_batch([b.column("doc_id"), pa.array(t), pa.array(m), pa.array(s)], ["doc_id", "text_score", "page_score", "score"])
+        shared.value.text.known.clear()
+        give_back()
 
     out = with_metadata(docs).mapInArrow(run, f"doc_id {kind}, text_score double, page_score double, score double")
     return out.withColumn("keep", (F.col("score") >= KEEP).cast("int"))
@@ -214,6 +216,8 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in pieces(batches, 4 << 20):
             s = shared.value.scores(b)[2]
             yield pa.record_batch([b.column("doc_id").filter(pa.array(s >= KEEP))], ["row"])
+        shared.value.text.known.clear()
+        give_back()
 
     inner = rows.schema["row"].dataType.simpleString()
     return x.mapInArrow(run, f"row {inner}").select("row.*")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settled
-from .words import mix64, pieces, planes, rolling, split_words, unplanes, word_hashes
+from .words import give_back, pieces, planes, rolling, split_words, unplanes, word_hashes
 
 REPEAT = 13  #: words
 BLOCK = (REPEAT + 1) // 2
@@ -139,6 +139,7 @@ def repeats(docs: DataFrame, repeat: int = REPEAT, keep: tuple[str, ...] = ()) -
             h = h[at]
             full = np.diff(offsets) > 0
             yield blobs_out(pack(at, [h & LOW], (h >> np.uint64(32)) % np.uint64(buckets), offsets[:-1][full], ids_of(b.column("doc_id"))[full], np.asarray(b.column("part"))[full]), "bucket")
+        give_back()
 
     def hits(key, group):
         """Windows whose run of words is a block of some document and stands in two or more."""

@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .gbt import Calibrated, fit_calibrated
-from .words import by_slices, pieces, split_words
+from .words import by_slices, give_back, pieces, split_words
 
 FIT_ROWS = 4_000  #: labelled rows that are fitted on, at most
 LEARNT = 1500  #: entries of the learnt lexicon, at most
 STARTS = (4, 5, 6, 7, 8)  #: letters of word beginnings that may become entries
 SEEN = 4  #: toxic documents that an entry stands in, at least
-CACHE = 300_000
+CACHE = 150_000
 THRESHOLD = 0.3
 #: General insults, and second-person words of English, German, French and Spanish.
 INSULTS = ("idiot", "moron", "stupid", "dumb", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting", "fool", "jerk", "garbage", "vermin", "filth", "creep", "freak", "coward", "liar")
@@ -204,6 +204,8 @@ def score(docs: DataFrame, model, name: str = "score") -> DataFrame:
         m = shared.value
         for b in pieces(batches, 4 << 20):
             yield pa.record_batch([b.column("doc_id"), pa.array(m(b.column("text")))], ["doc_id", name])
+        m.lexicon.known.clear()
+        give_back()
 
     src = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return src.mapInArrow(run, f"doc_id {kind}, {name} double")

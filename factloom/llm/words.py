@@ -5,6 +5,8 @@ A word is ``[^\\x20\\x09-\\x0D]+``: Arrow's ASCII white space is just those six
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,6 +15,15 @@ import xxhash
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+def give_back() -> None:
+    """Returns freed memory to the machine: Python workers live on and others run beside them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another libc
+        pass
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambler of 64-bit words (two multiply-xorshift rounds)."""
     x = x ^ (x >> np.uint64(30))
