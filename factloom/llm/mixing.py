@@ -166,3 +166,35 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
+
+
+def mix_sql(block: int = BLOCK_WORDS) -> str:
+    """The rows of mix() in DuckDB's SQL. Which shard gets a slot does not matter to what is taken."""
+    def hashed(*parts: str) -> str:
+        return "('0x' || substr(md5(" + " || '|' || ".join(parts) + "), 1, 15))::BIGINT"
+
+    rounds, last = "", "x0"
+    for r in range(ROUNDS):
+        key = hashed("'key'", "rank", "epoch", str(r)) + " % blocks"
+        coin = hashed("'coin'", "rank", "epoch", str(r), "greatest(x, other)") + " % 2 = 1"
+        rounds += f", y{r} AS (SELECT *, ({key} + blocks - x) % blocks AS other FROM {last}), x{r + 1} AS (SELECT rank, epoch, blocks, CASE WHEN {coin} THEN other ELSE x END AS x FROM y{r})"
+        last = f"x{r + 1}"
+    return f"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, row_number() OVER () AS rk FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
+w AS (SELECT *, list_extract({list(WEIGHTS)}, (rank % {len(WEIGHTS)} + 1)::INT) AS weight, {REPEATS} * source_size AS cap, sum(source_size) OVER () AS every FROM s),
+o AS (SELECT *, every - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room,
+      sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
+p AS (SELECT *, cap * rest > weight * room AS free FROM o),
+l AS (SELECT room::DOUBLE AS room0, rest::DOUBLE AS rest0 FROM p WHERE free ORDER BY cap / weight, rank LIMIT 1),
+t AS (SELECT p.*, CASE WHEN free THEN weight * room0 / rest0 ELSE cap::DOUBLE END AS target, ceil(source_size / {block})::BIGINT AS blocks FROM p LEFT JOIN l ON true),
+u AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target * blocks / source_size + 0.5)::BIGINT, {REPEATS} * blocks) ELSE 0 END AS quota FROM t),
+i AS (SELECT rank, blocks, unnest(range(quota)) AS i FROM u WHERE quota > 0),
+x0 AS (SELECT rank, i // blocks AS epoch, blocks, i % blocks AS x FROM i){rounds},
+takes AS (SELECT rank, x AS block, count(*) AS times FROM {last} GROUP BY ALL),
+q AS (SELECT d.*, rank, coalesce(sum(size) OVER (PARTITION BY rank ORDER BY {hashed("'part'", "coalesce(doc_id::VARCHAR, '')")} % (SELECT greatest(1, ceil(count(*) / {QUEUE_ROWS}))::BIGINT FROM d), doc_id NULLS FIRST, size, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+      FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source WHERE size > 0),
+b AS (SELECT rk, rank, start, size, unnest(range(start // {block}, (start + size - 1) // {block} + 1)) AS block FROM q),
+k AS (SELECT rk, sum((least((block + 1) * {block}, start + size) - greatest(block * {block}, start)) * times)::BIGINT AS taken FROM b JOIN takes USING (rank, block) GROUP BY rk)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source LEFT JOIN k USING (rk)
+"""

@@ -62,4 +62,4 @@ r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score D
 SELECT * FROM r WHERE rank <= 5
 """
 
-ORACLE_SQL = {"op2_exact_top_k": TOP_K_SQL, "op4_preference_format": preference.PREFERENCE_SQL, "op7_substring_dedup": substring.SUBSTRING_SQL}
+ORACLE_SQL = {"op2_exact_top_k": TOP_K_SQL, "op3_source_mix": mixing.mix_sql(), "op4_preference_format": preference.PREFERENCE_SQL, "op7_substring_dedup": substring.SUBSTRING_SQL, "op8_near_duplicates": neardup.NEAR_SQL}
