@@ -163,6 +163,13 @@ class Graph:
         depth = max(4 * limit, 50)
         return recall.fused([self.text_search(text, mode, depth), self.vector_search(embeddings, vector, limit=depth)], limit)
 
+    def register(self, name: str, f, returns: str):
+        """A Python function for sql(); Arrow batches carry its arguments where it is a pandas UDF."""
+        return self.statements.sparkSession.udf.register(name, f, returns)
+
+    def explain_datalog(self, program: str, goal: str | None = None) -> str:
+        return rules.explain(program, goal)
+
     def datalog(self, program: str, goal: str, time: bool = False) -> DataFrame:
         return self._checked(rules.datalog(program, goal, self.statements, self.view, time))
 

@@ -908,3 +908,26 @@ def half_precision(spark, sf_dir):
 @q(f"WITH RECURSIVE {BOUGHT}, e AS (SELECT DISTINCT u, v FROM bought), r(n, d) AS (SELECT '{START}', 0 UNION SELECT v, d + 1 FROM r JOIN e ON u = n WHERE d < 2) SELECT DISTINCT n AS x FROM r WHERE d = 2")
 def cypher_variable_length(spark, sf_dir):
     return cypher("MATCH (a:Start)-[:bought*2]->(x) RETURN DISTINCT x", ingest.co_purchases(spark, sf_dir).unionByName(M.literal(spark, [(1 << 60, M.Iri("u:1"), M.RDF_TYPE, M.Iri("Start"), 1)])))
+
+
+@q("SELECT a.k AS k, count(*) AS n FROM (SELECT CASE WHEN c_nationkey > 5 THEN c_nationkey END AS k FROM customer) a JOIN (SELECT CASE WHEN s_nationkey > 5 THEN s_nationkey END AS k FROM supplier) b ON a.k IS NOT DISTINCT FROM b.k GROUP BY a.k")
+def null_safe_join(spark, sf_dir):
+    a = table(spark, sf_dir, "customer").select(F.when(F.col("c_nationkey") > 5, F.col("c_nationkey")).alias("k")).groupBy("k").agg(F.count("*").alias("x"))
+    b = table(spark, sf_dir, "supplier").select(F.when(F.col("s_nationkey") > 5, F.col("s_nationkey")).alias("j")).groupBy("j").agg(F.count("*").alias("y"))
+    return a.join(b, F.col("k").eqNullSafe(F.col("j"))).select("k", (F.col("x") * F.col("y")).alias("n"))
+
+
+@q("SELECT 2::BIGINT AS one, 3::BIGINT AS three")
+def cypher_equal_values(spark, sf_dir):
+    x = cypher("UNWIND [1, 1.0, 'a', 'a'] AS x RETURN count(DISTINCT x) AS one", ingest.entities(spark, sf_dir))
+    y = cypher("UNWIND [3, 1, 2] AS x WITH x ORDER BY x DESC LIMIT 1 RETURN x", ingest.entities(spark, sf_dir))
+    return x.crossJoin(y).select(M.num(F.col("one")).cast("bigint").alias("one"), M.num(F.col("x")).cast("bigint").alias("three"))
+
+
+@q("SELECT 'I:p:' || p_partkey AS p, p_size * p_size AS sq FROM part WHERE p_size > 45")
+def custom_function(spark, sf_dir):
+    from .functions.values import number
+
+    extra = {"my:square": lambda a: number(a[0].number * a[0].number, True)}
+    x = sparql("PREFIX : <> SELECT ?p ?sq { ?p :size ?z FILTER(?z > 45) BIND(my:square(?z) AS ?sq) }", ingest.entities(spark, sf_dir), multi=frozenset(), extra=extra)
+    return x.select("p", M.num(F.col("sq")).cast("int").alias("sq"))

@@ -55,9 +55,8 @@ class V:
         n = M.num(self.col)
         return F.when(k == "b", M.body(self.col) == "true").when(n.isNotNull(), (n != 0) & ~F.isnan(n)).when(k.isin("s", "l"), F.length(M.lex(self.col)) > 0)
 
-    @property
-    def sort(self) -> Column:
-        return self.col if self.form in ("number", "text", "bool") else M.sort_key(self.col)
+    def sort(self, order: tuple = M.VALUE_ORDER) -> Column:
+        return self.col if self.form in ("number", "text", "bool") else M.sort_key(self.col, order)
 
 
 def number(c: Column, whole: Column | bool = False) -> V:

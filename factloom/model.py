@@ -148,19 +148,29 @@ def datatype(k: Column) -> Column:
     return out
 
 
-def kind_rank(k: Column) -> Column:
-    """Place of a term's kind in value order (ORDER BY, min and max)."""
+#: Letters of kinds in ascending order of values: SPARQL's, and Cypher's.
+VALUE_ORDER = ("N_", "I", "S", "T", "idm", "b", "t", "D", "s", "l", "x")
+CYPHER_ORDER = ("IN_", "S", "T", "t", "D", "slx", "b", "idm")
+
+
+def kind_rank(k: Column, order: tuple = VALUE_ORDER) -> Column:
+    """Place of a term's kind in an order of values (ORDER BY, min and max)."""
     out = None
-    for rank, letters in enumerate(("N_", "I", "S", "T", "idm", "b", "t", "D", "s", "l", "x"), 1):
+    for rank, letters in enumerate(order, 1):
         test = kind(k).isin(*letters)
         out = F.when(test, F.lit(rank)) if out is None else out.when(test, F.lit(rank))
     return out
 
 
-def sort_key(k: Column) -> Column:
+def sort_key(k: Column, order: tuple = VALUE_ORDER) -> Column:
     """A struct that sorts as the value order does; null for no term."""
     number = F.coalesce(num(k), millis(k).cast("double"), days(k).cast("double"), F.when(kind(k).isin("S", "T", "N"), body(k).try_cast("double")))
-    return F.when(k.isNotNull(), F.struct(kind_rank(k).alias("kind"), number.alias("number"), lex(k).alias("text"), k.alias("term")))
+    return F.when(k.isNotNull(), F.struct(kind_rank(k, order).alias("kind"), number.alias("number"), lex(k).alias("text"), k.alias("term")))
+
+
+def group_key(k: Column) -> Column:
+    """Equal for terms of equal value: 1 and 1.0 are one, as are date-times of one instant."""
+    return F.coalesce(F.concat(F.lit("#"), num(k).cast("string")), F.concat(F.lit("@"), millis(k).cast("string")), k)
 
 
 # --- views -----------------------------------------------------------------

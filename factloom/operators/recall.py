@@ -164,6 +164,19 @@ def prefiltered_search(vectors: DataFrame, query: list[float], metric: str = "co
     return vector_search(near, query, metric, limit, key, vector)
 
 
+def with_embeddings(embeddings: DataFrame | None, model: str, vectors: DataFrame, dims: int) -> DataFrame:
+    """(model, eid, vec) with a model's vectors (eid, vec) added; a wrong length or a non-finite number refuses all."""
+    bad = vectors.where((F.size("vec") != dims) | F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    if bad.take(1):
+        raise InvalidQuery(f"vectors of {model} have {dims} finite numbers")
+    new = vectors.select(F.lit(model).alias("model"), "eid", "vec")
+    return new if embeddings is None else embeddings.join(new.select("model", "eid"), ["model", "eid"], "left_anti").select("model", "eid", "vec").unionByName(new)
+
+
+def without_model(embeddings: DataFrame, model: str) -> DataFrame:
+    return embeddings.where(F.col("model") != model)
+
+
 def unembedded(statements: DataFrame, embeddings: DataFrame, model: str, view: M.View = M.NOW) -> DataFrame:
     """Visible statements that have no vector of a model."""
     return M.seen(statements, view).join(embeddings.where(F.col("model") == model).select("eid"), "eid", "left_anti")

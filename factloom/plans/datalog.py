@@ -573,3 +573,17 @@ def materialised(text: str, name: str, predicate: str, statements: DataFrame, vi
     got = datalog(text, f"{name}(S, O)", statements, view, magic=False).select(F.col("S").alias("s"), F.lit(predicate).alias("p"), F.col("O").alias("o"))
     have = M.seen(statements, view).where(F.col("p") == predicate)
     return got.join(have, ["s", "p", "o"], "left_anti"), have.join(got, ["s", "p", "o"], "left_anti").select("eid")
+
+
+def explain(text: str, goal: str | None = None) -> str:
+    """A program's strata and the rules each runs, after the rewrite for a goal."""
+    rules = checked(Parser(text).program())
+    if goal:
+        rules = demanded(rules, Parser(goal).atom())
+    lines = []
+    for i, layer in enumerate(strata(rules)):
+        for r in rules:
+            if r.head.name in layer:
+                loop = any(a.name in layer for a, _ in atoms(r))
+                lines.append(f"stratum {i}: {r.head.name}/{len(r.head.args)} from {', '.join(sorted({a.name for a, _ in atoms(r)})) or 'facts'}{' (recursive)' if loop else ''}{' (invents ' + ', '.join(r.invented) + ')' if r.invented else ''}")
+    return "\n".join(lines)

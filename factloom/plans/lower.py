@@ -45,10 +45,11 @@ class Lowering:
     volatile: DataFrame | None = None  #: (s, p, o) read under Now
     multi: frozenset | None = None
     language: str = "sparql"
-    procedures: dict = field(default_factory=dict)
+    extra: dict = field(default_factory=dict)  #: functions of the caller's: name -> f(list of V) -> V
 
     def __post_init__(self):
         self.fresh = itertools.count()
+        self.order = M.CYPHER_ORDER if self.language == "cypher" else M.VALUE_ORDER
 
     def run(self, op) -> DataFrame:
         """The rows of op with terms in all columns but those of aggregates and computed numbers."""
@@ -367,13 +368,14 @@ class Lowering:
         v = self.value(g.value, rel)
         name = g.name.lower()
         if name == "count":
-            return (F.count_distinct(v.term) if g.distinct else F.count(v.term)), "number"
+            once = M.group_key(v.term) if self.language == "cypher" else v.term
+            return (F.count_distinct(once) if g.distinct else F.count(v.term)), "number"
         if name in ("sum", "avg"):
             x = v.number
             return (getattr(F, "sum_distinct" if g.distinct and name == "sum" else name)(x)), "number"
         if name in ("min", "max"):
             pick = F.min_by if name == "min" else F.max_by
-            return pick(v.term, M.sort_key(v.term)), "term"
+            return pick(v.term, M.sort_key(v.term, self.order)), "term"
         if name == "sample":
             return F.min(v.term), "term"
         if name == "group_concat":
@@ -403,7 +405,7 @@ class Lowering:
     def _orders(self, rel: Rel, keys) -> list[Column]:
         out = []
         for e, down in keys:
-            k = self.value(e, rel).sort
+            k = self.value(e, rel).sort(self.order)
             first = self.semantics.nulls_first != down
             out.append((k.desc_nulls_first() if first else k.desc_nulls_last()) if down else (k.asc_nulls_first() if first else k.asc_nulls_last()))
         return out
@@ -497,6 +499,8 @@ class Lowering:
             return boolean({"starts with": F.startswith, "ends with": F.endswith, "contains": F.contains}[n](a[0].text, a[1].text))
         if n == "=~":
             return boolean(F.rlike(a[0].text, F.concat(F.lit("^(?:"), a[1].text, F.lit(")$"))))
+        if n in self.extra:
+            return self.extra[n](a)
         return (cypher_functions if self.language == "cypher" else sparql_functions).call(n, a)
 
     def _each(self, e: ir.Each, rel: Rel, bound: dict) -> V:
