@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,33 +31,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once into the shared folder; its lineage ends there and its shuffles are freed.
+    """df computed once into the shared folder; its lineage ends there, so that its shuffles can be freed.
 
     Spark removes the files when the last frame that reads them is garbage, if
     spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     spark = df.sparkSession
     shared_dir(spark)
-    out = df.checkpoint(eager=True)
-    del df
-    release(spark)
-    return out
+    release(spark)  # of frames before this one: the caller still holds df itself
+    return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written as compressed Parquet to the shared folder and read back; for large tables."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/factloom-{what}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    del df
     release(spark)
-    return spark.read.schema(schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of frames that nobody holds any more."""
+def release(spark: SparkSession, wait: float = 0.0) -> None:
+    """Lets Spark's cleaner drop shuffle files of frames that nobody holds any more.
+
+    The bridge to the JVM lets go of Python's frames within about a second; wait that long
+    where the next job writes much.
+    """
     gc.collect()
+    time.sleep(wait)
     spark.sparkContext._jvm.System.gc()
 
 

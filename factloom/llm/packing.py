@@ -27,7 +27,7 @@ from .words import give_back, pieces, split_words
 SEQUENCE = 2048
 WINDOW = 32  #: sequences a window
 AHEAD = 8  #: windows whose tokens a task reads ahead, so that its queues hold several sources
-CACHE = 400_000  #: stems and words a worker remembers
+CACHE = 250_000  #: stems and words a worker remembers
 END_ID = 1
 #: Words of Latin letters and trailing ASCII marks: the tokenizer's own rules split them there.
 LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", "[!-&(-/:-@\\[-`{-~]*"
@@ -124,7 +124,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
         t = WordTokenizer.at(tokenizer)
         kind = "<u2" if max(t.lib.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         part = TaskContext.get().partitionId()
-        for b in pieces(batches, 6 << 20):
+        for b in pieces(batches, 2 << 20):
             ids, at = t.batch(b.column("text"))
             whole = [np.append(ids[i:j], np.uint32(end_id)).astype(kind) for i, j in zip(at, at[1:])]
             yield pa.record_batch(
@@ -270,6 +270,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, end_id: int =
         if robin.queues and robin.waiting:
             emit(robin.fill(), True)
         yield flush()
+        give_back()
 
     schema = f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
     return queued.mapInArrow(run, schema)

@@ -195,7 +195,7 @@ def quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, pool_rows:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in pieces(batches, 4 << 20):
+        for b in pieces(batches, 2 << 20):
             t, m, s = shared.value.scores(b)
             yield pa.record_batch([b.column("doc_id"), pa.array(t), pa.array(m), pa.array(s)], ["doc_id", "text_score", "page_score", "score"])
         shared.value.text.known.clear()
@@ -213,7 +213,7 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     x = with_metadata(docs.withColumn("doc_id", F.struct(*docs.columns)))
 
     def run(batches):
-        for b in pieces(batches, 4 << 20):
+        for b in pieces(batches, 2 << 20):
             s = shared.value.scores(b)[2]
             yield pa.record_batch([b.column("doc_id").filter(pa.array(s >= KEEP))], ["row"])
         shared.value.text.known.clear()

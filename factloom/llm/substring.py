@@ -21,12 +21,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import release, settled
 from .words import give_back, pieces, planes, rolling, split_words, unplanes, word_hashes
 
 REPEAT = 13  #: words
 BLOCK = (REPEAT + 1) // 2
-PIECE = 6 << 20  #: bytes of text packed together
+PIECE = 4 << 20  #: bytes of text packed together
 BUCKET_BYTES = 9 << 20  #: of text for each hash bucket
 PART_BYTES = 12 << 20  #: of text brought together with its hits
 NOBODY = np.iinfo(np.int64).max  #: stands for a null doc_id: no document comes after it
@@ -150,7 +150,10 @@ def repeats(docs: DataFrame, repeat: int = REPEAT, keep: tuple[str, ...] = ()) -
         aligned = np.logical_or.reduceat(place[order] % block == 0, starts)
         several = np.minimum.reduceat(own, starts) < np.maximum.reduceat(own, starts)
         take = order[np.repeat(aligned & several, sizes)]
-        return pa.Table.from_batches([blobs_out(answers(ids[take], parts[take], place[take]), "part")])
+        out = pa.Table.from_batches([blobs_out(answers(ids[take], parts[take], place[take]), "part")])
+        del ids, parts, place, h, own, order, take
+        give_back()
+        return out
 
     def candidates(offsets, ids, own, place):
         """Words that begin a window of ``repeat`` words which holds a hit block, in this batch."""
@@ -182,6 +185,7 @@ def repeats(docs: DataFrame, repeat: int = REPEAT, keep: tuple[str, ...] = ()) -
                 a, c = (x[at] for x in long_hashes(hashes))
                 full = np.diff(offsets) > 0
                 out += pack(at, [a & LOW, c & LOW, c >> np.uint64(32)], (a >> np.uint64(32)) % np.uint64(buckets), offsets[:-1][full], ids[full], np.asarray(b.column("part"))[full])
+        give_back()
         return pa.Table.from_batches([blobs_out(out, "bucket")])
 
     def later(key, group):
@@ -193,12 +197,17 @@ def repeats(docs: DataFrame, repeat: int = REPEAT, keep: tuple[str, ...] = ()) -
         sizes = np.diff(np.r_[starts, len(order)])
         first = np.repeat(ids[order][starts], sizes)
         take = order[ids[order] > first]
-        return pa.Table.from_batches([blobs_out(answers(ids[take], parts[take], place[take], [h[0][take]]), "part")])
+        out = pa.Table.from_batches([blobs_out(answers(ids[take], parts[take], place[take], [h[0][take]]), "part")])
+        del ids, parts, place, h, s, order, take
+        give_back()
+        return out
 
     blobs = "blob binary"
     found = settled(rows.mapInArrow(probe, f"bucket int, {blobs}").groupBy("bucket").applyInArrow(hits, f"part int, {blobs}"))
+    release(docs.sparkSession, 1.5)
     around = rows.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(extend, f"bucket int, {blobs}")
     gone = settled(around.groupBy("bucket").applyInArrow(later, f"part int, {blobs}"))
+    release(docs.sparkSession, 1.5)
     kept_row = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None).cast("int")
     rows = docs.select(part.alias("part"), F.col("doc_id").alias("doc_id"), text.alias("text"), kept_row.alias("row"))
 
@@ -230,6 +239,7 @@ def repeats(docs: DataFrame, repeat: int = REPEAT, keep: tuple[str, ...] = ()) -
             words = pa.ListArray.from_arrays(pa.array(at, pa.int32()), (flat if stay.all() else flat.filter(pa.array(stay))).cast(pa.string()))
             cols = [b.column("doc_id"), b.column("row"), pa.array(np.diff(offsets)), pa.array(np.diff(offsets) - np.diff(at)), pc.binary_join(words, " ")]
             out.append(pa.record_batch(cols, ["doc_id", "row", "n_words", "n_removed", "kept"]))
+        give_back()
         return pa.Table.from_batches(out) if out else pa.table({"doc_id": pa.array([], left.schema.field("doc_id").type), "row": pa.array([], left.schema.field("row").type), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string())})
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}

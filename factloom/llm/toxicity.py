@@ -202,7 +202,7 @@ def score(docs: DataFrame, model, name: str = "score") -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for b in pieces(batches, 4 << 20):
+        for b in pieces(batches, 2 << 20):
             yield pa.record_batch([b.column("doc_id"), pa.array(m(b.column("text")))], ["doc_id", name])
         m.lexicon.known.clear()
         give_back()
