@@ -931,3 +931,25 @@ def custom_function(spark, sf_dir):
     extra = {"my:square": lambda a: number(a[0].number * a[0].number, True)}
     x = sparql("PREFIX : <> SELECT ?p ?sq { ?p :size ?z FILTER(?z > 45) BIND(my:square(?z) AS ?sq) }", ingest.entities(spark, sf_dir), multi=frozenset(), extra=extra)
     return x.select("p", M.num(F.col("sq")).cast("int").alias("sq"))
+
+
+@q("SELECT 's:' || l AS label FROM (VALUES ('Customer'), ('Supplier'), ('Nation'), ('Region'), ('Part'), ('Order')) v(l)")
+def cypher_procedure(spark, sf_dir):
+    return match(spark, sf_dir, "CALL db.labels() YIELD label RETURN label")
+
+
+@q("SELECT 'I:n:' || n_nationkey AS n, x FROM (SELECT n_nationkey, 's:' || n_name AS x FROM nation UNION ALL SELECT n_nationkey, 'I:Nation' FROM nation) WHERE n_nationkey < 3")
+def path_negated_set(spark, sf_dir):
+    x = ask(spark, sf_dir, "PREFIX : <> SELECT ?n ?x { ?n !(:inRegion) ?x . ?n :nationName ?name }")
+    return x.where(F.col("n").isin("I:n:0", "I:n:1", "I:n:2"))
+
+
+@q(PAIRS.rstrip() + ", y AS (SELECT DISTINCT a.s AS s FROM ship a JOIN ship b ON a.s = b.s WHERE a.v_from = b.v_from AND a.v_to < b.v_to) SELECT s AS \"O\" FROM y")
+def datalog_allen(spark, sf_dir):
+    text = "short(O) :- shipping(O, P) @ E, shipping(O, Q) @ G, valid(E, I), valid(G, J), starts(I, J)."
+    return datalog(text, "short(O)", ingest.shipping(spark, sf_dir))
+
+
+@q("SELECT 'I:p:' || p_partkey AS \"P\" FROM part WHERE starts_with(p_brand, 'Brand#1') AND contains(p_brand, '3')")
+def datalog_text_tests(spark, sf_dir):
+    return datalog('f(P) :- brand(P, B), starts_with(B, "Brand#1"), contains(lower(B), "3").', "f(P)", ingest.entities(spark, sf_dir))

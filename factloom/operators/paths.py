@@ -25,7 +25,7 @@ MAX_STATES = 4096
 
 @dataclass(frozen=True)
 class Pred:
-    name: str  #: "*" stands for any relationship
+    name: str  #: "*" stands for any relationship, "!a|b" for any predicate but a and b
 
     inverse: bool = False
 
@@ -210,11 +210,13 @@ def path_edges(statements: DataFrame, auto: Automaton) -> DataFrame:
     """
     spark = statements.sparkSession
     named = {p for _, p, _, _ in auto.moves}
-    x = statements if "*" in named else statements.where(F.col("p").isin(*named))
+    open_ = any(p == "*" or p.startswith("!") for p in named)
+    x = statements if open_ else statements.where(F.col("p").isin(*named))
     x = x.select("eid", "s", "p", "o", "v_from", "v_to")
     moves = F.broadcast(auto.frame(spark))
     wild = (F.col("pred") == "*") & (F.col("p") != M.RDF_TYPE) & ~F.col("p").startswith(M.SYS) & M.kind(F.col("o")).isin("I", "N", "_", "S")
-    j = x.join(moves, (F.col("p") == F.col("pred")) | wild)
+    but = F.startswith("pred", F.lit("!")) & ~F.array_contains(F.split(F.substr("pred", F.lit(2)), "[|]"), F.col("p"))
+    j = x.join(moves, (F.col("p") == F.col("pred")) | wild | but) if open_ else x.join(moves, F.col("p") == F.col("pred"))
     u, v = F.when(F.col("inverse"), F.col("o")).otherwise(F.col("s")), F.when(F.col("inverse"), F.col("s")).otherwise(F.col("o"))
     return j.select(u.alias("u"), v.alias("v"), "eid", "state", "next", "done", "v_from", "v_to")
 

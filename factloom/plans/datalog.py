@@ -32,6 +32,9 @@ AGGREGATES = ("count", "sum", "min", "max")
 METRIC = ("past", "always_past", "future", "always_future")
 COMPARE = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
 LIMIT = 100_000
+#: Tests of two values; the thirteen relations and intersects take intervals as valid(E, I) gives them.
+BUILTINS = ("contains", "starts_with", "intersects", *temporal.ALLEN)
+FUNCTIONS = ("concat", "lower", "upper", "strlen", "start", "end", "duration")
 
 
 @dataclass(frozen=True)
@@ -165,7 +168,14 @@ class Parser:
             self.at += 1
             a = self.atom()
             return Atom(a.name, a.args, True, a.eid, a.wrap)
-        if t in METRIC and nxt == "[" or k == "name" and nxt == "(" and not t[0].isupper() and t not in ("concat", "lower", "upper", "strlen"):
+        if k == "name" and nxt == "(" and t in BUILTINS:
+            self.at += 2
+            a = self.sum()
+            self.need(",")
+            b = self.sum()
+            self.need(")")
+            return Test(t, a, b)
+        if t in METRIC and nxt == "[" or k == "name" and nxt == "(" and not t[0].isupper() and t not in FUNCTIONS:
             return self.atom()
         a = self.sum()
         op = self.tokens[self.at][1]
@@ -303,6 +313,11 @@ class Program:
 
     def base(self, a: Atom) -> DataFrame:
         x = M.seen(self.statements, self.view)
+        if a.name in ("valid", "added") and len(a.args) == 2:
+            span = F.concat(F.lit("x:interval|"), F.coalesce(F.col("v_from").cast("string"), F.lit("")), F.lit("/"), F.coalesce(F.col("v_to").cast("string"), F.lit("")))
+            value = span if a.name == "valid" else F.concat(F.lit("T:"), F.col("t_add").cast("string"))
+            x = x.select(M.statement_ref("eid").alias("a0"), value.alias("a1"), *([temporal.begin(F.col("v_from")).alias("f"), temporal.end(F.col("v_to")).alias("t")] if self.time else []))
+            return x
         x = x.where(F.col("p") == M.RDF_TYPE).where(F.col("o") == f"I:{a.name}") if len(a.args) == 1 else x.where(F.col("p") == a.name)
         cols = [F.col("s").alias("a0")] + ([F.col("o").alias("a1")] if len(a.args) == 2 else [])
         if a.eid is not None:
@@ -352,6 +367,9 @@ class Program:
                 return arithmetic(x.name, a[0], a[1])
             if x.name == "%":
                 return V(M.integer(F.try_mod(a[0].number, a[1].number).cast("bigint")))
+            if x.name in ("start", "end", "duration"):
+                f, t = bounds(a[0].term)
+                return V(M.integer({"start": f, "end": t, "duration": t - f}[x.name]))
             if x.name == "strlen":
                 return V(M.integer(F.length(a[0].text)))
             text = {"concat": lambda: F.concat(*[y.text for y in a]), "lower": lambda: F.lower(a[0].text), "upper": lambda: F.upper(a[0].text)}
@@ -411,6 +429,13 @@ class Program:
             todo.remove(b)
             if b.op == "=" and isinstance(b.left, Var) and b.left.name not in out.columns:
                 out = out.withColumn(b.left.name, self.value(b.right, out).term)
+            elif b.op in BUILTINS:
+                x, y = self.value(b.left, out), self.value(b.right, out)
+                if b.op in ("contains", "starts_with"):
+                    out = out.where((F.contains if b.op == "contains" else F.startswith)(x.text, y.text))
+                else:
+                    ends = (*bounds(x.term), *bounds(y.term))
+                    out = out.where(temporal.overlaps(*ends) if b.op == "intersects" else temporal.relate(*ends) == b.op)
             elif b.op in ("=", "!="):
                 t = equal(self.value(b.left, out), self.value(b.right, out)).col
                 out = out.where(t if b.op == "=" else ~t)
@@ -517,6 +542,12 @@ class Program:
         return self.facts
 
 
+def bounds(k):
+    """The bounds of an interval term, null where it is open."""
+    text = M.lex(k)
+    return F.substring_index(text, "/", 1).try_cast("bigint"), F.substring_index(text, "/", -1).try_cast("bigint")
+
+
 def whole(x):
     return F.when(x == F.floor(x), M.integer(x.cast("bigint"))).otherwise(M.double(x))
 

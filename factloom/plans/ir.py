@@ -100,6 +100,15 @@ class Table:
     maybe: frozenset = frozenset()
 
 
+@dataclass(frozen=True)
+class Procedure:
+    """The rows of a named procedure; yields are (its column, our variable)."""
+
+    name: str
+    args: tuple
+    yields: tuple
+
+
 @dataclass(frozen=True)
 class Values:
     vars: tuple

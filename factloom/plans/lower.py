@@ -153,6 +153,15 @@ class Lowering:
     def _table(self, t: ir.Table) -> Rel:
         return Rel(t.frame, frozenset(t.maybe))
 
+    def _procedure(self, c: ir.Procedure) -> Rel:
+        from .procedures import PROCEDURES
+
+        if c.name not in PROCEDURES:
+            raise InvalidQuery(f"unknown procedure {c.name}")
+        df = PROCEDURES[c.name](self._seen(None), *c.args)
+        yields = c.yields or tuple((x, x) for x in df.columns)
+        return Rel(df.select(*[F.col(a).alias(b) for a, b in yields]))
+
     def _values(self, v: ir.Values) -> Rel:
         df = self.statements.sparkSession.createDataFrame(list(v.rows), ", ".join(f"`{n}` string" for n in v.vars))
         return Rel(df, frozenset(n for i, n in enumerate(v.vars) if any(r[i] is None for r in v.rows)))
