@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -15,6 +15,7 @@ from .plans import ir
 from .plans.cypher import cypher
 from .plans.datalog import datalog, materialised
 from .plans.lower import Lowering
+from .plans.settle import shared_dir
 from .plans.sparql import sparql
 from .sources import ingest, rdf
 from .sources.ingest import table
@@ -865,7 +866,7 @@ def last_value_state(spark, sf_dir):
 @q(WINDOWED)
 def streaming_windows(spark, sf_dir):
     """The same windows as tumbling_window, computed by a stream that has seen all files."""
-    src = tempfile.mkdtemp(prefix="factloom-stream-")
+    src = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     e = table(spark, sf_dir, "events")
     e.write.mode("overwrite").parquet(f"{src}/events")
     s = log.event_stream(spark, f"{src}/events", e.schema)

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df checkpointed to spark.checkpoint.dir (a folder of our own only where that is unset)."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; a folder of our own only where that is unset, as in tests."""
     sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="factloom-"))
+    return (named or sc.getCheckpointDir()).rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df checkpointed to the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

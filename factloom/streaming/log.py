@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.settle import shared_dir
+
 
 def event_stream(spark: SparkSession, path: str, schema, per_trigger: int | None = None) -> DataFrame:
     """Files of events as they come, with ts as a timestamp."""
@@ -40,8 +44,9 @@ def follow(stream: DataFrame, on_batch, checkpoint: str, available_now: bool = T
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
-def to_memory(frame: DataFrame, name: str, mode: str):
-    """A finished run of a small stream into an in-memory table, for tests."""
-    q = frame.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def to_memory(frame: DataFrame, name: str, mode: str) -> DataFrame:
+    """A finished run of a small stream into an in-memory table, with its state in the shared folder."""
+    state = f"{shared_dir(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    q = frame.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
     return frame.sparkSession.table(name)
