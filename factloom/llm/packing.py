@@ -27,7 +27,7 @@ from .words import give_back, pieces, split_words
 SEQUENCE = 2048
 WINDOW = 32  #: sequences a window
 AHEAD = 8  #: windows whose tokens a task reads ahead, so that its queues hold several sources
-CACHE = 250_000  #: stems and words a worker remembers
+CACHE = 400_000  #: stems and words a worker remembers
 END_ID = 1
 #: Words of Latin letters and trailing ASCII marks: the tokenizer's own rules split them there.
 LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", "[!-&(-/:-@\\[-`{-~]*"
@@ -53,6 +53,7 @@ class WordTokenizer:
         for token, i in self.lib.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @classmethod
     def at(cls, path: str) -> WordTokenizer:
@@ -77,16 +78,25 @@ class WordTokenizer:
 
     def units(self, names: list[str], plain: np.ndarray) -> list[bytes]:
         """Ids of stems (plain), marks and other words."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        got = [self.known.get(w) for w in names]
-        self.learn([w for w, k, p in zip(names, got, plain) if k is None and p])
+        if len(self.known) > CACHE // 2:  # what was used since the last change stays known
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        got = [known.get(w) for w in names]
+        missing = []
         for i, k in enumerate(got):
             if k is None:
                 w = names[i]
-                got[i] = self.known.get(w)
-                if got[i] is None:
-                    got[i] = self.known[w] = self.alone(w)
+                k = old.get(w)
+                if k is None:
+                    missing.append(i)
+                else:
+                    known[w] = got[i] = k
+        self.learn([names[i] for i in missing if plain[i]])
+        for i in missing:
+            w = names[i]
+            if w not in known:
+                known[w] = self.alone(w)
+            got[i] = known[w]
         return got
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +109,7 @@ class WordTokenizer:
         plain = pc.match_substring_regex(words, f"^{LETTERS}{MARKS}$")
         stem = pc.if_else(plain, pc.replace_substring_regex(pc.utf8_lower(words), f"{MARKS}$", ""), words).dictionary_encode()
         marks = pc.if_else(plain, pc.replace_substring_regex(words, f"^{LETTERS}", ""), "").dictionary_encode()
-        first, then = np.asarray(stem.indices).astype(np.int64), np.asarray(marks.indices).astype(np.int64)
+        first, then = np.asarray(stem.indices), np.asarray(marks.indices)
         is_plain = np.zeros(len(stem.dictionary), bool)
         is_plain[first] = np.asarray(plain)
         held = self.units(stem.dictionary.to_pylist(), is_plain) + [self.known.get(m) or self.known.setdefault(m, self.alone(m)) if m else b"" for m in marks.dictionary.to_pylist()]
@@ -109,7 +119,8 @@ class WordTokenizer:
         two = np.column_stack([first, then + len(stem.dictionary)])[codes].reshape(-1)
         counts = sizes[two]
         ends = np.cumsum(counts)
-        ids = own[np.arange(ends[-1]) + np.repeat(starts[two] - (ends - counts), counts)]
+        from_here = np.repeat((starts[two] - (ends - counts)).astype(np.int32), counts)  # a batch has far fewer than 2^31 ids
+        ids = own[np.arange(ends[-1], dtype=np.int32) + from_here]
         return ids, np.concatenate(([0], ends[1::2]))[offsets]
 
 
@@ -124,7 +135,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
         t = WordTokenizer.at(tokenizer)
         kind = "<u2" if max(t.lib.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         part = TaskContext.get().partitionId()
-        for b in pieces(batches, 2 << 20):
+        for b in pieces(batches, 3 << 20):
             ids, at = t.batch(b.column("text"))
             whole = [np.append(ids[i:j], np.uint32(end_id)).astype(kind) for i, j in zip(at, at[1:])]
             yield pa.record_batch(
