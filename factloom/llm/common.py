@@ -3,13 +3,26 @@
 from __future__ import annotations
 
 import gc
+import os
 import tempfile
 import time
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def reachable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver did, where they see that path.
+
+    A cluster without it gets the package by --py-files, as any other.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, root) if x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

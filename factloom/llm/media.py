@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import reachable
+
 UNIT = 576  #: a payload is a positive multiple of so many bytes
 RATE = 8000  #: samples a second written to the header
 FRAME, HOP = 512, 288  #: samples a spectrum takes, and from one to the next
@@ -82,6 +84,7 @@ def store_wav(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     repeated rows and null keys pass through. Only key and text are read, so other columns,
     whatever their names, do not matter.
     """
+    reachable(docs.sparkSession)
     src = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
 
     def run(batches):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import has_rows, settled, stored
+from .common import has_rows, reachable, settled, stored
 from .words import GOLDEN, give_back, mix64, pieces, rolling, split_words, word_hashes
 
 WORDS = 5
@@ -197,6 +197,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     empty. Rows that share a doc_id share its class; a null doc_id has the class null. An empty
     table gives no rows. Only doc_id and text are read.
     """
+    reachable(docs.sparkSession)
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = texts.select("doc_id", F.sha2("text", 256).alias("same"))
     members = settled(ids.join(ids.groupBy("same").agg(F.min("doc_id").alias("rep")), "same").select("doc_id", "rep"))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settled, stored
+from .common import reachable, settled, stored
 from .words import give_back, pieces, split_words
 
 SEQUENCE = 2048
@@ -129,6 +129,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
 
     part numbers the task that read the document. Null texts are empty: end_id alone.
     """
+    reachable(docs.sparkSession)
     src = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("source").cast("string").alias("source"))
 
     def run(batches):

@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import reachable
 from .gbt import Calibrated, fit_calibrated
 from .words import by_slices, give_back, pieces, split_words
 
@@ -190,6 +191,7 @@ def quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, pool_rows:
     Null and empty texts are scored as texts without words. Nulls of other columns count as
     empty or zero. Without any label every document is kept. Rows that repeat get equal scores.
     """
+    reachable(docs.sparkSession)
     model = model or fit(docs, labels, rows, pool_rows)
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -207,6 +209,7 @@ def quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, pool_rows:
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs whose text and metadata the fitted model keeps, in one pass over them."""
+    reachable(docs.sparkSession)
     model = fit(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.struct(*docs.columns).alias("row"), *docs.columns)

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, settled
+from .common import reachable, release, settled
 from .words import give_back, pieces, planes, rolling, split_words, unplanes, word_hashes
 
 REPEAT = 13  #: words
@@ -113,6 +113,7 @@ def repeats(docs: DataFrame, repeat: int = REPEAT, keep: tuple[str, ...] = ()) -
     and empty texts have no words. Null doc_ids count as larger than all, and rows that share
     a doc_id as one document, which does not repeat itself. Texts are taken whole.
     """
+    reachable(docs.sparkSession)
     block = (repeat + 1) // 2
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import reachable, settled
 
 LISTS = 2
 CHUNK = 2048  #: queries broadcast at once; the rest follow in more rounds
@@ -84,6 +84,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     other rows gets them all. Scores are 64-bit integers; one that does not fit raises. Any number of queries: CHUNK of them are broadcast at a time.
     """
     spark = rows.sparkSession
+    reachable(spark)
     rows = settled(rows)
     size = rows.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()
     dims, top = size[0] or 0, size[1] or 0

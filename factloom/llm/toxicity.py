@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import reachable
 from .gbt import Calibrated, fit_calibrated
 from .words import by_slices, give_back, pieces, split_words
 
@@ -197,6 +198,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, where=No
 
 def score(docs: DataFrame, model, name: str = "score") -> DataFrame:
     """doc_id and the model's score of each whole text; every row gets one."""
+    reachable(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
