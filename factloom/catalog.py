@@ -954,3 +954,102 @@ def datalog_allen(spark, sf_dir):
 @q("SELECT 'I:p:' || p_partkey AS \"P\" FROM part WHERE starts_with(p_brand, 'Brand#1') AND contains(p_brand, '3')")
 def datalog_text_tests(spark, sf_dir):
     return datalog('f(P) :- brand(P, B), starts_with(B, "Brand#1"), contains(lower(B), "3").', "f(P)", ingest.entities(spark, sf_dir))
+
+
+# --- whole tables -------------------------------------------------------------------------------------------
+#
+# Some queries above, and their SQL, are restricted to constant ids so that DuckDB answers them soon. Here the
+# same operators read whole tables. Shortest paths have no SQL, as DuckDB would build every walk of four hops.
+
+
+@q(f"""WITH RECURSIVE {BOUGHT}, r(n, tau) AS (SELECT '{START}', -4611686018427387904 UNION SELECT v, greatest(tau, h * 3600000) FROM r JOIN bought ON u = n AND (h + 1) * 3600000 > tau)
+SELECT n AS node, min(tau)::BIGINT AS arrival FROM r WHERE n <> '{START}' GROUP BY n""")
+def path_in_time_whole(spark, sf_dir):
+    return paths.reach_in_time(ingest.co_purchases(spark, sf_dir), users(spark, START), "bought+").select("node", "arrival")
+
+
+@q(f"WITH RECURSIVE {BOUGHT}, r(n, eids, d) AS (SELECT '{START}', []::BIGINT[], 0 UNION ALL SELECT v, list_append(eids, eid), d + 1 FROM r JOIN bought ON u = n WHERE d < 3 AND NOT list_contains(eids, eid)) SELECT n AS node, d AS hops, count(*) AS trails FROM r WHERE d > 0 GROUP BY ALL")
+def path_trails_whole(spark, sf_dir):
+    return paths.trails(ingest.co_purchases(spark, sf_dir), users(spark, START), "bought{1,3}", 3).rows.groupBy("node", "hops").agg(F.count("*").alias("trails"))
+
+
+@q()
+def path_all_shortest_whole(spark, sf_dir):
+    x = paths.shortest(ingest.co_purchases(spark, sf_dir), users(spark, START), "bought*", "all").rows
+    return x.groupBy("node", "hops").agg(F.count("*").alias("ways"), F.min("eids").alias("first"))
+
+
+@q()
+def path_any_shortest_whole(spark, sf_dir):
+    return paths.shortest(ingest.co_purchases(spark, sf_dir), users(spark, START), "bought*", "any").rows.select("node", "hops", F.col("eids").alias("first"))
+
+
+@q(f"WITH RECURSIVE {BOUGHT}, e AS (SELECT DISTINCT u, v FROM bought), r(x, y) AS (SELECT u, v FROM e UNION SELECT x, v FROM r JOIN e ON y = u) SELECT count(*) AS n FROM r")
+def datalog_closure_whole(spark, sf_dir):
+    return datalog(TC, "reach(X, Y)", ingest.co_purchases(spark, sf_dir)).agg(F.count("*").alias("n"))
+
+
+@q(f"WITH RECURSIVE {BOUGHT}, e AS (SELECT DISTINCT u, v FROM bought), r(x, y) AS (SELECT u, v FROM e WHERE u = '{START}' UNION SELECT x, v FROM r JOIN e ON y = u) SELECT y AS \"Y\" FROM r")
+def datalog_magic_whole(spark, sf_dir):
+    return datalog(TC, "reach(u:1, Y)", ingest.co_purchases(spark, sf_dir)).select("Y")
+
+
+@q("""WITH t AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events),
+i AS (SELECT b AS k, count(*) AS i FROM t WHERE b IS NOT NULL GROUP BY b), o AS (SELECT a AS k, count(*) AS o FROM t WHERE b IS NOT NULL GROUP BY a)
+SELECT (SELECT sum(i * o) FROM i JOIN o USING (k))::BIGINT - (SELECT count(*) FROM t WHERE a = b) AS n""")
+def relationship_isomorphism_whole(spark, sf_dir):
+    return cypher("MATCH (a)-[:then]->(b)-[:then]->(c) RETURN count(*) AS n", ingest.transitions(spark, sf_dir)).select(M.num(F.col("n")).cast("bigint").alias("n"))
+
+
+@q("SELECT DISTINCT 'I:n:' || c_nationkey AS s, 'buysFrom' AS p, 'I:n:' || s_nationkey AS o FROM customer JOIN supplier ON s_suppkey % 7 = c_custkey % 7")
+def construct_form_whole(spark, sf_dir):
+    pairs = table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "supplier").select("s_suppkey"), F.expr("s_suppkey % 7 = c_custkey % 7"))
+    eid = (F.col("c_custkey") + 1) * 10**9 + F.col("s_suppkey")
+    st = ingest.entities(spark, sf_dir).unionByName(ingest.facts(pairs, eid, ingest.node("c", "c_custkey"), "deals", ingest.node("s", "s_suppkey")))
+    return sparql("PREFIX : <> CONSTRUCT { ?a :buysFrom ?b } WHERE { ?c :deals ?s ; :inNation ?a . ?s :suppliesFrom ?b }", st, multi=frozenset())
+
+
+@q("SELECT 'I:c:' || c_custkey AS c, 'I:r:' || n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def path_in_sparql_whole(spark, sf_dir):
+    return ask(spark, sf_dir, "PREFIX : <> SELECT ?c ?r { ?c (:inNation/:inRegion) ?r . ?c :custName ?n }")
+
+
+@q("SELECT 'I:n:' || n_nationkey AS n, 's:' || n_name AS x FROM nation UNION ALL SELECT 'I:n:' || n_nationkey, 'I:Nation' FROM nation")
+def path_negated_set_whole(spark, sf_dir):
+    return ask(spark, sf_dir, "PREFIX : <> SELECT ?n ?x { ?n !(:inRegion) ?x . ?n :nationName ?name }")
+
+
+LAYERED_WHOLE = f"WITH {LINES}, st AS (SELECT eid + x AS eid, eid AS root, l_orderkey AS o, x FROM li, (VALUES (0), (1), (2), (3)) v(x))"
+
+
+@q(LAYERED_WHOLE + " SELECT eid, CASE WHEN o = 7 THEN CASE WHEN x = 0 THEN 0 ELSE 1 END END AS ret_kind FROM st")
+def write_retract_cascade_whole(spark, sf_dir):
+    s = writes.retract_matching(writes.Store.over(ingest.layers(spark, sf_dir)).begin(), (F.col("s") == "I:o:7") & (F.col("p") == "contains"))
+    return s.statements.select("eid", F.col("ret_kind").cast("int").alias("ret_kind"))
+
+
+@q(LAYERED_WHOLE + ", r AS (SELECT min(root) AS e FROM st WHERE o = 5) SELECT count(*) FILTER (root <> e) + 4 AS live, (count(*) FILTER (root = e)) AS dead, 'I:p:999999' AS o FROM st, r GROUP BY e")
+def write_supersede_whole(spark, sf_dir):
+    s = writes.Store.over(ingest.layers(spark, sf_dir)).begin()
+    old = s.statements.where((F.col("s") == "I:o:5") & (F.col("p") == "contains")).agg(F.min("eid")).first()[0]
+    s, ids = writes.supersede(s, old, M.Iri("p:999999"))
+    new = ids.where(F.col("old") == old).select(F.col("new").alias("eid"))
+    o = s.live().join(new, "eid").select("o")
+    return s.statements.agg(F.count(F.when(F.col("t_ret").isNull(), 1)).alias("live"), F.count(F.when(F.col("t_ret").isNotNull(), 1)).alias("dead")).crossJoin(o)
+
+
+@q("SELECT count(*) AS n, sum(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS low FROM orders")
+def write_assert_idempotent_whole(spark, sf_dir):
+    st = ingest.order_timeline(spark, sf_dir)
+    s, _ = writes.assert_(writes.Store.over(st.where("eid % 2 = 0")).begin(), st.select("s", "p", "o", "v_from", "v_to"))
+    return s.live().agg(F.count("*").alias("n"), F.sum(F.when(F.regexp_extract("s", r"(\d+)$", 1).cast("int") % 2 == 0, 1).otherwise(0)).cast("bigint").alias("low"))
+
+
+@q("SELECT ret_kind, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 2 = 0 THEN 3 END AS ret_kind FROM customer UNION ALL SELECT NULL FROM customer WHERE c_custkey % 2 = 0) GROUP BY ret_kind")
+def write_cardinality_one_whole(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    st = ingest.facts(c, F.col("c_custkey"), ingest.node("c", "c_custkey"), "tier", M.string("c_mktsegment"))
+    rule = M.literal(spark, [(10**9, M.Iri("tier"), M.CARDINALITY, "one", 1)])
+    new = c.where("c_custkey % 2 = 0").select(ingest.node("c", "c_custkey").alias("s"), F.lit("tier").alias("p"), F.lit("s:GOLD").alias("o"), F.lit(None).cast("bigint").alias("v_from"), F.lit(None).cast("bigint").alias("v_to"))
+    s, _ = writes.assert_(writes.Store.over(st.unionByName(rule)).begin(), new)
+    return s.statements.where("p = 'tier'").groupBy(F.col("ret_kind").cast("int").alias("ret_kind")).agg(F.count("*").alias("n"))
