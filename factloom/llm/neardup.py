@@ -1,11 +1,11 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
-Shingles of five words carry the weight 1 + ln(count). Each is a Poisson process with its
-weight as rate, whose arrivals fall on random registers; a register keeps the element that
-arrives first. An element stops once its next arrival is later than every register of its
-document. Two documents agree in a register with the probability Jaccard similarity of their
-weighted shingles. Bands of registers give candidates; links are verified on whole texts by
-the Jaccard similarity of their shingle sets, and classes are the components of the links.
+Distinct shingles of five words carry the weight 1, however often a text repeats them. Each is a
+Poisson process with its weight as rate, whose arrivals fall on random registers; a register
+keeps the element that arrives first. An element stops once its next arrival is later than
+every register of its document. With equal weights two documents agree in a register with the
+Jaccard similarity of their shingle sets, the one that links are verified by on whole texts.
+Bands of registers give candidates, and classes are the components of the links.
 
 Exact copies are one node from the start. In a band's bucket every text is first compared with
 the bucket's smallest id alone. Only buckets that then still hold different classes are looked
@@ -83,8 +83,8 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in pieces(batches, 3 << 19):
-            d, h, n = counted(*shingles(b.column("text")))
-            who = prob_minhash(d, h, 1 + np.log(n), b.num_rows)
+            d, h, _ = counted(*shingles(b.column("text")))
+            who = prob_minhash(d, h, np.ones(len(h)), b.num_rows)
             has = np.zeros(b.num_rows, bool)
             has[d] = True
             who = who[has]

@@ -387,6 +387,15 @@ def test_near_copies_without_their_base(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in neardup.near_classes(df).collect()} == brute_classes(rows)
 
 
+def test_near_copies_that_repeat_a_passage(spark):
+    rows = []
+    for i in range(40):
+        text = " ".join(f"w{i}x{j}" for j in range(120))
+        rows += [(2 * i, text), (2 * i + 1, text + f" {' '.join(f'f{i}x{j}' for j in range(20))}" * (50 if i % 2 else 200))]
+    got = {r.doc_id: r.class_id for r in neardup.near_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
+
+
 def test_near_classes_of_nothing(nothing):
     assert neardup.near_classes(nothing).count() == 0
 
