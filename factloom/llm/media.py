@@ -19,6 +19,7 @@ RATE = 8000  #: samples a second written to the header
 FRAME, HOP = 512, 288  #: samples a spectrum takes, and from one to the next
 BANDS = ((2, 24), (24, 80), (80, 257))  #: spectrum bins of the bands, each with one peak at most a frame
 FAN, REACH = 2, 31  #: later peaks an anchor is paired with, and frames they may be away
+TAIL = b"\x80" * (FRAME - HOP)  #: silence after the samples, so that the last frame covers the last of them
 BLOCK = 4096  #: frames transformed at once, so memory does not grow with a text
 
 
@@ -114,7 +115,7 @@ def analyse(media: DataFrame, key: str = "doc_id") -> DataFrame:
                 rows: dict[str, list] = {k: [] for k in ("n", "sha", "crc", "t", "h")}
                 for m in part.column("media").to_pylist():
                     payload = from_wav(m)
-                    t, h = fingerprint(np.frombuffer(payload, np.uint8))
+                    t, h = fingerprint(np.frombuffer(payload + TAIL, np.uint8))
                     for k, v in (("n", len(payload)), ("sha", hashlib.sha256(payload).hexdigest()), ("crc", zlib.crc32(payload[-32:])), ("t", t), ("h", h)):
                         rows[k].append(v)
                 lists = pa.list_(pa.int32())

@@ -77,6 +77,12 @@ def test_peaks_against_plain_loops():
     assert list(zip(times.tolist(), codes.tolist())) == pairs
 
 
+def test_the_last_bytes_reach_the_feature(spark):
+    ends = [("!" * k + "~" * k) * (32 // k) for k in (1, 2, 4, 8)]
+    rows = media.media_digest(spark.createDataFrame([(i, "~" * (2 * 576 - 64) + e) for i, e in enumerate(ends)], "doc_id bigint, text string")).collect()
+    assert {r.payload_bytes for r in rows} == {2 * 576} and len({r.feature for r in rows}) == len(ends)
+
+
 # --- 2 top-k ---
 
 
