@@ -127,10 +127,13 @@ class WordTokenizer:
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, source, part, tokens, ids): ids as little-endian unsigned 16 or 32 bits, end_id last.
 
-    part numbers the task that read the document. Null texts are empty: end_id alone.
+    part numbers the task that read the document. Null texts are empty: end_id alone. Documents
+    are dealt to tasks, and stand there, by a hash of their row, so that a task meets all sources
+    at their shares even where the table is stored by source.
     """
     reachable(docs.sparkSession)
     src = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("source").cast("string").alias("source"))
+    src = src.withColumn("dealt", F.xxhash64("doc_id", "text", "source")).repartition("dealt").sortWithinPartitions("dealt").drop("dealt")
 
     def run(batches):
         t = WordTokenizer.at(tokenizer)

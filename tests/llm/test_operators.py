@@ -314,6 +314,14 @@ def test_windows_hold_the_mix():
             assert abs(served[s] - k * 1000 * r.share[s]) <= 3
 
 
+def test_windows_of_a_table_stored_by_source_hold_the_mix(spark):
+    rows = [(i, f"some words of document {i} and more of them", "abc"[i // 500]) for i in range(1500)]
+    held = collections.defaultdict(set)
+    for p in packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string, source string").coalesce(1), TOKENIZER, 4).collect():
+        held[p.sequence_id // packing.WINDOW].add(rows[p.doc_id][2])
+    assert len(held) > 50 and sum(len(x) == 3 for x in held.values()) > 0.9 * len(held)
+
+
 # --- 7 substrings ---
 
 
