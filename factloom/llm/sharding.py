@@ -8,11 +8,14 @@ record of any other slot.
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import shared_dir
+
 SLOTS = 4096
 
 
@@ -103,13 +106,17 @@ def slot_loads(records: DataFrame, slots: int = SLOTS) -> list[int]:
 def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, slot_map: SlotMap | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot (the place in its shard, from 0) of every row.
 
-    Without slot_map one is made that evens out the shards' bytes. Equal rows share a virtual
+    Without slot_map one is made that evens out the shards' bytes, saved in the shared folder and
+    read back from there. Equal rows share a virtual
     slot and stand next to each other; null ids and texts hash like empty ones. An empty table
     gives no rows. Only doc_id and text are read.
     """
     spark = docs.sparkSession
     records = with_slots(docs, slots)
-    slot_map = slot_map or balanced(slot_loads(records, slots), shards)
+    if slot_map is None:
+        path = f"{shared_dir(spark).rstrip('/')}/factloom-slots-{uuid.uuid4().hex}"
+        balanced(slot_loads(records, slots), shards).save(spark, path)
+        slot_map = SlotMap.load(spark, path)
     homes = F.broadcast(slot_map.frame(spark).select("vslot", "shard"))  # as many rows as slots, at any input size
     counts = records.groupBy("vslot").agg(F.count("*").alias("n")).join(homes, "vslot")
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)

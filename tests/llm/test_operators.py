@@ -467,3 +467,13 @@ def test_maps_have_versions(spark, tmp_path):
     a.save(spark, path)
     b.save(spark, path)
     assert sharding.SlotMap.load(spark, path).of == b.of and sharding.SlotMap.load(spark, path, 1).of == a.of
+
+
+def test_the_query_reads_the_stored_map(corpus, spark, monkeypatch):
+    read, load = [], sharding.SlotMap.load
+    monkeypatch.setattr(sharding.SlotMap, "load", staticmethod(lambda spark, path: read.append(path) or load(spark, path)))
+    used = {(r.doc_id, r.size, r.text_crc32, r.shard) for r in sharding.shard_digest(corpus).collect()}
+    (path,) = read
+    of = load(spark, path).of
+    homes = {(r.doc_id, r.size, r.text_crc32, of[r.vslot]) for r in sharding.with_slots(corpus).collect()}
+    assert used == homes
