@@ -10,6 +10,9 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+FREQUENT = 10_000  #: hot groups broadcast at most
 
 
 def reachable(spark: SparkSession) -> None:
@@ -30,7 +33,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests in local mode) a folder of our own is made.
+    Only where that is unset and Spark is local (tests) a folder of our own is made; on a cluster
+    it has to be set, as executors do not see a folder of the driver.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -39,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
     return sc.getCheckpointDir()
 
@@ -56,10 +62,15 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written as compressed Parquet to the shared folder and read back; for large tables."""
+    """df written as compressed Parquet to the shared folder and read back; for large tables.
+
+    The files are deleted when the driver's JVM ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/factloom-{what}-{uuid.uuid4().hex}"
     release(spark)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -75,5 +86,13 @@ def release(spark: SparkSession, wait: float = 0.0) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def frequent(counts: DataFrame, rows: int, most: int = FREQUENT) -> DataFrame:
+    """The rows of counts (with a column n that adds up to rows at most) that hold a hot group, to broadcast.
+
+    A group counts as hot from 1 / most of all rows on, so there are never more than most.
+    """
+    return F.broadcast(counts.where(F.col("n") >= max(1000, -(-rows // most))))
+
+
 def has_rows(df: DataFrame) -> bool:
     return bool(df.take(1))
