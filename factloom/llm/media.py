@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import reachable
+from .words import pieces
 
 UNIT = 576  #: a payload is a positive multiple of so many bytes
 RATE = 8000  #: samples a second written to the header
@@ -21,6 +22,7 @@ BANDS = ((2, 24), (24, 80), (80, 257))  #: spectrum bins of the bands, each with
 FAN, REACH = 2, 31  #: later peaks an anchor is paired with, and frames they may be away
 TAIL = b"\x80" * (FRAME - HOP)  #: silence after the samples, so that the last frame covers the last of them
 BLOCK = 4096  #: frames transformed at once, so memory does not grow with a text
+SLICE = 8 << 20  #: bytes of texts, or of their media, handled at once (or one longer text)
 
 
 def to_wav(payload: bytes) -> bytes:
@@ -82,19 +84,18 @@ def store_wav(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """(key, n_bytes, media): each whole text as a mono 8-bit WAV file in a binary column.
 
     A null text counts as empty; an empty one gives 576 bytes of 255. Rows keep their number:
-    repeated rows and null keys pass through. Only key and text are read, so other columns,
-    whatever their names, do not matter.
+    repeated rows and null keys pass through, an empty table gives none. Only key and text are
+    read, so other columns, whatever their names, do not matter. Memory holds SLICE bytes of
+    texts, or one longer text.
     """
     reachable(docs.sparkSession)
     src = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
 
     def run(batches):
-        for b in batches:
-            keys, texts = b.column("key"), b.column("text").cast(pa.binary())
-            for lo in range(0, b.num_rows, 512):
-                raw = [x or b"" for x in texts.slice(lo, 512).to_pylist()]
-                media = [to_wav(padded(x)) for x in raw]
-                yield pa.record_batch([keys.slice(lo, 512), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary())], ["key", "n_bytes", "media"])
+        for b in pieces(batches, SLICE):
+            raw = [x or b"" for x in b.column("text").cast(pa.binary()).to_pylist()]
+            media = [to_wav(padded(x)) for x in raw]
+            yield pa.record_batch([b.column("key"), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary())], ["key", "n_bytes", "media"])
 
     kind = src.schema["key"].dataType.simpleString()
     return src.mapInArrow(run, f"key {kind}, n_bytes bigint, media binary").withColumnRenamed("key", key)
@@ -109,20 +110,18 @@ def analyse(media: DataFrame, key: str = "doc_id") -> DataFrame:
     kind = media.schema[key].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                rows: dict[str, list] = {k: [] for k in ("n", "sha", "crc", "t", "h")}
-                for m in part.column("media").to_pylist():
-                    payload = from_wav(m)
-                    t, h = fingerprint(np.frombuffer(payload + TAIL, np.uint8))
-                    for k, v in (("n", len(payload)), ("sha", hashlib.sha256(payload).hexdigest()), ("crc", zlib.crc32(payload[-32:])), ("t", t), ("h", h)):
-                        rows[k].append(v)
-                lists = pa.list_(pa.int32())
-                yield pa.record_batch(
-                    [part.column("key"), part.column("n_bytes"), part.column("media"), pa.array(rows["n"], pa.int64()), pa.array(rows["sha"]), pa.array(rows["crc"], pa.int64()), pa.array(rows["t"], lists), pa.array(rows["h"], lists)],
-                    ["key", "n_bytes", "media", "payload_bytes", "payload_sha256", "tail_crc32", "fp_time", "fp_hash"],
-                )
+        lists = pa.list_(pa.int32())
+        for b in pieces(batches, SLICE, "media"):
+            rows: dict[str, list] = {k: [] for k in ("n", "sha", "crc", "t", "h")}
+            for m in b.column("media").to_pylist():
+                payload = from_wav(m)
+                t, h = fingerprint(np.frombuffer(payload + TAIL, np.uint8))
+                for k, v in (("n", len(payload)), ("sha", hashlib.sha256(payload).hexdigest()), ("crc", zlib.crc32(payload[-32:])), ("t", t), ("h", h)):
+                    rows[k].append(v)
+            yield pa.record_batch(
+                [b.column("key"), b.column("n_bytes"), b.column("media"), pa.array(rows["n"], pa.int64()), pa.array(rows["sha"]), pa.array(rows["crc"], pa.int64()), pa.array(rows["t"], lists), pa.array(rows["h"], lists)],
+                ["key", "n_bytes", "media", "payload_bytes", "payload_sha256", "tail_crc32", "fp_time", "fp_hash"],
+            )
 
     src = media.select(F.col(key).alias("key"), "n_bytes", "media")
     schema = f"key {kind}, n_bytes bigint, media binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, fp_time array<int>, fp_hash array<int>"
