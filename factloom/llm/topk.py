@@ -25,14 +25,13 @@ TILE = 1024  #: candidates scored at once
 
 
 def whole_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component.
+    """(vec_id, v) of every row: floor(scale * x) of each component.
 
     Vectors that are null or hold a null or non-finite component, and null ids, take no part.
-    Of rows that repeat an id the smallest vector counts.
     """
     ok = F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
     ints = F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("bigint"))
-    return rows.where(F.col(key).isNotNull() & ok).groupBy(F.col(key).cast("bigint").alias("vec_id")).agg(F.min(ints).alias("v"))
+    return rows.where(F.col(key).isNotNull() & ok).select(F.col(key).cast("bigint").alias("vec_id"), ints.alias("v"))
 
 
 def dense(column, dims: int) -> np.ndarray:
@@ -48,20 +47,22 @@ def dense(column, dims: int) -> np.ndarray:
 
 
 def exact_type(top: int, dims: int):
-    """The fastest type in which no product sum rounds."""
+    """The fastest type in which no product sum rounds; raises where 64 bits may not hold it."""
     most = top * top * max(dims, 1)
+    if most >= 1 << 63:
+        raise OverflowError(f"inner products of {dims} components up to {top} may not fit 64 bits")
     return np.float32 if most <= 1 << 24 else np.float64 if most <= 1 << 53 else np.int64
 
 
 def tiles(batches, dims: int, k: int):
-    """(ids, matrix) of up to TILE rows. Of equal vectors in a batch the k + 1 smallest ids stay:
+    """(ids, rids, matrix) of up to TILE rows. Of equal vectors in a batch the k + 1 smallest ids stay:
     no query's k best can hold more of them, even after its own row is left out."""
     for b in batches:
-        ids, m = np.asarray(b.column("vec_id")), dense(b.column("v"), dims)
+        ids, rids, m = np.asarray(b.column("vec_id")), np.asarray(b.column("rid")), dense(b.column("v"), dims)
         if not len(ids):
             continue
         order = np.argsort(ids, kind="stable")
-        ids, m = ids[order], np.ascontiguousarray(m[order])
+        ids, rids, m = ids[order], rids[order], np.ascontiguousarray(m[order])
         _, group = np.unique(m.view(np.dtype((np.void, m.dtype.itemsize * max(dims, 1)))).reshape(-1) if dims else np.zeros(len(ids)), return_inverse=True)
         by = np.argsort(group, kind="stable")
         g = group[by]
@@ -69,7 +70,8 @@ def tiles(batches, dims: int, k: int):
         nth = np.arange(len(g)) - np.repeat(start, np.diff(np.r_[start, len(g)]))
         kept = np.sort(by[nth <= k])
         for lo in range(0, len(kept), TILE):
-            yield ids[kept[lo : lo + TILE]], m[kept[lo : lo + TILE]]
+            at = kept[lo : lo + TILE]
+            yield ids[at], rids[at], m[at]
 
 
 def partials(q: np.ndarray, m: np.ndarray, kind, cuts) -> list[np.ndarray]:
@@ -81,21 +83,26 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows of each query, ties to smaller ids.
 
     rows and queries are (vec_id, v) as whole_vectors gives them; a query with fewer than k
-    other rows gets them all. Scores are 64-bit integers; one that does not fit raises. Any number of queries: CHUNK of them are broadcast at a time.
+    other rows gets them all, and an empty table gives none. Rows that repeat are candidates each on their own; none
+    with the query's id is one. Queries that repeat an id and vector are one; those that repeat
+    an id with other vectors each have their own k rows. Scores are 64-bit integers; components
+    so large that one might not fit raise. Any number of queries: CHUNK of them are broadcast at a time.
     """
     spark = rows.sparkSession
     reachable(spark)
-    rows = settled(rows)
+    # equal rows are one from here on, and n of them at the end
+    rows = settled(rows.groupBy("vec_id", "v").agg(F.count("*").alias("copies")).withColumn("rid", F.monotonically_increasing_id()))
     size = rows.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()
     dims, top = size[0] or 0, size[1] or 0
     kind = exact_type(int(top), dims)
     edges = [dims * i // LISTS for i in range(LISTS + 1)]
     cuts = list(zip(edges, edges[1:]))
+    queries = queries.select("vec_id", "v").distinct()
     chunks = max(1, math.ceil(queries.count() / CHUNK))
-    queries = settled(queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).alias("chunk")))
+    queries = settled(queries.select("vec_id", "v", F.monotonically_increasing_id().alias("query"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(chunks)).alias("chunk")))
     found = None
     for chunk in range(chunks):
-        mine = queries.where(F.col("chunk") == chunk).select("vec_id", "v")
+        mine = queries.where(F.col("chunk") == chunk).select("query", "vec_id", "v")
         part = one_chunk(spark, rows, mine, k, dims, kind, cuts)
         part = settled(part) if chunks > 1 else part
         found = part if found is None else found.unionByName(part)
@@ -105,22 +112,23 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 def one_chunk(spark, rows, mine, k, dims, kind, cuts) -> DataFrame:
     held = mine.toArrow()
     qids = held.column("vec_id").to_numpy()
-    order = np.argsort(qids)
-    qids = qids[order]
+    order = np.argsort(qids, kind="stable")
+    qids, numbers = qids[order], held.column("query").to_numpy()[order]
     q = dense(held.column("v").combine_chunks(), dims)[order] if held.num_rows else np.zeros((0, dims), np.int64)
     shared = spark.sparkContext.broadcast((qids, q))
     low = -(1 << 62)
 
     def own(ids, qids):
-        at = np.searchsorted(qids, ids)
-        hit = np.flatnonzero((at < len(qids)) & (qids[np.minimum(at, len(qids) - 1)] == ids)) if len(qids) else np.zeros(0, int)
-        return at[hit], hit
+        """(query, row) pairs of one id."""
+        lo, hi = np.searchsorted(ids, qids, "left"), np.searchsorted(ids, qids, "right")  # ids rise
+        n = hi - lo
+        return np.repeat(np.arange(len(qids)), n), np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
 
     def heads(batches):
         """Phase 1: the k largest of every local list, with their scores over all lists."""
         qids, q = shared.value
-        best = {}  # list -> (partial, total, id) of the heads so far
-        for ids, m in tiles(batches, dims, k):
+        best = {}  # list -> (partial, total, row) of the heads so far
+        for ids, rids, m in tiles(batches, dims, k):
             parts = [p.astype(np.float64) for p in partials(q, m, kind, cuts)]
             total = sum(parts)
             at, hit = own(ids, qids)
@@ -128,25 +136,26 @@ def one_chunk(spark, rows, mine, k, dims, kind, cuts) -> DataFrame:
                 p[at, hit] = -np.inf
                 n = min(k, p.shape[1])
                 take = np.argpartition(-p, n - 1, axis=1)[:, :n]
-                new = [np.take_along_axis(p, take, 1), np.take_along_axis(total, take, 1), np.broadcast_to(ids, p.shape)[np.arange(len(p))[:, None], take]]
+                new = [np.take_along_axis(p, take, 1), np.take_along_axis(total, take, 1), rids[take]]
                 if j in best:
                     new = [np.concatenate([a, b], 1) for a, b in zip(best[j], new)]
                     pick = np.argsort(-new[0], axis=1, kind="stable")[:, :k]
                     new = [np.take_along_axis(x, pick, 1) for x in new]
                 best[j] = new
-        for part, total, ids in best.values():
+        for part, total, rids in best.values():
             r, c = np.nonzero(part > -np.inf)
-            yield pa.record_batch([pa.array(qids[r]), pa.array(ids[r, c]), pa.array(total[r, c])], ["query_id", "vec_id", "score"])
+            yield pa.record_batch([pa.array(numbers[r]), pa.array(rids[r, c]), pa.array(total[r, c])], ["query", "rid", "score"])
 
-    gathered = rows.mapInArrow(heads, "query_id bigint, vec_id bigint, score double").distinct()
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    tau = gathered.withColumn("n", F.row_number().over(by_score)).where(F.col("n") <= k).groupBy("query_id").agg(F.min("score").alias("tau"), F.count("*").alias("n")).toArrow()
+    gathered = rows.mapInArrow(heads, "query bigint, rid bigint, score double").distinct()
+    by_score = Window.partitionBy("query").orderBy(F.desc("score"), "rid")
+    tau = gathered.withColumn("n", F.row_number().over(by_score)).where(F.col("n") <= k).groupBy("query").agg(F.min("score").alias("tau"), F.count("*").alias("n")).toArrow()
     reach = np.full(len(qids), float(low))
     if tau.num_rows:
         full = tau.column("n").to_numpy() >= k
         # a little below, for the rounding of double sums; it only lets more entries through
         least = tau.column("tau").to_numpy()[full]
-        reach[np.searchsorted(qids, tau.column("query_id").to_numpy()[full])] = least - np.abs(least) * 1e-12 - 1
+        place = np.argsort(numbers)
+        reach[place[np.searchsorted(numbers, tau.column("query").to_numpy()[full], sorter=place)]] = least - np.abs(least) * 1e-12 - 1
     cutoff = spark.sparkContext.broadcast(reach)
 
     def entries(batches):
@@ -154,7 +163,7 @@ def one_chunk(spark, rows, mine, k, dims, kind, cuts) -> DataFrame:
         qids, q = shared.value
         tau = cutoff.value[:, None]
         level = tau / len(cuts)
-        for ids, m in tiles(batches, dims, k):
+        for ids, rids, m in tiles(batches, dims, k):
             seen = np.zeros((len(qids), len(ids)))
             missing = np.full(seen.shape, len(cuts), np.int8)
             for p in partials(q, m, kind, cuts):
@@ -166,11 +175,14 @@ def one_chunk(spark, rows, mine, k, dims, kind, cuts) -> DataFrame:
             keep[at, hit] = False
             r, c = np.nonzero(keep)
             if len(r):
-                yield pa.record_batch([pa.array(qids[r]), pa.array(ids[c]), pa.array(missing[r, c].astype(np.int32))], ["query_id", "vec_id", "missing"])
+                yield pa.record_batch([pa.array(numbers[r]), pa.array(rids[c]), pa.array(missing[r, c].astype(np.int32))], ["query", "rid", "missing"])
 
-    left = rows.mapInArrow(entries, "query_id bigint, vec_id bigint, missing int")
+    left = rows.mapInArrow(entries, "query bigint, rid bigint, missing int")
     # Phase 3: exact integer scores of what is left, whichever parts were seen.
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: F.coalesce(a, F.lit(0)) * F.coalesce(b, F.lit(0))), F.lit(0).cast("bigint"), lambda s, x: s + x)
-    asked = mine.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    scored = left.join(rows, "vec_id").join(asked, "query_id").select("query_id", "vec_id", dot.alias("score"))
-    return scored.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = mine.select("query", F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    scored = left.join(rows, "rid").join(asked, "query").select("query", "query_id", "vec_id", "copies", dot.alias("score"))
+    rank = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    best = scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).drop("rank")
+    every = best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))))
+    return every.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
