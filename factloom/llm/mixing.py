@@ -21,7 +21,7 @@ BLOCK_WORDS = 64
 SHARD_SLOTS = 256
 ROUNDS = 6  #: of the permutation
 CELLS = 4096  #: of the table that turns a draw into a source
-RUN = 1024  #: shards whose counts are summed first
+RUN = 1024  #: shards, or parts of a queue, whose counts are summed first
 QUEUE_ROWS = 2_000  #: documents in one part of a source's queue
 SPAN = float(1 << 60)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,6 +39,15 @@ def with_sizes(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"row_key": F.monotonically_increasing_id(), "size": size})
 
 
+def so_far(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """rows with base, the sum of value over the rows before in order, within keys; summed within runs and over runs."""
+    x = rows.withColumn("run", F.expr(f"{order} div {RUN}"))
+    within = Window.partitionBy(*keys, "run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*keys).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = x.groupBy(*keys, "run").agg(F.sum(value).alias("m")).withColumn("runs_before", F.coalesce(F.sum("m").over(across), F.lit(0))).drop("m")
+    return x.withColumn("rows_before", F.coalesce(F.sum(value).over(within), F.lit(0))).join(runs, [*keys, "run"]).withColumn("base", F.col("runs_before") + F.col("rows_before")).drop("run", "runs_before", "rows_before")
+
+
 def source_plan(base: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     """One row a source: rank by code point (null last), source_size, target, blocks, quota of slots.
 
@@ -81,13 +90,8 @@ def draw(plan: DataFrame, shard: int = SHARD_SLOTS) -> DataFrame:
     drawn = spark.range(slots).select(F.expr(f"id div {shard}").alias("shard"), F.col("id").alias("slot")).select("shard", at.alias("at"))
     drawn = drawn.withColumn("cell", F.expr(f"at div {cell}")).join(cells, "cell").where("at >= lo and at < hi")
     # the multinomial counts, and where each source's numbering of them starts in each shard
-    counts = settled(drawn.groupBy("shard", "rank").agg(F.count("*").alias("n")).withColumn("run", F.expr(f"shard div {RUN}")))
-    within = Window.partitionBy("rank", "run").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy("rank").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = counts.groupBy("rank", "run").agg(F.sum("n").alias("m")).select("rank", "run", F.coalesce(F.sum("m").over(across), F.lit(0)).alias("base"))
-    start = F.col("base") + F.coalesce(F.sum("n").over(within), F.lit(0))
-    got = counts.join(runs, ["rank", "run"]).select("shard", "rank", "n", start.alias("start"))
-    got = got.select("shard", "rank", F.explode(F.expr("sequence(start, start + n - 1)")).alias("i"))
+    counts = settled(drawn.groupBy("shard", "rank").agg(F.count("*").alias("n")))
+    got = so_far(counts, ["rank"], "shard", "n").select("shard", "rank", F.explode(F.expr("sequence(base, base + n - 1)")).alias("i"))
     # draws beyond a quota fill, in order, the places of sources that came out short
     total = counts.groupBy("rank").agg(F.sum("n").alias("got"))
     up = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
@@ -118,14 +122,13 @@ def document_blocks(base: DataFrame, plan: DataFrame, block: int = BLOCK_WORDS)
     """(row_key, rank, block, begin, words): which words of a document lie in which block.
 
     A source's queue is ordered by part (a hash of the id), then id; places are summed within
-    parts and over parts, so that no task sorts a whole source.
+    parts, over runs of parts and over runs, so that no task sorts a whole source.
     """
     parts = max(1, -(-base.count() // QUEUE_ROWS))
     q = base.where(F.col("size") > 0).join(plan.select("source", "rank").hint("broadcast") if plan.count() < 10_000 else plan.select("source", "rank"), base["source"].eqNullSafe(plan["source"]))
     q = q.select("row_key", "doc_id", "size", "rank", (digest("part", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % parts).alias("part"))
     within = Window.partitionBy("rank", "part").orderBy("doc_id", "size", "row_key").rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy("rank").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = q.groupBy("rank", "part").agg(F.sum("size").alias("m")).select("rank", "part", F.coalesce(F.sum("m").over(across), F.lit(0)).alias("base"))
+    sums = so_far(q.groupBy("rank", "part").agg(F.sum("size").alias("m")), ["rank"], "part", "m").select("rank", "part", "base")
     q = q.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums, ["rank", "part"]).withColumn("at", F.col("at") + F.col("base"))
     q = q.withColumn("block", F.explode(F.sequence(F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}"))))
     begin, end = F.greatest(F.col("block") * block, F.col("at")), F.least((F.col("block") + 1) * block, F.col("at") + F.col("size"))
@@ -153,19 +156,23 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     """The mix as documents, in docs's columns: a row for each document and pass that takes words of it.
 
     A document taken whole keeps its text; one taken in part keeps its taken words, in order,
-    joined by one space. n_chars, if a column, is the new text's length.
+    joined by one space. n_chars, if a column, is the new text's length. Other columns, whatever
+    their names, stay as they are. An empty table gives no rows.
     """
-    base = stored(with_sizes(docs), "mix")
-    plan = settled(source_plan(base, block))
-    pieces = document_blocks(base, plan, block).join(settled(draw(plan).select("rank", "block", "epoch")), ["rank", "block"])
+    given = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    base = stored(with_sizes(given).drop("text"), "mix")
+    known = base.select("row_key", "size", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"))
+    plan = settled(source_plan(known, block))
+    pieces = document_blocks(known, plan, block).join(settled(draw(plan).select("rank", "block", "epoch")), ["rank", "block"])
     passes = pieces.groupBy("row_key", "epoch").agg(F.sort_array(F.collect_list(F.struct("begin", "words"))).alias("runs"), F.sum("words").alias("got"))
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0))
     partial = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(F.col("all_words"), (r["begin"] + 1).cast("int"), r["words"].cast("int")))), " ")
     out = base.join(passes, "row_key").withColumn("all_words", F.when(F.col("got") < F.col("size"), words))
-    out = out.withColumn("text", F.when(F.col("got") < F.col("size"), partial).otherwise(F.col("text")))
+    out = out.withColumn("new_text", F.when(F.col("got") < F.col("size"), partial).otherwise(F.col("row.text")))
+    changed = {"text": F.col("new_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.length("new_text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def mix_sql(block: int = BLOCK_WORDS) -> str:
