@@ -11,15 +11,19 @@ from pyspark.sql import functions as F
 TRAINED = "assistant"
 
 
+def safe_role(role: Column) -> Column:
+    return F.replace(role, F.lit("|>"), F.lit("| >"))
+
+
 def rendered(role: Column, text: Column) -> Column:
-    return F.concat(F.lit("<|"), role, F.lit("|>\n"), text, F.lit("<|end|>\n"))
+    """A turn with its marks; marks inside are parted: "|>" of the role and "<|" of the text."""
+    return F.concat(F.lit("<|"), safe_role(role), F.lit("|>\n"), F.replace(text, F.lit("<|"), F.lit("< |")), F.lit("<|end|>\n"))
 
 
 def numbered(turns: DataFrame) -> DataFrame:
-    """(conv_id, pos, role, text): turns in order, from 0. "<|" of a text becomes "< |"."""
+    """(conv_id, pos, role, text): turns in order, from 0, as they are but for nulls."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    text = F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("<|"), F.lit("< |"))
-    role = F.replace(F.coalesce(F.col("role"), F.lit("unknown")), F.lit("|>"), F.lit("| >"))
+    role, text = F.coalesce(F.col("role"), F.lit("unknown")), F.coalesce(F.col("text"), F.lit(""))
     return turns.where(F.col("conv_id").isNotNull()).select("conv_id", (F.row_number().over(order) - 1).alias("pos"), role.alias("role"), text.alias("text"))
 
 
@@ -28,7 +32,8 @@ def preference_examples(turns: DataFrame, pairs: Column | None = None, rejected:
 
     pairs names the pair of a conversation and rejected tells its second member; by default
     conversations 2n and 2n + 1 are chosen and rejected of pair n. The prompt is the longest
-    run of first turns, equal in role and text, that both have. A span is (begin, length) in
+    run of first turns, equal in role and text as given, that both have. Rendering then parts
+    marks inside a turn: "<|" of a text becomes "< |", and "|>" of a role "| >". A span is (begin, length) in
     characters of the completion, of an assistant turn's text and end mark; the rest is masked.
     A conversation without its partner forms a pair whose other completion and id are null and
     whose prompt is empty. Turns without conv_id belong to none. Turns with equal numbers are
@@ -46,7 +51,7 @@ def preference_examples(turns: DataFrame, pairs: Column | None = None, rejected:
     )
     prefix = same.groupBy("pair_id").agg(F.coalesce(F.min(F.when(~F.col("same"), F.col("pos"))), F.max("pos") + 1).alias("prefix_turns"))
     t = t.join(prefix, "pair_id").withColumn("shared", F.col("pos") < F.col("prefix_turns"))
-    t = t.select("pair_id", "side", "conv_id", "pos", "role", "prefix_turns", "shared", rendered(F.col("role"), F.col("text")).alias("piece"), F.length("role").alias("role_chars"))
+    t = t.select("pair_id", "side", "conv_id", "pos", "role", "prefix_turns", "shared", rendered(F.col("role"), F.col("text")).alias("piece"), F.length(safe_role(F.col("role"))).alias("role_chars"))
     own = Window.partitionBy("pair_id", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("at", F.coalesce(F.sum(F.when(~F.col("shared"), F.length("piece"))).over(own), F.lit(0)))
     head = F.col("role_chars") + 5
@@ -82,14 +87,15 @@ PREFERENCE_SQL = r"""
 WITH t AS (
   SELECT conv_id, conv_id // 2 AS pair_id, abs(conv_id % 2) AS side,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS pos,
-         replace(coalesce(role, 'unknown'), '|>', '| >') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
+         coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
   FROM conversations WHERE conv_id IS NOT NULL),
 same AS (
   SELECT pair_id, pos, count(*) = 2 AND count(DISTINCT side) = 2 AND min(role) = max(role) AND min(text) = max(text) AS same FROM t GROUP BY ALL),
 prefix AS (
   SELECT pair_id, coalesce(min(pos) FILTER (NOT same), max(pos) + 1) AS prefix_turns FROM same GROUP BY ALL),
 r AS (
-  SELECT t.*, prefix_turns, pos < prefix_turns AS shared, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS piece
+  SELECT t.* REPLACE (replace(role, '|>', '| >') AS role), role = 'assistant' AS trained, prefix_turns, pos < prefix_turns AS shared,
+    '<|' || replace(role, '|>', '| >') || '|>' || chr(10) || replace(text, '<|', '< |') || '<|end|>' || chr(10) AS piece
   FROM t JOIN prefix USING (pair_id)),
 a AS (
   SELECT *, coalesce(sum(CASE WHEN NOT shared THEN length(piece) END) OVER (PARTITION BY pair_id, side ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM r),
@@ -98,8 +104,8 @@ g AS (
     coalesce(string_agg(piece, '' ORDER BY pos) FILTER (shared AND side = 0), '') AS prompt,
     coalesce(string_agg(piece, '' ORDER BY pos) FILTER (NOT shared AND side = 0), '') AS chosen,
     coalesce(string_agg(piece, '' ORDER BY pos) FILTER (NOT shared AND side = 1), '') AS rejected,
-    coalesce(string_agg((start + length(role) + 5)::BIGINT || '+' || (length(piece) - length(role) - 6), ',' ORDER BY pos) FILTER (NOT shared AND side = 0 AND role = 'assistant'), '') AS chosen_train,
-    coalesce(string_agg((start + length(role) + 5)::BIGINT || '+' || (length(piece) - length(role) - 6), ',' ORDER BY pos) FILTER (NOT shared AND side = 1 AND role = 'assistant'), '') AS rejected_train
+    coalesce(string_agg((start + length(role) + 5)::BIGINT || '+' || (length(piece) - length(role) - 6), ',' ORDER BY pos) FILTER (NOT shared AND side = 0 AND trained), '') AS chosen_train,
+    coalesce(string_agg((start + length(role) + 5)::BIGINT || '+' || (length(piece) - length(role) - 6), ',' ORDER BY pos) FILTER (NOT shared AND side = 1 AND trained), '') AS rejected_train
   FROM a GROUP BY pair_id)
 SELECT pair_id, chosen_id, rejected_id, prefix_turns, prompt,
   CASE WHEN chosen_id IS NOT NULL THEN chosen END AS chosen, CASE WHEN rejected_id IS NOT NULL THEN rejected END AS rejected, chosen_train, rejected_train FROM g
