@@ -190,7 +190,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, where=No
     own = own if where is None else own.where(where)
     own = own.groupBy("id").agg(F.max("y").alias("y"))
     few = F.broadcast(own.orderBy(F.xxhash64("id"), "id").limit(rows))  # bounded by rows
-    got = docs.join(few, docs["doc_id"] == few["id"]).select("id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "y").toArrow()
+    texts = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    got = texts.join(few, texts["doc_id"] == few["id"]).select("id", "text", "y").toArrow()
     got = got.take(pa.array(np.argsort(got.column("id").to_numpy(), kind="stable"))).combine_chunks()
     text = got.column("text").cast(pa.large_string()).combine_chunks() if got.num_rows else pa.array([], pa.large_string())
     return text, got.column("y").to_numpy().astype(np.float64)
