@@ -3,10 +3,12 @@
 Every source has a queue and a deficit counter. A window adds each source's share of the
 window to its counter and takes that many tokens from its queue, cutting documents freely. A
 queue that runs dry keeps its deficit for later windows; what it leaves open is lent to the
-fuller queues, whose counters go negative. Counters carry over windows, and each partition
-starts with those that the partitions before it leave (shares of all tokens so far, less the
-source's tokens so far). Windows hold whole sequences, so only a task's last tokens can fall
-short of one; they become sequences of powers of two, which need no padding.
+fuller queues, whose counters go negative. Counters carry over windows and partitions: every
+document knows how many tokens, and how many of its source, stand before it in the whole order
+of parts, so whichever documents a task reads, its counters start as the documents before them
+leave those (shares of all tokens so far, less the source's tokens so far). Windows hold whole
+sequences, so only a task's last tokens can fall short of one; they become sequences of powers
+of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -125,9 +127,10 @@ class WordTokenizer:
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, source, part, tokens, ids): ids as little-endian unsigned 16 or 32 bits, end_id last.
+    """(doc_id, source, part, before, own_before, tokens, ids): ids as little-endian unsigned 16 or 32 bits, end_id last.
 
-    part numbers the task that read the document. Null texts are empty: end_id alone. Documents
+    part numbers the task that wrote the document, before and own_before count the tokens in
+    front of it there, of all sources and of its own. Null texts are empty: end_id alone. Documents
     are dealt to tasks, and stand there, by a hash of their row, so that a task meets all sources
     at their shares even where the table is stored by source.
     """
@@ -138,43 +141,56 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
     def run(batches):
         t = WordTokenizer.at(tokenizer)
         kind = "<u2" if max(t.lib.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
-        part = TaskContext.get().partitionId()
+        part, own, done = TaskContext.get().partitionId(), {}, 0
         for b in pieces(batches, 3 << 20):
             ids, at = t.batch(b.column("text"))
+            sizes, own_before = np.diff(at) + 1, []
+            for source, n in zip(b.column("source").to_pylist(), sizes.tolist()):
+                own_before.append(own.get(source, 0))
+                own[source] = own_before[-1] + n
+            before = done + np.cumsum(sizes) - sizes
+            done += int(sizes.sum())
             whole = [np.append(ids[i:j], np.uint32(end_id)).astype(kind) for i, j in zip(at, at[1:])]
             yield pa.record_batch(
-                [b.column("doc_id"), b.column("source"), pa.array(np.full(b.num_rows, part, np.int32)), pa.array(np.diff(at) + 1), pa.array([x.tobytes() for x in whole], pa.binary())],
-                ["doc_id", "source", "part", "tokens", "ids"],
+                [b.column("doc_id"), b.column("source"), pa.array(np.full(b.num_rows, part, np.int32)), pa.array(before), pa.array(own_before, pa.int64()), pa.array(sizes), pa.array([x.tobytes() for x in whole], pa.binary())],
+                ["doc_id", "source", "part", "before", "own_before", "tokens", "ids"],
             )
         give_back()
 
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(run, f"doc_id {kind}, source string, part int, tokens bigint, ids binary")
+    return src.mapInArrow(run, f"doc_id {kind}, source string, part int, before bigint, own_before bigint, tokens bigint, ids binary")
 
 
 class Robin:
     """Deficit round-robin over the queues of one task."""
 
     def __init__(self, window: int):
-        self.window, self.turn = window, 0
+        self.window, self.turn, self.waiting = window, 0, 0
         self.queues: dict = {}
         self.held: dict = {}
         self.share: dict = {}
         self.deficit: dict = {}
+        self.part: dict = {}
 
-    def put(self, source, share: float, deficit: float, doc, ids: np.ndarray) -> None:
+    def put(self, source, share: float, part, done: int, own_done: int, doc, ids: np.ndarray) -> None:
+        """Queues a document; done and own_done count the tokens before it in the whole order.
+
+        The first document of a source in a part sets its counter to what all tokens before it,
+        but for those that still wait here, leave to it.
+        """
         if source not in self.queues:
-            self.queues[source], self.held[source], self.share[source], self.deficit[source] = deque(), 0, share, deficit
+            self.queues[source], self.held[source], self.part[source] = deque(), 0, None
+        if self.part[source] != part:
+            self.part[source], self.share[source] = part, share
+            self.deficit[source] = share * (done - self.waiting) - (own_done - self.held[source])
         self.queues[source].append([doc, ids, 0])
         self.held[source] += len(ids)
-
-    @property
-    def waiting(self) -> int:
-        return sum(self.held.values())
+        self.waiting += len(ids)
 
     def take(self, source, n: int, out: list) -> None:
         """Moves n tokens from a queue's head to out, as (document, ids, begin, end)."""
         self.held[source] -= n
+        self.waiting -= n
         self.deficit[source] -= n
         q = self.queues[source]
         while n:
@@ -237,7 +253,6 @@ def pack(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, end_id: int =
     kind = docs.schema["doc_id"].dataType.simpleString()
     tokens = stored(tokenized(docs, tokenizer, end_id), "tokens")
     sums = tokens.groupBy("part", "source").agg(F.sum("tokens").alias("n"))
-    # every part with every source: a part's missing sources still build up a deficit
     by_source = sums.groupBy("source").agg(F.sum("n").alias("all_n"))
     by_part = sums.groupBy("part").agg(F.sum("n").alias("part_n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
@@ -246,12 +261,13 @@ def pack(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, end_id: int =
     total = by_part.agg(F.sum("part_n")).first()[0] or 1
     carry = sums.select("part", "source", F.coalesce(F.sum("n").over(own), F.lit(0)).alias("own_done"))
     carry = carry.join(parts, "part").join(by_source, carry["source"].eqNullSafe(by_source["source"])).select(
-        F.col("part").alias("p"), carry["source"].alias("s"), (F.col("all_n") / F.lit(total)).alias("share"), (F.col("all_n") / F.lit(total) * F.col("done") - F.col("own_done")).alias("deficit"),
+        F.col("part").alias("p"), carry["source"].alias("s"), (F.col("all_n") / F.lit(total)).alias("share"), "done", "own_done",
     )
     carry = settled(carry)
     if carry.count() <= 100_000:  # some 6 MB at most; beyond that Spark joins by shuffle
         carry = F.broadcast(carry)
-    queued = tokens.join(carry, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "share", "deficit", "tokens", "ids")
+    queued = tokens.join(carry, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
+    queued = queued.select("doc_id", "source", "share", "part", (F.col("done") + F.col("before")).alias("done"), (F.col("own_done") + F.col("own_before")).alias("own_done"), "tokens", "ids")
 
     def run(batches):
         robin, made = Robin(length * WINDOW), TaskContext.get().partitionId() << 33
@@ -273,16 +289,16 @@ def pack(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, end_id: int =
         doc_type = pa.int64()
         for b in batches:
             doc_type = b.column("doc_id").type
-            cols = [b.column(c).to_pylist() for c in ("doc_id", "source", "share", "deficit", "tokens", "ids")]
-            for doc, source, share, deficit, n, raw in zip(*cols):
-                robin.put(source, share, deficit, (doc, n), np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4"))
+            cols = [b.column(c).to_pylist() for c in ("doc_id", "source", "share", "part", "done", "own_done", "tokens", "ids")]
+            for doc, source, share, part, done, own_done, n, raw in zip(*cols):
+                robin.put(source, share, part, done, own_done, (doc, n), np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4"))
                 if robin.waiting >= AHEAD * robin.window:
                     while robin.waiting >= (AHEAD - 1) * robin.window:
                         emit(robin.fill(), False)
                     yield flush()
-        while robin.queues and robin.waiting >= robin.window:
+        while robin.waiting >= robin.window:
             emit(robin.fill(), False)
-        if robin.queues and robin.waiting:
+        if robin.waiting:
             emit(robin.fill(), True)
         yield flush()
         give_back()
