@@ -3,12 +3,13 @@
 A repeat of 13 words or more holds a whole aligned block of 7 words of the document it repeats,
 for 13 = 2 * 7 - 1. Every document is indexed by its non-overlapping blocks (words 0-6, 7-13,
 ...) and probed with every rolling window of 7 words. Around each hit the windows of 13 words
-that hold the block are extended to and compared by 96-bit hashes; runs of repeated windows
+that hold the block are extended to and compared by 128-bit hashes; runs of repeated windows
 are the maximal exact repeats.
 
-Windows travel packed: a task sends each hash bucket one blob for about a million words, of
-32-bit hash planes and byte-coded places. That is some 6 bytes a window, so that probing every
-window does not shuffle several times the input.
+Documents are dealt to parts by a hash of id and text. A part sends every distinct window once,
+however many of its documents hold it and how often, and is told once which of them matter, so
+a passage that all documents share costs one entry a part. Windows travel packed: a part sends
+each hash bucket one blob, of some 5 bytes a window.
 """
 
 from __future__ import annotations
@@ -20,233 +21,228 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, LongType, StringType, StructField, StructType
 
 from .common import reachable, release, settled
-from .words import give_back, pieces, planes, rolling, split_words, unplanes, word_hashes
+from .words import give_back, rolling, split_words, word_hashes
 
 REPEAT = 13  #: words
 BLOCK = (REPEAT + 1) // 2
-PIECE = 4 << 20  #: bytes of text packed together
 BUCKET_BYTES = 9 << 20  #: of text for each hash bucket
-PART_BYTES = 12 << 20  #: of text brought together with its hits
+PART_BYTES = 12 << 20  #: of text for each part
 NOBODY = np.iinfo(np.int64).max  #: stands for a null doc_id: no document comes after it
 LOW = np.uint64(0xFFFFFFFF)
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+ALIGNED, SEVERAL = 1, 2  #: marks of a run of words: it is a block of some document; it stands in two
 
 
-def pack(at: np.ndarray, hashes: list[np.ndarray], bucket: np.ndarray, starts: np.ndarray, ids: np.ndarray, parts: np.ndarray):
-    """(bucket, blob) for windows at word ``at`` (rising) of documents that begin at ``starts``."""
-    order = np.argsort(bucket.astype(np.uint16) if bucket.max(initial=0) < 1 << 16 else bucket, kind="stable")
+def ids_of(column) -> np.ndarray:
+    return np.asarray(pc.fill_null(column.cast(pa.int64()), int(NOBODY)))
+
+
+def runs_of(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal sorted keys start."""
+    n = len(keys[0])
+    return np.flatnonzero(np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]) if n else np.zeros(0, np.int64)
+
+
+def by_bucket(bucket: np.ndarray, columns: list[np.ndarray]):
+    """(bucket, blob) for entries: their number, then one column after another."""
+    order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     for rows in np.split(order, cuts) if len(order) else []:
-        g = at[rows]
-        doc = np.searchsorted(starts, g, side="right") - 1
-        there, local = np.unique(doc, return_inverse=True)
-        head = np.array([len(rows), len(there), len(hashes)], "<u4").tobytes()
-        docs = planes(np.diff(ids[there], prepend=0)) + planes(parts[there].astype("<u4")) + planes(np.bincount(local).astype("<u4"))
-        place = g - starts[doc]
-        step = np.diff(place, prepend=0)
-        step[np.r_[True, local[1:] != local[:-1]]] = place[np.r_[True, local[1:] != local[:-1]]]
-        yield int(bucket[rows[0]]), head + docs + planes(step.astype("<u4")) + b"".join(h[rows].astype("<u4").tobytes() for h in hashes)
-
-
-def unpack(blob: bytes):
-    """doc ids, parts and places of a blob's windows, and their hashes (a row a plane)."""
-    v = memoryview(blob)
-    n, d, k = np.frombuffer(v, "<u4", 3)
-    n, d, k = int(n), int(d), int(k)
-    v = v[12:]
-    ids = np.cumsum(unplanes(v, d, "<i8"))
-    parts, counts = unplanes(v[8 * d :], d, "<u4"), unplanes(v[12 * d :], d, "<u4").astype(np.int64)
-    v = v[16 * d :]
-    step = np.cumsum(unplanes(v, n, "<u4").astype(np.int64))
-    first = np.cumsum(counts) - counts
-    base = np.where(first > 0, step[np.maximum(first, 1) - 1], 0)
-    place = step - np.repeat(base, counts)
-    hashes = np.frombuffer(v[4 * n :], "<u4", n * k).reshape(k, n)
-    return np.repeat(ids, counts), np.repeat(parts, counts), place, hashes
-
-
-def gather(blobs) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    rows = [unpack(b) for b in blobs]
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros((0, 0), np.uint32)
-    return tuple(np.concatenate([r[i] for r in rows], axis=-1) for i in range(4))
-
-
-def answers(ids, parts, place, checks=()):
-    """(part, blob) of chosen windows, by the part of their documents."""
-    order = np.lexsort((place, ids, parts))
-    ids, parts, place = ids[order], parts[order], place[order]
-    checks = [c[order] for c in checks]
-    cuts = np.flatnonzero(np.diff(parts)) + 1
-    for rows in np.split(np.arange(len(ids)), cuts) if len(ids) else []:
-        own = ids[rows]
-        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        there, n = own[starts], np.diff(np.r_[starts, len(own)])
-        step = np.diff(place[rows], prepend=0)
-        step[starts] = place[rows][starts]
-        head = np.array([len(rows), len(there), len(checks)], "<u4").tobytes()
-        yield int(parts[rows[0]]), head + planes(np.diff(there, prepend=0)) + planes(parts[rows][: len(there)].astype("<u4")) + planes(n.astype("<u4")) + planes(step.astype("<u4")) + b"".join(c[rows].astype("<u4").tobytes() for c in checks)
-
-
-def blobs_out(found, key: str):
-    found = list(found)
-    return pa.record_batch([pa.array([k for k, _ in found], pa.int32()), pa.array([b for _, b in found], pa.large_binary()).cast(pa.binary())], [key, "blob"])
+        yield int(bucket[rows[0]]), np.uint32(len(rows)).tobytes() + b"".join(np.ascontiguousarray(c[rows]).tobytes() for c in columns)
 
 
-def ids_of(column) -> np.ndarray:
-    return np.asarray(pc.fill_null(column.cast(pa.int64()), int(NOBODY)))
+def columns_of(blobs: list[bytes], kinds: tuple[str, ...]) -> list[np.ndarray]:
+    """The entries of blobs, and which blob each comes from, last."""
+    sizes = [int(np.frombuffer(b, "<u4", 1)[0]) for b in blobs]
+    out, at = [], [4] * len(blobs)
+    for kind in kinds:
+        width = np.dtype(kind).itemsize
+        out.append(np.concatenate([np.frombuffer(b, kind, n, i) for b, n, i in zip(blobs, sizes, at)] or [np.zeros(0, kind)]))
+        at = [i + n * width for i, n in zip(at, sizes)]
+    return [*out, np.repeat(np.arange(len(blobs)), sizes)]
+
+
+def sent(rows, names: tuple[str, str, str] = ("to", "of", "blob")) -> pa.Table:
+    """A table of (to, from, blob) rows."""
+    to, of, blob = zip(*rows) if rows else ((), (), ())
+    return pa.table([pa.array(to, pa.int32()), pa.array(of, pa.int32()), pa.array(blob, pa.large_binary()).cast(pa.binary())], list(names))
 
 
-def runs_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and sizes of runs of equal sorted keys."""
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    return starts, np.diff(np.r_[starts, len(key)])
+class Words:
+    """The words of a batch of documents, by number, and the hashes of their runs."""
+
+    def __init__(self, batch):
+        self.ids = ids_of(batch.column("doc_id"))
+        self.flat, self.offsets = split_words(batch.column("text"))
+        self.hashes = word_hashes(self.flat)
+        self.doc = np.repeat(np.arange(len(self.ids)), np.diff(self.offsets))
+
+    def inside(self, width: int) -> np.ndarray:
+        """Words that begin a run of width words which ends in the same document."""
+        return np.flatnonzero(np.repeat(self.offsets[1:], np.diff(self.offsets)) - np.arange(len(self.doc)) >= width)
+
+    def runs(self, width: int, factor: int) -> np.ndarray:
+        return rolling(self.hashes, width, factor)
 
 
 def repeats(docs: DataFrame, repeat: int = REPEAT, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns named in keep, n_words, n_removed, kept: each document without its repeats.
 
     A word goes if a window of ``repeat`` words that covers it also starts in a document with
-    a smaller doc_id. kept is the words left, joined by one space (repeats removed or not). Null
-    and empty texts have no words. Null doc_ids count as larger than all, and rows that share
-    a doc_id as one document, which does not repeat itself. Texts are taken whole.
+    a smaller doc_id, which must be of an integer type (else raises). kept is the words left, joined by one space (repeats removed or not). Null
+    and empty texts have no words; an empty table gives no rows. Null doc_ids count as larger than all, and rows that share
+    a doc_id as one document, which does not repeat itself. Texts are taken whole. Columns other
+    than doc_id, text and those of keep are not read; keep must not name doc_id or a column that is added.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id must be of an integer type")
     reachable(docs.sparkSession)
     block = (repeat + 1) // 2
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets, nparts = max(12, math.ceil(size / BUCKET_BYTES)), max(12, math.ceil(size / PART_BYTES))
-    part = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(nparts)).cast("int")
+    part = F.pmod(F.xxhash64("doc_id", text), F.lit(nparts)).cast("int")
     rows = docs.select(part.alias("part"), F.col("doc_id").alias("doc_id"), text.alias("text"))
-
-    def windows(texts):
-        flat, offsets = split_words(texts)
-        return word_hashes(flat), offsets
-
-    def starts_inside(offsets, width):
-        """Which words begin a window that ends in the same document."""
-        n = int(offsets[-1])
-        left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(n)
-        return left >= width
-
-    def probe(batches):
-        """Anchors and probes: the hash of every run of ``block`` words, to its bucket."""
-        for b in pieces(batches, PIECE):
-            hashes, offsets = windows(b.column("text"))
-            h = rolling(hashes, block, FACTORS[0])
-            at = np.flatnonzero(starts_inside(offsets, block))
-            h = h[at]
-            full = np.diff(offsets) > 0
-            yield blobs_out(pack(at, [h & LOW], (h >> np.uint64(32)) % np.uint64(buckets), offsets[:-1][full], ids_of(b.column("doc_id"))[full], np.asarray(b.column("part"))[full]), "bucket")
+    blobs = "to int, of int, blob binary"
+
+    def bucket_of(h: np.ndarray) -> np.ndarray:
+        return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+    def probe(key, group):
+        """Blocks and probes: every distinct run of ``block`` words of a part, to its bucket."""
+        hashes, marks = [], []
+        for b in group.to_batches():
+            w = Words(b)
+            at = w.inside(block)
+            h, doc = w.runs(block, FACTORS[0])[at], w.ids[w.doc[at]]
+            aligned = (at - w.offsets[w.doc[at]]) % block == 0
+            order = np.argsort(h, kind="stable")
+            h, doc, aligned = h[order], doc[order], aligned[order]
+            starts = runs_of(h)
+            if len(starts):
+                some = np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts)
+                hashes.append(h[starts])
+                marks.append((ALIGNED * np.logical_or.reduceat(aligned, starts) + SEVERAL * some).astype(np.uint8))
+        if len(hashes) > 1:  # in two batches of the part: in two documents, or it does no harm to say so
+            h, m = np.concatenate(hashes), np.concatenate(marks)
+            order = np.argsort(h, kind="stable")
+            h, m = h[order], m[order]
+            starts = runs_of(h)
+            more = np.diff(np.r_[starts, len(h)]) > 1
+            hashes, marks = [h[starts]], [np.bitwise_or.reduceat(m, starts) | (SEVERAL * more).astype(np.uint8)]
+        out = []
+        if hashes:
+            h = hashes[0]
+            # within a bucket 32 bits tell runs apart: a mistake only has a window looked at in vain
+            out = [(bucket, key[0].as_py(), blob) for bucket, blob in by_bucket(bucket_of(h), [(h & LOW).astype("<u4"), marks[0]])]
         give_back()
+        return sent(out)
 
     def hits(key, group):
-        """Windows whose run of words is a block of some document and stands in two or more."""
-        ids, parts, place, h = gather(group.column("blob").to_pylist())
-        order = np.argsort(h[0], kind="stable")
-        starts, sizes = runs_of(h[0][order])
-        own = ids[order]
-        aligned = np.logical_or.reduceat(place[order] % block == 0, starts)
-        several = np.minimum.reduceat(own, starts) < np.maximum.reduceat(own, starts)
-        take = order[np.repeat(aligned & several, sizes)]
-        out = pa.Table.from_batches([blobs_out(answers(ids[take], parts[take], place[take]), "part")])
-        del ids, parts, place, h, own, order, take
+        """For each part, its runs of words that are a block of some document and stand in two or more."""
+        low, mark, blob = columns_of(group.column("blob").to_pylist(), ("<u4", "u1"))
+        of = group.column("of").to_numpy()[blob]
+        order = np.argsort(low, kind="stable")
+        m = mark[order]
+        starts = runs_of(low[order])
+        out = []
+        if len(starts):
+            size = np.diff(np.r_[starts, len(m)])
+            both = np.bitwise_or.reduceat(m, starts) | (SEVERAL * (size > 1)).astype(np.uint8)
+            take = order[np.repeat(both == ALIGNED | SEVERAL, size)]
+            out = [(p, key[0].as_py(), blob) for p, blob in by_bucket(of[take], [low[take]])]
+        del low, mark, blob, order
         give_back()
-        return out
-
-    def candidates(offsets, ids, own, place):
-        """Words that begin a window of ``repeat`` words which holds a hit block, in this batch."""
-        n = int(offsets[-1])
-        mark = np.zeros(n + 1, np.int32)
-        lo, hi = np.searchsorted(own, ids, "left"), np.searchsorted(own, ids, "right")
-        for d in np.flatnonzero(hi > lo):
-            p = place[lo[d] : hi[d]]
-            p = p[p < offsets[d + 1] - offsets[d]]
-            np.add.at(mark, offsets[d] + np.maximum(p - (repeat - block), 0), 1)
-            np.add.at(mark, offsets[d] + p + 1, -1)
-        return np.flatnonzero((np.cumsum(mark)[:n] > 0) & starts_inside(offsets, repeat))
-
-    def long_hashes(hashes):
-        return rolling(hashes, repeat, FACTORS[0]), rolling(hashes, repeat, FACTORS[1])
+        return sent(out)
 
     def extend(key, left, right):
-        """The windows around hits, by their 96-bit hashes."""
-        out = []
-        own, _, place, _ = gather(right.column("blob").to_pylist())
-        by = np.lexsort((place, own))
-        own, place = own[by], place[by]
-        for b in left.to_batches() if len(own) else []:
-            b = b.filter(pa.array(np.isin(ids_of(b.column("doc_id")), own)))
-            hashes, offsets = windows(b.column("text"))
-            ids = ids_of(b.column("doc_id"))
-            at = candidates(offsets, ids, own, place)
+        """The windows of ``repeat`` words that hold a hit: each distinct one of the part, with its smallest doc_id."""
+        low, blob = columns_of(right.column("blob").to_pylist(), ("<u4",))
+        hit = np.sort(low.astype(np.uint64) | right.column("of").to_numpy()[blob].astype(np.uint64) << np.uint64(32))
+        found: list[list[np.ndarray]] = [[], [], []]
+        for b in left.to_batches() if len(hit) else []:
+            w = Words(b)
+            at = w.inside(block)
+            h = w.runs(block, FACTORS[0])[at]
+            h = h & LOW | bucket_of(h).astype(np.uint64) << np.uint64(32)
+            at = at[hit[np.minimum(np.searchsorted(hit, h), len(hit) - 1)] == h]
+            n = len(w.doc)
+            mark = np.zeros(n + 1, np.int32)
+            np.add.at(mark, np.maximum(at - (repeat - block), w.offsets[w.doc[at]]), 1)
+            np.add.at(mark, at + 1, -1)
+            near = np.zeros(n, bool)
+            near[w.inside(repeat)] = True
+            at = np.flatnonzero((np.cumsum(mark)[:n] > 0) & near)
             if len(at):
-                a, c = (x[at] for x in long_hashes(hashes))
-                full = np.diff(offsets) > 0
-                out += pack(at, [a & LOW, c & LOW, c >> np.uint64(32)], (a >> np.uint64(32)) % np.uint64(buckets), offsets[:-1][full], ids[full], np.asarray(b.column("part"))[full])
+                for to, x in zip(found, (w.runs(repeat, FACTORS[0])[at], w.runs(repeat, FACTORS[1])[at], w.ids[w.doc[at]])):
+                    to.append(x)
+        out = []
+        if found[0]:
+            a, c, ids = (np.concatenate(x) for x in found)
+            order = np.lexsort((ids, c, a))
+            a, c, ids = a[order], c[order], ids[order]
+            starts = runs_of(a, c)
+            last = ids[np.r_[starts[1:], len(ids)] - 1]
+            a, c, first = a[starts], c[starts], ids[starts]
+            out = [(bucket, key[0].as_py(), blob) for bucket, blob in by_bucket(bucket_of(a), [a, c, first, last])]
         give_back()
-        return pa.Table.from_batches([blobs_out(out, "bucket")])
+        return sent(out)
 
     def later(key, group):
-        """Windows that a document with a smaller doc_id has too."""
-        ids, parts, place, h = gather(group.column("blob").to_pylist())
-        order = np.lexsort((ids, h[2], h[1], h[0]))
-        s = h[:, order]
-        starts = np.flatnonzero(np.r_[True, (s[:, 1:] != s[:, :-1]).any(axis=0)])
-        sizes = np.diff(np.r_[starts, len(order)])
-        first = np.repeat(ids[order][starts], sizes)
-        take = order[ids[order] > first]
-        out = pa.Table.from_batches([blobs_out(answers(ids[take], parts[take], place[take], [h[0][take]]), "part")])
-        del ids, parts, place, h, s, order, take
+        """For each part, its windows that a document with a smaller doc_id has too, and the smallest there is."""
+        a, c, first, last, blob = columns_of(group.column("blob").to_pylist(), ("<u8", "<u8", "<i8", "<i8"))
+        of = group.column("of").to_numpy()[blob]
+        order = np.lexsort((first, c, a))
+        starts = runs_of(a[order], c[order])
+        least = np.repeat(first[order][starts], np.diff(np.r_[starts, len(order)])) if len(starts) else first
+        some = last[order] > least
+        take, least = order[some], least[some]
+        out = [(p, key[0].as_py(), blob) for p, blob in by_bucket(of[take], [a[take], c[take], least])]
         give_back()
-        return out
+        return sent(out)
 
-    blobs = "blob binary"
-    found = settled(rows.mapInArrow(probe, f"bucket int, {blobs}").groupBy("bucket").applyInArrow(hits, f"part int, {blobs}"))
+    found = rows.groupBy("part").applyInArrow(probe, blobs)
+    found = settled(found.groupBy("to").applyInArrow(hits, blobs).withColumnRenamed("to", "part"))
     release(docs.sparkSession, 1.5)
-    around = rows.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(extend, f"bucket int, {blobs}")
-    gone = settled(around.groupBy("bucket").applyInArrow(later, f"part int, {blobs}"))
+    around = rows.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(extend, blobs)
+    gone = settled(around.groupBy("to").applyInArrow(later, blobs).withColumnRenamed("to", "part"))
     release(docs.sparkSession, 1.5)
     kept_row = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None).cast("int")
     rows = docs.select(part.alias("part"), F.col("doc_id").alias("doc_id"), text.alias("text"), kept_row.alias("row"))
 
     def remove(key, left, right):
         out = []
-        own, _, place, check = gather(right.column("blob").to_pylist())
-        by = np.lexsort((place, own))
-        own, place = own[by], place[by]
-        check = check[:, by]
+        a, c, least, _ = columns_of(right.column("blob").to_pylist(), ("<u8", "<u8", "<i8"))
+        order = np.lexsort((c, a))
+        a, c, least = a[order], c[order], least[order]
         for b in left.to_batches():
-            flat, offsets = split_words(b.column("text"))
-            n = int(offsets[-1])
-            ids = ids_of(b.column("doc_id"))
+            w = Words(b)
+            n = len(w.doc)
             mark = np.zeros(n + 1, np.int32)
-            if len(own):
-                lo, hi = np.searchsorted(own, ids, "left"), np.searchsorted(own, ids, "right")
-                hashes = word_hashes(flat) if (hi > lo).any() else None
-                h = rolling(hashes, repeat, FACTORS[0]) if hashes is not None else None
-                for d in np.flatnonzero(hi > lo):
-                    p, c = place[lo[d] : hi[d]], check[0, lo[d] : hi[d]]
-                    at = offsets[d] + p
-                    ok = at + repeat <= offsets[d + 1]  # rows that share a doc_id have windows of their own
-                    at, c = at[ok], c[ok]
-                    at = at[(h[at] & LOW) == c]
-                    np.add.at(mark, at, 1)
-                    np.add.at(mark, at + repeat, -1)
+            if len(a):
+                at = w.inside(repeat)
+                h = w.runs(repeat, FACTORS[0])[at]
+                k = np.minimum(np.searchsorted(a, h), len(a) - 1)
+                at, k = at[a[k] == h], k[a[k] == h]
+                more = w.runs(repeat, FACTORS[1])
+                at, k = at[more[at] == c[k]], k[more[at] == c[k]]
+                at = at[w.ids[w.doc[at]] > least[k]]
+                np.add.at(mark, at, 1)
+                np.add.at(mark, at + repeat, -1)
             stay = np.cumsum(mark)[:n] == 0
-            at = np.concatenate(([0], np.cumsum(stay)))[offsets]
-            words = pa.ListArray.from_arrays(pa.array(at, pa.int32()), (flat if stay.all() else flat.filter(pa.array(stay))).cast(pa.string()))
-            cols = [b.column("doc_id"), b.column("row"), pa.array(np.diff(offsets)), pa.array(np.diff(offsets) - np.diff(at)), pc.binary_join(words, " ")]
-            out.append(pa.record_batch(cols, ["doc_id", "row", "n_words", "n_removed", "kept"]))
+            at = np.concatenate(([0], np.cumsum(stay)))[w.offsets]
+            words = pa.ListArray.from_arrays(pa.array(at, pa.int32()), (w.flat if stay.all() else w.flat.filter(pa.array(stay))).cast(pa.string()))
+            sizes = np.diff(w.offsets)
+            out.append(pa.record_batch([b.column("doc_id"), b.column("row"), pa.array(sizes), pa.array(sizes - np.diff(at)), pc.binary_join(words, " ")], ["doc_id", "row", "n_words", "n_removed", "kept"]))
         give_back()
         return pa.Table.from_batches(out) if out else pa.table({"doc_id": pa.array([], left.schema.field("doc_id").type), "row": pa.array([], left.schema.field("row").type), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string())})
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = f"doc_id {kinds['doc_id']}, row {kinds['row']}, n_words bigint, n_removed bigint, kept string"
+    schema = StructType([StructField(c, rows.schema[c].dataType) for c in ("doc_id", "row")]).add("n_words", LongType()).add("n_removed", LongType()).add("kept", StringType())
     out = rows.groupBy("part").cogroup(gone.groupBy("part")).applyInArrow(remove, schema)
-    return out.select("doc_id", *[F.col(f"row.{c}").alias(c) for c in keep], "n_words", "n_removed", "kept")
+    return out.select("doc_id", *[F.col("row").getField(c).alias(c) for c in keep], "n_words", "n_removed", "kept")
 
 
 def substring_digest(docs: DataFrame) -> DataFrame:

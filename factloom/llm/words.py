@@ -77,17 +77,6 @@ def pieces(batches, most_bytes: int, text: str = "text"):
                 yield b.slice(lo, hi - lo)
 
 
-def planes(values: np.ndarray) -> bytes:
-    """Unsigned integers as one byte plane after another, so that zero planes compress away."""
-    v = np.ascontiguousarray(values)
-    return v.view(np.uint8).reshape(len(v), v.dtype.itemsize).T.tobytes()
-
-
-def unplanes(buf: memoryview, n: int, dtype) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(buf, np.uint8, n * size).reshape(size, n).T).reshape(-1).view(dtype)
-
-
 def by_slices(texts: pa.Array, rows_of, most_bytes: int = 1 << 20) -> np.ndarray:
     """rows_of(slice) over slices of about most_bytes, stacked: what a slice needs is bounded."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
