@@ -8,11 +8,13 @@ Jaccard similarity of their shingle sets, the one that links are verified by on
 Bands of registers give candidates, and classes are the components of the links.
 
 Exact copies are one node from the start. In a band's bucket every text is first compared with
-the bucket's smallest id alone. Only buckets that then still hold different classes are looked
-at again, in blocks of bounded size: texts outside a block's largest class are compared with
-all others there by counting shared shingles, and the links that join classes are kept. So
-groups of near copies never make all their pairs, and no class is split but by chance of the
-signatures: a pair of similarity 0.8 shares none of the 24 bands with probability 3e-6, and
+the bucket's smallest id alone, and then, where a bucket still holds different classes, all
+that are not of its last class with that class's smallest id. Only buckets that then still hold
+different classes are looked at again: their texts are dealt to blocks of bounded size, once
+each, and the texts outside the bucket's largest class, which are few after the stars, go to
+every block. There they are compared with all others by counting shared shingles, and the links
+that join classes are kept. So groups of near copies never make all their pairs, one stray text
+costs its own copies alone, and no class is split but by chance of the signatures: a pair of similarity 0.8 shares none of the 24 bands with probability 3e-6, and
 falls below the estimate asked of a star's pair with probability 1e-9.
 """
 
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import has_rows, reachable, settled, stored
+from .common import frequent, has_rows, reachable, settled, stored
 from .words import GOLDEN, give_back, mix64, pieces, rolling, split_words, word_hashes
 
 WORDS = 5
@@ -31,7 +33,8 @@ SIMILAR = 0.8
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 ESTIMATE = 0.55  #: agreeing registers that a pair of SIMILAR surely has
-BLOCK_ROWS = 1500  #: texts of a bucket compared in one task
+BLOCK_ROWS = 1500  #: texts of a bucket compared in one task, of its largest class and of the others
+STARS = 3  #: rounds of stars
 LISTED = 100_000  #: ids broadcast at most (under 2 MB)
 FACTOR = 0xD6E8FEB86659FD93
 
@@ -131,11 +134,11 @@ def verified(edges: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def joining(label: np.ndarray, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def joining(label: np.ndarray, asks: np.ndarray, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of documents of different labels with SIMILAR shingle sets, enough to join their labels.
 
-    (doc, h) are the distinct shingles by document. Every document outside the most frequent
-    label is compared with all others at once, by counting its shingles' postings.
+    (doc, h) are the distinct shingles by document. Every document that asks is compared with
+    all others at once, by counting its shingles' postings.
     """
     n = len(label)
     names, code = np.unique(label, return_inverse=True)
@@ -153,7 +156,7 @@ def joining(label: np.ndarray, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarr
     cut = np.searchsorted(doc, np.arange(n + 1))
     first, last = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
     a, b = [], []
-    for i in np.flatnonzero(code != np.bincount(code).argmax()):
+    for i in np.flatnonzero(asks):
         lo, hi = first[cut[i] : cut[i + 1]], last[cut[i] : cut[i + 1]]
         lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]
         if not len(lo):
@@ -190,6 +193,14 @@ def components(links: DataFrame) -> DataFrame:
             return label.select(F.col("id").alias("doc_id"), F.col("l").alias("class_id"))
 
 
+def with_group(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined to their group (a row a key with its size n); hot groups by broadcast, so no task gets their rows."""
+    hot = frequent(groups, total).withColumnRenamed(key, "hot_key")
+    split = rows.join(hot, rows[key] == hot["hot_key"])
+    rest = rows.join(hot.select("hot_key"), rows[key] == hot["hot_key"], "left_anti").join(groups, key)
+    return split.drop("hot_key").unionByName(rest)
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id of every document: the smallest doc_id of its class.
 
@@ -199,39 +210,57 @@ def near_classes(docs: DataFrame) -> DataFrame:
     """
     reachable(docs.sparkSession)
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ids = texts.select("doc_id", F.sha2("text", 256).alias("same"))
-    members = settled(ids.join(ids.groupBy("same").agg(F.min("doc_id").alias("rep")), "same").select("doc_id", "rep"))
-    reps = members.where("doc_id = rep").select("doc_id").distinct()
-    sigs = stored(signatures(texts).join(reps, "doc_id", "left_semi"), "signatures")
+    ids = settled(texts.select("doc_id", F.sha2("text", 256).alias("same")))
+    rows = ids.count()
+    firsts = settled(ids.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    members = settled(with_group(ids, firsts, "same", rows).select("doc_id", "rep"))
+    reps = firsts.select(F.col("rep").alias("id")).distinct()
+    sigs = stored(signatures(texts).join(reps, F.col("doc_id") == F.col("id"), "left_semi"), "signatures")
     bands = sigs.select("doc_id", F.explode("keys").alias("key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("center")).where("n > 1")
-    bands = settled(bands.join(shared, "key").select("key", "doc_id", "center", "n"))
+    shared = settled(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("center")).where("n > 1"))
+    bands = settled(with_group(bands, shared, "key", rows * BANDS).select("key", "doc_id", "center"))
     stars = settled(bands.where("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct())
     links = settled(verified(stars, sigs, texts))
     label = components(links)
     # what the stars left apart within a bucket
-    own = bands.join(label, "doc_id", "left").select("key", "doc_id", F.coalesce("class_id", "doc_id").alias("l"))
-    mixed = own.groupBy("key").agg(F.min("l").alias("lo"), F.max("l").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("key", "n")
-    rest = settled(own.join(mixed, "key"))
+    for left in range(STARS, 0, -1):
+        own = bands.join(label, "doc_id", "left").select("key", "doc_id", F.coalesce("class_id", "doc_id").alias("l"))
+        mixed = settled(own.groupBy("key").agg(F.min("l").alias("lo"), F.max("l").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2"))
+        rest = settled(with_group(own, mixed, "key", rows * BANDS).select("key", "doc_id", "l", "hi"))
+        if left == 1 or not has_rows(rest):
+            break
+        center = rest.where("l = hi").groupBy("key").agg(F.min("doc_id").alias("a"))
+        stars = settled(rest.where("l <> hi").join(center, "key").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct())
+        found = settled(verified(stars, sigs, texts))
+        if not has_rows(found):
+            break
+        links = settled(links.union(found))
+        label = components(links)
+    # a bucket's texts stand in one block each; those outside its largest class go to every block
+    sizes = rest.groupBy("key", "l").agg(F.count("*").alias("n"))
+    sizes = settled(sizes.groupBy("key").agg(F.max(F.struct("n", "l")).getField("l").alias("most"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("asking")))
+    rest = with_group(rest.drop("hi"), sizes, "key", rows * BANDS)
     need = settled(rest.select(F.col("doc_id").alias("id")).distinct())
     some = texts.join(F.broadcast(need), texts["doc_id"] == need["id"], "left_semi") if need.count() <= LISTED else texts
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_ROWS)).cast("int")
-    mine = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    rest = rest.select("key", "doc_id", "l", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    rest = rest.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "doc_id", "l").join(some, "doc_id")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK_ROWS)).cast("int")
+    numbers = lambda n: F.sequence(F.lit(0), blocks(n) - 1)
+    place = lambda n: F.pmod(F.xxhash64("doc_id"), blocks(n)).cast("int")
+    here = rest.select("key", "doc_id", "l", F.lit(False).alias("asks"), place("n").alias("block"), F.explode(numbers("asking")).alias("ask"))
+    there = rest.where("l <> most").select("key", "doc_id", "l", F.lit(True).alias("asks"), F.explode(numbers("n")).alias("block"), place("asking").alias("ask"))
+    rest = here.unionByName(there).join(some, "doc_id")
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def apart(key, group):
-        """Links between different classes in two blocks of a bucket, as many as join the classes."""
+        """Links between asking texts of a bucket and one of its blocks, as many as join their classes."""
         t = group.combine_chunks()
-        ids, l = t.column("doc_id").to_numpy(), t.column("l").to_numpy()
+        ids, l, asks = (t.column(c).to_numpy() for c in ("doc_id", "l", "asks"))
         text = t.column("text").combine_chunks()
-        a, b = joining(l, *counted(*shingles(text))[:2])
+        a, b = joining(l, asks, *counted(*shingles(text))[:2])
         give_back()
         kind = t.schema.field("doc_id").type
         return pa.table({"a": pa.array(np.minimum(ids[a], ids[b]), kind), "b": pa.array(np.maximum(ids[a], ids[b]), kind)})
 
-    found = settled(rest.groupBy("key", "lo", "hi").applyInArrow(apart, f"a {kind}, b {kind}").distinct())
+    found = settled(rest.groupBy("key", "block", "ask").applyInArrow(apart, f"a {kind}, b {kind}").distinct())
     if has_rows(found):
         links = settled(links.union(found))
         label = components(links)
