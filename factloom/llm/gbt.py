@@ -96,21 +96,27 @@ def fit_isotonic(raw: np.ndarray, y: np.ndarray) -> Isotonic:
 
 @dataclass
 class Calibrated:
+    """A score is 98 % the curve's and 2 % the trees' own probability, which orders its steps."""
+
     trees: Trees
     curve: Isotonic
+    unseen: np.ndarray | None = None  #: raw scores of the fitted rows by trees that have not seen them
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         raw = self.trees.raw(x)
-        # the raw score still orders what the curve makes equal
         return np.clip(0.98 * self.curve(raw) + 0.02 / (1 + np.exp(-raw)), 0.0, 1.0)
 
 
-def fit_calibrated(x: np.ndarray, y: np.ndarray, folds: int = 3, seed: int = 7, features=None, **how) -> Calibrated:
+def fit_calibrated(x: np.ndarray, y: np.ndarray, folds: int = 3, seed: int = 7, features=None, taught=None, **how) -> Calibrated:
     """Trees on all rows, and a curve fitted to scores of rows that their trees have not seen.
 
     features(train_rows, rows), if given, replaces x: it makes features of rows from what
-    may be learnt of train_rows.
+    may be learnt of train_rows. taught (x, y), if given, are more rows for the trees, those
+    behind the curve's scores too; the curve is fitted to the rows of x alone.
     """
+    def with_taught(x, y):
+        return (x, y) if taught is None else (np.concatenate([x, taught[0]]), np.concatenate([y, taught[1]]))
+
     n = len(y)
     fold = np.random.default_rng(seed).permutation(n) % folds if n else np.zeros(0, int)
     raw = np.zeros(n)
@@ -123,5 +129,5 @@ def fit_calibrated(x: np.ndarray, y: np.ndarray, folds: int = 3, seed: int = 7,
     for k in range(folds):
         train, test = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
         if len(train) and len(test):
-            raw[test] = fit_trees(whole[train], y[train], **how).raw(whole[test])
-    return Calibrated(fit_trees(whole, y, **how), fit_isotonic(raw, y))
+            raw[test] = fit_trees(*with_taught(whole[train], y[train]), **how).raw(whole[test])
+    return Calibrated(fit_trees(*with_taught(whole, y), **how), fit_isotonic(raw, y), raw)

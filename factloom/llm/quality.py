@@ -2,8 +2,11 @@
 
 The text view sees what the words are like, the metadata view what is known about the page and
 its layout (language, source, length, lines). Each is a calibrated tree model. In every round
-each view labels the unlabelled rows it is surest of, and the other view learns from them.
-The calibrated scores of both are then combined to score every document.
+both views score all unlabelled documents, each labels those it is surest of, and the other
+view learns from them. The calibrated scores of both are then combined to score every document.
+
+The numbers of both views are computed once, in one pass over the texts, and stored; rounds and
+scores read them alone. Only the rows that are fitted on reach the driver.
 """
 
 from __future__ import annotations
@@ -15,19 +18,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructType
 
-from .common import reachable
-from .gbt import Calibrated, fit_calibrated
+from .common import reachable, settled, stored
+from .gbt import Calibrated, fit_calibrated, fit_isotonic
 from .words import by_slices, give_back, pieces, split_words
 
-FIT_ROWS = 4_000  #: labelled rows that are fitted on, at most
-POOL_ROWS = 4_000  #: unlabelled rows that views label for each other, at most
+FIT_ROWS = 8_000  #: labelled rows that are fitted on, at most
 ROUNDS = 3
 SURE = 0.03  #: a view labels a row if its score is so near 0 or 1
-SHARE = 0.1  #: rows that a view labels in a round, as a part of the labelled ones, at most
+SHARE = 0.1  #: rows that a view labels in a round, as a part of the fitted ones, at most
 CELLS = 16  #: hashed cells of source and of language
 KEEP = 0.5  #: documents below this combined score are rejected
 CACHE = 100_000
+NUMBERS = ArrayType(FloatType())
 MARKS = set("%#*&$!|~^=<>{}[]\\@_+")
 
 
@@ -37,9 +41,6 @@ class TextView:
 
     known: dict[str, tuple] = field(default_factory=dict, repr=False)
 
-    def __getstate__(self):
-        return {"known": {}}
-
     def word(self, w: str) -> tuple:
         got = self.known.get(w)
         if got is None:
@@ -97,12 +98,12 @@ def metadata_view(lang: pa.Array, source: pa.Array, n_chars: pa.Array, lines: pa
 
 
 def with_metadata(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the page's metadata; columns that docs lacks count as null."""
+    """row (all columns of docs), text and the page's metadata; columns that docs lacks count as null."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     have = lambda c, kind: (F.col(c) if c in docs.columns else F.lit(None)).cast(kind).alias(c)
     lines = F.split("text", "\n", -1)
-    x = docs.select("doc_id", text.alias("text"), have("lang", "string"), have("source", "string"), have("n_chars", "bigint"))
-    return x.withColumn("rows", lines).select("doc_id", "text", "lang", "source", F.coalesce("n_chars", F.length("text").cast("bigint")).alias("n_chars"), F.size("rows").alias("lines"), F.size(F.array_distinct("rows")).alias("distinct_lines"), F.array_max(F.transform("rows", F.length)).alias("longest"))
+    x = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"), have("lang", "string"), have("source", "string"), have("n_chars", "bigint"))
+    return x.withColumn("rows", lines).select("row", "text", "lang", "source", F.coalesce("n_chars", F.length("text").cast("bigint")).alias("n_chars"), F.size("rows").alias("lines"), F.size(F.array_distinct("rows")).alias("distinct_lines"), F.array_max(F.transform("rows", F.length)).alias("longest"))
 
 
 META = ("lang", "source", "n_chars", "lines", "distinct_lines", "longest")
@@ -110,13 +111,12 @@ META = ("lang", "source", "n_chars", "lines", "distinct_lines", "longest")
 
 @dataclass
 class Views:
-    text: TextView
     of_text: Calibrated
     of_meta: Calibrated
     weight: tuple[float, float]
 
     def scores(self, b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        t, m = self.of_text(self.text(b.column("text"))), self.of_meta(metadata_view(*[b.column(c) for c in META]))
+        t, m = self.of_text(matrix(b.column("xt"))), self.of_meta(matrix(b.column("xm")))
         return t, m, combined(t, m, self.weight)
 
 
@@ -126,101 +126,140 @@ def combined(t: np.ndarray, m: np.ndarray, weight: tuple[float, float]) -> np.nd
     return 1 / (1 + np.exp(-(weight[0] * odds(t) + weight[1] * odds(m))))
 
 
-def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, pt: np.ndarray, pm: np.ndarray, rounds: int = ROUNDS) -> tuple[Calibrated, Calibrated, tuple[float, float]]:
-    """Models of both views from labelled rows (xt, xm, y) and unlabelled ones (pt, pm).
+def matrix(column) -> np.ndarray:
+    """A column of lists of one length as rows of doubles."""
+    n = len(column)
+    flat = np.concatenate([np.asarray(c.flatten()) for c in (column.chunks if isinstance(column, pa.ChunkedArray) else [column])] or [np.zeros(0)])
+    return flat.astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+
+
+def lists(x: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(x.astype(np.float32).reshape(-1)), x.shape[1]).cast(pa.list_(pa.float32()))
+
+
+def with_numbers(docs: DataFrame, keep: str) -> DataFrame:
+    """(row, xt, xm), stored: what the expression keep makes of each row, and the numbers of both views."""
+    reachable(docs.sparkSession)
+    x = with_metadata(docs).withColumn("row", F.expr(keep))
+    schema = StructType([x.schema["row"]]).add("xt", NUMBERS).add("xm", NUMBERS)
+
+    def run(batches):
+        view = TextView()
+        for b in pieces(batches, 2 << 20):
+            yield pa.record_batch([b.column("row"), lists(view(b.column("text"))), lists(metadata_view(*[b.column(c) for c in META]))], ["row", "xt", "xm"])
+        give_back()
+
+    return stored(x.mapInArrow(run, schema), "numbers").withColumn("rid", F.monotonically_increasing_id())
+
 
-    Pseudo-labels enter the trees of the other view only; its curve is fitted to true labels.
-    The views' weights are their likelihood gains over the base rate on rows not trained on.
+def surest(pool: DataFrame, models, most: dict, taught: tuple[set, set]) -> list[list[tuple]]:
+    """For each learner, rows (rid, label, numbers) that the other view is surest of among all of the pool.
+
+    A task hands on no more rows of a kind than are wanted at all. Ties go to the smaller hash of the id.
     """
-    views, pool = [xt, xm], [pt, pm]
-    given = [np.full(len(pt), np.nan), np.full(len(pt), np.nan)]  # labels that each view got
-    models = [fit_calibrated(x, y) for x in views]
-    for _ in range(rounds):
-        said = [m(p) if len(p) else np.zeros(0) for m, p in zip(models, pool)]
-        for teacher, learner in ((0, 1), (1, 0)):
-            p, got = said[teacher], given[learner]
-            most = int(SHARE * len(y))
-            for label, far in ((0.0, p), (1.0, 1 - p)):
-                part = (y == label).mean() if len(y) else 0.5
-                sure = np.flatnonzero((far < SURE) & np.isnan(got))
-                got[sure[np.argsort(far[sure], kind="stable")][: int(most * part)]] = label
-        models = []
-        for x, p, got in zip(views, pool, given):
-            taught = ~np.isnan(got)
-            all_x, all_y = np.concatenate([x, p[taught]]), np.concatenate([y, got[taught]])
-            model = fit_calibrated(all_x, all_y)
-            models.append(model)
+    shared = pool.sparkSession.sparkContext.broadcast((models, taught, most))
+
+    def run(batches):
+        models, taught, most = shared.value
+        best: dict = {}
+        for b in batches:
+            rid, tie = np.asarray(b.column("rid")), np.asarray(b.column("tie"))
+            for teacher, learner in ((0, 1), (1, 0)):
+                p = models[teacher](matrix(b.column(("xt", "xm")[teacher])))
+                new = ~np.isin(rid, list(taught[learner]))
+                for label, far in ((0, p), (1, 1 - p)):
+                    at = np.flatnonzero((far < SURE) & new)
+                    at = at[np.lexsort((rid[at], tie[at], far[at]))][: most[label]]
+                    if len(at):
+                        rows = zip(far[at].tolist(), tie[at].tolist(), rid[at].tolist(), b.column(("xt", "xm")[learner]).take(pa.array(at)).to_pylist())
+                        best[learner, label] = sorted(best.get((learner, label), []) + list(rows))[: most[label]]
+        out = [(learner, label, *r) for (learner, label), rows in best.items() for r in rows]
+        cols = list(zip(*out)) if out else [()] * 6
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.float32())))], ["learner", "label", "far", "tie", "rid", "x"])
+
+    found = settled(pool.mapInArrow(run, "learner int, label int, far double, tie bigint, rid bigint, x array<float>"))
+    return [[(r["rid"], float(r["label"]), r["x"]) for label in (0, 1) for r in found.where((F.col("learner") == learner) & (F.col("label") == label)).orderBy("far", "tie", "rid").limit(most[label]).collect()] for learner in (0, 1)]
+
+
+def gain(model: Calibrated, y: np.ndarray) -> float:
+    """Likelihood gain over the base rate, a fitted row: by trees that have not seen it, and a curve of the other half."""
     base = np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99)
     null = -(base * np.log(base) + (1 - base) * np.log1p(-base))
-    gain = []
     half = np.random.default_rng(3).permutation(len(y)) % 2 == 0
-    for x in views:
-        if half.any() and (~half).any():
-            p = np.clip(fit_calibrated(x[half], y[half])(x[~half]), 0.005, 0.995)
-            gain.append(max(0.0, null + float(np.mean(y[~half] * np.log(p) + (1 - y[~half]) * np.log1p(-p)))))
-        else:
-            gain.append(1.0)
-    total = sum(gain) or 1.0
-    return models[0], models[1], (gain[0] / total, gain[1] / total) if sum(gain) else (0.5, 0.5)
-
-
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS, where=None) -> Views:
-    """Fits both views on at most ``rows`` labelled and ``pool_rows`` unlabelled documents, picked by hash."""
+    if not half.any() or half.all():
+        return 1.0
+    p = np.zeros(len(y))
+    for own in (half, ~half):
+        p[own] = fit_isotonic(model.unseen[~own], y[~own])(model.unseen[own])
+    p = np.clip(p, 0.005, 0.995)
+    return max(0.0, null + float(np.mean(y * np.log(p) + (1 - y) * np.log1p(-p))))
+
+
+def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, ask, rounds: int = ROUNDS) -> tuple[Calibrated, Calibrated, tuple[float, float]]:
+    """Models of both views from labelled rows (xt, xm, y) and rows that the views label for each other.
+
+    ask(models, most, taught) gives, for each view, the rows (id, label, numbers) that the other
+    one is surest of. Pseudo-labels enter the trees of the other view only; its curve is fitted
+    to true labels, and the views are weighted by how well their models do on those.
+    """
+    views = [xt, xm]
+    got: list[list] = [[], []]
+    models = [fit_calibrated(x, y) for x in views]
+    most = {k: int(SHARE * len(y) * (y == k).mean()) if len(y) else 0 for k in (0, 1)}
+    for _ in range(rounds if any(most.values()) else 0):
+        new = ask(models, most, tuple({r[0] for r in g} for g in got))
+        if not any(new):
+            break
+        got = [g + n for g, n in zip(got, new)]
+        models = [fit_calibrated(x, y, taught=(np.array([r[2] for r in g], np.float64).reshape(len(g), x.shape[1]), np.array([r[1] for r in g]))) for x, g in zip(views, got)]
+    gains = [gain(m, y) for m in models]
+    total = sum(gains)
+    return models[0], models[1], (gains[0] / total, gains[1] / total) if total else (0.5, 0.5)
+
+
+def fit(numbers: DataFrame, doc_id: str, labels: DataFrame, rows: int = FIT_ROWS, where=None) -> Views:
+    """Fits both views on at most ``rows`` labelled documents, picked by hash, and on all documents without a label.
+
+    doc_id names the id within numbers, as with_numbers gives them.
+    """
     own = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("y")).where("id is not null and y is not null")
     own = own if where is None else own.where(where)
-    few = F.broadcast(own.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(rows))
-    # at most pool_rows ids, smallest hashes first, whether or not they turn out to be labelled
-    some = docs.select(F.col("doc_id").alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id", F.lit(1)), "id").limit(pool_rows)
-    some = some.join(labels.select(F.col("doc_id").alias("id")).distinct(), "id", "left_anti").withColumn("y", F.lit(None).cast("int"))
-    pick = F.broadcast(few.unionByName(some))
-    got = with_metadata(docs.join(pick, docs["doc_id"] == pick["id"], "left_semi")).join(pick, F.col("doc_id") == F.col("id")).drop("id").toArrow()
-    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    got = got.take(pa.array(order)).combine_chunks()
-    b = {c: got.column(c).combine_chunks() if got.num_rows else pa.array([], got.schema.field(c).type) for c in got.column_names}
-    view = TextView()
-    xt, xm = view(b["text"]), metadata_view(*[b[c] for c in META])
-    y = b["y"].to_numpy(zero_copy_only=False).astype(np.float64)
-    known = ~np.isnan(y)
-    t, m, weight = co_train(xt[known], xm[known], y[known], xt[~known], xm[~known])
-    return Views(view, t, m, weight)
-
-
-def quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS, model: Views | None = None) -> DataFrame:
-    """doc_id, text_score, page_score, score, keep (1 or 0) of every row of docs; high is good.
+    few = F.broadcast(own.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(rows))  # bounded by rows
+    x = numbers.withColumn("id", F.expr(doc_id))
+    got = x.join(few, "id").select("id", "rid", "xt", "xm", "y").orderBy("id", "rid").toArrow()
+    pool = x.where("id is not null").join(labels.select(F.col("doc_id").alias("id")).distinct(), "id", "left_anti").select("rid", F.xxhash64("id").alias("tie"), "xt", "xm")
+    y = got.column("y").to_numpy().astype(np.float64)
+    xt, xm = (matrix(got.column(c)) if len(y) else np.zeros((0, 1)) for c in ("xt", "xm"))
+    return Views(*co_train(xt, xm, y, lambda models, most, taught: surest(pool, models, most, taught)))
 
-    Null and empty texts are scored as texts without words. Nulls of other columns count as
-    empty or zero. Without any label every document is kept. Rows that repeat get equal scores.
-    """
-    reachable(docs.sparkSession)
-    model = model or fit(docs, labels, rows, pool_rows)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+def scored(numbers: DataFrame, model: Views) -> DataFrame:
+    schema = StructType([numbers.schema["row"]]).add("text_score", DoubleType()).add("page_score", DoubleType()).add("score", DoubleType())
+    shared = numbers.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in pieces(batches, 2 << 20):
+        for b in batches:
             t, m, s = shared.value.scores(b)
-            yield pa.record_batch([b.column("doc_id"), pa.array(t), pa.array(m), pa.array(s)], ["doc_id", "text_score", "page_score", "score"])
-        shared.value.text.known.clear()
-        give_back()
+            yield pa.record_batch([b.column("row"), pa.array(t), pa.array(m), pa.array(s)], ["row", "text_score", "page_score", "score"])
 
-    out = with_metadata(docs).mapInArrow(run, f"doc_id {kind}, text_score double, page_score double, score double")
-    return out.withColumn("keep", (F.col("score") >= KEEP).cast("int"))
+    return numbers.select("row", "xt", "xm").mapInArrow(run, schema)
 
 
-def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs whose text and metadata the fitted model keeps, in one pass over them."""
-    reachable(docs.sparkSession)
-    model = fit(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), *docs.columns)
-    x = with_metadata(docs.withColumn("doc_id", F.struct(*docs.columns)))
+def quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, where=None) -> DataFrame:
+    """doc_id, text_score, page_score, score, keep (1 or 0) of every row of docs; high is good.
+
+    Null and empty texts are scored as texts without words. Nulls of other columns count as
+    empty or zero. Without any label every document is kept; where all documents are labelled
+    the views have nothing to label for each other and learn from true labels alone. Rows that
+    repeat get equal scores; rows without doc_id are scored but not learnt from. An empty table
+    gives no rows. where limits the labels that are fitted on.
+    """
+    numbers = with_numbers(docs, "row.doc_id")
+    out = scored(numbers, fit(numbers, "row", labels, rows, where)).withColumnRenamed("row", "doc_id")
+    return out.withColumn("keep", (F.col("score") >= KEEP).cast("int"))
 
-    def run(batches):
-        for b in pieces(batches, 2 << 20):
-            s = shared.value.scores(b)[2]
-            yield pa.record_batch([b.column("doc_id").filter(pa.array(s >= KEEP))], ["row"])
-        shared.value.text.known.clear()
-        give_back()
 
-    inner = rows.schema["row"].dataType.simpleString()
-    return x.mapInArrow(run, f"row {inner}").select("row.*")
+def kept(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of docs whose text and metadata the fitted model keeps; texts are read once."""
+    numbers = with_numbers(docs, "row")
+    return scored(numbers, fit(numbers, "row.doc_id", labels, rows)).where(F.col("score") >= KEEP).select("row.*")
