@@ -1,22 +1,25 @@
 """Sharding over fixed virtual slots, with a versioned slot-to-shard map edited when rebalancing.
 
-Records hash into SLOTS virtual slots for good. Bytes are summed a slot, and a map sends each
-slot to a shard; moving a slot is an edit of the map that makes its next version, and moves no
-record of any other slot.
+Records hash into SLOTS virtual slots for good; records that repeat carry an occurrence number
+in the hash, so that any number of equal rows spreads over the slots. Bytes are summed a slot,
+and a stored map sends each slot to a shard. Version 1 knows no loads: equal runs of slots.
+Moving a slot is an edit of the map that makes its next version, and moves no record of any
+other slot.
 """
 
 from __future__ import annotations
 
-import heapq
 import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import settled, shared_dir
 
 SLOTS = 4096
+COPIES = 10_000  #: equal rows numbered in one task
+PART_ROWS = 50_000  #: rows of a slot that are ordered together, about
 
 
 @dataclass(frozen=True)
@@ -28,37 +31,38 @@ class SlotMap:
     version: int = 1
     moves: tuple[tuple[int, int, int], ...] = field(default=())
 
+    @staticmethod
+    def even(shards: int, slots: int = SLOTS) -> SlotMap:
+        """Version 1: equal runs of slots."""
+        return SlotMap(shards, tuple(i * shards // slots for i in range(slots)))
+
     def frame(self, spark: SparkSession) -> DataFrame:
-        rows = [(self.version, slot, shard) for slot, shard in enumerate(self.of)]
-        return spark.createDataFrame(rows, "version int, vslot int, shard int")
+        return spark.createDataFrame([(slot, shard) for slot, shard in enumerate(self.of)], "vslot int, shard int")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Adds this version to the map's table; versions saved before stay."""
-        self.frame(spark).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+        """Adds this version to the map's folder, with its moves; a version saved before is never changed (raises)."""
+        came = {slot: a for slot, a, _ in self.moves}
+        rows = [(slot, shard, came.get(slot), self.shards) for slot, shard in enumerate(self.of)]
+        spark.createDataFrame(rows, "vslot int, shard int, moved_from int, shards int").coalesce(1).write.mode("error").parquet(f"{path}/version={self.version}")
 
     @staticmethod
     def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
-        table = spark.read.parquet(path)
-        version = version or table.agg(F.max("version")).first()[0]
-        rows = sorted((r["vslot"], r["shard"]) for r in table.where(F.col("version") == version).collect())
-        return SlotMap(max(s for _, s in rows) + 1, tuple(s for _, s in rows), version)
-
-
-def balanced(loads: list[int], shards: int) -> SlotMap:
-    """A first map: the heaviest slot next, always to the lightest shard."""
-    heap, of = [(0, s) for s in range(shards)], [0] * len(loads)
-    for slot in sorted(range(len(loads)), key=lambda i: (-loads[i], i)):
-        have, s = heapq.heappop(heap)
-        of[slot] = s
-        heapq.heappush(heap, (have + loads[slot], s))
-    return SlotMap(shards, tuple(of))
+        """A saved version, or the last one."""
+        table = spark.read.option("basePath", path).parquet(path)
+        if version is None:
+            version = table.agg(F.max("version")).first()[0]
+        rows = sorted((r["vslot"], r["shard"], r["moved_from"], r["shards"]) for r in table.where(F.col("version") == version).collect())
+        if not rows:
+            raise ValueError(f"no version {version} at {path}")
+        return SlotMap(rows[0][3], tuple(r[1] for r in rows), version, tuple((r[0], r[2], r[1]) for r in rows if r[2] is not None))
 
 
 def rebalanced(old: SlotMap, loads: list[int], shards: int | None = None) -> SlotMap:
-    """The next version for new loads or a new number of shards, by few moves.
+    """The next version for new loads or a new number of shards, by moves of single slots.
 
-    Slots leave shards that are gone; then the heaviest shard gives the lightest the slot that
-    brings the two closest together, until no move makes them more even.
+    Slots leave shards that are gone. Then, time and again, the heaviest shard that can gives the
+    lightest the slot that brings the two closest together. At the end no shard differs from the
+    lightest by more than its own least loaded slot holds.
     """
     shards = shards or old.shards
     of, have, held = list(old.of), [0] * shards, [set() for _ in range(shards)]
@@ -71,12 +75,14 @@ def rebalanced(old: SlotMap, loads: list[int], shards: int | None = None) -> Slo
         of[slot], have[s] = s, have[s] + loads[slot]
         held[s].add(slot)
     while True:
-        a, b = max(range(shards), key=lambda j: (have[j], -j)), min(range(shards), key=lambda j: (have[j], j))
-        gap = have[a] - have[b]
-        fit = [i for i in held[a] if 0 < loads[i] < gap]
-        if not fit:
+        b = min(range(shards), key=lambda j: (have[j], j))
+        for a in sorted(range(shards), key=lambda j: (-have[j], j)):
+            gap = have[a] - have[b]
+            slot = min((i for i in held[a] if 0 < loads[i] < gap), key=lambda i: (abs(gap - 2 * loads[i]), i), default=None)
+            if slot is not None:
+                break
+        else:
             break
-        slot = min(fit, key=lambda i: (abs(gap - 2 * loads[i]), i))
         of[slot], have[a], have[b] = b, have[a] - loads[slot], have[b] + loads[slot]
         held[a].remove(slot)
         held[b].add(slot)
@@ -85,14 +91,19 @@ def rebalanced(old: SlotMap, loads: list[int], shards: int | None = None) -> Slo
 
 
 def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, vslot): bytes of the text (null: none) plus 8; the record's slot."""
+    """(doc_id, size, text_crc32, vslot, h): bytes of the text (null: none) plus 8; the record's slot, and its hash.
+
+    Rows equal in these columns are counted before anything is shuffled, and numbered as they
+    are written out again, COPIES at a time: no task holds a group of equal rows.
+    """
     raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    return docs.select("doc_id", raw.alias("raw")).select(
-        "doc_id",
-        (F.octet_length("raw") + 8).cast("bigint").alias("size"),
-        F.crc32("raw").alias("text_crc32"),
-        F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.crc32("raw")), F.lit(slots)).cast("int").alias("vslot"),
-    )
+    rows = docs.select(F.col("doc_id").alias("doc_id"), (F.octet_length(raw) + 8).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32"))
+    same = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    first = same.withColumn("at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(COPIES).cast("bigint"))))
+    many = first.where(F.col("n") > COPIES).repartition("doc_id", "text_crc32", "at")
+    each = first.where(F.col("n") <= COPIES).unionByName(many).withColumn("nth", F.explode(F.expr(f"sequence(at, least(at + {COPIES}, n) - 1)")))
+    h = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_crc32", "nth")
+    return each.select("doc_id", "size", "text_crc32", h.alias("h")).select("doc_id", "size", "text_crc32", F.pmod("h", F.lit(slots)).cast("int").alias("vslot"), "h")
 
 
 def slot_loads(records: DataFrame, slots: int = SLOTS) -> list[int]:
@@ -103,26 +114,35 @@ def slot_loads(records: DataFrame, slots: int = SLOTS) -> list[int]:
     return out
 
 
-def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, slot_map: SlotMap | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, slot_map: SlotMap | None = None, path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot (the place in its shard, from 0) of every row.
 
-    Without slot_map one is made that evens out the shards' bytes, saved in the shared folder and
-    read back from there. Equal rows share a virtual
-    slot and stand next to each other; null ids and texts hash like empty ones. An empty table
-    gives no rows. Only doc_id and text are read.
+    slot_map is used as it is; it must have ``slots`` slots (else raises), and may leave shards
+    empty. Without one, the last version of the map stored at path (by default a new folder in
+    the shared one, with a version 1 of equal runs of slots) is loaded, edited to even out the
+    shards' bytes as they are now, stored as the next version, and read back. Equal rows may lie in different
+    shards. Null ids and texts hash like empty ones. An empty table gives no rows. Only doc_id
+    and text are read.
     """
     spark = docs.sparkSession
-    records = with_slots(docs, slots)
+    records = settled(with_slots(docs, slots))
     if slot_map is None:
-        path = f"{shared_dir(spark).rstrip('/')}/factloom-slots-{uuid.uuid4().hex}"
-        balanced(slot_loads(records, slots), shards).save(spark, path)
+        if path is None:
+            path = f"{shared_dir(spark).rstrip('/')}/factloom-slots-{uuid.uuid4().hex}"
+            SlotMap.even(shards, slots).save(spark, path)
+        rebalanced(SlotMap.load(spark, path), slot_loads(records, slots), shards).save(spark, path)
         slot_map = SlotMap.load(spark, path)
-    homes = F.broadcast(slot_map.frame(spark).select("vslot", "shard"))  # as many rows as slots, at any input size
-    counts = records.groupBy("vslot").agg(F.count("*").alias("n")).join(homes, "vslot")
-    before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("vslot", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
-    placed = records.withColumn("nth", F.row_number().over(within)).join(F.broadcast(base), "vslot")
+    if len(slot_map.of) != slots:
+        raise ValueError(f"a map of {len(slot_map.of)} slots for records of {slots}")
+    homes = F.broadcast(slot_map.frame(spark))  # as many rows as slots, at any input size
+    # a slot's rows are numbered in parts of its hashes, and parts by sums over those before
+    parts = max(1, -(-records.count() // (slots * PART_ROWS)))
+    records = records.withColumn("part", F.pmod(F.shiftright("h", 16), F.lit(parts)))
+    counts = records.groupBy("vslot", "part").agg(F.count("*").alias("n")).join(homes, "vslot")
+    before = Window.partitionBy("shard").orderBy("vslot", "part").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("vslot", "part", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size", "h")
+    placed = records.withColumn("nth", F.row_number().over(within)).join(F.broadcast(base) if parts == 1 else base, ["vslot", "part"])
     return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("nth") - 1).cast("bigint").alias("slot"))
 
 
