@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -83,6 +84,13 @@ def test_the_last_bytes_reach_the_feature(spark):
     assert {r.payload_bytes for r in rows} == {2 * 576} and len({r.feature for r in rows}) == len(ends)
 
 
+def test_media_of_nothing_and_of_slices(corpus, nothing, monkeypatch):
+    assert media.media_digest(nothing).count() == 0
+    whole = sorted(map(str, media.media_digest(corpus).collect()))
+    monkeypatch.setattr(media, "SLICE", 1000)
+    assert sorted(map(str, media.media_digest(corpus).collect())) == whole
+
+
 # --- 2 top-k ---
 
 
@@ -110,6 +118,22 @@ def test_top_k(spark, n, scale, monkeypatch):
     assert got == brute_top(want, 5)
 
 
+def test_top_k_of_repeated_rows(spark):
+    """Rows that share an id are candidates each on their own, and none is its own query's."""
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [0.0, 1.0]), (51, [2.0, 1.0]), (51, [2.0, 1.0]), (51, [0.0, 3.0]), (52, [1.0, 1.0])]
+    df = spark.createDataFrame([(*r, "c", "r") for r in rows], "vec_id bigint, embedding array<double>, copies string, rid string")
+    v = topk.whole_vectors(df, scale=1)
+    got = [tuple(r) for r in topk.top_k(v, v.where("vec_id % 50 = 0"), 3).collect()]
+    a, b = [(50, 1, 51, 2), (50, 2, 51, 2), (50, 3, 52, 1)], [(50, 1, 51, 3), (50, 2, 51, 1), (50, 3, 51, 1)]
+    assert sorted(got) == sorted(a + b)
+
+
+def test_products_beyond_64_bits_raise(spark):
+    v = spark.createDataFrame([(0, [1 << 40, 1 << 40]), (1, [1 << 40, 5])], "vec_id bigint, v array<bigint>")
+    with pytest.raises(OverflowError):
+        topk.top_k(v, v)
+
+
 def test_top_k_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id bigint, embedding array<double>")
     v = topk.whole_vectors(df)
@@ -186,6 +210,19 @@ def test_mixed_documents_are_the_taken_words(corpus):
     assert {k: v for k, v in taken.items() if v} == dict(got)
 
 
+def test_mix_of_nothing(nothing):
+    assert mixing.mix(nothing).count() == 0
+    out = mixing.mixed_documents(nothing)
+    assert out.columns == nothing.columns and out.count() == 0
+
+
+def test_sums_over_runs(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 4)
+    rows = spark.range(50).select((F.col("id") % 3).alias("k"), "id", (F.col("id") * 7 % 5).alias("v"))
+    got = {r.id: r.base for r in mixing.so_far(rows, ["k"], "id", "v").collect()}
+    assert got == {i: sum(j * 7 % 5 for j in range(i) if j % 3 == i % 3) for i in range(50)}
+
+
 # --- 4 preference ---
 
 
@@ -206,6 +243,20 @@ def test_preference(spark):
     assert preference.preference_examples(df.limit(0)).count() == 0
 
 
+def test_turns_are_compared_as_given(spark):
+    c = [(0, 0, "user", "a<|b"), (0, 1, "assistant", "x"), (1, 0, "user", "a< |b"), (1, 1, "assistant", "x"), (2, 0, "a|>", "q"), (3, 0, "a| >", "q")]
+    got = {r.pair_id: r for r in preference.preference_examples(spark.createDataFrame(c, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert (got[0].prefix_turns, got[0].prompt) == (0, "") and (got[1].prefix_turns, got[1].prompt) == (0, "")
+    assert got[0].chosen == got[0].rejected == "<|user|>\na< |b<|end|>\n<|assistant|>\nx<|end|>\n"
+
+
+def test_very_long_conversations(spark):
+    turns = spark.range(6000).select((F.col("id") % 2).alias("conv_id"), F.expr("id div 2").alias("turn"), F.when(F.expr("id div 2 % 2 = 0"), "user").otherwise("assistant").alias("role"), F.concat(F.lit("t" * 50), F.when(F.col("id") >= 5000, F.col("id")).otherwise(F.expr("id div 2")).cast("string")).alias("text"))
+    (r,) = preference.preference_examples(turns).collect()
+    assert r.prefix_turns == 2500 and len(r.chosen_train) == 250
+    assert all(r.chosen[s.begin : s.begin + s.length].endswith("<|end|>") for s in r.chosen_train)
+
+
 # --- 5 and 9 classifiers ---
 
 
@@ -260,12 +311,98 @@ def test_quality_keeps_the_good(spark):
     d = f"{DATA}/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    model = quality.fit(docs, labels, where=~toxicity.held_out("id"))
-    r = quality.quality(docs, labels, model=model).join(labels, "doc_id").where(toxicity.held_out()).collect()
+    r = quality.quality(docs, labels, where=~toxicity.held_out("id")).join(labels, "doc_id").where(toxicity.held_out()).collect()
     assert auc([x.quality for x in r], [x.score for x in r]) > 0.95
     assert np.mean([x.keep for x in r if x.quality]) > 0.95
 
 
+def plain_co_training(xt, xm, y, pt, pm, tie):
+    """Co-training with all rows in memory: (weights, [{pool row: label given}, ...]) of the views."""
+    views, pool, got = [xt, xm], [pt, pm], [{}, {}]
+    models = [gbt.fit_calibrated(x, y) for x in views]
+    for _ in range(quality.ROUNDS):
+        said = [m(p) for m, p in zip(models, pool)]
+        for teacher, learner in ((0, 1), (1, 0)):
+            new = {}
+            for label in (0, 1):
+                far = abs(said[teacher] - label)
+                sure = sorted((far[i], tie[i], i) for i in range(len(pt)) if far[i] < quality.SURE and i not in got[learner])
+                new |= {i: float(label) for _, _, i in sure[: int(quality.SHARE * len(y) * (y == label).mean())]}
+            got[learner] |= new
+        models = [gbt.fit_calibrated(x, y, taught=(p[list(g)], np.array(list(g.values())))) for x, p, g in zip(views, pool, got)]
+    return models, got
+
+
+def test_co_training_against_all_rows_in_memory(spark):
+    d = f"{DATA}/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    numbers = quality.with_numbers(spark.read.parquet(f"{d}/documents.parquet"), "row.doc_id").cache()
+    model = quality.fit(numbers, "row", labels)
+    rows = numbers.join(labels.withColumnRenamed("doc_id", "row"), "row", "left").select("row", "xt", "xm", "quality", F.xxhash64("row").alias("tie")).orderBy("row").collect()
+    own, rest = [r for r in rows if r.quality is not None], [r for r in rows if r.quality is None]
+    y = np.array([r.quality for r in own], float)
+    (t, m), got = plain_co_training(*[np.array([r[c] for r in own]) for c in ("xt", "xm")], y, *[np.array([r[c] for r in rest]) for c in ("xt", "xm")], [r.tie for r in rest])
+    assert max(len(g) for g in got) > 20
+    for a, b, c in ((model.of_text, t, "xt"), (model.of_meta, m, "xm")):
+        x = np.array([r[c] for r in rows])
+        assert len(a.unseen) == len(y) and np.allclose(a(x), b(x))  # curves rest on true labels alone
+    gains = [quality.gain(k, y) for k in (t, m)]
+    assert np.allclose(model.weight, np.array(gains) / sum(gains))
+
+
+def test_co_training_where_all_rows_are_labelled(spark):
+    docs = spark.createDataFrame([(i, ("%% ## " if i % 2 else "good words here ") * (i % 5 + 1), "en", "a", None) for i in range(60)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    labels = spark.range(60).select(F.col("id").alias("doc_id"), (1 - F.col("id") % 2).cast("int").alias("quality"))
+    rows = quality.quality(docs, labels).collect()
+    assert all(r.keep == 1 - r.doc_id % 2 for r in rows)
+
+
+def test_one_round_of_boosting_against_plain_loops():
+    rnd = np.random.default_rng(5)
+    x, y = rnd.integers(0, 6, (200, 3)).astype(float), rnd.integers(0, 2, 200).astype(float)
+    got = gbt.fit_trees(x, y, trees=1, depth=1, rate=0.15, l2=2.0)
+    p = y.mean()
+    g, h = p - y, np.full(200, p * (1 - p))
+    best = max((g[left].sum() ** 2 / (h[left].sum() + 2) + g[~left].sum() ** 2 / (h[~left].sum() + 2), -j, -v) for j in range(3) for v in range(5) for left in [x[:, j] <= v])
+    j, v = -best[1], -best[2]
+    left = x[:, j] <= v
+    want = np.where(left, -0.15 * g[left].sum() / (h[left].sum() + 2), -0.15 * g[~left].sum() / (h[~left].sum() + 2)) + np.log(p / (1 - p))
+    assert got.feature[0, 0] == j and np.allclose(got.raw(x), want)
+
+
+def plain_features(text, lex):
+    """The numbers of a text by loops over its words."""
+    w = words(text)
+    if not w:
+        return [0.0] * toxicity.NAMES
+    m = [lex.marks(x) for x in w]
+    toxic = [max(r[0], r[2]) for r in m]
+    near = lambda flag, i, reach: float(any(flag[max(0, i - reach) : i + reach + 1]))
+    you = [r[5] for r in m]
+    rows = [[*r, t, t * near(you, i, 3), t * near(you, i, 8), float(r[1] > 2.5), r[5] * near(toxic, i, 3)] for i, (r, t) in enumerate(zip(m, toxic))]
+    sums = [sum(c) for c in zip(*rows)]
+    return [s / len(w) for s in sums] + [max(r[k] for r in m) for k in (1, 3, 11)] + [np.log1p(sums[k]) for k in (0, 2, 4, 12, 15)] + [np.log1p(len(w))]
+
+
+def test_toxicity_features_and_lexicon_against_plain_loops():
+    lex = toxicity.Lexicon({"grr": 3.0, "bad": 1.6}, {"nast": 2.0})
+    texts = ["You are an 1d1ot, you GRR nasty thing!", "", None, "grr", "a b c d e f g h you i j k bad!!! soooo b.a.d", "plain words of a page"]
+    got = toxicity.features(pa.array(texts), lex)
+    assert np.allclose(got, [plain_features(t, lex) for t in texts])
+    assert lex.marks("1d1ot,")[0] == 1 and lex.marks("GRR")[1:3] == (3.0, 1.0) and lex.marks("nasty")[3:5] == (2.0, 1.0)
+    held = ["zork you fool", "zork again", "Zork! now", "zork here", "so zork", "kind words", "kind again", "words here", "calm", "calm now"]
+    y = np.array([1, 1, 1, 1, 1, 0, 0, 0, 0, 0.0])
+    got = toxicity.Vocabulary(pa.array(held)).lexicon(np.arange(10), y)
+    seen = [{x.strip(toxicity.EDGES).lower() for x in words(t)} for t in held]
+    count = lambda w, k: sum(w in s for s, l in zip(seen, y) if l == k)
+    want = {}
+    for w in set().union(*seen):
+        odds = np.log((count(w, 1) + 0.5) / 6) - np.log((count(w, 0) + 0.5) / 6)
+        if count(w, 1) >= toxicity.SEEN and odds > 1.5:
+            want[w] = odds
+    assert got.words == pytest.approx(want) and set(want) == {"zork"} and set(got.starts) == {"zork"}
+
+
 # --- 6 packing ---
 
 
@@ -296,14 +433,12 @@ def test_packing_is_lossless(corpus):
 def test_windows_hold_the_mix():
     r = packing.Robin(1000)
     rnd = np.random.default_rng(2)
-    total = {s: 0 for s in "abc"}
-    for s, n in (("a", 60), ("b", 30), ("c", 10)):
-        for i in range(n):
-            ids = np.zeros(rnd.integers(1, 2000), np.uint32)
-            total[s] += len(ids)
-            r.put(s, 0, 0.0, s, ids)
-    everything = sum(total.values())
-    r.share = {s: n / everything for s, n in total.items()}
+    docs = [(s, np.zeros(rnd.integers(1, 2000), np.uint32)) for s, n in (("a", 60), ("b", 30), ("c", 10)) for _ in range(n)]
+    total = {s: sum(len(ids) for t, ids in docs if t == s) for s in "abc"}
+    everything, done, own = sum(total.values()), 0, collections.Counter()
+    for s, ids in docs:
+        r.put(s, total[s] / everything, 0, done, own[s], s, ids)
+        done, own[s] = done + len(ids), own[s] + len(ids)
     served = {s: 0 for s in "abc"}
     k = 0
     while r.waiting >= 1000:
@@ -314,6 +449,27 @@ def test_windows_hold_the_mix():
             assert abs(served[s] - k * 1000 * r.share[s]) <= 3
 
 
+def test_deficits_carry_over_parts_wherever_a_task_begins():
+    """A task that reads parts 1 and 3 of the order ends where one that reads all of it does."""
+    rnd = np.random.default_rng(3)
+    docs = [(int(k), "ab"[int(rnd.random() < 0.3)], int(rnd.integers(1, 50))) for k in np.repeat(range(4), 100)]
+    share = {s: sum(n for _, t, n in docs if t == s) / sum(n for *_, n in docs) for s in "ab"}
+    r, done, own = packing.Robin(100), 0, collections.Counter()
+    for part, s, n in docs:
+        if part in (1, 3):
+            r.put(s, share[s], part, done, own[s], s, np.zeros(n, np.uint32))
+            assert abs(r.deficit["a"] - share["a"] * (done - r.waiting + n) + own["a"] - r.held["a"] + n * (s == "a")) < 1e-6 or r.part["a"] == part
+            while r.waiting >= 100:
+                r.fill()
+        done, own[s] = done + n, own[s] + n
+    left = {s: share[s] * (done - r.waiting) - (own[s] - r.held.get(s, 0)) for s in "ab"}
+    assert abs(r.deficit["a"] + r.deficit["b"]) < 1e-6 and abs(r.deficit["a"] - left["a"]) < 100
+
+
+def test_packing_of_nothing(nothing):
+    assert packing.pack(nothing, TOKENIZER).count() == 0
+
+
 def test_windows_of_a_table_stored_by_source_hold_the_mix(spark):
     rows = [(i, f"some words of document {i} and more of them", "abc"[i // 500]) for i in range(1500)]
     held = collections.defaultdict(set)
@@ -358,6 +514,18 @@ def test_substring_keeps_columns(corpus, nothing):
     got = substring.repeats(corpus, keep=("row", "key", "n_chars"))
     assert got.columns == ["doc_id", "row", "key", "n_chars", "n_words", "n_removed", "kept"] and got.count() == corpus.count()
     assert substring.repeats(nothing).count() == 0
+    with pytest.raises(TypeError):
+        substring.repeats(corpus.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def test_a_passage_of_all_documents_is_one_entry_a_part(spark):
+    """A passage in every document: each part sends and is told its windows once, and all but one document lose it."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, f"a{i} b{i} {passage} c{i}") for i in range(3000)]
+    got = substring.repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(i, 30 if i else 0) for i in range(3000)]
+    words = substring.Words(pa.record_batch([pa.array([0, 1]), pa.array([passage, passage])], ["doc_id", "text"]))
+    assert len(np.unique(words.runs(7, 5)[words.inside(7)])) == 24
 
 
 # --- 8 near duplicates ---
@@ -410,6 +578,18 @@ def test_near_copies_that_repeat_a_passage(spark):
     assert got == {d: d - d % 2 for d, _ in rows}
 
 
+def test_a_bucket_of_near_copies_with_strays(spark, monkeypatch):
+    """One large group of near copies, strays that share buckets with it, and hot groups dealt by broadcast."""
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(neardup, "frequent", lambda counts, rows: F.broadcast(counts.where("n >= 20")))
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(base[: i % 100] + [f"x{i}"] + base[i % 100 + 1 :])) for i in range(300)]
+    rows += [(1000 + i, " ".join(base[: 60 + i] + [f"s{i}_{j}" for j in range(60 - i)])) for i in range(0, 60, 4)]
+    rows += [(2000 + i, "the same text of a few words here") for i in range(60)]
+    got = {r.doc_id: r.class_id for r in neardup.near_classes(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_near_classes_of_nothing(nothing):
     assert neardup.near_classes(nothing).count() == 0
 
@@ -454,9 +634,46 @@ def test_shards_are_even(spark):
     assert len(n) == 24 and max(n) - min(n) < 0.05 * sum(n) / 24
 
 
+def test_equal_rows_spread(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 700)
+    docs = spark.range(10_000).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit("b" * 992).alias("text")).union(spark.range(100, 200).select("id", F.lit("a" * 992)))
+    rows = sharding.shard(docs).collect()
+    held = collections.Counter(r.shard for r in rows)
+    assert len(rows) == 10_100 and max(held.values()) - min(held.values()) < 0.05 * 10_100 / 24
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(held[s])) for s in range(24))
+
+
+def test_slots_are_numbered_in_parts(corpus, monkeypatch):
+    whole = {(r.doc_id, r.size, r.text_crc32, r.shard) for r in sharding.shard(corpus, slots=64).collect()}
+    monkeypatch.setattr(sharding, "PART_ROWS", 1)
+    rows = sharding.shard(corpus, slots=8).collect()
+    assert len(rows) == corpus.count() and len(whole) <= len(rows)
+    for s in range(24):
+        own = sorted(r.slot for r in rows if r.shard == s)
+        assert own == list(range(len(own)))
+
+
+def test_a_given_map_is_used_as_it_is(corpus):
+    rows = sharding.shard(corpus, 5, 16, sharding.SlotMap(5, (3,) * 16)).collect()
+    assert {r.shard for r in rows} == {3} and sorted(r.slot for r in rows) == list(range(len(rows)))
+    with pytest.raises(ValueError):
+        sharding.shard(corpus, 5, 32, sharding.SlotMap(5, (3,) * 16))
+
+
+def test_a_stored_map_is_edited(corpus, spark, tmp_path):
+    path = str(tmp_path / "map")
+    sharding.SlotMap.even(6, 64).save(spark, path)
+    sharding.shard(corpus, 6, 64, path=path).count()
+    sharding.shard(corpus, 7, 64, path=path).count()
+    two, three = sharding.SlotMap.load(spark, path, 2), sharding.SlotMap.load(spark, path)
+    assert (two.shards, three.shards, three.version) == (6, 7, 3) and max(three.of) == 6
+    assert three.moves == tuple((i, a, b) for i, (a, b) in enumerate(zip(two.of, three.of)) if a != b)
+
+
 def test_maps_have_versions(spark, tmp_path):
     loads = [int(x) for x in np.random.default_rng(0).integers(1, 100, 256)]
-    a = sharding.balanced(loads, 8)
+    a = sharding.rebalanced(sharding.SlotMap.even(8, 256), loads)
+    a = sharding.SlotMap(8, a.of)
     b = sharding.rebalanced(a, loads, 9)
     held = [sum(x for x, s in zip(loads, b.of) if s == k) for k in range(9)]
     assert b.version == 2 and max(held) - min(held) <= 100
@@ -466,14 +683,19 @@ def test_maps_have_versions(spark, tmp_path):
     path = str(tmp_path / "map")
     a.save(spark, path)
     b.save(spark, path)
-    assert sharding.SlotMap.load(spark, path).of == b.of and sharding.SlotMap.load(spark, path, 1).of == a.of
+    assert sharding.SlotMap.load(spark, path) == b and sharding.SlotMap.load(spark, path, 1) == a
+    with pytest.raises(Exception, match="exist"):
+        b.save(spark, path)
+    empty = sharding.SlotMap(9, (0,) * 256, 3)
+    empty.save(spark, path)
+    assert sharding.SlotMap.load(spark, path).shards == 9
 
 
-def test_the_query_reads_the_stored_map(corpus, spark, monkeypatch):
+def test_the_query_stores_edits_and_reads_the_map(corpus, spark, monkeypatch):
     read, load = [], sharding.SlotMap.load
     monkeypatch.setattr(sharding.SlotMap, "load", staticmethod(lambda spark, path: read.append(path) or load(spark, path)))
-    used = {(r.doc_id, r.size, r.text_crc32, r.shard) for r in sharding.shard_digest(corpus).collect()}
-    (path,) = read
-    of = load(spark, path).of
-    homes = {(r.doc_id, r.size, r.text_crc32, of[r.vslot]) for r in sharding.with_slots(corpus).collect()}
-    assert used == homes
+    used = collections.Counter((r.doc_id, r.size, r.text_crc32, r.shard) for r in sharding.shard_digest(corpus).collect())
+    assert len(read) == 2 and len(set(read)) == 1
+    of = load(spark, read[0], 2).of
+    homes = collections.Counter((r.doc_id, r.size, r.text_crc32, of[r.vslot]) for r in sharding.with_slots(corpus).collect())
+    assert used == homes and load(spark, read[0], 1).of == sharding.SlotMap.even(24).of

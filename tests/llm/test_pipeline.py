@@ -4,6 +4,7 @@ import corpus_pipeline
 from factloom.llm import mixing, neardup, substring
 
 from ..conftest import DATA
+from .conftest import CLASHES
 
 
 def test_stages(spark, tmp_path):
@@ -38,3 +39,16 @@ def test_stages(spark, tmp_path):
 def test_run(spark):
     out = corpus_pipeline.run(spark, f"{DATA}/sf0.001")
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def test_nulls_repeats_and_clashing_columns(corpus, nothing, spark):
+    """Rows go through all stages with columns named like those that stages work with; empty tables do too."""
+    labels = f"{DATA}/sf0.001"
+    for docs in (corpus, nothing):
+        given = docs
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, labels).cache()
+            if name != "pack":
+                assert docs.columns == given.columns
+                assert all(r[c] == c for r in docs.collect() for c in CLASHES)
+        assert docs.count() > 0 or given.count() == 0
