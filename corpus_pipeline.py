@@ -19,10 +19,12 @@ def drop_near_duplicates(spark, docs, sf_dir):
 
 def drop_repeated_passages(spark, docs, sf_dir):
     """Texts that lose words become the words left, joined by one space; the others stay as they are."""
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    out = substring.repeats(docs, keep=others)
-    out = out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    others = [c for c in docs.columns if c != "doc_id"]
+    out = substring.repeats(docs.select("doc_id", "text", F.struct(*others).alias("others")), keep=("others",))
+    now = {"text": F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("others.text"))}
+    if "n_chars" in others:
+        now["n_chars"] = F.length(now["text"]).cast(docs.schema["n_chars"].dataType)
+    return out.select("doc_id", *[now.get(c, F.col("others").getField(c)).alias(c) for c in others]).select(*docs.columns)
 
 
 def mix_sources(spark, docs, sf_dir):
@@ -41,7 +43,9 @@ STAGES = [
     ("pack", pack_sequences),
 ]
 
-#: The trees, the seeded signatures and the tokenizer have no SQL form; tests/llm holds brute-force versions.
+#: The trees, the seeded signatures and the tokenizer have no SQL form. tests/llm compares each stage with a
+#: plain version: co-training with one that holds all rows in memory, classes and passages with loops over all
+#: pairs and windows, the mix with its own counts, and the packed ids with the tokenizer's.
 ORACLE_SQL = None
 
 
