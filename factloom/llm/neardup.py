@@ -8,8 +8,7 @@ Jaccard similarity of their shingle sets, the one that links are verified by on
 Bands of registers give candidates, and classes are the components of the links.
 
 Exact copies are one node from the start. In a band's bucket every text is first compared with
-the bucket's smallest id alone, and then, where a bucket still holds different classes, all
-that are not of its last class with that class's smallest id. Only buckets that then still hold
+the bucket's smallest and largest id alone. Only buckets that then still hold
 different classes are looked at again: their texts are dealt to blocks of bounded size, once
 each, and the texts outside the bucket's largest class, which are few after the stars, go to
 every block. There they are compared with all others by counting shared shingles, and the links
@@ -34,7 +33,6 @@ BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 ESTIMATE = 0.55  #: agreeing registers that a pair of SIMILAR surely has
 BLOCK_ROWS = 1500  #: texts of a bucket compared in one task, of its largest class and of the others
-STARS = 3  #: rounds of stars
 LISTED = 100_000  #: ids broadcast at most (under 2 MB)
 FACTOR = 0xD6E8FEB86659FD93
 
@@ -211,35 +209,21 @@ def near_classes(docs: DataFrame) -> DataFrame:
     reachable(docs.sparkSession)
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = settled(texts.select("doc_id", F.sha2("text", 256).alias("same")))
-    rows = ids.count()
     firsts = settled(ids.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
-    members = settled(with_group(ids, firsts, "same", rows).select("doc_id", "rep"))
     reps = firsts.select(F.col("rep").alias("id")).distinct()
     sigs = stored(signatures(texts).join(reps, F.col("doc_id") == F.col("id"), "left_semi"), "signatures")
     bands = sigs.select("doc_id", F.explode("keys").alias("key"))
-    shared = settled(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("center")).where("n > 1"))
-    bands = settled(with_group(bands, shared, "key", rows * BANDS).select("key", "doc_id", "center"))
-    stars = settled(bands.where("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct())
-    links = settled(verified(stars, sigs, texts))
+    shared = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("n > 1")
+    bands = settled(bands.join(shared, "key").select("key", "doc_id", "first", "last"))
+    star = lambda center: bands.where(F.col("doc_id") != F.col(center)).select(F.least("doc_id", center).alias("a"), F.greatest("doc_id", center).alias("b"))
+    links = settled(verified(settled(star("first").union(star("last")).distinct()), sigs, texts))
     label = components(links)
-    # what the stars left apart within a bucket
-    for left in range(STARS, 0, -1):
-        own = bands.join(label, "doc_id", "left").select("key", "doc_id", F.coalesce("class_id", "doc_id").alias("l"))
-        mixed = settled(own.groupBy("key").agg(F.min("l").alias("lo"), F.max("l").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2"))
-        rest = settled(with_group(own, mixed, "key", rows * BANDS).select("key", "doc_id", "l", "hi"))
-        if left == 1 or not has_rows(rest):
-            break
-        center = rest.where("l = hi").groupBy("key").agg(F.min("doc_id").alias("a"))
-        stars = settled(rest.where("l <> hi").join(center, "key").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct())
-        found = settled(verified(stars, sigs, texts))
-        if not has_rows(found):
-            break
-        links = settled(links.union(found))
-        label = components(links)
-    # a bucket's texts stand in one block each; those outside its largest class go to every block
-    sizes = rest.groupBy("key", "l").agg(F.count("*").alias("n"))
-    sizes = settled(sizes.groupBy("key").agg(F.max(F.struct("n", "l")).getField("l").alias("most"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("asking")))
-    rest = with_group(rest.drop("hi"), sizes, "key", rows * BANDS)
+    # what the stars left apart within a bucket: a bucket's texts stand in one block each, and those outside its
+    # largest class go to every block
+    own = bands.join(label, "doc_id", "left").select("key", "doc_id", F.coalesce("class_id", "doc_id").alias("l"))
+    sizes = own.groupBy("key", "l").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("n", "l")).getField("l").alias("most"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("asking")).where("asking > 0 and n > 2")
+    rest = settled(own.join(sizes, "key"))
     need = settled(rest.select(F.col("doc_id").alias("id")).distinct())
     some = texts.join(F.broadcast(need), texts["doc_id"] == need["id"], "left_semi") if need.count() <= LISTED else texts
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK_ROWS)).cast("int")
@@ -264,7 +248,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     if has_rows(found):
         links = settled(links.union(found))
         label = components(links)
-    classes = members.join(label.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("class_id", "rep").alias("class_id"))
+    classes = firsts.join(label, firsts["rep"] == label["doc_id"], "left").select("same", F.coalesce("class_id", "rep").alias("class_id"), "n")
+    classes = with_group(ids, settled(classes), "same", ids.count()).select("doc_id", "class_id")
     nobody = docs.where(F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id"))
     return classes.unionByName(nobody)
 
