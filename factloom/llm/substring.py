@@ -3,13 +3,13 @@
 A repeat of 13 words or more holds a whole aligned block of 7 words of the document it repeats,
 for 13 = 2 * 7 - 1. Every document is indexed by its non-overlapping blocks (words 0-6, 7-13,
 ...) and probed with every rolling window of 7 words. Around each hit the windows of 13 words
-that hold the block are extended to and compared by 128-bit hashes; runs of repeated windows
+that hold the block are extended to and compared by 96-bit hashes; runs of repeated windows
 are the maximal exact repeats.
 
 Documents are dealt to parts by a hash of id and text. A part sends every distinct window once,
 however many of its documents hold it and how often, and is told once which of them matter, so
 a passage that all documents share costs one entry a part. Windows travel packed: a part sends
-each hash bucket one blob, of some 5 bytes a window.
+each hash bucket one blob, of some 4 bytes a window.
 """
 
 from __future__ import annotations
@@ -46,12 +46,20 @@ def runs_of(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]) if n else np.zeros(0, np.int64)
 
 
-def by_bucket(bucket: np.ndarray, columns: list[np.ndarray]):
-    """(bucket, blob) for entries: their number, then one column after another."""
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    for rows in np.split(order, cuts) if len(order) else []:
-        yield int(bucket[rows[0]]), np.uint32(len(rows)).tobytes() + b"".join(np.ascontiguousarray(c[rows]).tobytes() for c in columns)
+def blobs_of(group: np.ndarray, columns: list[np.ndarray]):
+    """(group, blob) for entries that stand together by group: their number, then one column after another.
+
+    A uint32 column is kept as the planes of its steps' bytes: where it rises, the upper ones compress well.
+    """
+    starts = runs_of(group)
+    for lo, hi in zip(starts, np.r_[starts[1:], len(group)]):
+        out = [np.uint32(hi - lo).tobytes()]
+        for c in columns:
+            part = np.ascontiguousarray(c[lo:hi])
+            if c.dtype == np.uint32:
+                part = np.diff(part, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T
+            out.append(part.tobytes())
+        yield int(group[lo]), b"".join(out)
 
 
 def columns_of(blobs: list[bytes], kinds: tuple[str, ...]) -> list[np.ndarray]:
@@ -59,8 +67,14 @@ def columns_of(blobs: list[bytes], kinds: tuple[str, ...]) -> list[np.ndarray]:
     sizes = [int(np.frombuffer(b, "<u4", 1)[0]) for b in blobs]
     out, at = [], [4] * len(blobs)
     for kind in kinds:
-        width = np.dtype(kind).itemsize
-        out.append(np.concatenate([np.frombuffer(b, kind, n, i) for b, n, i in zip(blobs, sizes, at)] or [np.zeros(0, kind)]))
+        width, parts = np.dtype(kind).itemsize, []
+        for b, n, i in zip(blobs, sizes, at):
+            if kind == "<u4":
+                steps = np.ascontiguousarray(np.frombuffer(b, np.uint8, 4 * n, i).reshape(4, n).T).view("<u4").reshape(-1)
+                parts.append(np.cumsum(steps, dtype=np.uint32))
+            else:
+                parts.append(np.frombuffer(b, kind, n, i))
+        out.append(np.concatenate(parts or [np.zeros(0, kind)]))
         at = [i + n * width for i, n in zip(at, sizes)]
     return [*out, np.repeat(np.arange(len(blobs)), sizes)]
 
@@ -108,36 +122,36 @@ def repeats(docs: DataFrame, repeat: int = REPEAT, keep: tuple[str, ...] = ()) -
     rows = docs.select(part.alias("part"), F.col("doc_id").alias("doc_id"), text.alias("text"))
     blobs = "to int, of int, blob binary"
 
-    def bucket_of(h: np.ndarray) -> np.ndarray:
-        return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    def key_of(h: np.ndarray) -> np.ndarray:
+        """A run's bucket, and 32 bits that tell runs apart within: a mistake only has a window looked at in vain."""
+        return (h >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | h & LOW
 
     def probe(key, group):
         """Blocks and probes: every distinct run of ``block`` words of a part, to its bucket."""
-        hashes, marks = [], []
+        runs, marks = [], []
         for b in group.to_batches():
             w = Words(b)
             at = w.inside(block)
-            h, doc = w.runs(block, FACTORS[0])[at], w.ids[w.doc[at]]
+            h, doc = key_of(w.runs(block, FACTORS[0])[at]), w.ids[w.doc[at]]
             aligned = (at - w.offsets[w.doc[at]]) % block == 0
-            order = np.argsort(h, kind="stable")
+            order = np.argsort(h)
             h, doc, aligned = h[order], doc[order], aligned[order]
             starts = runs_of(h)
             if len(starts):
                 some = np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts)
-                hashes.append(h[starts])
+                runs.append(h[starts])
                 marks.append((ALIGNED * np.logical_or.reduceat(aligned, starts) + SEVERAL * some).astype(np.uint8))
-        if len(hashes) > 1:  # in two batches of the part: in two documents, or it does no harm to say so
-            h, m = np.concatenate(hashes), np.concatenate(marks)
-            order = np.argsort(h, kind="stable")
+        if len(runs) > 1:  # in two batches of the part: in two documents, or it does no harm to say so
+            h, m = np.concatenate(runs), np.concatenate(marks)
+            order = np.argsort(h)
             h, m = h[order], m[order]
             starts = runs_of(h)
             more = np.diff(np.r_[starts, len(h)]) > 1
-            hashes, marks = [h[starts]], [np.bitwise_or.reduceat(m, starts) | (SEVERAL * more).astype(np.uint8)]
+            runs, marks = [h[starts]], [np.bitwise_or.reduceat(m, starts) | (SEVERAL * more).astype(np.uint8)]
         out = []
-        if hashes:
-            h = hashes[0]
-            # within a bucket 32 bits tell runs apart: a mistake only has a window looked at in vain
-            out = [(bucket, key[0].as_py(), blob) for bucket, blob in by_bucket(bucket_of(h), [(h & LOW).astype("<u4"), marks[0]])]
+        if runs:
+            h = runs[0]
+            out = [(bucket, key[0].as_py(), blob) for bucket, blob in blobs_of((h >> np.uint64(32)).astype(np.int64), [(h & LOW).astype(np.uint32), marks[0]])]
         give_back()
         return sent(out)
 
@@ -153,7 +167,8 @@ def repeats(docs: DataFrame, repeat: int = REPEAT, keep: tuple[str, ...] = ()) -
             size = np.diff(np.r_[starts, len(m)])
             both = np.bitwise_or.reduceat(m, starts) | (SEVERAL * (size > 1)).astype(np.uint8)
             take = order[np.repeat(both == ALIGNED | SEVERAL, size)]
-            out = [(p, key[0].as_py(), blob) for p, blob in by_bucket(of[take], [low[take]])]
+            take = take[np.argsort(of[take], kind="stable")]
+            out = [(p, key[0].as_py(), blob) for p, blob in blobs_of(of[take], [low[take]])]
         del low, mark, blob, order
         give_back()
         return sent(out)
@@ -166,8 +181,7 @@ def repeats(docs: DataFrame, repeat: int = REPEAT, keep: tuple[str, ...] = ()) -
         for b in left.to_batches() if len(hit) else []:
             w = Words(b)
             at = w.inside(block)
-            h = w.runs(block, FACTORS[0])[at]
-            h = h & LOW | bucket_of(h).astype(np.uint64) << np.uint64(32)
+            h = key_of(w.runs(block, FACTORS[0])[at])
             at = at[hit[np.minimum(np.searchsorted(hit, h), len(hit) - 1)] == h]
             n = len(w.doc)
             mark = np.zeros(n + 1, np.int32)
@@ -177,7 +191,7 @@ def repeats(docs: DataFrame, repeat: int = REPEAT, keep: tuple[str, ...] = ()) -
             near[w.inside(repeat)] = True
             at = np.flatnonzero((np.cumsum(mark)[:n] > 0) & near)
             if len(at):
-                for to, x in zip(found, (w.runs(repeat, FACTORS[0])[at], w.runs(repeat, FACTORS[1])[at], w.ids[w.doc[at]])):
+                for to, x in zip(found, (w.runs(repeat, FACTORS[0])[at], (w.runs(repeat, FACTORS[1])[at] & LOW).astype(np.uint32), w.ids[w.doc[at]])):
                     to.append(x)
         out = []
         if found[0]:
@@ -185,53 +199,66 @@ def repeats(docs: DataFrame, repeat: int = REPEAT, keep: tuple[str, ...] = ()) -
             order = np.lexsort((ids, c, a))
             a, c, ids = a[order], c[order], ids[order]
             starts = runs_of(a, c)
-            last = ids[np.r_[starts[1:], len(ids)] - 1]
-            a, c, first = a[starts], c[starts], ids[starts]
-            out = [(bucket, key[0].as_py(), blob) for bucket, blob in by_bucket(bucket_of(a), [a, c, first, last])]
+            several = ids[np.r_[starts[1:], len(ids)] - 1] > ids[starts]
+            bucket = ((a >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)[starts]
+            order = np.lexsort((ids[starts], bucket))
+            some = starts[order]
+            out = [(b, key[0].as_py(), blob) for b, blob in blobs_of(bucket[order], [a[some], c[some], ids[some], several[order].astype(np.uint8)])]
         give_back()
         return sent(out)
 
     def later(key, group):
-        """For each part, its windows that a document with a smaller doc_id has too, and the smallest there is."""
-        a, c, first, last, blob = columns_of(group.column("blob").to_pylist(), ("<u8", "<u8", "<i8", "<i8"))
+        """For each part, its windows that a document with a smaller doc_id has too: elsewhere (all of them go),
+        or in the part itself (all but those of its smallest doc_id go)."""
+        a, c, first, several, blob = columns_of(group.column("blob").to_pylist(), ("<u8", "<u4", "<i8", "u1"))
         of = group.column("of").to_numpy()[blob]
         order = np.lexsort((first, c, a))
         starts = runs_of(a[order], c[order])
         least = np.repeat(first[order][starts], np.diff(np.r_[starts, len(order)])) if len(starts) else first
-        some = last[order] > least
-        take, least = order[some], least[some]
-        out = [(p, key[0].as_py(), blob) for p, blob in by_bucket(of[take], [a[take], c[take], least])]
+        elsewhere = first[order] > least
+        some = elsewhere | (several[order] > 0)
+        take, elsewhere = order[some], elsewhere[some]
+        by = np.lexsort((elsewhere, of[take]))
+        take, elsewhere = take[by], elsewhere[by]
+        out = [(p, key[0].as_py(), blob) for p, blob in blobs_of(of[take], [a[take], c[take], elsewhere.astype(np.uint8)])]
         give_back()
         return sent(out)
 
-    found = rows.groupBy("part").applyInArrow(probe, blobs)
-    found = settled(found.groupBy("to").applyInArrow(hits, blobs).withColumnRenamed("to", "part"))
+    # no name is given to frames whose shuffles are to be dropped once the next one is settled
+    found = settled(rows.groupBy("part").applyInArrow(probe, blobs).groupBy("to").applyInArrow(hits, blobs).withColumnRenamed("to", "part"))
     release(docs.sparkSession, 1.5)
-    around = rows.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(extend, blobs)
-    gone = settled(around.groupBy("to").applyInArrow(later, blobs).withColumnRenamed("to", "part"))
+    gone = settled(rows.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(extend, blobs).groupBy("to").applyInArrow(later, blobs).withColumnRenamed("to", "part"))
     release(docs.sparkSession, 1.5)
     kept_row = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None).cast("int")
     rows = docs.select(part.alias("part"), F.col("doc_id").alias("doc_id"), text.alias("text"), kept_row.alias("row"))
 
     def remove(key, left, right):
         out = []
-        a, c, least, _ = columns_of(right.column("blob").to_pylist(), ("<u8", "<u8", "<i8"))
+        a, c, elsewhere, _ = columns_of(right.column("blob").to_pylist(), ("<u8", "<u4", "u1"))
         order = np.lexsort((c, a))
-        a, c, least = a[order], c[order], least[order]
-        for b in left.to_batches():
+        a, c = a[order], c[order]
+        least = np.where(elsewhere[order] > 0, np.iinfo(np.int64).min, NOBODY)
+        batches, found = left.to_batches(), []
+        for b in batches:  # windows that are told to go, and the smallest doc_id where it is of this part
             w = Words(b)
-            n = len(w.doc)
-            mark = np.zeros(n + 1, np.int32)
+            at, k = np.zeros(0, np.int64), np.zeros(0, np.int64)
             if len(a):
                 at = w.inside(repeat)
                 h = w.runs(repeat, FACTORS[0])[at]
                 k = np.minimum(np.searchsorted(a, h), len(a) - 1)
-                at, k = at[a[k] == h], k[a[k] == h]
-                more = w.runs(repeat, FACTORS[1])
-                at, k = at[more[at] == c[k]], k[more[at] == c[k]]
-                at = at[w.ids[w.doc[at]] > least[k]]
-                np.add.at(mark, at, 1)
-                np.add.at(mark, at + repeat, -1)
+                same = np.flatnonzero(a[k] == h)
+                at, k = at[same], k[same]
+                same = (w.runs(repeat, FACTORS[1])[at] & LOW).astype(np.uint32) == c[k]
+                at, k = at[same], k[same]
+                np.minimum.at(least, k, w.ids[w.doc[at]])
+            w.hashes = None
+            found.append((w, at, k))
+        for b, (w, at, k) in zip(batches, found):
+            n = len(w.doc)
+            mark = np.zeros(n + 1, np.int32)
+            at = at[w.ids[w.doc[at]] > least[k]]
+            np.add.at(mark, at, 1)
+            np.add.at(mark, at + repeat, -1)
             stay = np.cumsum(mark)[:n] == 0
             at = np.concatenate(([0], np.cumsum(stay)))[w.offsets]
             words = pa.ListArray.from_arrays(pa.array(at, pa.int32()), (w.flat if stay.all() else w.flat.filter(pa.array(stay))).cast(pa.string()))
