@@ -5,13 +5,14 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
-import time
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 FREQUENT = 10_000  #: hot groups broadcast at most
 
 
@@ -49,16 +50,28 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def dropping_shuffles(spark: SparkSession):
+    """Jobs of the block delete their shuffle files as they end: their results are kept elsewhere."""
+    old = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, old)
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once into the shared folder; its lineage ends there, so that its shuffles can be freed.
+    """df computed once into the shared folder; its lineage ends there and its shuffles are dropped.
 
     Spark removes the files when the last frame that reads them is garbage, if
     spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     spark = df.sparkSession
     shared_dir(spark)
-    release(spark)  # of frames before this one: the caller still holds df itself
-    return df.checkpoint(eager=True)
+    collected(spark)
+    with dropping_shuffles(spark):
+        return df.select("*").checkpoint(eager=True)  # a plan of its own, made under the setting
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
@@ -68,21 +81,17 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/factloom-{what}-{uuid.uuid4().hex}"
-    release(spark)
+    collected(spark)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    df.write.option("compression", "zstd").parquet(path)
+    with dropping_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, wait: float = 0.0) -> None:
-    """Lets Spark's cleaner drop shuffle files of frames that nobody holds any more.
-
-    The bridge to the JVM lets go of Python's frames within about a second; wait that long
-    where the next job writes much.
-    """
+def collected(spark: SparkSession) -> None:
+    """Lets go of frames that nobody holds any more, which keeps the driver small."""
     gc.collect()
-    time.sleep(wait)
     spark.sparkContext._jvm.System.gc()
 
 
