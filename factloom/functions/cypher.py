@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import model as M
 from ..errors import InvalidQuery
-from .sparql import cast_boolean, cast_integer, local
+from .sparql import cast_boolean, cast_integer, local, zone
 from .values import V, boolean, equal, number, text
 
 
@@ -14,8 +14,8 @@ def math(f):
     return lambda a: number(f(a[0].number))
 
 
-def whole(f):
-    return lambda a: number(f(a[0].number), a[0].is_whole)
+def magnitude(a: list[V]) -> V:
+    return number(F.abs(a[0].number), a[0].is_whole, F.when(a[0].exact >= 0, a[0].exact).otherwise(F.try_subtract(F.lit(0).cast("bigint"), a[0].exact)))
 
 
 def component(f):
@@ -23,9 +23,37 @@ def component(f):
 
 
 def length(a: list[V]) -> V:
+    if a[0].form == "path":
+        return number(F.floor(F.size(a[0].col) / 2), True)
     return number(F.size(a[0].col) if a[0].form == "list" else F.length(a[0].text), True)
 
 
+def along(odd: int):
+    """The nodes (0) or relationships (1) of a path."""
+    def call(a: list[V]) -> V:
+        if a[0].form != "path":
+            raise InvalidQuery("nodes() and relationships() are of paths")
+        return V(F.filter(a[0].col, lambda x, i: i % 2 == odd), "list")
+
+    return call
+
+
+def keys(a: list[V]) -> V:
+    if a[0].form != "map":
+        raise InvalidQuery("keys() is of nodes, relationships and maps")
+    return V(F.transform(F.array_sort(F.map_keys(a[0].col)), M.string), "list")
+
+
+def properties(a: list[V]) -> V:
+    if a[0].form != "map":
+        raise InvalidQuery("properties() is of nodes, relationships and maps")
+    return a[0]
+
+
+def now(a: list[V]) -> V:
+    return V(M.date_time(F.unix_millis(F.current_timestamp())))
+
+
 def pick(at):
     return lambda a: V(F.try_element_at(a[0].col, F.lit(at)))
 
@@ -65,17 +93,24 @@ FUNCTIONS = {
     "isnode": lambda a: boolean(M.kind(a[0].term).isin("I", "N", "_", "S")),
     "id": lambda a: V(a[0].term), "elementid": lambda a: text(a[0].term), "statementid": lambda a: number(M.body(a[0].term).try_cast("bigint"), True),
     "size": length, "length": length, "char_length": length, "isempty": lambda a: boolean(length(a).col == 0),
+    "nodes": along(0), "relationships": along(1), "keys": keys, "properties": properties,
+    "datetime.statement": now, "datetime.transaction": now, "datetime.realtime": now, "localdatetime.statement": now, "localdatetime.transaction": now, "localdatetime.realtime": now,
+    "date.statement": lambda a: V(M.date(F.unix_date(F.current_date()))), "date.transaction": lambda a: V(M.date(F.unix_date(F.current_date()))), "date.realtime": lambda a: V(M.date(F.unix_date(F.current_date()))),
+    "timezone": lambda a: text(zone(a[0])), "offset": lambda a: text(zone(a[0])),
     "head": pick(1), "last": pick(-1), "tail": lambda a: V(F.slice(a[0].col, F.lit(2), F.greatest(F.size(a[0].col) - 1, F.lit(0))), "list"),
     "reverse": lambda a: V(F.reverse(a[0].col), "list") if a[0].form == "list" else text(F.reverse(a[0].text)),
     "range": range_list,
     "tostring": lambda a: text(a[0].text), "tointeger": lambda a: cast_integer(a[0]), "toboolean": lambda a: cast_boolean(a[0]),
     "tofloat": lambda a: number(F.coalesce(a[0].number, F.trim(a[0].text).try_cast("double"))),
     "tolower": lambda a: text(F.lower(a[0].text)), "toupper": lambda a: text(F.upper(a[0].text)),
+    "tostringornull": lambda a: text(a[0].text), "tointegerornull": lambda a: cast_integer(a[0]), "tobooleanornull": lambda a: cast_boolean(a[0]),
+    "tofloatornull": lambda a: number(F.coalesce(a[0].number, F.trim(a[0].text).try_cast("double"))),
+    "character_length": length,
     "trim": lambda a: text(F.trim(a[0].text)), "ltrim": lambda a: text(F.ltrim(a[0].text)), "rtrim": lambda a: text(F.rtrim(a[0].text)),
     "substring": substring, "left": lambda a: text(F.left(a[0].text, a[1].number.cast("int"))), "right": lambda a: text(F.right(a[0].text, a[1].number.cast("int"))),
     "replace": lambda a: text(F.replace(a[0].text, a[1].text, a[2].text)),
     "split": lambda a: V(F.transform(F.split(a[0].text, F.concat(F.lit("\\Q"), a[1].text, F.lit("\\E")), -1), M.string), "list"),
-    "abs": whole(F.abs), "sign": lambda a: number(F.signum(a[0].number), True), "ceil": math(F.ceil), "floor": math(F.floor), "round": math(lambda x: F.floor(x + 0.5)),
+    "abs": magnitude, "sign": lambda a: number(F.signum(a[0].number), True), "ceil": math(F.ceil), "floor": math(F.floor), "round": math(lambda x: F.floor(x + 0.5)),
     "sqrt": math(F.sqrt), "exp": math(F.exp), "log": math(F.ln), "log10": math(F.log10), "sin": math(F.sin), "cos": math(F.cos), "tan": math(F.tan), "cot": math(F.cot),
     "asin": math(F.asin), "acos": math(F.acos), "atan": math(F.atan), "degrees": math(F.degrees), "radians": math(F.radians),
     "atan2": lambda a: number(F.atan2(a[0].number, a[1].number)), "haversin": math(lambda x: (1 - F.cos(x)) / 2),

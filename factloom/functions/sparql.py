@@ -57,9 +57,12 @@ def cast_boolean(v: V) -> V:
 
 def cast_integer(v: V) -> V:
     n = F.coalesce(v.number, F.trim(v.text).try_cast("double"))
+    long = F.coalesce(v.exact, F.trim(v.text).try_cast("bigint"))
     if v.form == "term":
         n = F.coalesce(n, F.when(M.kind(v.term) == "b", (M.body(v.term) == "true").cast("double")))
-    return number(F.when(F.isnan(n), None).otherwise(F.signum(n) * F.floor(F.abs(n))), True)
+    cut = F.signum(n) * F.floor(F.abs(n))
+    long = F.when(M.exact(n, long).isNotNull(), long).otherwise(cut.try_cast("bigint"))
+    return number(F.when(F.isnan(n) | long.isNull(), None).otherwise(cut), True, long)
 
 
 def cast_date_time(v: V) -> V:

@@ -12,18 +12,23 @@ from .. import model as M
 
 @dataclass(frozen=True)
 class V:
-    """form: term (canonical key), number (double; whole tells integers), text, bool, or list (of keys)."""
+    """form: term (canonical key), number, text, bool, list (of keys), or map (of names to keys).
+
+    A number is a double. whole tells whether it is an integer, and exact, a bigint, is that
+    integer (null for other numbers); without exact the double itself is taken to be it.
+    """
 
     col: Column
     form: str = "term"
     whole: Column | None = None
+    long: Column | None = None
 
     @property
     def term(self) -> Column:
         if self.form == "term":
             return self.col
         if self.form == "number":
-            return F.when(self.is_whole, M.integer(self.col.cast("bigint"))).otherwise(M.double(self.col))
+            return F.when(self.is_whole, M.integer(self.exact)).otherwise(M.double(self.col))
         return M.string(self.col) if self.form == "text" else M.boolean(self.col) if self.form == "bool" else self.col
 
     @property
@@ -32,6 +37,13 @@ class V:
             return self.col
         return M.num(self.col) if self.form == "term" else self.col.try_cast("double")
 
+    @property
+    def exact(self) -> Column:
+        """The integer as a bigint; null for what is none."""
+        if self.form == "number":
+            return self.long if self.long is not None else F.when(self.is_whole, self.col.try_cast("bigint"))
+        return M.whole(self.col) if self.form == "term" else F.lit(None).cast("bigint")
+
     @property
     def is_whole(self) -> Column:
         if self.form == "number":
@@ -56,11 +68,19 @@ class V:
         return F.when(k == "b", M.body(self.col) == "true").when(n.isNotNull(), (n != 0) & ~F.isnan(n)).when(k.isin("s", "l"), F.length(M.lex(self.col)) > 0)
 
     def sort(self, order: tuple = M.VALUE_ORDER) -> Column:
+        if self.form == "number":
+            return F.struct(self.col.alias("number"), M.exact(self.col, self.exact).alias("whole"))
         return self.col if self.form in ("number", "text", "bool") else M.sort_key(self.col, order)
 
 
-def number(c: Column, whole: Column | bool = False) -> V:
-    return V(c.cast("double"), "number", F.lit(whole) if isinstance(whole, bool) else whole)
+def number(c: Column, whole: Column | bool = False, long: Column | None = None) -> V:
+    return V(c.cast("double"), "number", F.lit(whole) if isinstance(whole, bool) else whole, long)
+
+
+def integer(c: Column) -> V:
+    """An integer from a bigint, exactly."""
+    c = c.cast("bigint")
+    return V(c.cast("double"), "number", F.lit(True), c)
 
 
 def text(c: Column) -> V:
@@ -74,8 +94,10 @@ def boolean(c: Column) -> V:
 def constant(value) -> V:
     if isinstance(value, bool):
         return boolean(F.lit(value))
-    if isinstance(value, (int, float)):
-        return number(F.lit(value), isinstance(value, int))
+    if isinstance(value, int):
+        return integer(F.lit(value)) if -(1 << 63) <= value < 1 << 63 else V(F.lit(M.key(value)))
+    if isinstance(value, float):
+        return number(F.lit(value))
     if value is None:
         return V(F.lit(None).cast("string"))
     return V(F.lit(value if isinstance(value, str) and value[1:2] == ":" else M.key(value)))
@@ -84,30 +106,70 @@ def constant(value) -> V:
 # --- comparison and arithmetic ----------------------------------------------
 
 
+def compared(a: V, b: V, test) -> Column:
+    """test on two numbers; where they are one as doubles, whole numbers decide."""
+    x, y = a.number, b.number
+    fine = test(M.exact(x, a.exact), M.exact(y, b.exact))
+    return F.when(x == y, F.coalesce(fine, test(x, y))).otherwise(test(x, y))
+
+
 def equal(a: V, b: V) -> V:
     """Value equality: numbers across types, date-times by instant, else the same term."""
-    if a.form == b.form and a.form in ("number", "text", "bool"):
+    same = lambda x, y: x == y
+    if a.form == b.form == "number":
+        return boolean(compared(a, b, same))
+    if a.form == b.form and a.form in ("text", "bool"):
         return boolean(a.col == b.col)
     if "number" in (a.form, b.form):
-        return boolean(F.coalesce(a.number == b.number, F.when(a.term.isNotNull() & b.term.isNotNull(), F.lit(False))))
+        return boolean(F.coalesce(compared(a, b, same), F.when(a.term.isNotNull() & b.term.isNotNull(), F.lit(False))))
     x, y = a.term, b.term
-    return boolean(F.coalesce(M.num(x) == M.num(y), M.millis(x) == M.millis(y), x == y))
+    return boolean(F.coalesce(compared(V(x), V(y), same), M.millis(x) == M.millis(y), x == y))
 
 
 def ordered(a: V, b: V, test) -> V:
     """a < b and the like; null where the two cannot be compared."""
-    if a.form == b.form and a.form in ("number", "text", "bool"):
+    if a.form == b.form and a.form in ("text", "bool"):
         return boolean(test(a.col, b.col))
     if "number" in (a.form, b.form):
-        return boolean(test(a.number, b.number))
+        return boolean(compared(a, b, test))
     x, y = a.term, b.term
     same = (M.kind(x) == M.kind(y)) & M.kind(x).isin("s", "l", "b", "D")
     plain = F.when(M.kind(x) == "D", test(M.days(x).cast("double"), M.days(y).cast("double"))).otherwise(test(M.lex(x), M.lex(y)))
-    return boolean(F.coalesce(test(M.num(x), M.num(y)), test(M.millis(x), M.millis(y)), F.when(same, plain)))
+    return boolean(F.coalesce(compared(V(x), V(y), test), test(M.millis(x), M.millis(y)), F.when(same, plain)))
+
+
+WIDE = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}
 
 
 def arithmetic(op: str, a: V, b: V) -> V:
-    """+ - * keep integers; / is always real; errors and division by zero are null."""
+    """+ - * keep integers, exactly; / is always real; errors, division by zero and overflow are null."""
+    x, y = a.number, b.number
+    if op == "/":
+        return number(F.try_divide(x, y))
+    out = {"+": x + y, "-": x - y, "*": x * y}[op]
+    if a.whole is not None and b.whole is not None and a.long is None and b.long is None:
+        return number(out, a.is_whole & b.is_whole)
+    both = a.is_whole & b.is_whole
+    long = WIDE[op](a.exact, b.exact)
+    return number(F.when(both, long.cast("double")).otherwise(out), both, long)
+
+
+def strict(op: str, a: V, b: V) -> V:
+    """Cypher's arithmetic: integers stay so and / cuts; overflow, and integers divided by zero, raise."""
     x, y = a.number, b.number
-    out = {"+": x + y, "-": x - y, "*": x * y, "/": F.try_divide(x, y)}[op]
-    return number(out, F.lit(False) if op == "/" else a.is_whole & b.is_whole)
+    both = a.is_whole & b.is_whole
+    i, j = a.exact, b.exact
+    if op in ("/", "%"):
+        real = F.when(y != 0, F.try_divide(x, y) if op == "/" else F.try_mod(x, y))
+        if op == "/":  # as floats do: signed infinity, or no number for 0 / 0
+            real = F.when(y != 0, real).when(x != 0, F.signum(x) * F.lit(float("inf"))).otherwise(F.when(x.isNotNull() & y.isNotNull(), F.lit(float("nan"))))
+        else:
+            real = F.when(y != 0, real).otherwise(F.when(x.isNotNull() & y.isNotNull(), F.lit(float("nan"))))
+        zero = F.raise_error(F.lit("division by zero" if op == "/" else "modulo by zero")).cast("bigint")
+        cut = F.try_mod(i, j) if op == "%" else F.when((i == -(1 << 63)) & (j == -1), F.raise_error(F.lit("integer overflow")).cast("bigint")).otherwise(F.call_function("div", i, j))
+        long = F.when(both & (j == 0), zero).when(both, cut)
+    else:
+        real = {"+": x + y, "-": x - y, "*": x * y}[op]
+        long = WIDE[op](i, j)
+        long = F.when(both & i.isNotNull() & j.isNotNull() & long.isNull(), F.raise_error(F.lit("integer overflow")).cast("bigint")).when(both, long)
+    return number(F.when(both, long.cast("double")).otherwise(real), both, long)

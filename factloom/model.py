@@ -117,6 +117,16 @@ def num(k: Column) -> Column:
     return F.when(kind(k).isin("i", "d", "m"), body(k).try_cast("double"))
 
 
+def whole(k: Column) -> Column:
+    """The whole number of an integer key, exactly, else null (as for integers beyond 64 bits)."""
+    return F.when(kind(k) == "i", body(k).try_cast("bigint"))
+
+
+def exact(n: Column, w: Column) -> Column:
+    """The whole number where doubles no longer tell whole numbers apart: w, or the double n itself; else null."""
+    return F.when(F.abs(n) >= 2.0**53, F.coalesce(w, n.try_cast("bigint")))
+
+
 def millis(k: Column) -> Column:
     """The instant of a date-time in ms, else null."""
     return F.when(kind(k) == "t", F.substring_index(body(k), "|", 1).try_cast("bigint"))
@@ -148,6 +158,9 @@ def datatype(k: Column) -> Column:
     return out
 
 
+#: Kinds of nodes: named, anonymous and blank ones.
+NODES = ("I", "N", "_")
+
 #: Letters of kinds in ascending order of values: SPARQL's, and Cypher's.
 VALUE_ORDER = ("N_", "I", "S", "T", "idm", "b", "t", "D", "s", "l", "x")
 CYPHER_ORDER = ("IN_", "S", "T", "t", "D", "slx", "b", "idm")
@@ -165,12 +178,13 @@ def kind_rank(k: Column, order: tuple = VALUE_ORDER) -> Column:
 def sort_key(k: Column, order: tuple = VALUE_ORDER) -> Column:
     """A struct that sorts as the value order does; null for no term."""
     number = F.coalesce(num(k), millis(k).cast("double"), days(k).cast("double"), F.when(kind(k).isin("S", "T", "N"), body(k).try_cast("double")))
-    return F.when(k.isNotNull(), F.struct(kind_rank(k, order).alias("kind"), number.alias("number"), lex(k).alias("text"), k.alias("term")))
+    return F.when(k.isNotNull(), F.struct(kind_rank(k, order).alias("kind"), number.alias("number"), exact(num(k), whole(k)).alias("whole"), lex(k).alias("text"), k.alias("term")))
 
 
 def group_key(k: Column) -> Column:
     """Equal for terms of equal value: 1 and 1.0 are one, as are date-times of one instant."""
-    return F.coalesce(F.concat(F.lit("#"), num(k).cast("string")), F.concat(F.lit("@"), millis(k).cast("string")), k)
+    n = num(k)
+    return F.coalesce(F.concat(F.lit("#"), F.coalesce(exact(n, whole(k)).cast("string"), n.cast("string"))), F.concat(F.lit("@"), millis(k).cast("string")), k)
 
 
 # --- views -----------------------------------------------------------------
