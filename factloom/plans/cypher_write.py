@@ -5,7 +5,7 @@ A reading part (MATCH .. WHERE ..) gives rows; each writing clause then is one b
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import model as M
@@ -25,15 +25,7 @@ class WriteParser(Parser):
         op = None
         while self.sees("MATCH", "OPTIONAL"):
             optional = self.word("OPTIONAL")
-            self.need("MATCH")
-            self.matches += 1
-            parts = self.patterns(f"m{self.matches}")
-            tests = self.where()
-            if optional:
-                op = ir.LeftJoin(op or ir.Join(()), ir.Join(tuple(parts)), tuple(tests))
-            else:
-                op = ir.Join(((op,) if op else ()) + tuple(parts))
-                op = ir.Filter(self.looked(op), tuple(tests)) if tests else op
+            op = self.matched(op, optional)
         return op
 
     def made(self) -> list:
@@ -134,10 +126,14 @@ def created(store: writes.Store, rows: DataFrame, triples: list) -> tuple[writes
     for t in sorted(triples, key=lambda t: isinstance(t.s, ir.Var) and t.s.name in rels):
         cell = lambda x: F.col(x.name) if isinstance(x, ir.Var) else F.lit(x)
         facts = rows.select(cell(t.s).alias("s"), F.lit(t.p).alias("p"), cell(t.o).alias("o"), NONE.alias("v_from"), NONE.alias("v_to"))
-        store, new = writes.create(store, facts.distinct())
-        if t.eid is not None and t.eid.name in rels:
-            ids = new.select(F.col("s").alias("__s"), F.col("o").alias("__o"), M.statement_ref("eid").alias(t.eid.name))
-            rows = settled(rows.join(ids, (cell(t.s) == F.col("__s")) & (cell(t.o) == F.col("__o"))).drop("__s", "__o"))
+        edge = t.eid is not None and t.eid.name in rels
+        store, new = writes.create(store, facts if edge else facts.distinct())
+        if edge:  # a relationship a row: of rows with the same ends, the n-th gets the n-th
+            nth = lambda s, o, by: F.row_number().over(Window.partitionBy(s, o).orderBy(by))
+            ids = new.select(F.col("s").alias("__s"), F.col("o").alias("__o"), nth("s", "o", "eid").alias("__k"), M.statement_ref("eid").alias(t.eid.name))
+            rows = rows.withColumns({"__a": cell(t.s), "__b": cell(t.o), "__row": F.monotonically_increasing_id()})
+            rows = rows.withColumn("__n", nth("__a", "__b", "__row"))
+            rows = settled(rows.join(ids, (F.col("__a") == F.col("__s")) & (F.col("__b") == F.col("__o")) & (F.col("__n") == F.col("__k"))).drop("__s", "__o", "__k", "__a", "__b", "__row", "__n"))
     return store, rows
 
 

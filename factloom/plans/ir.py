@@ -37,7 +37,10 @@ class Exists:
 
 @dataclass(frozen=True)
 class Lookup:
-    """The value of a predicate of a bound subject: of the smallest eid, or a list if many. Never multiplies rows."""
+    """The value of a predicate of a bound subject: of the smallest eid, or a list if many. Never multiplies rows.
+
+    The predicate @properties stands for a map of all properties: literals, by predicate.
+    """
 
     subject: Var
     predicate: str
@@ -84,12 +87,30 @@ class Virtual:
 
 @dataclass(frozen=True)
 class PathMatch:
-    """s path o by reachability, from where s or o is bound or from all subjects."""
+    """s path o, from where s or o is bound or from all subjects.
+
+    mode: reach (each end once), trail (each way without a statement twice), any or all (shortest
+    ways). bind names the way, a list of nodes and the statements between them; longest is a
+    bound on hops, beyond which a search raises if it is the engine's own (capped).
+    """
 
     s: object
     path: object
     o: object
     view: M.View | None = None
+    mode: str = "reach"
+    bind: str = ""
+    longest: int | None = None
+    capped: bool = False
+    iso: str = ""
+
+
+@dataclass(frozen=True)
+class NodeScan:
+    """Every node: subjects of statements but the system's, and nodes that relationships point to."""
+
+    node: Var
+    view: M.View | None = None
 
 
 @dataclass(frozen=True)

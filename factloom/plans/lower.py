@@ -10,23 +10,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import model as M
-from ..errors import InvalidQuery
+from ..errors import InvalidQuery, LimitExceeded, Unsupported
 from ..functions import cypher as cypher_functions
 from ..functions import sparql as sparql_functions
-from ..functions.values import V, arithmetic, boolean, constant, equal, number, ordered
+from ..functions.values import V, arithmetic, boolean, constant, equal, integer, number, ordered, strict
 from ..operators import paths
-from . import ir
+from . import cyclic, ir
+from .settle import settled
 
+NESTED = ("list", "map", "path")  #: forms that stay as they are in a column
 TESTS = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
 
 
+def column(name: str) -> Column:
+    """A column whose name may hold dots and other signs."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 @dataclass
 class Rel:
     """Rows with a column a variable, and which variables may be null."""
 
     df: DataFrame
     maybe: frozenset = frozenset()
-    forms: dict = field(default_factory=dict)  #: variables that are not terms: number, text, bool, list
+    forms: dict = field(default_factory=dict)  #: variables that are not terms: number (double), int (bigint), text, bool, list, map
     iso: dict = field(default_factory=dict)  #: MATCH -> [(hidden eid column, constant predicate or None)]
 
     @property
@@ -54,7 +61,7 @@ class Lowering:
     def run(self, op) -> DataFrame:
         """The rows of op with terms in all columns but those of aggregates and computed numbers."""
         rel = self.lower(op)
-        return rel.df.select(*rel.vars)
+        return rel.df.select(*map(column, rel.vars))
 
     def lower(self, op) -> Rel:
         return getattr(self, f"_{type(op).__name__.lower()}")(op)
@@ -131,24 +138,44 @@ class Lowering:
             return Rel(x.withColumnRenamed("__v", v.value.name))
         return Rel(x.where(F.col("__v") == F.lit(M.key(v.value) if not isinstance(v.value, str) else v.value)).drop("__v"))
 
-    def _pathmatch(self, p: ir.PathMatch) -> Rel:
+    def _pathmatch(self, p: ir.PathMatch, seeds: DataFrame | None = None, at: str = "") -> Rel:
+        """seeds (node) are the values that the variable ``at`` may have; without them all nodes are tried."""
         x = self._seen(p.view or self.view)
         path = paths.parse_path(p.path) if isinstance(p.path, str) else p.path
-        s, o = p.s, p.o
-        if isinstance(s, ir.Var) and not isinstance(o, ir.Var):  # from the bound end
-            s, o, path = o, s, paths.inverted(path)
-        if isinstance(s, ir.Var):
+        s, o, back = p.s, p.o, False
+        if isinstance(s, ir.Var) and (not isinstance(o, ir.Var) or at == o.name != s.name):  # from the bound end
+            s, o, path, back = o, s, paths.inverted(path), True
+        if seeds is not None:
+            starts = seeds
+        elif isinstance(s, ir.Var):
             starts = x.select(F.col("s").alias("node")).union(x.select("o")).distinct()
         else:
             starts = x.sparkSession.createDataFrame([(s,)], "node string")
-        r = paths.reach(x, starts, path).rows
+        if p.mode == "reach":
+            r = paths.reach(x, starts, path).rows
+            extra, iso = [], {}
+        else:
+            found = paths.trails(x, starts, path, p.longest) if p.mode == "trail" else paths.shortest(x, starts, path, p.mode, p.longest)
+            if p.capped and found.verdict != "exhaustive":
+                raise LimitExceeded(f"paths of more than {p.longest} hops")
+            eids, nodes = (F.reverse("eids"), F.reverse("nodes")) if back else (F.col("eids"), F.col("nodes"))
+            steps = F.flatten(F.zip_with(eids, F.slice(nodes, F.lit(2), F.size(eids)), lambda e, n: F.array(M.statement_ref(e), n)))
+            h = f"__pe{next(self.fresh)}"
+            r, iso = found.rows, {p.iso: [(h, None)]} if p.iso and self.semantics.isomorphism else {}
+            extra = ([F.concat(F.slice(nodes, 1, 1), steps).alias(p.bind)] if p.bind else []) + ([eids.alias(h)] if iso else [])
+        forms = {p.bind: "path"} if p.bind and extra else {}
         if isinstance(s, ir.Var) and isinstance(o, ir.Var):
             if s.name == o.name:
-                return Rel(r.where("start = node").select(F.col("start").alias(s.name)))
-            return Rel(r.select(F.col("start").alias(s.name), F.col("node").alias(o.name)))
+                return Rel(r.where("start = node").select(F.col("start").alias(s.name), *extra), forms=forms, iso=iso)
+            return Rel(r.select(F.col("start").alias(s.name), F.col("node").alias(o.name), *extra), forms=forms, iso=iso)
         if isinstance(o, ir.Var):
-            return Rel(r.select(F.col("node").alias(o.name)))
-        return Rel(r.where(F.col("node") == o).select(F.lit(1).alias("__one")))
+            return Rel(r.select(F.col("node").alias(o.name), *extra), forms=forms, iso=iso)
+        return Rel(r.where(F.col("node") == o).select(F.lit(1).alias("__one"), *extra), forms=forms, iso=iso)
+
+    def _nodescan(self, n: ir.NodeScan) -> Rel:
+        x = self._seen(n.view or self.view).where(~F.startswith("p", F.lit(M.SYS)))
+        ends = x.where((F.col("p") != M.RDF_TYPE) & M.kind(F.col("o")).isin(*M.NODES)).select("o")
+        return Rel(x.select(F.col("s").alias(n.node.name)).where(M.kind(F.col(n.node.name)).isin(*M.NODES)).union(ends).distinct())
 
     def _table(self, t: ir.Table) -> Rel:
         return Rel(t.frame, frozenset(t.maybe))
@@ -171,11 +198,22 @@ class Lowering:
     def _join(self, j: ir.Join) -> Rel:
         if not j.parts:
             return Rel(self.statements.sparkSession.range(1).select(F.lit(1).alias("__one")))
-        rels = [self.lower(p) for p in j.parts]
-        out = rels.pop(0)
+        walks = [p for p in j.parts if isinstance(p, ir.PathMatch)]
+        rels = [self.lower(p) for p in cyclic.ordered([p for p in j.parts if not isinstance(p, ir.PathMatch)])]
+        out = rels.pop(0) if rels else self.lower(walks.pop(0))
         while rels:  # connected parts first, so that only what shares nothing is crossed
             i = next((i for i, r in enumerate(rels) if set(r.vars) & set(out.vars)), 0)
             out = self._pair(out, rels.pop(i))
+        while walks:  # paths last, from the ends that are known by then
+            known = lambda t: isinstance(t, ir.Var) and t.name in out.vars and t.name not in out.maybe
+            i = next((i for i, w in enumerate(walks) if known(w.s) or known(w.o)), 0)
+            w = walks.pop(i)
+            end = w.s if known(w.s) else w.o if known(w.o) else None
+            if end is None or not (isinstance(w.s, ir.Var) and isinstance(w.o, ir.Var)):
+                out = self._pair(out, self.lower(w))
+            else:
+                out = Rel(settled(out.df), out.maybe, out.forms, out.iso)
+                out = self._pair(out, self._pathmatch(w, out.df.select(F.col(end.name).alias("node")).distinct(), end.name))
         return out
 
     def _pair(self, a: Rel, b: Rel) -> Rel:
@@ -226,7 +264,13 @@ class Lowering:
         tests = []
         for name in set(a.iso) & set(b.iso):
             for (x, p), (y, q) in itertools.product(a.iso[name], b.iso[name]):
-                if p is None or q is None or p == q:
+                walk = [c.startswith("__pe") for c in (x, y)]
+                if all(walk):
+                    tests.append(~F.arrays_overlap(x, y))
+                elif any(walk):
+                    a_, b_ = (x, y) if walk[0] else (y, x)
+                    tests.append(~F.array_contains(F.col(a_), F.col(b_)))
+                elif p is None or q is None or p == q:
                     tests.append(F.col(x) != F.col(y))
         return tests
 
@@ -248,8 +292,6 @@ class Lowering:
             return self._merged(df, a, b2, shared, ren, "left")
         # with missing values: matches, and the rows that have none
         tag = f"__id{next(self.fresh)}"
-        from .settle import settled
-
         left = Rel(settled(a.df.withColumn(tag, F.monotonically_increasing_id())), a.maybe, a.forms, a.iso)
         hit = self._pair(left, b)
         if j.on:
@@ -270,9 +312,35 @@ class Lowering:
         if not loose:
             df = a.df.join(right, [F.col(v) == F.col(ren[v]) for v in shared], "left_anti")
             return Rel(df, a.maybe, a.forms, a.iso)
-        test = [F.col(v).isNull() | F.col(ren[v]).isNull() | (F.col(v) == F.col(ren[v])) if v in loose else F.col(v) == F.col(ren[v]) for v in shared]
-        some = reduce(lambda p, q: p | q, [F.col(v).isNotNull() & F.col(ren[v]).isNotNull() for v in shared])
-        return Rel(a.df.join(right, [*test, some], "left_anti"), a.maybe, a.forms, a.iso)
+        return Rel(self._agreeing(a.df, right, shared, loose, ren, True, True), a.maybe, a.forms, a.iso)
+
+    @staticmethod
+    def _agreeing(a: DataFrame, right: DataFrame, shared, loose, ren, common: bool, negated: bool) -> DataFrame:
+        """Rows of a that agree (or do not: negated) with some row of right wherever both have a value.
+
+        common: they must share a value. Every set of variables that miss on a side gets an
+        equi-join of its own, so that there is no join by a condition with OR.
+        """
+        flags, out = [], []
+        right = right.select(*ren.values()).distinct()
+        for left in itertools.product((True, False), repeat=len(loose)):
+            x = a.where(reduce(lambda p, q: p & q, [F.col(v).isNotNull() if has else F.col(v).isNull() for v, has in zip(loose, left)]))
+            flags = []
+            for there in itertools.product((True, False), repeat=len(loose)):
+                y = right.where(reduce(lambda p, q: p & q, [F.col(ren[v]).isNotNull() if has else F.col(ren[v]).isNull() for v, has in zip(loose, there)]))
+                both = [v for v in shared if v not in loose] + [v for v, p, q in zip(loose, left, there) if p and q]
+                flag = f"__f{len(flags)}"
+                if both:
+                    keys = y.select(*[ren[v] for v in both]).distinct().withColumn(flag, F.lit(True))
+                    x = x.join(keys, [F.col(v) == F.col(ren[v]) for v in both], "left").drop(*[ren[v] for v in both])
+                elif not common:  # nothing to agree on: any row does
+                    x = x.crossJoin(F.broadcast(y.limit(1).agg(F.when(F.count("*") > 0, True).alias(flag))))
+                else:
+                    continue
+                flags.append(flag)
+            found = reduce(lambda p, q: p | q, [F.col(f).isNotNull() for f in flags]) if flags else F.lit(False)
+            out.append(x.where(~found if negated else found).select(*a.columns))
+        return reduce(lambda p, q: p.unionByName(q), out)
 
     # --- unary -----------------------------------------------------------------
 
@@ -299,8 +367,10 @@ class Lowering:
         b = self.lower(e.op)
         shared = [v for v in rel.vars if v in b.vars]
         b2, ren = self._apart(b, shared)
-        loose = {v for v in shared if v in rel.maybe or v in b.maybe} if self.semantics.unbound else set()
-        on = [F.col(v).isNull() | F.col(ren[v]).isNull() | (F.col(v) == F.col(ren[v])) if v in loose else F.col(v) == F.col(ren[v]) for v in shared] + self._iso_tests(rel, b2)
+        loose = [v for v in shared if v in rel.maybe or v in b.maybe] if self.semantics.unbound else []
+        if loose:
+            return Rel(self._agreeing(rel.df, b2.df, shared, loose, ren, False, e.negated), rel.maybe, rel.forms, rel.iso)
+        on = [F.col(v) == F.col(ren[v]) for v in shared] + self._iso_tests(rel, b2)
         return Rel(rel.df.join(b2.df, on or F.lit(True), "left_anti" if e.negated else "left_semi"), rel.maybe, rel.forms, rel.iso)
 
     def _marked(self, rel: Rel, e):
@@ -326,13 +396,20 @@ class Lowering:
         rels = [self.lower(p) for p in u.parts]
         every = {v for r in rels for v in r.vars}
         maybe = {v for v in every if any(v in r.maybe or v not in r.vars for r in rels)}
-        df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [r.df.select(*r.vars) for r in rels])
+        df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [r.df.select(*map(column, r.vars)) for r in rels])
         return Rel(df, frozenset(maybe), {k: v for r in rels for k, v in r.forms.items()})
 
     def _with_lookups(self, rel: Rel, e):
         """Lookups in e as joined columns."""
         if isinstance(e, ir.Lookup):
             name = f"__l{next(self.fresh)}"
+            if e.predicate == "@properties":
+                x = self._seen(None).where(~F.startswith("p", F.lit(M.SYS)) & (F.col("p") != M.RDF_TYPE) & ~M.kind(F.col("o")).isin(*M.NODES, "S"))
+                one = x.groupBy(F.col("s").alias("__s"), "p").agg(F.min_by("o", "eid").alias("o"))
+                found = one.groupBy("__s").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("p", "o")))).alias(name))
+                df = rel.df.join(found, F.col(e.subject.name) == F.col("__s"), "left").drop("__s")
+                some = F.when(F.col(e.subject.name).isNotNull(), F.coalesce(name, F.create_map().cast("map<string,string>")))
+                return Rel(df.withColumn(name, some), rel.maybe, {**rel.forms, name: "map"}, rel.iso), ir.Var(name)
             x = self._seen(None).where(F.col("p") == e.predicate)
             value = F.min_by("o", "eid") if not e.many else F.transform(F.array_sort(F.collect_list(F.struct("eid", "o"))), lambda r: r["o"])
             found = x.groupBy(F.col("s").alias("__s")).agg(value.alias(name))
@@ -351,7 +428,8 @@ class Lowering:
         rel, e = self._with_lookups(rel, x.value)
         rel, e = self._marked(rel, e)
         v = self.value(e, rel)
-        return Rel(rel.df.withColumn(x.var, v.col if v.form == "list" else v.term), rel.maybe | {x.var}, {**rel.forms, x.var: "list"} if v.form == "list" else rel.forms, rel.iso)
+        forms = {k: f for k, f in rel.forms.items() if k != x.var} | ({x.var: v.form} if v.form in NESTED else {})
+        return Rel(rel.df.withColumn(x.var, v.term), rel.maybe | {x.var}, forms, rel.iso)
 
     def _unnest(self, u: ir.Unnest) -> Rel:
         rel = self.lower(u.op)
@@ -360,53 +438,77 @@ class Lowering:
 
     def _aggregate(self, a: ir.Aggregate) -> Rel:
         rel = self.lower(a.op)
-        cols, forms = [], {}
+        cols, forms, rows = [], {}, rel.df
         for name, agg in a.aggs:
-            c, form = self._agg(agg, rel)
+            c, form, added = self._agg(agg, rel)
+            rows = rows.withColumns(added) if added else rows
             cols.append(c.alias(name))
             if form != "term":
                 forms[name] = form
-        df = rel.df.groupBy(*a.keys).agg(*cols) if cols else rel.df.select(*a.keys).distinct()
+        df = rows.groupBy(*a.keys).agg(*cols) if cols else rows.select(*a.keys).distinct()
         return Rel(df, (rel.maybe & set(a.keys)) | {n for n, g in a.aggs if g.name != "count"}, {**{k: f for k, f in rel.forms.items() if k in a.keys}, **forms})
 
-    def _agg(self, g: ir.Agg, rel: Rel) -> tuple[Column, str]:
+    def _sum(self, v: V, distinct: bool) -> Column:
+        """The sum as a term: an integer, exactly, if all are; Cypher's must fit 64 bits."""
+        n, exact, whole = v.number, v.exact, v.is_whole
+        if distinct:  # by value: 1 and 1.0 are one
+            exact = F.coalesce(exact, F.when((n == F.floor(n)) & (F.abs(n) < 2.0**53), n.try_cast("bigint")))
+        add = F.sum_distinct if distinct else F.sum
+        total = add(exact.cast("decimal(20,0)"))
+        rest = add(F.when(exact.isNull(), n))
+        if self.language == "cypher":
+            total = F.when(F.abs(total) > (1 << 63) - 1, F.raise_error(F.lit("integer overflow")).cast("decimal(30,0)")).otherwise(total)
+        mixed = F.count(F.when(n.isNotNull() & ~whole, 1)) > 0
+        return F.when(mixed, M.double(F.coalesce(total.cast("double"), F.lit(0.0)) + F.coalesce(rest, F.lit(0.0)))).otherwise(M.integer(total))
+
+    def _agg(self, g: ir.Agg, rel: Rel) -> tuple[Column, str, dict]:
+        """The aggregate, its form, and columns that have to be added for it."""
         if g.value is None:
             if g.distinct:
                 raise InvalidQuery("COUNT(DISTINCT *) is refused")
-            return F.count("*"), "number"
+            return F.count("*"), "int", {}
         v = self.value(g.value, rel)
         name = g.name.lower()
         if name == "count":
             once = M.group_key(v.term) if self.language == "cypher" else v.term
-            return (F.count_distinct(once) if g.distinct else F.count(v.term)), "number"
-        if name in ("sum", "avg"):
-            x = v.number
-            return (getattr(F, "sum_distinct" if g.distinct and name == "sum" else name)(x)), "number"
+            return (F.count_distinct(once) if g.distinct else F.count(v.term)), "int", {}
+        if name == "sum":
+            return self._sum(v, g.distinct), "term", {}
         if name in ("min", "max"):
             pick = F.min_by if name == "min" else F.max_by
-            return pick(v.term, M.sort_key(v.term, self.order)), "term"
+            return pick(v.term, M.sort_key(v.term, self.order)), "term", {}
         if name == "sample":
-            return F.min(v.term), "term"
+            return F.min(v.term), "term", {}
         if name == "group_concat":
             if g.distinct and g.extra is not None:
                 raise InvalidQuery("GROUP_CONCAT(DISTINCT with a separator) is refused")
-            return F.array_join(F.array_sort(F.collect_set(v.text) if g.distinct else F.collect_list(v.text)), g.extra if g.extra is not None else " "), "text"
+            return F.array_join(F.array_sort(F.collect_set(v.text) if g.distinct else F.collect_list(v.text)), g.extra if g.extra is not None else " "), "text", {}
         if name == "collect":
-            return F.array_sort(F.collect_set(v.term) if g.distinct else F.collect_list(v.term)), "list"
-        if name == "stdev":
-            return F.when(F.count(v.number) > 0, F.coalesce(F.stddev_samp(v.number), F.lit(0.0))), "number"
-        if name == "stdevp":
-            return F.stddev_pop(v.number), "number"
-        if name == "percentilecont":
-            return F.percentile(v.number, float(g.extra)), "number"
-        if name == "percentiledisc":
-            order = F.array_sort(F.collect_list(v.number))
-            return F.try_element_at(order, F.greatest(F.ceil(F.lit(float(g.extra)) * F.size(order)), F.lit(1)).cast("int")), "number"
-        raise InvalidQuery(f"unknown aggregate {g.name}")
+            if g.distinct:  # one term for each value
+                once = F.collect_set(F.struct(M.group_key(v.term).alias("k"), v.term.alias("t")))
+                first = F.aggregate(F.array_sort(once), F.array().cast("array<struct<k:string,t:string>>"), lambda acc, x: F.when(F.try_element_at(acc, F.lit(-1))["k"] == x["k"], acc).otherwise(F.concat(acc, F.array(x))))
+                return F.array_sort(F.transform(first, lambda x: x["t"])), "list", {}
+            return F.array_sort(F.collect_list(v.term)), "list", {}
+        # of numbers; DISTINCT is by value
+        x = f"__n{next(self.fresh)}"
+        once = "DISTINCT " if g.distinct else ""
+        share = float(g.extra) if name.startswith("percentile") else 0.0
+        text = {
+            "avg": f"avg({once}{x})", "stdevp": f"stddev_pop({once}{x})",
+            "stdev": f"CASE WHEN count({x}) > 0 THEN coalesce(stddev_samp({once}{x}), 0D) END",
+            "percentilecont": f"percentile({once}{x}, {share}D)",
+            "percentiledisc": f"percentile_disc({share}D) WITHIN GROUP (ORDER BY {x})",
+        }.get(name)
+        if text is None:
+            raise InvalidQuery(f"unknown aggregate {g.name}")
+        if name == "percentiledisc" and g.distinct:
+            order = F.array_sort(F.collect_set(x))
+            return F.try_element_at(order, F.greatest(F.ceil(F.lit(share) * F.size(order)), F.lit(1)).cast("int")), "number", {x: v.number}
+        return F.expr(text), "number", {x: v.number}
 
     def _project(self, p: ir.Project) -> Rel:
         rel = self.lower(p.op)
-        cols = [F.col(v) if v in rel.df.columns else F.lit(None).cast("string").alias(v) for v in p.vars]
+        cols = [column(v) if v in rel.df.columns else F.lit(None).cast("string").alias(v) for v in p.vars]
         df = rel.df.select(*cols)
         df = df.distinct() if p.distinct else df
         return Rel(df, frozenset(v for v in p.vars if v in rel.maybe or v not in rel.df.columns), {k: f for k, f in rel.forms.items() if k in p.vars})
@@ -429,7 +531,7 @@ class Lowering:
     def _rownumber(self, r: ir.RowNumber) -> Rel:
         rel = self.lower(r.op)
         w = Window.partitionBy(*r.partition).orderBy(*self._orders(rel, r.keys))
-        return Rel(rel.df.withColumn(r.var, F.row_number().over(w)), rel.maybe, {**rel.forms, r.var: "number"}, rel.iso)
+        return Rel(rel.df.withColumn(r.var, F.row_number().over(w)), rel.maybe, {**rel.forms, r.var: "int"}, rel.iso)
 
     # --- expressions -------------------------------------------------------------
 
@@ -441,7 +543,9 @@ class Lowering:
             if rel.df is not None and e.name not in rel.df.columns:
                 return constant(None)
             form = rel.forms.get(e.name, "term")
-            return V(F.col(e.name).cast("double"), "number", F.lit(False)) if form == "number" else V(F.col(e.name), form)
+            if form == "int":
+                return integer(column(e.name))
+            return V(column(e.name).cast("double"), "number", F.lit(False)) if form == "number" else V(column(e.name), form)
         if isinstance(e, ir.Const):
             if isinstance(e.value, tuple):
                 return V(F.array(*[constant(x).term for x in e.value]) if e.value else F.array().cast("array<string>"), "list")
@@ -459,20 +563,22 @@ class Lowering:
             return t if n == "=" else boolean(~t.col)
         if n in ("+", "-", "*", "/"):
             if len(a) == 1:
-                return number(-a[0].number, a[0].is_whole)
+                return strict("-", integer(F.lit(0)), a[0]) if self.language == "cypher" else number(-a[0].number, a[0].is_whole, F.try_subtract(F.lit(0).cast("bigint"), a[0].exact))
             if n == "+" and self.language == "cypher":
                 if "list" in (a[0].form, a[1].form):
                     as_list = [x.col if x.form == "list" else F.array(x.term) for x in a]
                     return V(F.concat(*as_list), "list")
+                if "text" in (a[0].form, a[1].form):
+                    return V(F.coalesce(M.string(F.concat(a[0].text, a[1].text))))
+                if a[0].form == a[1].form == "number":
+                    return strict("+", a[0], a[1])
                 both = a[0].number + a[1].number
-                return V(F.when(both.isNotNull(), arithmetic("+", a[0], a[1]).term).otherwise(M.string(F.concat(a[0].text, a[1].text))))
-            if n == "/" and self.language == "cypher":
-                ints = a[0].is_whole & a[1].is_whole
-                q = F.try_divide(a[0].number, a[1].number)
-                return number(F.when(ints, F.signum(q) * F.floor(F.abs(q))).otherwise(q), ints)
-            return arithmetic(n, a[0], a[1])
+                return V(F.when(both.isNotNull(), strict("+", a[0], a[1]).term).otherwise(M.string(F.concat(a[0].text, a[1].text))))
+            return (strict if self.language == "cypher" else arithmetic)(n, a[0], a[1])
         if n == "%":
-            return number(F.try_mod(a[0].number, a[1].number), a[0].is_whole & a[1].is_whole)
+            if self.language == "cypher":
+                return strict("%", a[0], a[1])
+            return number(F.try_mod(a[0].number, a[1].number), a[0].is_whole & a[1].is_whole, F.try_mod(a[0].exact, a[1].exact))
         if n == "^":
             return number(F.pow(a[0].number, a[1].number))
         if n == "&&":
@@ -484,7 +590,7 @@ class Lowering:
         if n == "!":
             return boolean(~a[0].bool)
         if n == "isnull":
-            return boolean(a[0].term.isNull() if a[0].form != "list" else a[0].col.isNull())
+            return boolean(a[0].term.isNull())
         if n == "coalesce_bool":
             return boolean(F.coalesce(a[0].col, F.lit(False)))
         if n == "in":
@@ -493,6 +599,29 @@ class Lowering:
             return boolean(reduce(lambda x, y: x | y, [equal(a[0], x).col for x in a[1:]]))
         if n == "list":
             return V(F.array(*[x.term for x in a]) if a else F.array().cast("array<string>"), "list")
+        if n == "map":
+            if any(x.form in NESTED for x in a[1::2]):
+                raise Unsupported("maps of lists or maps")
+            pairs = [y for k, x in zip(e.args[::2], a[1::2]) for y in (F.lit(k.value[2:]), x.term)]
+            return V(F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>"), "map")
+        if n == "merged":
+            return V(reduce(lambda x, y: F.map_concat(F.map_filter(x, lambda k, _: ~F.map_contains_key(y, k)), y), [x.col for x in a]), "map")
+        if n == "member":  # m.key of a map, else a component of a date or time
+            key = e.args[1].value[2:]
+            if a[0].form == "map":
+                return V(F.try_element_at(a[0].col, F.lit(key)))
+            return cypher_functions.call(key, a[:1])
+        if n == "path":  # a node, then either a relationship and a node, or a walk from the last node on
+            out = F.array(a[0].term)
+            rest = a[1:]
+            while rest:
+                if rest[0].form == "path":
+                    out, rest = F.concat(out, F.slice(rest[0].col, F.lit(2), F.size(rest[0].col))), rest[1:]
+                else:
+                    out, rest = F.concat(out, F.array(rest[0].term, rest[1].term)), rest[2:]
+            return V(F.when(reduce(lambda x, y: x & y, [x.term.isNotNull() for x in a]), out), "path")
+        if n == "index" and a[0].form == "map":
+            return V(F.try_element_at(a[0].col, a[1].text))
         if n == "index":
             i = a[1].number.cast("int")
             return V(F.try_element_at(a[0].col, F.when(i >= 0, i + 1).otherwise(i)))

@@ -44,4 +44,26 @@ def conflicts(statements: DataFrame) -> DataFrame:
     return x.select("s", M.string("p").alias("predicate"), M.statement_ref("eid_a").alias("a"), M.statement_ref("eid_b").alias("b"))
 
 
-PROCEDURES = {"db.labels": labels, "db.relationshipTypes": relationship_types, "db.propertyKeys": property_keys, "text.search": text_search, "datalog.goal": goal, "time.conflicts": conflicts}
+def vector_search(statements: DataFrame, vector: list, metric: str = "cosine", limit: int = 10) -> DataFrame:
+    """Statements whose object is a vector literal (datatype sys:vector, numbers between commas) nearest to a vector."""
+    x = statements.where(F.startswith("o", F.lit("x:sys:vector|"))).select("eid", F.split(M.lex(F.col("o")), ",").cast("array<double>").alias("vec"))
+    hits = recall.vector_search(x, [float(v) for v in vector], metric, int(limit), "eid", "vec").join(statements.select("eid", "s"), "eid")
+    return hits.select(M.statement_ref("eid").alias("statement"), F.col("s").alias("node"), M.double("score").alias("score"), M.integer("rank").alias("rank"))
+
+
+def path(statements: DataFrame, start: str, text: str, mode: str = "reach", most: int | None = None) -> DataFrame:
+    """The nodes that a path reaches from a node, and in how many hops."""
+    from ..operators import paths
+
+    starts = statements.sparkSession.createDataFrame([(f"I:{start}",)], "node string")
+    kind = mode.split("_")[0]
+    if kind == "reach":
+        x = paths.reach(statements, starts, text, None if most is None else int(most)).rows
+    elif kind == "trail":
+        x = paths.trails(statements, starts, text, 64 if most is None else int(most)).rows
+    else:
+        x = paths.shortest(statements, starts, text, kind, None if most is None else int(most)).rows
+    return x.select("node", M.integer("hops").alias("hops"))
+
+
+PROCEDURES = {"db.labels": labels, "db.relationshipTypes": relationship_types, "db.propertyKeys": property_keys, "text.search": text_search, "datalog.goal": goal, "time.conflicts": conflicts, "vector.search": vector_search, "path.find": path}
