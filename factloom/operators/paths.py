@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import model as M
 from ..errors import InvalidQuery, LimitExceeded
-from ..plans.settle import settled
+from ..plans.settle import Layers, settled
 
 MAX_STATES = 4096
 
@@ -232,6 +232,12 @@ def with_virtual(statements: DataFrame) -> DataFrame:
     return statements.unionByName(hop("subject", F.col("s"))).unionByName(hop("predicate", F.concat(F.lit("I:"), F.col("p")))).unionByName(hop("object", F.col("o")))
 
 
+def within_graphs(statements: DataFrame, graphs: tuple) -> DataFrame:
+    """The statements that are members of one of the graphs."""
+    inside = statements.where((F.col("p") == M.IN_GRAPH) & F.col("o").isin(*graphs)).select(M.body(F.col("s")).try_cast("bigint").alias("eid"))
+    return statements.join(inside, "eid", "left_semi").select(*statements.columns)
+
+
 @dataclass
 class Found:
     rows: DataFrame
@@ -248,14 +254,15 @@ def reach(statements: DataFrame, starts: DataFrame, path, max_hops: int | None =
     A path that may be empty reaches its start with no hops.
     """
     auto = compile_path(parse_path(path) if isinstance(path, str) else path)
-    edges = settled(path_edges(statements, auto))
+    # which statements make an edge does not matter here, so parallel ones are one
+    edges = settled(path_edges(statements, auto).select("u", "v", "state", "next", "done").distinct())
     frontier = _starts(starts.select("node").distinct(), auto)
-    seen = frontier.withColumn("hops", F.lit(0)).withColumn("done", F.lit(auto.start in auto.final))
-    seen, hops, verdict = settled(seen), 0, "exhaustive"
-    frontier = seen.select("start", "node", "state")
+    first = settled(frontier.withColumn("hops", F.lit(0)).withColumn("done", F.lit(auto.start in auto.final)))
+    seen, hops, verdict = Layers(first), 0, "exhaustive"
+    frontier = first.select("start", "node", "state")
     while True:
         step = frontier.join(edges, (F.col("node") == F.col("u")) & (frontier["state"] == edges["state"])).select("start", F.col("v").alias("node"), F.col("next").alias("state"), "done").distinct()
-        new = settled(step.join(seen.select("start", "node", "state"), ["start", "node", "state"], "left_anti"))
+        new = settled(step.join(seen.rows.select("start", "node", "state"), ["start", "node", "state"], "left_anti").withColumn("hops", F.lit(hops + 1)))
         n = new.count()
         if not n:
             break
@@ -263,12 +270,12 @@ def reach(statements: DataFrame, starts: DataFrame, path, max_hops: int | None =
             verdict = "stopped at bound"
             break
         hops += 1
-        seen = settled(seen.unionByName(new.withColumn("hops", F.lit(hops))))
+        seen.add(new)
         guard -= n
         if guard < 0:
             raise LimitExceeded("path search visits too many states")
         frontier = new.select("start", "node", "state")
-    return Found(seen.where("done").groupBy("start", "node").agg(F.min("hops").alias("hops")), verdict)
+    return Found(seen.rows.where("done").groupBy("start", "node").agg(F.min("hops").alias("hops")), verdict)
 
 
 def reach_in_time(statements: DataFrame, starts: DataFrame, path, since: int = M.EVER_FROM, guard: int = 50_000_000) -> DataFrame:
@@ -329,11 +336,11 @@ def shortest(statements: DataFrame, starts: DataFrame, path, which: str = "any",
     auto = compile_path(parse_path(path) if isinstance(path, str) else path)
     edges = settled(path_edges(statements, auto))
     front = settled(_starts(starts.select("node").distinct(), auto).withColumns({"done": F.lit(auto.start in auto.final), "eids": F.array().cast("array<bigint>"), "nodes": F.array("node")}))
-    visited, found, hops, verdict = front.select("start", "node", "state"), front.where("done"), 0, "exhaustive"
+    visited, hops, verdict = Layers(front), 0, "exhaustive"
     while True:
         nxt = front.drop("done").join(edges, (F.col("node") == F.col("u")) & (front["state"] == edges["state"]))
         nxt = nxt.select("start", F.col("v").alias("node"), F.col("next").alias("state"), edges["done"].alias("done"), F.concat("eids", F.array(F.coalesce("eid", F.lit(-1)))).alias("eids"), F.concat("nodes", F.array("v")).alias("nodes"))
-        nxt = nxt.join(visited, ["start", "node", "state"], "left_anti")
+        nxt = nxt.join(visited.rows.select("start", "node", "state"), ["start", "node", "state"], "left_anti")
         if which == "any":
             nxt = nxt.groupBy("start", "node", "state", "done").agg(F.min(F.struct("eids", "nodes")).alias("w")).select("start", "node", "state", "done", "w.eids", "w.nodes")
         front = settled(nxt)
@@ -347,9 +354,8 @@ def shortest(statements: DataFrame, starts: DataFrame, path, which: str = "any",
         guard -= n
         if guard < 0:
             raise LimitExceeded("too many shortest paths")
-        visited = settled(visited.unionByName(front.select("start", "node", "state")).distinct())
-        found = settled(found.unionByName(front.where("done")))
-    best = found.select("start", "node", F.size("eids").alias("hops"), "eids", "nodes").distinct()
+        visited.add(front)
+    best = visited.rows.where("done").select("start", "node", F.size("eids").alias("hops"), "eids", "nodes").distinct()
     low = best.groupBy("start", "node").agg(F.min("hops").alias("hops"))
     best = best.join(low, ["start", "node", "hops"])
     if which == "any":
@@ -362,15 +368,15 @@ def dependents(statements: DataFrame, roots: DataFrame, view: M.View = M.NOW) ->
     x = M.seen(statements, view)
     link = x.select(F.col("eid").alias("child"), F.col("s").alias("parent"), F.col("p"), F.col("o"))
     up = link.select("child", "parent").union(link.select("child", F.col("o")))
-    derived = x.where(F.col("p") == M.DERIVED_FROM).where(M.kind(F.col("s")) == "S").select(M.body(F.col("s")).cast("bigint"), F.col("o"))
-    up = settled(up.union(derived).where(M.kind(F.col("parent")) == "S").select("child", M.body(F.col("parent")).cast("bigint").alias("parent")).distinct())
-    seen = settled(roots.select("eid").distinct())
-    front, base = seen, seen
+    derived = x.where(F.col("p") == M.DERIVED_FROM).where(M.kind(F.col("s")) == "S").select(M.body(F.col("s")).try_cast("bigint"), F.col("o"))
+    up = settled(up.union(derived).where(M.kind(F.col("parent")) == "S").select("child", M.body(F.col("parent")).try_cast("bigint").alias("parent")).distinct())
+    base = settled(roots.select("eid").distinct())
+    front, seen = base, Layers(base)
     while True:
-        front = settled(front.join(up, front["eid"] == up["parent"]).select(F.col("child").alias("eid")).distinct().join(seen, "eid", "left_anti"))
+        front = settled(front.join(up, front["eid"] == up["parent"]).select(F.col("child").alias("eid")).distinct().join(seen.rows, "eid", "left_anti"))
         if not front.take(1):
-            return seen.join(base, "eid", "left_anti")
-        seen = settled(seen.union(front))
+            return seen.rows.join(base, "eid", "left_anti")
+        seen.add(front)
 
 
 def triangles(edges: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@
     total(X, sum<N>) :- order(X, N).
     recent(X) :- past[0, 10] seen(X).
     until[0, 5](a(X), b(X))  and since[..](..)  as body atoms
+    always_future[0, 7] open(X) :- shipped(X).   holds at all instants up to 7 after
+    @prefix ex: <http://example.org/>.           before rules
 
 Predicates of one or two terms that no rule defines are read from the store: ``p(S, O)`` are
 the statements of p, ``p(S)`` the subjects of that rdf:type; ``p(S, O) @ E`` binds the eid.
@@ -18,14 +20,14 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import model as M
 from ..errors import InvalidQuery, LimitExceeded, UnsafeRule, Unstratified
 from ..functions.values import V, arithmetic, constant, equal, ordered
 from ..operators import intervals, temporal
-from .settle import settled
+from .settle import Layers, numbered, settled
 
 TOKEN = re.compile(r"""\s*(?:%[^\n]*\s*)*(?:(?P<string>"[^"]*")|(?P<number>-?\d+(?:\.\d+)?)|(?P<name>[A-Za-z_][\w:]*)|(?P<op>:-|<=|>=|!=|[()\[\],.<>=+\-*/%@!?]))""")
 AGGREGATES = ("count", "sum", "min", "max")
@@ -34,7 +36,10 @@ COMPARE = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b:
 LIMIT = 100_000
 #: Tests of two values; the thirteen relations and intersects take intervals as valid(E, I) gives them.
 BUILTINS = ("contains", "starts_with", "intersects", *temporal.ALLEN)
-FUNCTIONS = ("concat", "lower", "upper", "strlen", "start", "end", "duration")
+FUNCTIONS = ("concat", "lower", "upper", "strlen", "start", "end", "duration", "interval", "tx_instant", "now")
+PREFIX = re.compile(r"@prefix\s+(\w*):\s*<([^>]*)>\s*\.")
+#: What a head's operator says of its body: where facts have to be for it to hold.
+DILATED = {"always_past": "future", "always_future": "past"}
 
 
 @dataclass(frozen=True)
@@ -86,16 +91,20 @@ class Rule:
 
 
 class Parser:
-    def __init__(self, text: str):
+    def __init__(self, text: str, prefixes: dict | None = None):
         self.tokens, at = [], 0
-        text = text.rstrip()
+        self.prefixes = {**(prefixes or {}), **dict(PREFIX.findall(text))}
+        text = PREFIX.sub(" ", text).rstrip()
         while at < len(text):
             m = TOKEN.match(text, at)
             if not m or m.end() == at:
                 raise InvalidQuery(f"cannot read {text[at:at + 20]!r}")
             at = m.end()
             if m.lastgroup:
-                self.tokens.append((m.lastgroup, m[m.lastgroup]))
+                t = m[m.lastgroup]
+                if m.lastgroup == "name" and ":" in t and t.split(":", 1)[0] in self.prefixes:
+                    t = self.prefixes[t.split(":", 1)[0]] + t.split(":", 1)[1]
+                self.tokens.append((m.lastgroup, t))
         self.at = 0
 
     def sees(self, t: str) -> bool:
@@ -126,6 +135,10 @@ class Parser:
         return out
 
     def head(self):
+        wrap = []
+        while self.tokens[self.at][1] in DILATED and self.tokens[self.at + 1][1] == "[":
+            self.at += 1
+            wrap.append((self.tokens[self.at - 1][1], *self.bounds()))
         name = self.tokens[self.at][1]
         self.at += 1
         args, aggs = [], []
@@ -140,7 +153,7 @@ class Parser:
             else:
                 args.append(self.sum())
             self.word(",")
-        return Atom(name, tuple(args)), aggs
+        return Atom(name, tuple(args), wrap=tuple(wrap)), aggs
 
     def bounds(self) -> tuple[int, int]:
         self.need("[")
@@ -308,6 +321,9 @@ class Program:
     time: bool = False
     facts: dict = field(default_factory=dict)
     rounds: int = 0
+    complete: bool = True  #: whether the rules came to rest within the rounds allowed
+    found: list = field(default_factory=list)  #: (predicate, facts) as rounds found them
+    bases: dict = field(default_factory=dict)  #: relations of the store that rounds read again and again
 
     # A relation is a frame (a0 .. an, f, t) with term keys and closed-open bounds; without time f and t are absent.
 
@@ -333,7 +349,8 @@ class Program:
         elif a.name in {r.head.name for r in self.rules}:
             return None
         else:
-            rel = self.base(a)
+            rel = self.bases.get((a.name, len(a.args), a.eid is None))
+            rel = self.base(a) if rel is None else rel
         seen: dict[str, str] = {}
         for i, x in enumerate(a.args):
             c = f"a{i}"
@@ -370,6 +387,13 @@ class Program:
             if x.name in ("start", "end", "duration"):
                 f, t = bounds(a[0].term)
                 return V(M.integer({"start": f, "end": t, "duration": t - f}[x.name]))
+            if x.name == "interval":
+                return V(F.concat(F.lit("x:interval|"), F.coalesce(a[0].exact.cast("string"), F.lit("")), F.lit("/"), F.coalesce(a[1].exact.cast("string"), F.lit(""))))
+            if x.name == "tx_instant":
+                t = M.body(a[0].term).try_cast("bigint")
+                return V(M.integer(t))
+            if x.name == "now":
+                return V(M.integer(F.unix_millis(F.current_timestamp())))
             if x.name == "strlen":
                 return V(M.integer(F.length(a[0].text)))
             text = {"concat": lambda: F.concat(*[y.text for y in a]), "lower": lambda: F.lower(a[0].text), "upper": lambda: F.upper(a[0].text)}
@@ -470,7 +494,7 @@ class Program:
                 cols.append(self.value(x, rows).term.alias(f"a{i}"))
         x = rows.select(*cols, *(["f", "t"] if self.time else []), *[F.col(c).alias(f"__v{j}") for j, c in enumerate(sorted(c for c in rows.columns if c not in ("f", "t")))] if r.aggs else [])
         if not r.aggs:
-            return x
+            return self.dilated(r, x)
         k, name = r.aggs[0]
         keys = [f"a{i}" for i in range(len(r.head.args)) if i != k]
         x = x.distinct()
@@ -481,7 +505,16 @@ class Program:
         else:
             agg = {"count": F.count("*").cast("double"), "sum": F.sum(value), "min": F.min(value), "max": F.max(value)}[name]
             out = x.groupBy(*keys).agg(whole(agg).alias(f"a{k}")) if keys else x.agg(whole(agg).alias(f"a{k}"))
-        return out.select(*[f"a{i}" for i in range(len(r.head.args))], *(["f", "t"] if self.time else []))
+        return self.dilated(r, out.select(*[f"a{i}" for i in range(len(r.head.args))], *(["f", "t"] if self.time else [])))
+
+    def dilated(self, r: Rule, x: DataFrame) -> DataFrame:
+        """A head's always operators: the fact holds at all instants that they reach from the body's."""
+        for op, lo, hi in reversed(r.head.wrap):
+            if not self.time:
+                raise InvalidQuery("metric operators need valid time")
+            keys = [c for c in x.columns if c not in ("f", "t")]
+            x = self.opened(intervals.metric(x.withColumnsRenamed({"f": "v_from", "t": "v_to"}), keys, DILATED[op], lo, hi))
+        return x
 
     def merged(self, x: DataFrame) -> DataFrame:
         """Facts once each; with time, their maximal intervals."""
@@ -502,7 +535,8 @@ class Program:
         covered = [F.col(f"n.{k}") == F.col(f"o.{k}") for k in keys] + [F.col("n.f") >= F.col("o.f2"), F.col("n.t") <= F.col("o.t2")]
         return a.join(b, covered, "left_anti")
 
-    def run(self, most: int = LIMIT) -> dict:
+    def run(self, most: int = LIMIT, partial: bool = False) -> dict:
+        """All facts of the program. Beyond ``most`` rounds it raises, or with partial stops with ``complete`` unset."""
         for layer in strata(self.rules):
             mine = [r for r in self.rules if r.head.name in layer]
             delta: dict[str, DataFrame] = {}
@@ -514,9 +548,18 @@ class Program:
                         x = x.union(y)
                     delta[name] = settled(self.merged(x))
             self.facts.update(delta)
+            self.found += delta.items()
             looping = [r for r in mine if any(a.name in layer for a, _ in atoms(r))]
+            heads = {r.head.name for r in self.rules}
+            for a in {(a.name, len(a.args), a.eid is None): a for r in looping for a, _ in atoms(r) if a.name not in heads}.values():
+                x = self.base(a)
+                self.bases.setdefault((a.name, len(a.args), a.eid is None), settled(x if self.time or a.eid is not None else x.distinct()))
+            layers = {name: Layers(x) for name, x in delta.items()} if not self.time else {}
             while looping and delta:
                 self.rounds += 1
+                if self.rounds > most and partial:
+                    self.complete = False
+                    return self.facts
                 if self.rounds > most:
                     raise LimitExceeded("too many rounds of rules")
                 found: dict[str, DataFrame] = {}
@@ -536,6 +579,7 @@ class Program:
                     new = settled(self.fresh(x, self.facts.get(name)))
                     if new.take(1):
                         delta[name] = new
+                self.found += delta.items()
                 for name, new in delta.items():
                     old = self.facts.get(name)
                     self.facts[name] = settled(self.merged(old.union(new)) if old is not None else new)
@@ -552,45 +596,156 @@ def whole(x):
     return F.when(x == F.floor(x), M.integer(x.cast("bigint"))).otherwise(M.double(x))
 
 
-def demanded(rules: list[Rule], goal: Atom) -> list[Rule]:
-    """A rewrite by demand (magic sets) for a goal whose first term is bound.
+def demanded(rules: list[Rule], goal: Atom) -> tuple[list[Rule], Atom]:
+    """A program that derives only what a goal with constants asks for (magic sets), and the goal in it.
 
-    It applies to a predicate whose every rule keeps the head's first variable as that of its
-    first atom, so that a constant can be carried down; other programs stay as they are.
+    A predicate is copied for each set of places that are bound when it is called (name__bf), and
+    a predicate of demands (demand__name__bf) holds the values it is called with, found from the
+    left to the right of the bodies that call it. Programs whose goal rests on negation,
+    aggregates, time or invented values stay as they are.
     """
-    if not goal.args or isinstance(goal.args[0], Var):
-        return rules
-    mine = [r for r in rules if r.head.name == goal.name]
-    for r in mine:
-        first = r.head.args[0] if r.head.args else None
-        if r.aggs or not isinstance(first, Var) or any(isinstance(b, Both) or isinstance(b, Atom) and (b.negated or b.wrap) for b in r.body):
-            return rules
-        for b in r.body:
-            if isinstance(b, Atom) and b.name == goal.name and (not b.args or b.args[0] != first):
-                return rules
-    if any(a.name == goal.name for r in rules if r.head.name != goal.name for a, _ in atoms(r)):
-        return rules
-    return [Rule(r.head, (*r.body, Test("=", r.head.args[0], goal.args[0])), r.aggs, r.invented) if r.head.name == goal.name else r for r in rules]
+    heads = {r.head.name for r in rules}
+    ground = lambda x, bound: not isinstance(x, (Var, Term)) or variables(x) <= bound
+    need, todo = set(), [goal.name]
+    while todo:  # what the goal rests on
+        name = todo.pop()
+        if name in need or name not in heads:
+            continue
+        need.add(name)
+        todo += [a.name for r in rules if r.head.name == name for a, _ in atoms(r)]
+    mine = [r for r in rules if r.head.name in need]
+    plain = all(not r.aggs and not r.invented and not r.head.wrap and not any(isinstance(b, Both) or isinstance(b, Atom) and (b.negated or b.wrap) for b in r.body) for r in mine)
+    marks = lambda a, bound: "".join("b" if ground(x, bound) else "f" for x in a.args)
+    first = marks(goal, set())
+    if goal.name not in heads or "b" not in first or not plain:
+        return rules, goal
+    named = lambda name, how: f"{name}__{how}"
+    chosen = lambda a, how: tuple(x for x, m in zip(a.args, how) if m == "b")
+    out, done, calls, whole = [], set(), [(goal.name, first)], set()
+    out.append(Rule(Atom(f"demand__{named(goal.name, first)}", chosen(goal, first)), ()))
+    while calls:
+        name, how = calls.pop()
+        if (name, how) in done:
+            continue
+        done.add((name, how))
+        for r in (r for r in mine if r.head.name == name):
+            demand = Atom(f"demand__{named(name, how)}", chosen(r.head, how))
+            bound = set().union(set(), *[variables(x) for x in demand.args if isinstance(x, Var)])
+            body: list = [demand]
+            for b in r.body:
+                if isinstance(b, Atom) and b.name in heads:
+                    asked = marks(b, bound)
+                    if "b" in asked:
+                        calls.append((b.name, asked))
+                        ask = Rule(Atom(f"demand__{named(b.name, asked)}", chosen(b, asked)), tuple(body))
+                        if ask.head != demand or len(ask.body) > 1:
+                            out.append(ask)
+                        b = Atom(named(b.name, asked), b.args, False, b.eid)
+                    else:  # called for everything: the predicate as it is
+                        whole.add(b.name)
+                body.append(b)
+                bound |= variables(b) if not isinstance(b, Test) or b.op == "=" else set()
+            out.append(Rule(Atom(named(name, how), r.head.args), tuple(body)))
+    if any(isinstance(x, Term) for r in out for x in r.head.args if r.head.name.startswith("demand__")):
+        return rules, goal  # demands that are computed may never come to rest
+    while any(a.name in heads and a.name not in whole for r in mine if r.head.name in whole for a, _ in atoms(r)):
+        whole |= {a.name for r in mine if r.head.name in whole for a, _ in atoms(r) if a.name in heads}
+    return out + [r for r in mine if r.head.name in whole], Atom(named(goal.name, first), goal.args, False, goal.eid)
 
 
-def datalog(text: str, goal: str, statements: DataFrame, view: M.View = M.NOW, time: bool = False, magic: bool = True) -> DataFrame:
-    """The rows of a goal atom, such as ``reach(u1, X)``: a column a variable, and v_from and v_to with time."""
-    rules = checked(Parser(text).program())
-    g = Parser(goal).atom()
-    rules = demanded(rules, g) if magic and not time else rules
+@dataclass
+class Answer:
+    """The rows of a goal, whether the rules came to rest (complete or incomplete), and the program behind them."""
+
+    rows: DataFrame
+    verdict: str
+    program: Program
+
+
+def answered(text: str, goal: str, statements: DataFrame, view: M.View = M.NOW, time: bool = False, magic: bool = True, most: int = LIMIT, partial: bool = False) -> Answer:
+    parser = Parser(text)
+    rules = checked(parser.program())
+    g = Parser(goal, parser.prefixes).atom()
+    if magic and not time:
+        rules, g = demanded(rules, g)
+        rules = checked(rules)
     p = Program(rules, statements, view, time)
-    p.run()
+    p.run(most, partial)
     x = p.relation(g)
     if x is None:
         x = statements.sparkSession.createDataFrame([], ", ".join(f"`{v}` string" for v in sorted(variables(g))) or "__none int")
     if time:
         x = x.select(*[c for c in x.columns if c not in ("f", "t")], F.when(F.col("f") > M.EVER_FROM, F.col("f")).alias("v_from"), F.when(F.col("t") < M.EVER_TO, F.col("t")).alias("v_to"))
-    return x.distinct()
+    return Answer(x.distinct(), "complete" if p.complete else "incomplete", p)
+
+
+def datalog(text: str, goal: str, statements: DataFrame, view: M.View = M.NOW, time: bool = False, magic: bool = True) -> DataFrame:
+    """The rows of a goal atom, such as ``reach(u1, X)``: a column a variable, and v_from and v_to with time."""
+    return answered(text, goal, statements, view, time, magic).rows
+
+
+def proof(text: str, fact: str, statements: DataFrame, view: M.View = M.NOW) -> dict | None:
+    """One derivation of a fact without variables, or None: {fact, rule, eids, from: [derivations of its premises]}.
+
+    A fact is derived from facts of rounds before its own, so a derivation never goes in circles.
+    """
+    parser = Parser(text)
+    rules = checked(parser.program())
+    g = Parser(fact, parser.prefixes).atom()
+    if variables(g):
+        raise InvalidQuery("a proof is of a fact without variables")
+    p = Program(rules, statements, view)
+    p.run()
+    heads = {r.head.name for r in rules}
+    spell = lambda a: f"{a.name}({', '.join(str(x) for x in a.args)})"
+
+    def has(x: DataFrame, args: tuple) -> bool:
+        for i, v in enumerate(args):
+            x = x.where(F.col(f"a{i}") == v)
+        return bool(x.take(1))
+
+    def derive(a: Atom) -> dict | None:
+        at = next((k for k, (name, x) in enumerate(p.found) if name == a.name and has(x, a.args)), None)
+        if at is None:
+            return None
+        q = Program(rules, statements, view, bases=p.bases)
+        for name, x in p.found[:at]:
+            q.facts[name] = q.facts[name].unionByName(x) if name in q.facts else x
+        for number, r in enumerate(rules):
+            if r.head.name != a.name or r.aggs or r.invented:
+                continue
+            same = tuple(Test("=", h, v) for h, v in zip(r.head.args, a.args))
+            rows = q.body(Rule(r.head, r.body + same))
+            row = rows.limit(1).collect() if rows is not None else []
+            if row:
+                bound = row[0].asDict()
+                made = lambda b: Atom(b.name, tuple(bound[x.name] if isinstance(x, Var) else x for x in b.args))
+                premises = [made(b) for b in r.body if isinstance(b, Atom) and not b.negated]
+                below = [derive(b) for b in premises if b.name in heads]
+                base = [b for b in premises if b.name not in heads and b.name not in ("valid", "added")]
+                eids = [_eid(statements, view, b) for b in base]
+                return {"fact": spell(a), "rule": number, "eids": sorted(e for e in eids if e is not None), "from": below}
+        return {"fact": spell(a), "rule": None, "eids": [], "from": []}  # an aggregate or invented value: taken as it is
+
+    return derive(g)
+
+
+def _eid(statements: DataFrame, view: M.View, a: Atom) -> int | None:
+    """The smallest statement that says a fact of the store."""
+    x = M.seen(statements, view).where(F.col("s") == a.args[0])
+    x = x.where((F.col("p") == M.RDF_TYPE) & (F.col("o") == f"I:{a.name}")) if len(a.args) == 1 else x.where((F.col("p") == a.name) & (F.col("o") == a.args[1]))
+    return x.agg(F.min("eid")).first()[0]
 
 
 def with_rank(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Rows with the dense rank of their values, the order in which goals list results."""
-    return rows.withColumn("rank", F.dense_rank().over(Window.orderBy(*[M.sort_key(F.col(c)) for c in by])))
+    """Rows with the dense rank of their values, the order in which goals list results; equal values share one."""
+    keys = [M.sort_key(F.col(c)).alias(f"__k{i}") for i, c in enumerate(by)]
+    # 1 and 1.0 sort apart only by their text, so a rank is of the values without it
+    value = [F.struct(*[F.col(f"__k{i}").getField(f) for f in ("kind", "number", "whole")], F.when(F.col(f"__k{i}").getField("number").isNull(), F.col(f"__k{i}").getField("text"))).alias(f"__v{i}") for i in range(len(by))]
+    x = rows.select("*", *keys).select(*rows.columns, *value)
+    names = [f"__v{i}" for i in range(len(by))]
+    ranks = numbered(x.select(*names).distinct(), names, "rank").withColumnsRenamed({n: f"{n}r" for n in names})
+    return x.join(ranks, [F.col(n).eqNullSafe(F.col(f"{n}r")) for n in names]).select(*rows.columns, "rank")
 
 
 def check(constraints: str, statements: DataFrame, view: M.View = M.NOW) -> dict[str, DataFrame]:
@@ -610,7 +765,7 @@ def explain(text: str, goal: str | None = None) -> str:
     """A program's strata and the rules each runs, after the rewrite for a goal."""
     rules = checked(Parser(text).program())
     if goal:
-        rules = demanded(rules, Parser(goal).atom())
+        rules, _ = demanded(rules, Parser(goal).atom())
     lines = []
     for i, layer in enumerate(strata(rules)):
         for r in rules:

@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def reachable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver did; a cluster without that path gets it by --py-files."""
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, root) if x)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -12,11 +26,58 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="factloom-"))
     return (named or sc.getCheckpointDir()).rstrip("/")
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df checkpointed to the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df checkpointed to the shared folder; the shuffles behind it are dropped at once."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    old = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan of its own, made under the setting
+    finally:
+        spark.conf.set(CLEANUP, old)
+
+
+class Layers:
+    """Rows that grow by a settled layer at a time.
+
+    A layer is written once, and again only when MOST of them are merged, which keeps the plan
+    of their union short however many rounds a loop takes.
+    """
+
+    MOST = 12
+
+    def __init__(self, first: DataFrame):
+        self.parts = [first]
+
+    def add(self, layer: DataFrame) -> None:
+        self.parts.append(layer)
+        if len(self.parts) > self.MOST:  # the first part holds what was merged before
+            self.parts = [settled(self.rows)]
+
+    @property
+    def rows(self) -> DataFrame:
+        out = self.parts[0]
+        for x in self.parts[1:]:
+            out = out.unionByName(x)
+        return out
+
+
+def numbered(df: DataFrame, order: list, name: str, start: int = 1) -> DataFrame:
+    """df settled in an order, with its rows' places in it (start, start + 1, ...) as a column.
+
+    Rows are sorted by ranges over all tasks; only the ranges' sizes, a row each, meet in one.
+    """
+    x = df.orderBy(*order).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
+    x = settled(x)
+    sizes = x.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    offsets = sizes.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    at = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return x.join(F.broadcast(offsets), F.col("__part") == F.col("__p")).select(*df.columns, (F.col("__before") + at + start).cast("bigint").alias(name))
