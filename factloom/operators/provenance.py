@@ -62,17 +62,29 @@ def with_provenance(op, statements: DataFrame, view: M.View = M.NOW, semantics:
 
 @dataclass(frozen=True)
 class Saved:
-    """An answer as it was, the eids it rests on (eid), and the transaction it was made at."""
+    """An answer as it was, the eids it rests on (eid), the transaction it was made at, and its plan."""
 
     rows: DataFrame
     depends: DataFrame
     predicates: tuple
     cursor: int
+    op: object = None
 
 
 def save(op, statements: DataFrame, cursor: int, predicates: tuple = ()) -> Saved:
     rows = with_provenance(op, statements, M.as_of(cursor))
-    return Saved(rows, rows.select(F.explode("eids").alias("eid")).distinct(), predicates, cursor)
+    return Saved(rows, rows.select(F.explode("eids").alias("eid")).distinct(), predicates, cursor, op)
+
+
+def refreshed(saved: Saved, statements: DataFrame, cursor: int) -> Saved:
+    """The answer made again at a later transaction."""
+    return save(saved.op, statements, cursor, saved.predicates)
+
+
+def compared(old: Saved, new: Saved) -> DataFrame:
+    """Rows that a refresh brought (added) and took away (removed), without their eids."""
+    a, b = (x.rows.drop("eids") for x in (old, new))
+    return b.exceptAll(a).withColumn("change", F.lit("added")).unionByName(a.exceptAll(b).withColumn("change", F.lit("removed")))
 
 
 def status(saved: Saved, statements: DataFrame, until: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import model as M
 from ..errors import InvalidQuery
+from ..plans.settle import numbered
 
 K1, B = 1.2, 0.75
 #: Latin letters with marks, and the letters they fold to.
@@ -85,15 +86,16 @@ def text_search(values: DataFrame, query: str, mode: str = "all", visible: DataF
 
 
 def ranked(hits: DataFrame, key: str, limit: int | None, by: list[Column] | None = None) -> DataFrame:
+    """Hits with their rank; all of them are numbered by ranges, at most ``limit`` in one task."""
     order = by or [F.desc("score"), F.col(key)]
-    if limit is not None:
-        hits = hits.orderBy(*order).limit(limit)
-    return hits.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    if limit is None:
+        return numbered(hits, order, "rank")
+    return hits.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
 def evidence(statements: DataFrame, view: M.View = M.NOW) -> DataFrame:
     """(eid, confidence, confirmations, authors): what is said about each statement."""
-    x = M.seen(statements, view).where(M.kind(F.col("s")) == "S").select(M.body(F.col("s")).cast("bigint").alias("eid"), "p", "o")
+    x = M.seen(statements, view).where(M.kind(F.col("s")) == "S").select(M.body(F.col("s")).try_cast("bigint").alias("eid"), "p", "o")
     return x.where(F.col("p").isin(M.CONFIDENCE, M.CONFIRMED_BY, M.AUTHOR)).groupBy("eid").agg(
         F.max(F.when(F.col("p") == M.CONFIDENCE, M.num(F.col("o")))).alias("confidence"),
         F.count(F.when(F.col("p") == M.CONFIRMED_BY, 1)).alias("confirmations"),

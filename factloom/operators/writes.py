@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import model as M
 from ..errors import ConstraintViolated, InvalidQuery, LimitExceeded
-from ..plans.settle import settled
+from ..plans.settle import Layers, numbered, settled
 from .temporal import overlaps
 
 FACT = "s string, p string, o string, v_from bigint, v_to bigint"
@@ -66,9 +66,9 @@ def _check(store: Store, facts: DataFrame) -> None:
 
 def _append(store: Store, facts: DataFrame) -> tuple[Store, DataFrame]:
     """Facts with fresh eids, in order of (s, p, o, v_from)."""
-    order = Window.orderBy("s", "p", "o", F.col("v_from").asc_nulls_first(), "v_to")  # a batch, not the store
+    order = ["s", "p", "o", F.col("v_from").asc_nulls_first(), "v_to"]
     none = F.lit(None)
-    new = settled(facts.withColumn("eid", (F.row_number().over(order) + store.next_eid - 1).cast("bigint")).select("eid", "s", "p", "o", F.lit(store.t).cast("bigint").alias("t_add"), none.cast("bigint").alias("t_ret"), "v_from", "v_to", none.cast("tinyint").alias("ret_kind")))
+    new = settled(numbered(facts, order, "eid", store.next_eid).select("eid", "s", "p", "o", F.lit(store.t).cast("bigint").alias("t_add"), none.cast("bigint").alias("t_ret"), "v_from", "v_to", none.cast("tinyint").alias("ret_kind")))
     return replace(store, statements=store.statements.unionByName(new), next_eid=store.next_eid + new.count()), new
 
 
@@ -106,20 +106,22 @@ def assert_(store: Store, facts: DataFrame) -> tuple[Store, DataFrame]:
 def cascade(store: Store, roots: DataFrame, most: int = MAX_CASCADE) -> DataFrame:
     """(eid, depth, parent): the roots and all live statements about them or derived from them."""
     live = store.live()
-    ref = lambda c: F.when(M.kind(F.col(c)) == "S", M.body(F.col(c)).cast("bigint"))
+    ref = lambda c: F.when(M.kind(F.col(c)) == "S", M.body(F.col(c)).try_cast("bigint"))
     up = live.select(F.col("eid").alias("child"), F.explode(F.array_compact(F.array(ref("s"), ref("o")))).alias("on"))
     derived = live.where((F.col("p") == M.DERIVED_FROM) & (M.kind(F.col("s")) == "S")).select(ref("s").alias("child"), ref("o").alias("on")).where("on is not null")
     up = settled(up.union(derived).distinct())
-    seen = settled(roots.select("eid").distinct().join(live.select("eid"), "eid", "left_semi").withColumns({"depth": F.lit(0), "parent": F.col("eid")}))
-    front, depth = seen, 0
+    front = settled(roots.select("eid").distinct().join(live.select("eid"), "eid", "left_semi").withColumns({"depth": F.lit(0), "parent": F.col("eid")}))
+    seen, depth, count = Layers(front), 0, front.count()
     while True:
         depth += 1
         front = front.select(F.col("eid").alias("on")).join(up, "on").groupBy(F.col("child").alias("eid")).agg(F.min("on").alias("parent"))
-        front = settled(front.join(seen.select("eid"), "eid", "left_anti").join(live.select("eid"), "eid", "left_semi").select("eid", F.lit(depth).alias("depth"), "parent"))
-        if not front.take(1):
-            return seen
-        seen = settled(seen.unionByName(front))
-        if seen.count() > most:
+        front = settled(front.join(seen.rows.select("eid"), "eid", "left_anti").join(live.select("eid"), "eid", "left_semi").select("eid", F.lit(depth).alias("depth"), "parent"))
+        new = front.count()
+        if not new:
+            return seen.rows
+        seen.add(front)
+        count += new
+        if count > most:
             raise LimitExceeded(f"a cascade of more than {most} statements")
 
 
@@ -144,7 +146,7 @@ def supersede(store: Store, old: int, o, v_from: int | None = None, v_to: int |
     spark = store.statements.sparkSession
     root = spark.createDataFrame([(old,)], "eid bigint")
     closure = cascade(store, root)
-    order = Window.orderBy("depth", "parent", "eid")
+    order = Window.orderBy("depth", "parent", "eid")  # at most MAX_CASCADE rows
     ids = settled(closure.select(F.col("eid").alias("old"), "depth", (F.row_number().over(order) + store.next_eid - 1).cast("bigint").alias("new")))
     if not ids.take(1):
         raise InvalidQuery(f"no live statement {old}")
@@ -187,6 +189,26 @@ def derive(store: Store, facts: DataFrame, supports: DataFrame) -> tuple[Store,
     return store, new
 
 
+def upsert_derived(store: Store, facts: DataFrame, supports: DataFrame) -> tuple[Store, DataFrame]:
+    """Conclusions in place of what their subject and predicate hold now, linked to their supports."""
+    keys = facts.select("s", "p").distinct()
+    old = settled(store.live().join(keys, ["s", "p"], "left_semi").select("eid"))
+    return derive(retract(store, old) if old.take(1) else store, facts, supports)
+
+
+def meta(store: Store, eids: DataFrame, p: str, o) -> tuple[Store, DataFrame]:
+    """A statement (p, o) about each of the statements."""
+    key = o if isinstance(o, str) and o[1:2] == ":" else M.key(o)
+    none = F.lit(None).cast("bigint")
+    return assert_(store, eids.select(M.statement_ref("eid").alias("s"), F.lit(p).alias("p"), F.lit(key).alias("o"), none.alias("v_from"), none.alias("v_to")))
+
+
+def new_nodes(store: Store, count: int, blank: bool = False) -> tuple[Store, list[str]]:
+    """Terms of fresh anonymous (or blank) nodes, numbered like statements so that none comes twice."""
+    names = [f"{'_' if blank else 'N'}:{store.next_eid + i}" for i in range(count)]
+    return replace(store, next_eid=store.next_eid + count), names
+
+
 # --- graphs and volatile values -----------------------------------------------
 
 
@@ -196,7 +218,7 @@ def graphs(statements: DataFrame, view: M.View = M.NOW) -> DataFrame:
 
 def graph_members(statements: DataFrame, graph: str, view: M.View = M.NOW) -> DataFrame:
     x = M.seen(statements, view)
-    inside = x.where((F.col("p") == M.IN_GRAPH) & (F.col("o") == graph)).select(M.body(F.col("s")).cast("bigint").alias("eid"))
+    inside = x.where((F.col("p") == M.IN_GRAPH) & (F.col("o") == graph)).select(M.body(F.col("s")).try_cast("bigint").alias("eid"))
     return x.join(inside, "eid", "left_semi")
 
 
@@ -213,6 +235,12 @@ def drop_graph(store: Store, graph: str) -> Store:
     return retract_matching(store, (F.col("p") == M.IN_GRAPH) & (F.col("o") == graph))
 
 
+def remove_from_graph(store: Store, eids: DataFrame, graph: str) -> Store:
+    """The memberships of these statements end; the statements stay."""
+    refs = eids.select(M.statement_ref("eid").alias("s"))
+    return retract(store, settled(store.live().where((F.col("p") == M.IN_GRAPH) & (F.col("o") == graph)).join(refs, "s", "left_semi").select("eid")))
+
+
 def latest_volatile(log: DataFrame) -> DataFrame:
     """The current values of a log (s, p, o, at) of volatile writes: the last writer wins, null clears."""
     return log.groupBy("s", "p").agg(F.max_by("o", "at").alias("o")).where("o is not null")

@@ -88,10 +88,9 @@ def last_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem with an eid: its place when all rows are sorted by all columns.
+    """lineitem with an eid: 4096 times its order, and its rank within the order by all columns.
 
-    Order and line do not identify a row. Rank within an order, which is small, and the sum of the
-    orders' sizes before it make the place, so no task sorts more than an order and a bucket.
+    Order and line do not identify a row. An order must have fewer than 4096 lines.
     """
     li = table(spark, sf_dir, "lineitem")
     rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*[c for c in li.columns if c != "l_orderkey"]))
@@ -130,6 +129,17 @@ def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(e, F.col("event_id"), M.iri("event_type"), "then", M.iri("next"))
 
 
+def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(nation, buysFrom, nation), once for each pair between which a lineitem was bought and returned."""
+    li = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_suppkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    p = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    x = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(p, F.col("l_suppkey") == F.col("s_suppkey"))
+    x = x.select("c_nationkey", "s_nationkey").distinct()
+    return facts(x, F.col("c_nationkey") * 1000 + F.col("s_nationkey"), node("n", "c_nationkey"), "buysFrom", node("n", "s_nationkey"))
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(document, text, string)."""
     return facts(table(spark, sf_dir, "documents"), F.col("doc_id"), node("d", "doc_id"), "text", M.string("text"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model as M
-from ..plans.settle import settled
+from ..plans.settle import numbered, reachable, settled
 
 #: One line of N-Triples: subject, predicate, object, and a literal's parts.
 LINE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<([^>]*)>|_:(\S+)|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*$'
@@ -95,10 +95,8 @@ def bundle(statements: DataFrame, roots: DataFrame, view: M.View = M.NOW) -> Dat
 
 def import_bundle(spark: SparkSession, lines: DataFrame, next_eid: int, t: int) -> DataFrame:
     """Statements of a bundle under fresh eids; references inside the bundle follow."""
-    from pyspark.sql import Window
-
     x = lines.select(F.from_json("value", "eid bigint, s string, p string, o string, v_from bigint, v_to bigint").alias("r")).select("r.*")
-    ids = settled(x.select(F.col("eid").alias("old"), (F.row_number().over(Window.orderBy("eid")) + next_eid - 1).cast("bigint").alias("new")))
+    ids = settled(numbered(x.select(F.col("eid").alias("old")), ["old"], "new", next_eid))
     x = x.join(ids, F.col("eid") == F.col("old"))
     for c in ("s", "o"):
         side = ids.select(M.statement_ref("old").alias("k"), M.statement_ref("new").alias("moved"))
@@ -106,23 +104,54 @@ def import_bundle(spark: SparkSession, lines: DataFrame, next_eid: int, t: int)
     return x.select(F.col("new").alias("eid"), "s", "p", "o", F.lit(t).cast("bigint").alias("t_add"), F.lit(None).cast("bigint").alias("t_ret"), "v_from", "v_to", F.lit(None).cast("tinyint").alias("ret_kind"))
 
 
-def turtle(spark: SparkSession, text: str) -> DataFrame:
-    """(s, p, o) of a small Turtle text, read on the driver: prefixes, ; and , lists, literals."""
+def turtle_rows(text: str, prefixes: dict | None = None) -> list[tuple]:
+    """The facts of a Turtle text: prefixes, ; and , lists, literals."""
     import re
 
     from ..plans import ir
     from ..plans.sparql import Parser
 
-    text = re.sub(r"@prefix\s+(\S*)\s*(<[^>]*>)\s*\.", r"PREFIX \1 \2", text)
-    p = Parser(text)
+    head = "".join(f"PREFIX {k}: <{v}>\n" for k, v in (prefixes or {}).items())
+    p = Parser(head + re.sub(r"@prefix\s+(\S*)\s*(<[^>]*>)\s*\.", r"PREFIX \1 \2", text))
     rows = []
     while p.peek()[0]:
         p.prologue()
         if p.peek()[0] and not p.word("."):
             for t in p.triples():
-                name = lambda x: f"_:{x.name.lstrip('_')}" if isinstance(x, ir.Var) else x
+                name = lambda x: f"_:{x.name.lstrip('_')}" if isinstance(x, ir.Var) else x if isinstance(x, str) and x[1:2] == ":" else M.key(x)
                 rows.append((name(t.s), t.p, name(t.o)))
-    return spark.createDataFrame(rows, "s string, p string, o string")
+    return rows
+
+
+def turtle(spark: SparkSession, text: str) -> DataFrame:
+    """(s, p, o) of a small Turtle text, read on the driver."""
+    return spark.createDataFrame(turtle_rows(text), "s string, p string, o string")
+
+
+def read_turtle(blocks: DataFrame, prefixes: dict | None = None) -> DataFrame:
+    """(s, p, o) of Turtle blocks (column value), each of whole statements, read where they lie.
+
+    Lines of prefixes must be given apart, as a name and an IRI each. A file of statements that
+    end their lines gives such blocks by ``spark.read.option("lineSep", " .\\n").text(path)``.
+    """
+    import pyarrow as pa
+
+    reachable(blocks.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            rows = [r for v in b.column("value").to_pylist() if v and v.strip() for r in turtle_rows(v, prefixes)]
+            s, p, o = zip(*rows) if rows else ((), (), ())
+            yield pa.record_batch([pa.array(s, pa.string()), pa.array(p, pa.string()), pa.array(o, pa.string())], ["s", "p", "o"])
+
+    return blocks.select("value").mapInArrow(run, "s string, p string, o string")
+
+
+def turtle_text(facts: DataFrame) -> DataFrame:
+    """(value): a block for each subject and sixteenth of its facts, with ; between predicates and , between objects."""
+    x = facts.select(term_text(F.col("s")).alias("s"), "p", term_text(F.col("o")).alias("o")).withColumn("part", F.pmod(F.xxhash64("p", "o"), F.lit(16)))
+    objects = x.groupBy("s", "part", "p").agg(F.concat(F.lit("<"), F.col("p"), F.lit("> "), F.array_join(F.array_sort(F.collect_set("o")), " , ")).alias("line"))
+    return objects.groupBy("s", "part").agg(F.concat(F.col("s"), F.lit(" "), F.array_join(F.array_sort(F.collect_list("line")), " ;\n  "), F.lit(" .")).alias("value")).select("value")
 
 
 def nquads(lines: DataFrame) -> DataFrame:
