@@ -136,7 +136,7 @@ WHERE o_totalprice > 100000 AND o_orderstatus = 'F' GROUP BY ALL""")
 def snowflake(spark, sf_dir):
     x = ask(spark, sf_dir, """PREFIX : <> SELECT ?rn ?seg (COUNT(?o) AS ?n) (SUM(?t) AS ?total)
       { ?o :status "F" ; :total ?t ; :placedBy ?c . ?c :inNation ?na ; :segment ?seg . ?na :inRegion ?r . ?r :regionName ?rn FILTER(?t > 100000) } GROUP BY ?rn ?seg""")
-    return x.select(M.lex(F.col("rn")).alias("rn"), M.lex(F.col("seg")).alias("seg"), "n", F.round("total", 3).alias("total"))
+    return x.select(M.lex(F.col("rn")).alias("rn"), M.lex(F.col("seg")).alias("seg"), "n", num("total", 3))
 
 
 @q("SELECT doc, label FROM (SELECT 'I:d:' || d.doc_id AS doc, 'i:' || quality AS label FROM documents d LEFT JOIN labels l USING (doc_id))")
@@ -208,11 +208,11 @@ def ask_form(spark, sf_dir):
     return ask(spark, sf_dir, "PREFIX : <> ASK { ?p :size ?z FILTER(?z > 49) }")
 
 
-@q("SELECT DISTINCT 'I:n:' || c_nationkey AS s, 'buysFrom' AS p, 'I:n:' || s_nationkey AS o FROM customer JOIN supplier ON s_suppkey % 7 = c_custkey % 7 AND s_suppkey < 8 AND c_custkey < 100")
+@q("SELECT DISTINCT 'I:n:' || c_nationkey AS s, 'buysFrom' AS p, 'I:n:' || s_nationkey AS o FROM customer JOIN supplier ON s_suppkey % 7 = c_custkey % 7")
 def construct_form(spark, sf_dir):
-    st = ingest.entities(spark, sf_dir)
-    pairs = table(spark, sf_dir, "customer").where("c_custkey < 100").select("c_custkey").join(table(spark, sf_dir, "supplier").where("s_suppkey < 8").select("s_suppkey"), F.expr("s_suppkey % 7 = c_custkey % 7"))
-    st = st.unionByName(ingest.facts(pairs, F.col("c_custkey") * 1000 + F.col("s_suppkey") + 10**9, ingest.node("c", "c_custkey"), "deals", ingest.node("s", "s_suppkey")))
+    pairs = table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "supplier").select("s_suppkey"), F.expr("s_suppkey % 7 = c_custkey % 7"))
+    eid = (F.col("c_custkey") + 1) * 10**9 + F.col("s_suppkey")
+    st = ingest.entities(spark, sf_dir).unionByName(ingest.facts(pairs, eid, ingest.node("c", "c_custkey"), "deals", ingest.node("s", "s_suppkey")))
     return sparql("PREFIX : <> CONSTRUCT { ?a :buysFrom ?b } WHERE { ?c :deals ?s ; :inNation ?a . ?s :suppliesFrom ?b }", st, multi=frozenset())
 
 
@@ -221,7 +221,7 @@ FROM customer GROUP BY c_nationkey HAVING count(*) > 2""")
 def aggregates(spark, sf_dir):
     x = ask(spark, sf_dir, """PREFIX : <> SELECT ?n (COUNT(*) AS ?cnt) (COUNT(DISTINCT ?g) AS ?d) (SUM(?b) AS ?s) (AVG(?b) AS ?a) (MIN(?b) AS ?lo) (MAX(?b) AS ?hi)
       { ?c :inNation ?n ; :balance ?b ; :segment ?g } GROUP BY ?n HAVING (COUNT(*) > 2)""")
-    return x.select("n", "cnt", "d", F.round("s", 3).alias("s"), F.round("a", 4).alias("a"), num("lo", 2), num("hi", 2))
+    return x.select("n", "cnt", "d", num("s", 3), F.round("a", 4).alias("a"), num("lo", 2), num("hi", 2))
 
 
 @q("SELECT 'I:r:' || n_regionkey AS r, string_agg(n_name, '|' ORDER BY n_name) AS names, min('s:' || n_name) AS one FROM nation GROUP BY n_regionkey")
@@ -231,7 +231,7 @@ def group_concat_sample(spark, sf_dir):
 
 @q("SELECT 0::BIGINT AS n, NULL::DOUBLE AS s")
 def empty_group(spark, sf_dir):
-    return ask(spark, sf_dir, 'PREFIX : <> SELECT (COUNT(*) AS ?n) (SUM(?b) AS ?s) { ?c :segment "NO SUCH" ; :balance ?b }')
+    return ask(spark, sf_dir, 'PREFIX : <> SELECT (COUNT(*) AS ?n) (SUM(?b) AS ?s) { ?c :segment "NO SUCH" ; :balance ?b }').select("n", num("s"))
 
 
 @q("SELECT DISTINCT 'I:' || a AS a, 'I:' || b AS b FROM (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS NOT NULL")
@@ -249,15 +249,11 @@ def canonical_statement(spark, sf_dir):
     return M.canonical(M.seen(ingest.transitions(spark, sf_dir))).select("eid", "s", "o")
 
 
-@q("""WITH t AS (SELECT event_id AS e, event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events WHERE event_id < 400)
-SELECT count(*) AS n FROM t x JOIN t y ON x.b = y.a AND x.e <> y.e WHERE x.b IS NOT NULL AND y.b IS NOT NULL""")
+@q("""WITH t AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events),
+i AS (SELECT b AS k, count(*) AS i FROM t WHERE b IS NOT NULL GROUP BY b), o AS (SELECT a AS k, count(*) AS o FROM t WHERE b IS NOT NULL GROUP BY a)
+SELECT (SELECT sum(i * o) FROM i JOIN o USING (k))::BIGINT - (SELECT count(*) FROM t WHERE a = b) AS n""")
 def relationship_isomorphism(spark, sf_dir):
-    import pyspark.sql.window as W
-
-    e = table(spark, sf_dir, "events").where("event_id < 400")
-    e = e.withColumn("next", F.lead("event_type").over(W.Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("next is not null")
-    st = ingest.facts(e, F.col("event_id"), M.iri("event_type"), "then", M.iri("next"))
-    return cypher("MATCH (a)-[:then]->(b)-[:then]->(c) RETURN count(*) AS n", st).select(M.num(F.col("n")).cast("bigint").alias("n"))
+    return cypher("MATCH (a)-[:then]->(b)-[:then]->(c) RETURN count(*) AS n", ingest.transitions(spark, sf_dir)).select(M.num(F.col("n")).cast("bigint").alias("n"))
 
 
 LINES = """li AS (SELECT *, (l_orderkey * 4096 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)) * 4 AS eid FROM lineitem)"""
@@ -267,7 +263,7 @@ LINES = """li AS (SELECT *, (l_orderkey * 4096 + row_number() OVER (PARTITION BY
 def layer_hops(spark, sf_dir):
     st = ingest.layers(spark, sf_dir)
     x = sparql("PREFIX : <> SELECT ?p (COUNT(*) AS ?n) (SUM(?q) AS ?total) { << ?o :contains ?p ~ ?e >> :discount ?d . ?e :quantity ?q FILTER(?d >= 0.05) } GROUP BY ?p", st, multi=frozenset())
-    return x.select("p", "n", F.round("total", 1).alias("total"))
+    return x.select("p", "n", num("total", 1))
 
 
 @q(f"WITH {SHIP} SELECT 'S:' || eid AS e, 't:' || v_from || '|0' AS f, 't:' || v_to || '|0' AS t, 'I:shipping' AS pr FROM ship")
@@ -525,13 +521,6 @@ def users(spark, *names):
     return spark.createDataFrame([(n,) for n in names], "node string")
 
 
-def some_edges(spark, sf_dir):
-    """Co-purchases of the users below 40."""
-    low = lambda c: F.regexp_extract(c, r"(\d+)$", 1).cast("int") < 40
-    return ingest.co_purchases(spark, sf_dir).where(low("s") & low("o"))
-
-
-SOME = BOUGHT + ", few AS (SELECT * FROM bought WHERE split_part(u, ':', 3)::INT < 40 AND split_part(v, ':', 3)::INT < 40)"
 START = "I:u:1"
 
 
@@ -550,30 +539,26 @@ def path_inverse_alternative(spark, sf_dir):
     return paths.reach(ingest.co_purchases(spark, sf_dir), users(spark, START), "(bought|^bought){0,2}").rows.select("node", "hops")
 
 
-@q(f"""WITH RECURSIVE {SOME}, r(n, tau) AS (SELECT '{START}', -4611686018427387904 UNION SELECT v, greatest(tau, h * 3600000) FROM r JOIN few ON u = n AND (h + 1) * 3600000 > tau)
+@q(f"""WITH RECURSIVE {BOUGHT}, r(n, tau) AS (SELECT '{START}', -4611686018427387904 UNION SELECT v, greatest(tau, h * 3600000) FROM r JOIN bought ON u = n AND (h + 1) * 3600000 > tau)
 SELECT n AS node, min(tau)::BIGINT AS arrival FROM r WHERE n <> '{START}' GROUP BY n""")
 def path_in_time(spark, sf_dir):
-    return paths.reach_in_time(some_edges(spark, sf_dir), users(spark, START), "bought+").select("node", "arrival")
+    return paths.reach_in_time(ingest.co_purchases(spark, sf_dir), users(spark, START), "bought+").select("node", "arrival")
 
 
-@q(f"WITH RECURSIVE {SOME}, r(n, eids, d) AS (SELECT '{START}', []::BIGINT[], 0 UNION ALL SELECT v, list_append(eids, eid), d + 1 FROM r JOIN few ON u = n WHERE d < 3 AND NOT list_contains(eids, eid)) SELECT n AS node, d AS hops, count(*) AS trails FROM r WHERE d > 0 GROUP BY ALL")
+@q(f"WITH RECURSIVE {BOUGHT}, r(n, eids, d) AS (SELECT '{START}', []::BIGINT[], 0 UNION ALL SELECT v, list_append(eids, eid), d + 1 FROM r JOIN bought ON u = n WHERE d < 3 AND NOT list_contains(eids, eid)) SELECT n AS node, d AS hops, count(*) AS trails FROM r WHERE d > 0 GROUP BY ALL")
 def path_trails(spark, sf_dir):
-    return paths.trails(some_edges(spark, sf_dir), users(spark, START), "bought{1,3}", 3).rows.groupBy("node", "hops").agg(F.count("*").alias("trails"))
+    return paths.trails(ingest.co_purchases(spark, sf_dir), users(spark, START), "bought{1,3}", 3).rows.groupBy("node", "hops").agg(F.count("*").alias("trails"))
 
 
-@q(f"""WITH RECURSIVE {SOME}, r(n, k, d) AS (SELECT '{START}', '', 0 UNION ALL SELECT v, k || lpad(eid::VARCHAR, 15, '0') || ' ', d + 1 FROM r JOIN few ON u = n WHERE d < 4)
-SELECT n AS node, d AS hops, count(*) AS ways, min(k) AS first FROM (SELECT *, min(d) OVER (PARTITION BY n) AS low FROM r) WHERE d = low GROUP BY ALL""")
+@q()
 def path_all_shortest(spark, sf_dir):
-    x = paths.shortest(some_edges(spark, sf_dir), users(spark, START), "bought*", "all", 4).rows
-    key = F.array_join(F.transform("eids", lambda e: F.concat(F.lpad(e.cast("string"), 15, "0"), F.lit(" "))), "")
-    return x.groupBy("node", "hops").agg(F.count("*").alias("ways"), F.min(key).alias("first"))
+    x = paths.shortest(ingest.co_purchases(spark, sf_dir), users(spark, START), "bought*", "all").rows
+    return x.groupBy("node", "hops").agg(F.count("*").alias("ways"), F.min("eids").alias("first"))
 
 
-@q(f"""WITH RECURSIVE {SOME}, r(n, k, d) AS (SELECT '{START}', '', 0 UNION ALL SELECT v, k || lpad(eid::VARCHAR, 15, '0') || ' ', d + 1 FROM r JOIN few ON u = n WHERE d < 4)
-SELECT n AS node, d AS hops, min(k) AS first FROM (SELECT *, min(d) OVER (PARTITION BY n) AS low FROM r) WHERE d = low GROUP BY ALL""")
+@q()
 def path_any_shortest(spark, sf_dir):
-    x = paths.shortest(some_edges(spark, sf_dir), users(spark, START), "bought*", "any", 4).rows
-    return x.select("node", "hops", F.array_join(F.transform("eids", lambda e: F.concat(F.lpad(e.cast("string"), 15, "0"), F.lit(" "))), "").alias("first"))
+    return paths.shortest(ingest.co_purchases(spark, sf_dir), users(spark, START), "bought*", "any").rows.select("node", "hops", F.col("eids").alias("first"))
 
 
 @q(f"WITH {BOUGHT}, e AS (SELECT DISTINCT u, v FROM bought) SELECT count(*) AS n FROM (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM e) a JOIN (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM e) b ON a.v = b.u JOIN (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM e) c ON a.u = c.u AND b.v = c.v")
@@ -582,9 +567,9 @@ def cyclic_triangles(spark, sf_dir):
     return paths.triangles(e).agg(F.count("*").alias("n"))
 
 
-@q("SELECT 'I:c:' || c_custkey AS c, 'I:r:' || n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey < 50")
+@q("SELECT 'I:c:' || c_custkey AS c, 'I:r:' || n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def path_in_sparql(spark, sf_dir):
-    return ask(spark, sf_dir, "PREFIX : <> SELECT ?c ?r { ?c (:inNation/:inRegion) ?r . ?c :custName ?n }").where(F.regexp_extract("c", r"(\d+)$", 1).cast("int") < 50)
+    return ask(spark, sf_dir, "PREFIX : <> SELECT ?c ?r { ?c (:inNation/:inRegion) ?r . ?c :custName ?n }")
 
 
 @q(f"WITH {LINES} SELECT eid + x AS eid FROM li, (VALUES (1), (2), (3)) v(x) WHERE l_orderkey = 1")
@@ -668,9 +653,9 @@ def unembedded(spark, sf_dir):
     return recall.unembedded(ingest.texts(spark, sf_dir), e, "m").select("eid")
 
 
-@q(f"WITH {LINES} SELECT eid, l_tax AS confidence, 1::BIGINT AS confirmations FROM li WHERE l_linenumber = 1")
+@q(f"WITH {LINES} SELECT eid, l_tax AS confidence, 1::BIGINT AS confirmations FROM li")
 def evidence(spark, sf_dir):
-    li = ingest.lineitems(spark, sf_dir).where("l_linenumber = 1").withColumn("e", F.col("eid") * 4)
+    li = ingest.lineitems(spark, sf_dir).withColumn("e", F.col("eid") * 4)
     st = ingest.union([ingest.facts(li, F.col("e"), ingest.node("o", "l_orderkey"), "contains", ingest.node("p", "l_partkey")), ingest.facts(li, F.col("e") + 1, M.statement_ref("e"), M.CONFIDENCE, M.double("l_tax")), ingest.facts(li, F.col("e") + 2, M.statement_ref("e"), M.CONFIRMED_BY, ingest.node("s", "l_suppkey"))])
     return recall.evidence(st).select("eid", "confidence", "confirmations")
 
@@ -680,15 +665,14 @@ def evidence(spark, sf_dir):
 TC = "reach(X, Y) :- bought(X, Y). reach(X, Z) :- reach(X, Y), bought(Y, Z)."
 
 
-@q(f"WITH RECURSIVE {SOME}, r(x, y) AS (SELECT u, v FROM few UNION SELECT x, v FROM r JOIN few ON y = u) SELECT count(*) AS n FROM r")
+@q(f"WITH RECURSIVE {BOUGHT}, e AS (SELECT DISTINCT u, v FROM bought), r(x, y) AS (SELECT u, v FROM e UNION SELECT x, v FROM r JOIN e ON y = u) SELECT count(*) AS n FROM r")
 def datalog_closure(spark, sf_dir):
-    return datalog(TC, "reach(X, Y)", some_edges(spark, sf_dir)).agg(F.count("*").alias("n"))
+    return datalog(TC, "reach(X, Y)", ingest.co_purchases(spark, sf_dir)).agg(F.count("*").alias("n"))
 
 
-@q(f"WITH RECURSIVE {SOME}, r(x, y) AS (SELECT u, v FROM few WHERE u = '{START}' UNION SELECT x, v FROM r JOIN few ON y = u) SELECT y AS \"Y\" FROM r")
+@q(f"WITH RECURSIVE {BOUGHT}, e AS (SELECT DISTINCT u, v FROM bought), r(x, y) AS (SELECT u, v FROM e WHERE u = '{START}' UNION SELECT x, v FROM r JOIN e ON y = u) SELECT y AS \"Y\" FROM r")
 def datalog_magic(spark, sf_dir):
-    st = some_edges(spark, sf_dir)
-    return datalog(TC, "reach(u:1, Y)", st).select("Y")
+    return datalog(TC, "reach(u:1, Y)", ingest.co_purchases(spark, sf_dir)).select("Y")
 
 
 @q("SELECT 'I:c:' || c_custkey AS \"C\" FROM customer WHERE c_acctbal > 5000 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
@@ -737,24 +721,18 @@ def datalog_materialise(spark, sf_dir):
 # --- writes ------------------------------------------------------------------------------------------
 
 
-def layered(spark, sf_dir):
-    """The lineitems of the first orders, with their layers, as a store."""
-    st = ingest.layers(spark, sf_dir).where(F.floor(F.col("eid") / (4096 * 4)) < 40)
-    return writes.Store.over(st).begin()
-
-
-LAYERED = f"WITH {LINES}, st AS (SELECT eid + x AS eid, eid AS root, l_orderkey AS o, x FROM li, (VALUES (0), (1), (2), (3)) v(x) WHERE l_orderkey < 40)"
+LAYERED = f"WITH {LINES}, st AS (SELECT eid + x AS eid, eid AS root, l_orderkey AS o, x FROM li, (VALUES (0), (1), (2), (3)) v(x))"
 
 
 @q(LAYERED + " SELECT eid, CASE WHEN o = 7 THEN CASE WHEN x = 0 THEN 0 ELSE 1 END END AS ret_kind FROM st")
 def write_retract_cascade(spark, sf_dir):
-    s = writes.retract_matching(layered(spark, sf_dir), (F.col("s") == "I:o:7") & (F.col("p") == "contains"))
+    s = writes.retract_matching(writes.Store.over(ingest.layers(spark, sf_dir)).begin(), (F.col("s") == "I:o:7") & (F.col("p") == "contains"))
     return s.statements.select("eid", F.col("ret_kind").cast("int").alias("ret_kind"))
 
 
 @q(LAYERED + ", r AS (SELECT min(root) AS e FROM st WHERE o = 5) SELECT count(*) FILTER (root <> e) + 4 AS live, (count(*) FILTER (root = e)) AS dead, 'I:p:999999' AS o FROM st, r GROUP BY e")
 def write_supersede(spark, sf_dir):
-    s = layered(spark, sf_dir)
+    s = writes.Store.over(ingest.layers(spark, sf_dir)).begin()
     old = s.statements.where((F.col("s") == "I:o:5") & (F.col("p") == "contains")).agg(F.min("eid")).first()[0]
     s, ids = writes.supersede(s, old, M.Iri("p:999999"))
     new = ids.where(F.col("old") == old).select(F.col("new").alias("eid"))
@@ -762,20 +740,21 @@ def write_supersede(spark, sf_dir):
     return s.statements.agg(F.count(F.when(F.col("t_ret").isNull(), 1)).alias("live"), F.count(F.when(F.col("t_ret").isNotNull(), 1)).alias("dead")).crossJoin(o)
 
 
-@q("SELECT count(*) AS n, sum(CASE WHEN o_orderkey < 100 THEN 1 ELSE 0 END)::BIGINT AS low FROM orders WHERE o_orderkey < 200")
+@q("SELECT p, count(*) AS n, count(DISTINCT o_orderkey) AS orders FROM orders, (VALUES ('placedBy'), ('placedFirst')) v(p) GROUP BY p")
 def write_assert_idempotent(spark, sf_dir):
-    st = ingest.order_timeline(spark, sf_dir).where("eid < 100")
-    more = ingest.order_timeline(spark, sf_dir).where("eid < 200").select("s", "p", "o", "v_from", "v_to")
-    s, _ = writes.assert_(writes.Store.over(st).begin(), more)
-    return s.live().agg(F.count("*").alias("n"), F.sum(F.when(F.regexp_extract("s", r"(\d+)$", 1).cast("int") < 100, 1).otherwise(0)).cast("bigint").alias("low"))
+    """All facts asserted once more, which adds nothing, together with new ones."""
+    st = ingest.order_timeline(spark, sf_dir)
+    again = st.select("s", "p", "o", "v_from", "v_to")
+    s, _ = writes.assert_(writes.Store.over(st).begin(), again.unionByName(again.withColumn("p", F.lit("placedFirst"))))
+    return s.live().groupBy("p").agg(F.count("*").alias("n"), F.count_distinct("s").alias("orders"))
 
 
-@q("SELECT ret_kind, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 2 = 0 THEN 3 END AS ret_kind FROM customer WHERE c_custkey < 100 UNION ALL SELECT NULL FROM customer WHERE c_custkey < 100 AND c_custkey % 2 = 0) GROUP BY ret_kind")
+@q("SELECT ret_kind, count(*) AS n FROM (SELECT CASE WHEN c_acctbal > 0 THEN 3 END AS ret_kind FROM customer UNION ALL SELECT NULL FROM customer WHERE c_acctbal > 0) GROUP BY ret_kind")
 def write_cardinality_one(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_custkey < 100")
+    c = table(spark, sf_dir, "customer")
     st = ingest.facts(c, F.col("c_custkey"), ingest.node("c", "c_custkey"), "tier", M.string("c_mktsegment"))
     rule = M.literal(spark, [(10**9, M.Iri("tier"), M.CARDINALITY, "one", 1)])
-    new = c.where("c_custkey % 2 = 0").select(ingest.node("c", "c_custkey").alias("s"), F.lit("tier").alias("p"), F.lit("s:GOLD").alias("o"), F.lit(None).cast("bigint").alias("v_from"), F.lit(None).cast("bigint").alias("v_to"))
+    new = c.where("c_acctbal > 0").select(ingest.node("c", "c_custkey").alias("s"), F.lit("tier").alias("p"), F.lit("s:GOLD").alias("o"), F.lit(None).cast("bigint").alias("v_from"), F.lit(None).cast("bigint").alias("v_to"))
     s, _ = writes.assert_(writes.Store.over(st.unionByName(rule)).begin(), new)
     return s.statements.where("p = 'tier'").groupBy(F.col("ret_kind").cast("int").alias("ret_kind")).agg(F.count("*").alias("n"))
 
@@ -939,10 +918,9 @@ def cypher_procedure(spark, sf_dir):
     return match(spark, sf_dir, "CALL db.labels() YIELD label RETURN label")
 
 
-@q("SELECT 'I:n:' || n_nationkey AS n, x FROM (SELECT n_nationkey, 's:' || n_name AS x FROM nation UNION ALL SELECT n_nationkey, 'I:Nation' FROM nation) WHERE n_nationkey < 3")
+@q("SELECT 'I:n:' || n_nationkey AS n, 's:' || n_name AS x FROM nation UNION ALL SELECT 'I:n:' || n_nationkey, 'I:Nation' FROM nation")
 def path_negated_set(spark, sf_dir):
-    x = ask(spark, sf_dir, "PREFIX : <> SELECT ?n ?x { ?n !(:inRegion) ?x . ?n :nationName ?name }")
-    return x.where(F.col("n").isin("I:n:0", "I:n:1", "I:n:2"))
+    return ask(spark, sf_dir, "PREFIX : <> SELECT ?n ?x { ?n !(:inRegion) ?x . ?n :nationName ?name }")
 
 
 @q(PAIRS.rstrip() + ", y AS (SELECT DISTINCT a.s AS s FROM ship a JOIN ship b ON a.s = b.s WHERE a.v_from = b.v_from AND a.v_to < b.v_to) SELECT s AS \"O\" FROM y")
@@ -956,100 +934,4 @@ def datalog_text_tests(spark, sf_dir):
     return datalog('f(P) :- brand(P, B), starts_with(B, "Brand#1"), contains(lower(B), "3").', "f(P)", ingest.entities(spark, sf_dir))
 
 
-# --- whole tables -------------------------------------------------------------------------------------------
-#
-# Some queries above, and their SQL, are restricted to constant ids so that DuckDB answers them soon. Here the
-# same operators read whole tables. Shortest paths have no SQL, as DuckDB would build every walk of four hops.
-
-
-@q(f"""WITH RECURSIVE {BOUGHT}, r(n, tau) AS (SELECT '{START}', -4611686018427387904 UNION SELECT v, greatest(tau, h * 3600000) FROM r JOIN bought ON u = n AND (h + 1) * 3600000 > tau)
-SELECT n AS node, min(tau)::BIGINT AS arrival FROM r WHERE n <> '{START}' GROUP BY n""")
-def path_in_time_whole(spark, sf_dir):
-    return paths.reach_in_time(ingest.co_purchases(spark, sf_dir), users(spark, START), "bought+").select("node", "arrival")
-
-
-@q(f"WITH RECURSIVE {BOUGHT}, r(n, eids, d) AS (SELECT '{START}', []::BIGINT[], 0 UNION ALL SELECT v, list_append(eids, eid), d + 1 FROM r JOIN bought ON u = n WHERE d < 3 AND NOT list_contains(eids, eid)) SELECT n AS node, d AS hops, count(*) AS trails FROM r WHERE d > 0 GROUP BY ALL")
-def path_trails_whole(spark, sf_dir):
-    return paths.trails(ingest.co_purchases(spark, sf_dir), users(spark, START), "bought{1,3}", 3).rows.groupBy("node", "hops").agg(F.count("*").alias("trails"))
-
-
-@q()
-def path_all_shortest_whole(spark, sf_dir):
-    x = paths.shortest(ingest.co_purchases(spark, sf_dir), users(spark, START), "bought*", "all").rows
-    return x.groupBy("node", "hops").agg(F.count("*").alias("ways"), F.min("eids").alias("first"))
-
-
-@q()
-def path_any_shortest_whole(spark, sf_dir):
-    return paths.shortest(ingest.co_purchases(spark, sf_dir), users(spark, START), "bought*", "any").rows.select("node", "hops", F.col("eids").alias("first"))
-
-
-@q(f"WITH RECURSIVE {BOUGHT}, e AS (SELECT DISTINCT u, v FROM bought), r(x, y) AS (SELECT u, v FROM e UNION SELECT x, v FROM r JOIN e ON y = u) SELECT count(*) AS n FROM r")
-def datalog_closure_whole(spark, sf_dir):
-    return datalog(TC, "reach(X, Y)", ingest.co_purchases(spark, sf_dir)).agg(F.count("*").alias("n"))
-
-
-@q(f"WITH RECURSIVE {BOUGHT}, e AS (SELECT DISTINCT u, v FROM bought), r(x, y) AS (SELECT u, v FROM e WHERE u = '{START}' UNION SELECT x, v FROM r JOIN e ON y = u) SELECT y AS \"Y\" FROM r")
-def datalog_magic_whole(spark, sf_dir):
-    return datalog(TC, "reach(u:1, Y)", ingest.co_purchases(spark, sf_dir)).select("Y")
-
-
-@q("""WITH t AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events),
-i AS (SELECT b AS k, count(*) AS i FROM t WHERE b IS NOT NULL GROUP BY b), o AS (SELECT a AS k, count(*) AS o FROM t WHERE b IS NOT NULL GROUP BY a)
-SELECT (SELECT sum(i * o) FROM i JOIN o USING (k))::BIGINT - (SELECT count(*) FROM t WHERE a = b) AS n""")
-def relationship_isomorphism_whole(spark, sf_dir):
-    return cypher("MATCH (a)-[:then]->(b)-[:then]->(c) RETURN count(*) AS n", ingest.transitions(spark, sf_dir)).select(M.num(F.col("n")).cast("bigint").alias("n"))
-
-
-@q("SELECT DISTINCT 'I:n:' || c_nationkey AS s, 'buysFrom' AS p, 'I:n:' || s_nationkey AS o FROM customer JOIN supplier ON s_suppkey % 7 = c_custkey % 7")
-def construct_form_whole(spark, sf_dir):
-    pairs = table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "supplier").select("s_suppkey"), F.expr("s_suppkey % 7 = c_custkey % 7"))
-    eid = (F.col("c_custkey") + 1) * 10**9 + F.col("s_suppkey")
-    st = ingest.entities(spark, sf_dir).unionByName(ingest.facts(pairs, eid, ingest.node("c", "c_custkey"), "deals", ingest.node("s", "s_suppkey")))
-    return sparql("PREFIX : <> CONSTRUCT { ?a :buysFrom ?b } WHERE { ?c :deals ?s ; :inNation ?a . ?s :suppliesFrom ?b }", st, multi=frozenset())
-
-
-@q("SELECT 'I:c:' || c_custkey AS c, 'I:r:' || n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey")
-def path_in_sparql_whole(spark, sf_dir):
-    return ask(spark, sf_dir, "PREFIX : <> SELECT ?c ?r { ?c (:inNation/:inRegion) ?r . ?c :custName ?n }")
-
-
-@q("SELECT 'I:n:' || n_nationkey AS n, 's:' || n_name AS x FROM nation UNION ALL SELECT 'I:n:' || n_nationkey, 'I:Nation' FROM nation")
-def path_negated_set_whole(spark, sf_dir):
-    return ask(spark, sf_dir, "PREFIX : <> SELECT ?n ?x { ?n !(:inRegion) ?x . ?n :nationName ?name }")
-
-
-LAYERED_WHOLE = f"WITH {LINES}, st AS (SELECT eid + x AS eid, eid AS root, l_orderkey AS o, x FROM li, (VALUES (0), (1), (2), (3)) v(x))"
-
-
-@q(LAYERED_WHOLE + " SELECT eid, CASE WHEN o = 7 THEN CASE WHEN x = 0 THEN 0 ELSE 1 END END AS ret_kind FROM st")
-def write_retract_cascade_whole(spark, sf_dir):
-    s = writes.retract_matching(writes.Store.over(ingest.layers(spark, sf_dir)).begin(), (F.col("s") == "I:o:7") & (F.col("p") == "contains"))
-    return s.statements.select("eid", F.col("ret_kind").cast("int").alias("ret_kind"))
-
-
-@q(LAYERED_WHOLE + ", r AS (SELECT min(root) AS e FROM st WHERE o = 5) SELECT count(*) FILTER (root <> e) + 4 AS live, (count(*) FILTER (root = e)) AS dead, 'I:p:999999' AS o FROM st, r GROUP BY e")
-def write_supersede_whole(spark, sf_dir):
-    s = writes.Store.over(ingest.layers(spark, sf_dir)).begin()
-    old = s.statements.where((F.col("s") == "I:o:5") & (F.col("p") == "contains")).agg(F.min("eid")).first()[0]
-    s, ids = writes.supersede(s, old, M.Iri("p:999999"))
-    new = ids.where(F.col("old") == old).select(F.col("new").alias("eid"))
-    o = s.live().join(new, "eid").select("o")
-    return s.statements.agg(F.count(F.when(F.col("t_ret").isNull(), 1)).alias("live"), F.count(F.when(F.col("t_ret").isNotNull(), 1)).alias("dead")).crossJoin(o)
-
-
-@q("SELECT count(*) AS n, sum(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS low FROM orders")
-def write_assert_idempotent_whole(spark, sf_dir):
-    st = ingest.order_timeline(spark, sf_dir)
-    s, _ = writes.assert_(writes.Store.over(st.where("eid % 2 = 0")).begin(), st.select("s", "p", "o", "v_from", "v_to"))
-    return s.live().agg(F.count("*").alias("n"), F.sum(F.when(F.regexp_extract("s", r"(\d+)$", 1).cast("int") % 2 == 0, 1).otherwise(0)).cast("bigint").alias("low"))
-
-
-@q("SELECT ret_kind, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 2 = 0 THEN 3 END AS ret_kind FROM customer UNION ALL SELECT NULL FROM customer WHERE c_custkey % 2 = 0) GROUP BY ret_kind")
-def write_cardinality_one_whole(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    st = ingest.facts(c, F.col("c_custkey"), ingest.node("c", "c_custkey"), "tier", M.string("c_mktsegment"))
-    rule = M.literal(spark, [(10**9, M.Iri("tier"), M.CARDINALITY, "one", 1)])
-    new = c.where("c_custkey % 2 = 0").select(ingest.node("c", "c_custkey").alias("s"), F.lit("tier").alias("p"), F.lit("s:GOLD").alias("o"), F.lit(None).cast("bigint").alias("v_from"), F.lit(None).cast("bigint").alias("v_to"))
-    s, _ = writes.assert_(writes.Store.over(st.unionByName(rule)).begin(), new)
-    return s.statements.where("p = 'tier'").groupBy(F.col("ret_kind").cast("int").alias("ret_kind")).agg(F.count("*").alias("n"))
+from . import catalog_language, catalog_store  # noqa: E402, F401  (they register more queries)
