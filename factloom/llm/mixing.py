@@ -21,6 +21,7 @@ BLOCK_WORDS = 64
 SHARD_SLOTS = 256
 ROUNDS = 6  #: of the permutation
 CELLS = 4096  #: of the table that turns a draw into a source
+TASK_SLOTS = 50_000  #: slots whose blocks one task draws
 RUN = 1024  #: shards, or parts of a queue, whose counts are summed first
 QUEUE_ROWS = 2_000  #: documents in one part of a source's queue
 SPAN = float(1 << 60)
@@ -91,7 +92,9 @@ def draw(plan: DataFrame, shard: int = SHARD_SLOTS) -> DataFrame:
     drawn = drawn.withColumn("cell", F.expr(f"at div {cell}")).join(cells, "cell").where("at >= lo and at < hi")
     # the multinomial counts, and where each source's numbering of them starts in each shard
     counts = settled(drawn.groupBy("shard", "rank").agg(F.count("*").alias("n")))
-    got = so_far(counts, ["rank"], "shard", "n").select("shard", "rank", F.explode(F.expr("sequence(base, base + n - 1)")).alias("i"))
+    # few rows until here, and many from here on: dealt by shard to as many tasks as the slots need
+    tasks = max(1, -(-slots // TASK_SLOTS))
+    got = so_far(counts, ["rank"], "shard", "n").repartition(tasks, "shard").select("shard", "rank", F.explode(F.expr("sequence(base, base + n - 1)")).alias("i"))
     # draws beyond a quota fill, in order, the places of sources that came out short
     total = counts.groupBy("rank").agg(F.sum("n").alias("got"))
     up = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
