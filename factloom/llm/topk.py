@@ -5,7 +5,8 @@ over its run. Phase 1 gathers the heads of the local lists and scores those rows
 k-th best such score tau is reached by k rows. Phase 2 broadcasts the cutoff tau / LISTS; a
 row below it in every list sums to less than tau, so the entries at or above it are enough.
 Phase 3 drops entries whose bound (seen parts, and the cutoff for unseen ones) is below tau
-and scores the rest exactly.
+and scores the rest exactly, where they lie: only ids and scores are gathered, of each tile the
+k best of a query and what ties with them.
 """
 
 from __future__ import annotations
@@ -55,14 +56,14 @@ def exact_type(top: int, dims: int):
 
 
 def tiles(batches, dims: int, k: int):
-    """(ids, rids, matrix) of up to TILE rows. Of equal vectors in a batch the k + 1 smallest ids stay:
+    """(ids, rids, copies, matrix) of up to TILE rows. Of equal vectors in a batch the k + 1 smallest ids stay:
     no query's k best can hold more of them, even after its own row is left out."""
     for b in batches:
-        ids, rids, m = np.asarray(b.column("vec_id")), np.asarray(b.column("rid")), dense(b.column("v"), dims)
+        ids, rids, copies, m = np.asarray(b.column("vec_id")), np.asarray(b.column("rid")), np.asarray(b.column("copies")), dense(b.column("v"), dims)
         if not len(ids):
             continue
         order = np.argsort(ids, kind="stable")
-        ids, rids, m = ids[order], rids[order], np.ascontiguousarray(m[order])
+        ids, rids, copies, m = ids[order], rids[order], copies[order], np.ascontiguousarray(m[order])
         _, group = np.unique(m.view(np.dtype((np.void, m.dtype.itemsize * max(dims, 1)))).reshape(-1) if dims else np.zeros(len(ids)), return_inverse=True)
         by = np.argsort(group, kind="stable")
         g = group[by]
@@ -71,7 +72,7 @@ def tiles(batches, dims: int, k: int):
         kept = np.sort(by[nth <= k])
         for lo in range(0, len(kept), TILE):
             at = kept[lo : lo + TILE]
-            yield ids[at], rids[at], m[at]
+            yield ids[at], rids[at], copies[at], m[at]
 
 
 def partials(q: np.ndarray, m: np.ndarray, kind, cuts) -> list[np.ndarray]:
@@ -128,7 +129,7 @@ def one_chunk(spark, rows, mine, k, dims, kind, cuts) -> DataFrame:
         """Phase 1: the k largest of every local list, with their scores over all lists."""
         qids, q = shared.value
         best = {}  # list -> (partial, total, row) of the heads so far
-        for ids, rids, m in tiles(batches, dims, k):
+        for ids, rids, _, m in tiles(batches, dims, k):
             parts = [p.astype(np.float64) for p in partials(q, m, kind, cuts)]
             total = sum(parts)
             at, hit = own(ids, qids)
@@ -159,29 +160,29 @@ def one_chunk(spark, rows, mine, k, dims, kind, cuts) -> DataFrame:
     cutoff = spark.sparkContext.broadcast(reach)
 
     def entries(batches):
-        """Phase 2: entries at or above the uniform cutoff in some list, with the parts seen."""
+        """Phases 2 and 3: entries at or above the uniform cutoff in some list, bounded by the parts seen, then scored."""
         qids, q = shared.value
         tau = cutoff.value[:, None]
         level = tau / len(cuts)
-        for ids, rids, m in tiles(batches, dims, k):
+        for ids, _, copies, m in tiles(batches, dims, k):
+            parts = partials(q, m, kind, cuts)
             seen = np.zeros((len(qids), len(ids)))
             missing = np.full(seen.shape, len(cuts), np.int8)
-            for p in partials(q, m, kind, cuts):
+            for p in parts:
                 over = p >= level
                 seen[over] += p[over]
                 missing -= over
             keep = (missing < len(cuts)) & (seen + missing * level >= tau)
             at, hit = own(ids, qids)
             keep[at, hit] = False
+            score = np.where(keep, sum(p.astype(np.int64) for p in parts), np.iinfo(np.int64).min)
+            if len(ids) > k:
+                keep &= score >= np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k, None]
             r, c = np.nonzero(keep)
             if len(r):
-                yield pa.record_batch([pa.array(numbers[r]), pa.array(rids[c]), pa.array(missing[r, c].astype(np.int32))], ["query", "rid", "missing"])
+                yield pa.record_batch([pa.array(numbers[r]), pa.array(qids[r]), pa.array(ids[c]), pa.array(copies[c]), pa.array(score[r, c])], ["query", "query_id", "vec_id", "copies", "score"])
 
-    left = rows.mapInArrow(entries, "query bigint, rid bigint, missing int")
-    # Phase 3: exact integer scores of what is left, whichever parts were seen.
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: F.coalesce(a, F.lit(0)) * F.coalesce(b, F.lit(0))), F.lit(0).cast("bigint"), lambda s, x: s + x)
-    asked = mine.select("query", F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    scored = left.join(rows, "rid").join(asked, "query").select("query", "query_id", "vec_id", "copies", dot.alias("score"))
+    scored = rows.mapInArrow(entries, "query bigint, query_id bigint, vec_id bigint, copies bigint, score bigint")
     rank = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     best = scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).drop("rank")
     every = best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))))
