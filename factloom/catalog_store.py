@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from . import jsonops
 from . import model as M
 from .api import Graph
-from .catalog import BOUGHT, LINES, SHIP, q
+from .catalog import BOUGHT, LINES, SHIP, SQL, documents, q
 from .operators import intervals, recall, temporal, writes
 from .plans import datalog as D
 from .plans import ir
@@ -265,6 +265,16 @@ def hybrid_text_and_vectors(spark, sf_dir):
     return recall.fused([t, v], 10).select("eid", F.round("score", 6).alias("score"))
 
 
+@q(SQL["text_search_any"])
+def text_search_indexed(spark, sf_dir):
+    return recall.TextIndex.over(documents(spark, sf_dir), "doc_id").search("idiot clown", "any").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@q(SQL["text_search_phrase"])
+def text_phrase_indexed(spark, sf_dir):
+    return recall.TextIndex.over(documents(spark, sf_dir), "doc_id").search("of the", "phrase").select("doc_id")
+
+
 # --- saved answers, budgets, formats ---------------------------------------------------------------
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import model as M
@@ -23,11 +25,6 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(folded(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def postings(values: DataFrame, key: str = "eid", text: str = "text") -> DataFrame:
-    """(key, token, pos) of every token."""
-    return values.select(key, F.posexplode(tokens(F.col(text))).alias("pos", "token"))
-
-
 def query_words(text: str, phrase: bool) -> list[tuple[str, bool]]:
     """(token, whether it is a prefix). A word without a letter or digit is none."""
     import re
@@ -64,15 +61,20 @@ def text_search(values: DataFrame, query: str, mode: str = "all", visible: DataF
         counts = [F.size(F.filter("toks", matching(w, p))) for w, p in words]
     x = toks.select(key, "len", *[c.alias(f"f{i}") for i, c in enumerate(counts)])
     stats = x.agg(F.count("*").alias("N"), F.avg("len").alias("avgdl"), *[F.count(F.when(F.col(f"f{i}") > 0, 1)).alias(f"n{i}") for i in range(len(counts))])
+    return scored(x, stats, len(counts), mode, visible, limit, key)
+
+
+def scored(x: DataFrame, stats: DataFrame, n: int, mode: str, visible: DataFrame | None, limit: int | None, key: str) -> DataFrame:
+    """BM25 of (key, len, f0 .. f(n-1)), the times that each of n words stands there; stats is one row (N, avgdl, n0 ..)."""
     x = x.crossJoin(F.broadcast(stats))  # one row
 
     def part(i: int) -> Column:
-        f, n = F.col(f"f{i}"), F.col(f"n{i}")
-        idf = F.ln((F.col("N") - n + 0.5) / (n + 0.5))
+        f, have = F.col(f"f{i}"), F.col(f"n{i}")
+        idf = F.ln((F.col("N") - have + 0.5) / (have + 0.5))
         idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
         return F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))).otherwise(F.lit(0.0))
 
-    hit = [F.col(f"f{i}") > 0 for i in range(len(counts))]
+    hit = [F.col(f"f{i}") > 0 for i in range(n)]
     test = hit[0]
     for h in hit[1:]:
         test = test | h if mode == "any" else test & h
@@ -80,11 +82,59 @@ def text_search(values: DataFrame, query: str, mode: str = "all", visible: DataF
     if visible is not None:
         x = x.join(visible.select(key).distinct(), key, "left_semi")
     score = part(0)
-    for i in range(1, len(counts)):
+    for i in range(1, n):
         score = score + part(i)
     return ranked(x.select(key, score.alias("score")), key, limit)
 
 
+@dataclass(frozen=True)
+class TextIndex:
+    """postings (token, key, tf, len, places), and the number and mean length of the values behind them (one row)."""
+
+    postings: DataFrame
+    stats: DataFrame
+    key: str
+
+    @staticmethod
+    def over(values: DataFrame, key: str = "eid", text: str = "text") -> TextIndex:
+        toks = values.select(key, tokens(F.col(text)).alias("toks")).withColumn("len", F.size("toks"))
+        each = toks.select(key, "len", F.posexplode("toks").alias("pos", "token"))
+        postings = each.groupBy("token", key, "len").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("places"))
+        return TextIndex(postings, toks.agg(F.count("*").alias("N"), F.avg("len").alias("avgdl")), key)
+
+    def save(self, path: str) -> None:
+        """As files sorted by token, so that a search reads the row groups of its words alone."""
+        self.postings.repartitionByRange("token").sortWithinPartitions("token").write.mode("errorifexists").parquet(f"{path}/postings")
+        self.stats.withColumn("key", F.lit(self.key)).write.mode("errorifexists").parquet(f"{path}/stats")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> TextIndex:
+        stats = spark.read.parquet(f"{path}/stats")
+        return TextIndex(spark.read.parquet(f"{path}/postings"), stats.drop("key"), stats.first()["key"])
+
+    def search(self, query: str, mode: str = "all", visible: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+        """What text_search gives of the same values, from the postings of the query's words."""
+        words = query_words(query, mode == "phrase")
+        match = [F.startswith("token", F.lit(w)) if prefix else F.col("token") == w for w, prefix in words]
+        some = match[0]
+        for m in match[1:]:
+            some = some | m
+        x = self.postings.where(some)
+        if mode == "phrase":
+            at = [F.flatten(F.collect_list(F.when(m, F.col("places")))).alias(f"p{i}") for i, m in enumerate(match)]
+            x = x.groupBy(self.key, "len").agg(*at)
+            begins = F.array_sort(F.filter("p0", lambda p: F.forall(F.array(*[F.array_contains(f"p{i}", p + i) for i in range(len(words))]), lambda t: t)))
+            # a phrase that overlaps itself counts once
+            step = lambda acc, p: F.when(p >= acc["next"], F.struct((p + len(words)).alias("next"), (acc["n"] + 1).alias("n"))).otherwise(acc)
+            count = F.aggregate(begins, F.struct(F.lit(0).alias("next"), F.lit(0).alias("n")), step, lambda acc: acc["n"])
+            x, n = x.select(self.key, "len", count.alias("f0")), 1
+        else:
+            x = x.groupBy(self.key, "len").agg(*[F.sum(F.when(m, F.col("tf")).otherwise(0)).alias(f"f{i}") for i, m in enumerate(match)])
+            n = len(words)
+        stats = self.stats.crossJoin(x.agg(*[F.count(F.when(F.col(f"f{i}") > 0, 1)).alias(f"n{i}") for i in range(n)]))
+        return scored(x, stats, n, mode, visible, limit, self.key)
+
+
 def ranked(hits: DataFrame, key: str, limit: int | None, by: list[Column] | None = None) -> DataFrame:
     """Hits with their rank; all of them are numbered by ranges, at most ``limit`` in one task."""
     order = by or [F.desc("score"), F.col(key)]

@@ -12,7 +12,7 @@ from factloom import jsonops, mcp
 from factloom import model as M
 from factloom.api import Graph
 from factloom.errors import InvalidQuery, LimitExceeded, Unsupported
-from factloom.operators import paths, writes
+from factloom.operators import paths, recall, writes
 from factloom.plans import cyclic, ir
 from factloom.plans import datalog as D
 from factloom.plans.cypher import cypher
@@ -310,6 +310,16 @@ def test_table_functions_in_sql(people):
     assert [r.n for r in g.sql("SELECT count(*) AS n FROM goal('old(X) :- age(X, N), N > 40.', 'old(X)')").collect()] == [1]
 
 
+@pytest.mark.parametrize("mode,query", [("all", "a b"), ("any", "a c*"), ("phrase", "a b"), ("phrase", "a a"), ("any", "zz")])
+def test_an_index_gives_the_same_hits(spark, tmp_path, mode, query):
+    texts = ["a b a b c", "b a", "a a a a", "cat a, B!", "", None, "d"]
+    df = spark.createDataFrame(list(enumerate(texts)), "eid int, text string")
+    recall.TextIndex.over(df).save(str(tmp_path / "index"))
+    index = recall.TextIndex.load(spark, str(tmp_path / "index"))
+    show = lambda x: [(r.eid, round(r.score, 9), r["rank"]) for r in x.orderBy("rank").collect()]
+    assert show(index.search(query, mode)) == show(recall.text_search(df, query, mode))
+
+
 def test_turtle_text(spark, people):
     x = people.where("p in ('name', 'knows')")
     back = rdf.read_turtle(rdf.turtle_text(x))
