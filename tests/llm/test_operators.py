@@ -350,6 +350,28 @@ def test_co_training_against_all_rows_in_memory(spark):
     assert np.allclose(model.weight, np.array(gains) / sum(gains))
 
 
+def test_views_against_plain_loops():
+    texts = ["Good words, good WORDS! and http://x.y |a 123 %%", "", None, "one", "a b a b a b.", "x" * 30 + " *wow*"]
+    got = quality.TextView()(pa.array(texts))
+    for row, t in zip(got, texts):
+        w = words(t)
+        if not w:
+            assert not row.any()
+            continue
+        marks = quality.MARKS
+        tests = [
+            len, lambda x: sum(c.isalpha() for c in x), lambda x: sum(c.isdigit() for c in x), lambda x: sum(c in marks for c in x), lambda x: x[-1] in marks, lambda x: x[0] in marks,
+            lambda x: sum(c.isalpha() for c in x) > 1 and x.isupper(), lambda x: x[0].isupper(), lambda x: x[-1] in ".!?", lambda x: "|" in x, lambda x: "!" in x, lambda x: len(x) > 18, lambda x: not any(c.isalpha() for c in x), lambda x: "http" in x or "www" in x,
+        ]
+        want = [np.mean([float(f(x)) for x in w]) for f in tests] + [len(set(w)) / len(w), len(set(zip(w, w[1:]))) / max(1, len(w) - 1), np.std([len(x) for x in w]), np.log1p(len(w))]
+        assert np.allclose(row, want)
+    strings, ints = pa.array(["en", None], pa.string()), pa.array([10, None], pa.int64())
+    got = quality.metadata_view(strings, strings, ints, ints, ints, ints)
+    cell = lambda v: zlib.crc32(v.encode()) % quality.CELLS
+    assert got.shape == (2, 6 + 2 * quality.CELLS) and got[0, 6 + cell("en")] == got[0, 6 + quality.CELLS + cell("en")] == got[1, 6 + cell("")] == 1
+    assert np.allclose(got[:, :6], [[np.log1p(10), np.log1p(10), 1, 1, np.log1p(10), 1], [0] * 6])
+
+
 def test_co_training_where_all_rows_are_labelled(spark):
     docs = spark.createDataFrame([(i, ("%% ## " if i % 2 else "good words here ") * (i % 5 + 1), "en", "a", None) for i in range(60)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     labels = spark.range(60).select(F.col("id").alias("doc_id"), (1 - F.col("id") % 2).cast("int").alias("quality"))

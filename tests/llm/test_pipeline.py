@@ -1,10 +1,17 @@
 """The pipeline on the smallest documents, stage by stage."""
 
+import collections
+import zlib
+
+import numpy as np
+from tokenizers import Tokenizer
+
 import corpus_pipeline
-from factloom.llm import mixing, neardup, substring
+from factloom.llm import mixing
 
 from ..conftest import DATA
 from .conftest import CLASHES
+from .test_operators import TOKENIZER, brute_classes, brute_repeats, targets, words
 
 
 def test_stages(spark, tmp_path):
@@ -24,16 +31,29 @@ def test_stages(spark, tmp_path):
     left = {r.doc_id for r in b.collect()}
     good = [d for d, q in labels.items() if q]
     assert sum(d in left for d in good) >= 0.95 * len(good)
-    a, b = kept["near_duplicates"]
-    assert {r.doc_id for r in b.collect()} == {r.class_id for r in neardup.near_classes(a).collect()}
-    a, b = kept["repeated_passages"]
-    want = {r.doc_id: r.kept for r in substring.repeats(a).where("n_removed > 0").collect()}
-    text = {r.doc_id: r.text for r in b.collect()}
-    assert len(text) == a.count() and all(text[d] == t for d, t in want.items())
-    a, b = kept["mix"]
-    assert sum(r.taken for r in mixing.mix(a).collect()) == sum(len(r.text.split()) for r in b.collect())
-    a, b = kept["pack"]
-    assert {r.doc_id for r in b.collect()} == {r.doc_id for r in a.collect()}
+    a, b = ([(r.doc_id, r.text) for r in x.collect()] for x in kept["near_duplicates"])
+    assert sorted(b) == sorted((d, t) for d, t in a if brute_classes(a)[d] == d)
+    a, b = ([(r.doc_id, r.text) for r in x.collect()] for x in kept["repeated_passages"])
+    given = dict(a)
+    assert sorted(b) == sorted((d, rest if gone else given[d]) for d, _, gone, rest in brute_repeats(a))
+    a, b = (x.collect() for x in kept["mix"])
+    size, taken, whole = collections.Counter(), collections.Counter(), {r.doc_id: words(r.text) for r in a}
+    for r in a:
+        size[r.source] += len(words(r.text))
+    for r in b:
+        taken[r.source] += len(words(r.text))
+        it = iter(whole[r.doc_id])
+        assert all(w in it for w in words(r.text)) and r.n_chars == len(r.text)
+    for s, n in targets(dict(size)).items():
+        assert abs(taken[s] - n) <= 2 * mixing.BLOCK_WORDS
+    a, b = (x.collect() for x in kept["pack"])
+    lib, ids = Tokenizer.from_file(TOKENIZER), collections.defaultdict(list)
+    for r in a:
+        ids[r.doc_id].append([*lib.encode(r.text, add_special_tokens=False).ids, 1])
+    assert sum(len(x) for rows in ids.values() for x in rows) == sum(r.length for r in b)
+    for r in b:
+        pieces = [np.array(x[r.start : r.start + r.length], "<u4").tobytes() for x in ids[r.doc_id] if len(x) == r.doc_tokens]
+        assert r.ids_crc32 in {zlib.crc32(p) for p in pieces}
 
 
 def test_run(spark):
