@@ -28,6 +28,9 @@ from .sources import store as files
 
 #: A table function after FROM, JOIN or a comma, and its constant arguments.
 TABLE_CALL = re.compile(r"(?P<before>\b(?:from|join)\s+|,\s*)(?P<name>path|text_search|goal|conflicts|triangles)\((?P<args>(?:\s*(?:'(?:[^']|'')*'|\d+)\s*,?)*)\)", re.I)
+SHOW_INDEXES = re.compile(r"\s*SHOW\s+VECTOR\s+INDEX(ES)?\s*;?\s*", re.I)
+CREATE_INDEX = re.compile(r"\s*CREATE\s+VECTOR\s+INDEX\s+(?P<name>\w+)\s+OPTIONS\s*\{\s*dimensions\s*:\s*(?P<dims>\d+)\s*\}\s*;?\s*", re.I)
+DROP_INDEX = re.compile(r"\s*DROP\s+VECTOR\s+INDEX\s+(?P<name>\w+)\s*;?\s*", re.I)
 ARGUMENT = re.compile(r"'(?:[^']|'')*'|\d+")
 
 
@@ -153,6 +156,10 @@ class Graph:
         return self._checked(sparql(text, self.statements, self.view, {**self.prefixes, **(prefixes or {})}, tx=self.tx, volatile=self.volatile, **how))
 
     def cypher(self, text: str, params: dict | None = None) -> DataFrame:
+        """A reading query, or SHOW VECTOR INDEXES."""
+        if SHOW_INDEXES.fullmatch(text):
+            rows = [(M.key(name), M.key(dims)) for name, dims in sorted(self.models.items())]
+            return self.statements.sparkSession.createDataFrame(rows, "name string, dimensions string")
         return self._checked(cypher_text.cypher(text, self.statements, self.view, params, tx=self.tx, volatile=self.volatile))
 
     def run(self, op, semantics: ir.Semantics = ir.SPARQL) -> DataFrame:
@@ -216,20 +223,24 @@ class Graph:
         return temporal.conflicts(self.statements, self.view)
 
     def path(self, start: list[str], path: str, mode: str = "reach", max_hops: int | None = None, virtual: bool = False, graphs: tuple = ()) -> paths.Found:
-        """Rows and verdict of reach, trail, any_shortest, all_shortest or (in time) earliest."""
+        """Rows, by hops, and verdict of reach, trail, any_shortest, all_shortest or (in time) earliest."""
         spark = self.statements.sparkSession
         starts = spark.createDataFrame([(s,) for s in start], "node string")
         x = M.seen(self.statements, self.view, self.tx)
         x = paths.within_graphs(x, graphs) if graphs else x  # every hop a member
         x = paths.with_virtual(x) if virtual else x
-        guard = self.options.path_guard
+        guard, cap = self.options.path_guard, self.options.max_hops
         if mode == "reach":
-            return paths.reach(x, starts, path, max_hops, guard)
-        if mode == "earliest":
-            return paths.Found(paths.reach_in_time(x, starts, path, guard=guard), "exhaustive")
-        if mode == "trail":
-            return paths.trails(x, starts, path, max_hops if max_hops is not None else 64, guard)
-        return paths.shortest(x, starts, path, mode.split("_")[0], max_hops, guard)
+            found = paths.reach(x, starts, path, max_hops, guard)
+        elif mode == "earliest":
+            found = paths.Found(paths.reach_in_time(x, starts, path, guard=guard), "exhaustive")
+            return paths.Found(found.rows.orderBy("arrival", "start", "node"), found.verdict)
+        elif mode == "trail":
+            found = paths.trails(x, starts, path, max_hops if max_hops is not None else cap, guard)
+        else:
+            found = paths.shortest(x, starts, path, mode.split("_")[0], max_hops, guard)
+        capped = mode == "trail" and max_hops is None and found.verdict != "exhaustive"
+        return paths.Found(found.rows.orderBy("hops", "start", "node", *[c for c in ("eids",) if c in found.rows.columns]), "stopped at cap" if capped else found.verdict)
 
     def text_search(self, text: str, mode: str = "all", limit: int | None = 10, predicate: str | None = None) -> DataFrame:
         """Statements whose string object matches, ranked by score and evidence. Statistics are of all strings."""
@@ -347,9 +358,16 @@ class Graph:
     def create(self, rows: list[tuple], instant: int | None = None) -> Graph:
         return self._next(writes.create(self.store.begin(instant), self._batch(rows))[0])
 
-    def bulk_import(self, facts: DataFrame, instant: int | None = None) -> Graph:
-        """Facts (s, p, o, v_from, v_to) of a frame as new statements, in one transaction."""
-        return self._next(writes.create(self.store.begin(instant), facts)[0])
+    def bulk_import(self, facts: DataFrame, instant: int | None = None, chunks: int = 1) -> Graph:
+        """Facts (s, p, o, v_from, v_to) of a frame as new statements, in as many transactions as chunks.
+
+        Facts are dealt to chunks by a hash of their subject, so that a subject's come together.
+        """
+        g = self
+        for k in range(chunks):
+            part = facts if chunks == 1 else facts.where(F.pmod(F.xxhash64("s"), F.lit(chunks)) == k)
+            g = g._next(writes.create(g.store.begin(instant), part)[0])
+        return g
 
     def upsert(self, rows: list[tuple], instant: int | None = None) -> Graph:
         return self._next(writes.upsert(self.store.begin(instant), self._batch(rows))[0])
@@ -367,6 +385,12 @@ class Graph:
         return self._next(writes.update(self.store, text, prefixes))
 
     def cypher_write(self, text: str, params: dict | None = None) -> Graph:
+        """A writing query, or CREATE or DROP VECTOR INDEX."""
+        made, gone = CREATE_INDEX.fullmatch(text), DROP_INDEX.fullmatch(text)
+        if made:
+            return self.define_embedding(made["name"], int(made["dims"]))
+        if gone:
+            return self.drop_embedding(gone["name"])
         from .plans.cypher_write import write
 
         return self._next(write(self.store, text, params))

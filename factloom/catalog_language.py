@@ -277,6 +277,31 @@ def path_in_graphs(spark, sf_dir):
     return paths.reach(paths.within_graphs(st, ("I:BUILDING",)), starts, "inNation").rows.select(F.col("start").alias("c"), F.col("node").alias("n"))
 
 
+@q("SELECT 'I:c:' || c_custkey AS c, 'I:r:' || n_regionkey AS \"R\" FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < 0")
+def goal_in_sparql(spark, sf_dir):
+    """A goal's rows join the patterns around it."""
+    return ask(spark, sf_dir, 'PREFIX : <> SELECT ?c ?R { ?c :balance ?b FILTER(?b < 0) ?c :inNation ?N SERVICE <call:datalog.goal> { [] <program> "lies(N, R) :- inRegion(N, R)." ; <goal> "lies(N, R)" } }')
+
+
+@q("SELECT 'I:n:' || n_nationkey AS n, 'I:r:' || n_regionkey AS r FROM nation WHERE len(list_filter(regexp_extract_all(lower(n_name), '[\\p{L}\\p{N}]+'), lambda t: t = 'united')) > 0")
+def text_in_sparql(spark, sf_dir):
+    """Hits of a text search join the patterns around them."""
+    return ask(spark, sf_dir, 'PREFIX : <> SELECT ?n ?r { ?n :inRegion ?r SERVICE <call:text.search> { [] <query> "united" ; <limit> 1000 ; <node> ?n } }')
+
+
+@q("SELECT 'I:r:' || n_regionkey AS r, 1::BIGINT AS hops FROM nation WHERE n_nationkey = 7")
+def path_call_in_sparql(spark, sf_dir):
+    x = ask(spark, sf_dir, 'SELECT ?r ?h { SERVICE <call:path.find> { [] <start> "n:7" ; <path> "inRegion+" ; <node> ?r ; <hops> ?h } }')
+    return x.select("r", M.whole(F.col("h")).alias("hops"))
+
+
+@q("""SELECT event_id, CASE WHEN o = 0 THEN 'PT0S' ELSE (CASE WHEN o < 0 THEN '-PT' ELSE 'PT' END) || (CASE WHEN abs(o) >= 60 THEN (abs(o) // 60) || 'H' ELSE '' END) || (CASE WHEN o % 60 <> 0 THEN (abs(o) % 60) || 'M' ELSE '' END) END AS zone
+FROM (SELECT event_id, (event_id % 5 - 2) * 90 AS o FROM events)""")
+def time_zone_durations(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("o", F.expr("cast((event_id % 5 - 2) * 90 as int)"))
+    return e.select("event_id", M.lex(call("TIMEZONE", [V(M.date_time(ingest.ms("ts"), F.col("o")))]).term).alias("zone"))
+
+
 @q("SELECT 'I:c:' || c_custkey AS c, 'I:r:' || n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < 0")
 def path_from_known_ends(spark, sf_dir):
     """A path pattern starts from the nodes that the other patterns leave."""

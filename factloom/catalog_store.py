@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from . import jsonops
@@ -11,7 +13,9 @@ from .catalog import BOUGHT, LINES, SHIP, SQL, documents, q
 from .operators import intervals, recall, temporal, writes
 from .plans import datalog as D
 from .plans import ir
+from .plans.settle import shared_dir
 from .sources import ingest, rdf
+from .sources import store as files
 from .sources.ingest import table
 
 text = lambda c: M.lex(F.col(c)).alias(c)
@@ -352,3 +356,70 @@ def conflict_pairs(spark, sf_dir):
     x = temporal.conflicts(st)
     n = lambda c: F.regexp_extract(c, r"(\d+)$", 1).cast("int")
     return x.select(F.least(n("o_a"), n("o_b")).alias("a"), F.greatest(n("o_a"), n("o_b")).alias("b"), F.lit(2).cast("bigint").alias("objects")).distinct()
+
+
+# --- refusals, formats on disk, bulk loads -----------------------------------------------------------
+
+REFUSED = {
+    "unsafe rule": ("UnsafeRule", lambda g: g.datalog("p(X) :- inNation(X, N), M > 3.", "p(X)")),
+    "unbound negation": ("UnsafeRule", lambda g: g.datalog("p(X) :- inNation(X, N), not poor(Z). poor(X) :- balance(X, B).", "p(X)")),
+    "negation through recursion": ("Unstratified", lambda g: g.datalog("p(X) :- inNation(X, N), not q(X). q(X) :- inNation(X, N), not p(X).", "p(X)")),
+    "DESCRIBE": ("Unsupported", lambda g: g.sparql("DESCRIBE <c:1>")),
+    "MD5": ("Unsupported", lambda g: g.sparql("SELECT ?x { ?c <custName> ?n BIND(MD5(?n) AS ?x) }")),
+    "UUID": ("Unsupported", lambda g: g.sparql("SELECT ?x { ?c <custName> ?n BIND(UUID() AS ?x) }")),
+    "COUNT(DISTINCT *)": ("InvalidQuery", lambda g: g.sparql("SELECT (COUNT(DISTINCT *) AS ?n) { ?c <custName> ?n }")),
+    "unknown function": ("InvalidQuery", lambda g: g.cypher("RETURN noSuch(1) AS x")),
+    "text query without a word": ("InvalidQuery", lambda g: g.text_search("?!")),
+    "vector with a hole": ("InvalidQuery", lambda g: g.vector_search(g.triples().select("eid"), [float("nan")])),
+    "conflicts of all history": ("ValueError", lambda g: g.history().conflicts()),
+    "path states": ("LimitExceeded", lambda g: g.path(["I:c:1"], "inNation{5000}")),
+    "path guard": ("LimitExceeded", lambda g: Graph.over(g.statements, path_guard=1).path(["I:c:1", "I:c:2", "I:c:3"], "inNation+").rows),
+    "cascade": ("LimitExceeded", lambda g: Graph.over(g.meta([64, 128, 192, 256], "note", "x").statements, max_cascade=2).retract([64, 128, 192, 256])),
+    "unique": ("ConstraintViolated", lambda g: g.assert_([(M.Iri("custName"), M.UNIQUE, True)]).assert_([(M.Iri("c:1"), "custName", "one")]).assert_([(M.Iri("c:2"), "custName", "one")])),
+    "interval that ends before it begins": ("ConstraintViolated", lambda g: g.assert_([(M.Iri("c:1"), "p", 1, 9, 3)])),
+    "rule of a commit": ("ConstraintViolated", lambda g: Graph.over(g.statements, constraints="bad(X) :- age(X, N), N < 0.").assert_([(M.Iri("c:1"), "age", -1)])),
+}
+
+
+@q("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{e}')" for k, (e, _) in REFUSED.items()) + ") v(what, error)")
+def refusals(spark, sf_dir):
+    """What is refused, and how: nothing of it gives a result that is cut short or wrong."""
+    g = people(spark, sf_dir)
+
+    def error(ask) -> str:
+        try:
+            made = ask(g)
+            made.count() if hasattr(made, "count") else None
+        except Exception as e:
+            return type(e).__name__
+        return "none"
+
+    return spark.createDataFrame([(k, error(ask)) for k, (_, ask) in REFUSED.items()], "what string, error string")
+
+
+def place(spark) -> str:
+    return f"{shared_dir(spark)}/factloom-{uuid.uuid4().hex}"
+
+
+@q("SELECT c_custkey * 64 AS eid, 'I:c:' || c_custkey AS s, 'inNation' AS p, 'I:n:' || c_nationkey AS o FROM customer")
+def store_convert(spark, sf_dir):
+    """Saved as Parquet, converted to ORC under the same eids, and loaded again."""
+    path = place(spark)
+    files.save(ingest.entities(spark, sf_dir).where("p = 'inNation'"), path, 1)
+    files.convert(spark, path, 1, f"{path}-orc", "parquet", "orc")
+    return files.load(spark, f"{path}-orc", 1, M.NOW, "orc").select("eid", "s", "p", "o")
+
+
+@q("SELECT count(*) AS n, count(DISTINCT c_custkey) AS subjects, 4::BIGINT AS commits FROM customer")
+def bulk_import(spark, sf_dir):
+    """A table's facts in four commits."""
+    c = table(spark, sf_dir, "customer")
+    g = Graph.empty(spark).bulk_import(batch(c, "tier", M.string("c_mktsegment")), chunks=4)
+    return g.statements.agg(F.count("*").alias("n"), F.count_distinct("s").alias("subjects"), F.lit(g.store.t).cast("bigint").alias("commits"))
+
+
+@q("SELECT 'docs' AS name, 4::BIGINT AS dimensions")
+def cypher_vector_indexes(spark, sf_dir):
+    g = people(spark, sf_dir).cypher_write("CREATE VECTOR INDEX docs OPTIONS {dimensions: 4}").cypher_write("CREATE VECTOR INDEX other OPTIONS {dimensions: 8}")
+    x = g.cypher_write("DROP VECTOR INDEX other").cypher("SHOW VECTOR INDEXES")
+    return x.select(text("name"), whole("dimensions"))

@@ -37,6 +37,13 @@ def zone(v: V) -> Column:
     return F.when(o == 0, F.lit("Z")).otherwise(F.concat(sign, F.lpad(F.floor(F.abs(o) / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.abs(o) % 60).cast("string"), 2, "0")))
 
 
+def duration(minutes: Column) -> Column:
+    """Minutes as hours and minutes of a day-time duration; none are PT0S."""
+    h, m = F.floor(F.abs(minutes) / 60).cast("string"), (F.abs(minutes) % 60).cast("string")
+    text = F.concat(F.when(minutes < 0, "-PT").otherwise("PT"), F.when(F.abs(minutes) >= 60, F.concat(h, F.lit("H"))).otherwise(""), F.when(minutes % 60 != 0, F.concat(m, F.lit("M"))).otherwise(""))
+    return F.when(minutes == 0, F.lit("PT0S")).otherwise(text)
+
+
 def encode_uri(c: Column) -> Column:
     """Keeps A-Z a-z 0-9 - _ . ~ and codes all other bytes."""
     out = F.url_encode(c)
@@ -128,7 +135,7 @@ FUNCTIONS = {
     "YEAR": part(F.year), "MONTH": part(F.month), "DAY": part(F.dayofmonth), "HOURS": part(F.hour), "MINUTES": part(F.minute),
     "SECONDS": lambda a: number(F.second(local(a[0])) + (F.pmod(M.millis(a[0].term), F.lit(1000)) / 1000), False),
     "TZ": lambda a: text(zone(a[0])),
-    "TIMEZONE": lambda a: V(F.concat(F.lit("x:xsd:dayTimeDuration|"), F.when(M.offset(a[0].term) < 0, "-PT").otherwise("PT"), F.abs(M.offset(a[0].term)).cast("string"), F.lit("M"))),
+    "TIMEZONE": lambda a: V(F.concat(F.lit("x:xsd:dayTimeDuration|"), duration(M.offset(a[0].term)))),
     "COALESCE": lambda a: V(F.coalesce(*[x.term for x in a])),
     "IF": lambda a: V(F.when(a[0].bool, a[1].term).when(~a[0].bool, a[2].term)),
     "SAMETERM": lambda a: boolean(a[0].term == a[1].term),

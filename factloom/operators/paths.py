@@ -241,7 +241,15 @@ def within_graphs(statements: DataFrame, graphs: tuple) -> DataFrame:
 @dataclass
 class Found:
     rows: DataFrame
-    verdict: str  #: exhaustive, or stopped at bound
+    verdict: str  #: exhaustive, stopped at bound (the caller's), or stopped at cap (the engine's own)
+
+
+VERDICTS = ("exhaustive", "stopped at bound", "stopped at cap")
+
+
+def merged_verdict(*verdicts: str) -> str:
+    """What several searches amount to: as complete as the least complete of them."""
+    return max(verdicts, key=VERDICTS.index, default=VERDICTS[0])
 
 
 def _starts(starts: DataFrame, auto: Automaton) -> DataFrame:

@@ -21,7 +21,7 @@ def tracked(op, names=None):
         names.append(e.name)
         return replace(op, eid=e), names
     if isinstance(op, (ir.Join, ir.Union)):
-        return type(op)(tuple(tracked(p, names)[0] for p in op.parts)), names
+        return replace(op, parts=tuple(tracked(p, names)[0] for p in op.parts)), names
     if isinstance(op, ir.LeftJoin):
         return ir.LeftJoin(tracked(op.left, names)[0], tracked(op.right, names)[0], op.on), names
     if isinstance(op, (ir.Filter, ir.Extend, ir.Unnest)):

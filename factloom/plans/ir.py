@@ -138,7 +138,10 @@ class Values:
 
 @dataclass(frozen=True)
 class Join:
+    """Parts joined by their common variables; those in null_safe agree where both are missing, too."""
+
     parts: tuple
+    null_safe: tuple = ()
 
 
 @dataclass(frozen=True)

@@ -203,7 +203,7 @@ class Lowering:
         out = rels.pop(0) if rels else self.lower(walks.pop(0))
         while rels:  # connected parts first, so that only what shares nothing is crossed
             i = next((i for i, r in enumerate(rels) if set(r.vars) & set(out.vars)), 0)
-            out = self._pair(out, rels.pop(i))
+            out = self._pair(out, rels.pop(i), j.null_safe)
         while walks:  # paths last, from the ends that are known by then
             known = lambda t: isinstance(t, ir.Var) and t.name in out.vars and t.name not in out.maybe
             i = next((i for i, w in enumerate(walks) if known(w.s) or known(w.o)), 0)
@@ -216,12 +216,12 @@ class Lowering:
                 out = self._pair(out, self._pathmatch(w, out.df.select(F.col(end.name).alias("node")).distinct(), end.name))
         return out
 
-    def _pair(self, a: Rel, b: Rel) -> Rel:
+    def _pair(self, a: Rel, b: Rel, null_safe: tuple = ()) -> Rel:
         shared = [v for v in a.vars if v in b.vars]
-        maybe = [v for v in shared if self.semantics.unbound and (v in a.maybe or v in b.maybe)]
+        maybe = [v for v in shared if v not in null_safe and self.semantics.unbound and (v in a.maybe or v in b.maybe)]
         b, ren = self._apart(b, shared)
         if not maybe:
-            on = [F.col(v) == F.col(ren[v]) for v in shared]
+            on = [F.col(v).eqNullSafe(F.col(ren[v])) if v in null_safe else F.col(v) == F.col(ren[v]) for v in shared]
             df = a.df.join(b.df, on) if on else a.df.crossJoin(b.df)
         else:
             df = self._compatible(a.df, b.df, shared, maybe, ren)

@@ -31,10 +31,10 @@ def text_search(statements: DataFrame, query: str, mode: str = "all", limit: int
     return hits.select(M.statement_ref("eid").alias("statement"), F.col("s").alias("node"), M.double("score").alias("score"), M.integer("rank").alias("rank"))
 
 
-def goal(statements: DataFrame, program: str, text: str) -> DataFrame:
+def ask_goal(statements: DataFrame, program: str, goal: str) -> DataFrame:
     from .datalog import datalog
 
-    return datalog(program, text, statements, M.HISTORY)
+    return datalog(program, goal, statements, M.HISTORY)
 
 
 def conflicts(statements: DataFrame) -> DataFrame:
@@ -51,19 +51,19 @@ def vector_search(statements: DataFrame, vector: list, metric: str = "cosine", l
     return hits.select(M.statement_ref("eid").alias("statement"), F.col("s").alias("node"), M.double("score").alias("score"), M.integer("rank").alias("rank"))
 
 
-def path(statements: DataFrame, start: str, text: str, mode: str = "reach", most: int | None = None) -> DataFrame:
+def path(statements: DataFrame, start: str, path: str, mode: str = "reach", most: int | None = None) -> DataFrame:
     """The nodes that a path reaches from a node, and in how many hops."""
     from ..operators import paths
 
     starts = statements.sparkSession.createDataFrame([(f"I:{start}",)], "node string")
     kind = mode.split("_")[0]
     if kind == "reach":
-        x = paths.reach(statements, starts, text, None if most is None else int(most)).rows
+        x = paths.reach(statements, starts, path, None if most is None else int(most)).rows
     elif kind == "trail":
-        x = paths.trails(statements, starts, text, 64 if most is None else int(most)).rows
+        x = paths.trails(statements, starts, path, 64 if most is None else int(most)).rows
     else:
-        x = paths.shortest(statements, starts, text, kind, None if most is None else int(most)).rows
+        x = paths.shortest(statements, starts, path, kind, None if most is None else int(most)).rows
     return x.select("node", M.integer("hops").alias("hops"))
 
 
-PROCEDURES = {"db.labels": labels, "db.relationshipTypes": relationship_types, "db.propertyKeys": property_keys, "text.search": text_search, "datalog.goal": goal, "time.conflicts": conflicts, "vector.search": vector_search, "path.find": path}
+PROCEDURES = {"db.labels": labels, "db.relationshipTypes": relationship_types, "db.propertyKeys": property_keys, "text.search": text_search, "datalog.goal": ask_goal, "time.conflicts": conflicts, "vector.search": vector_search, "path.find": path}

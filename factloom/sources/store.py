@@ -16,7 +16,7 @@ def save(statements: DataFrame, path: str, version: int, fmt: str = "parquet") -
 
 def load(spark: SparkSession, path: str, version: int, view: M.View = M.HISTORY, fmt: str = "parquet") -> DataFrame:
     """A version's statements; under Now only the live partition is read."""
-    x = spark.read.format(fmt).load(f"{path.rstrip('/')}/version={version}")
+    x = spark.read.schema(f"{M.STATEMENT}, live string").format(fmt).load(f"{path.rstrip('/')}/version={version}")
     x = x.where("live = 'true'") if view.mode == "now" else x
     return x.select(*[F.col(c).cast(t) for c, t in (f.split() for f in M.STATEMENT.split(", "))])
 

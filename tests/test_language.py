@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom import jsonops, mcp
 from factloom import model as M
+from factloom.__main__ import main
 from factloom.api import Graph
 from factloom.errors import InvalidQuery, LimitExceeded, Unsupported
 from factloom.operators import paths, recall, writes
@@ -320,6 +321,23 @@ def test_an_index_gives_the_same_hits(spark, tmp_path, mode, query):
     assert show(index.search(query, mode)) == show(recall.text_search(df, query, mode))
 
 
+def test_command_line(tmp_path, capsys):
+    d = str(tmp_path / "store")
+    main(["create", d, "0"])
+    main(["write", d, "0", '{"op": "assert", "facts": [["I:a", "knows", "I:b"], ["I:b", "knows", "I:c"]]}', "1"])
+    main(["materialise", d, "1", "r(X, Y) :- knows(X, Y). r(X, Z) :- r(X, Y), knows(Y, Z).", "r", "reaches", "2"])
+    main(["convert", d, "2", f"{d}-orc", "orc"])
+    capsys.readouterr()
+    main(["path", d, "2", "I:a", "knows+"])
+    assert [line.split("\t")[1:] for line in capsys.readouterr().out.splitlines()] == [["I:b", "1"], ["I:c", "2"]]
+    main(["sparql", d, "2", "SELECT ?y { <a> <reaches> ?y }"])
+    assert sorted(capsys.readouterr().out.split()) == ["I:b", "I:c"]
+    main(["check", d, "2", "bad(X) :- reaches(X, c)."])
+    assert sorted(capsys.readouterr().out.split()) == ["I:a", "I:b", "bad", "bad"]
+    main(["read", d, "2", '{"op": "values", "s": "I:b", "p": "knows"}'])
+    assert json.loads(capsys.readouterr().out)["rows"] == [["I:c"]]
+
+
 def test_turtle_text(spark, people):
     x = people.where("p in ('name', 'knows')")
     back = rdf.read_turtle(rdf.turtle_text(x))
