@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,8 @@ SIMILAR = 0.8
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 ESTIMATE = 0.55  #: agreeing registers that a pair of SIMILAR surely has
-BLOCK_ROWS = 1500  #: texts of a bucket compared in one task, of its largest class and of the others
+BLOCK_ROWS, BLOCK_BYTES = 1500, 4 << 20  #: texts of a bucket compared in one task, of all of it and of those outside its largest class
+PAIR_BYTES = 2 << 20  #: of texts of pairs verified at once
 LISTED = 100_000  #: ids broadcast at most (under 2 MB)
 FACTOR = 0xD6E8FEB86659FD93
 
@@ -79,7 +81,7 @@ def prob_minhash(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, docs: int,
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, keys, sig) of the documents that have words: band keys, and 16 bits of each register."""
+    """(doc_id, size, keys, sig) of the documents that have words: bytes, band keys, and 16 bits of each register."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -96,10 +98,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 key = mix64(key + np.arange(1, BANDS + 1, dtype=np.uint64) * GOLDEN)
             sig = (mix64(who) & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16)
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]) for x in (key.view(np.int64), sig)]
-            yield pa.record_batch([b.column("doc_id").filter(pa.array(has)), lists[0].cast(pa.list_(pa.int64())), lists[1].cast(pa.list_(pa.int16()))], ["doc_id", "keys", "sig"])
+            size = pc.binary_length(b.column("text")).cast(pa.int64())
+            yield pa.record_batch([b.column("doc_id").filter(pa.array(has)), size.filter(pa.array(has)), lists[0].cast(pa.list_(pa.int64())), lists[1].cast(pa.list_(pa.int16()))], ["doc_id", "size", "keys", "sig"])
         give_back()
 
-    return docs.mapInArrow(run, f"doc_id {kind}, keys array<bigint>, sig array<smallint>")
+    return docs.mapInArrow(run, f"doc_id {kind}, size bigint, keys array<bigint>, sig array<smallint>")
 
 
 def verified(edges: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -113,19 +116,17 @@ def verified(edges: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
     both = edges.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                p = b.slice(lo, 256)
-                n = p.num_rows
-                d, h, _ = counted(*shingles(pa.concat_arrays([p.column("ta"), p.column("tb")])))
-                cut = np.searchsorted(d, np.arange(2 * n + 1))
-                keep = np.zeros(n, bool)
-                for i in range(n):
-                    x, y = h[cut[i] : cut[i + 1]], h[cut[n + i] : cut[n + i + 1]]
-                    if min(len(x), len(y)) >= SIMILAR * max(len(x), len(y)):
-                        common = len(np.intersect1d(x, y, assume_unique=True))
-                        keep[i] = common >= SIMILAR * (len(x) + len(y) - common)
-                yield pa.record_batch([p.column("a"), p.column("b")], ["a", "b"]).filter(pa.array(keep))
+        for p in pieces(batches, PAIR_BYTES, "ta", "tb"):
+            n = p.num_rows
+            d, h, _ = counted(*shingles(pa.concat_arrays([p.column("ta"), p.column("tb")])))
+            cut = np.searchsorted(d, np.arange(2 * n + 1))
+            keep = np.zeros(n, bool)
+            for i in range(n):
+                x, y = h[cut[i] : cut[i + 1]], h[cut[n + i] : cut[n + i + 1]]
+                if min(len(x), len(y)) >= SIMILAR * max(len(x), len(y)):
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    keep[i] = common >= SIMILAR * (len(x) + len(y) - common)
+            yield pa.record_batch([p.column("a"), p.column("b")], ["a", "b"]).filter(pa.array(keep))
         give_back()
 
     kind = edges.schema["a"].dataType.simpleString()
@@ -212,25 +213,26 @@ def near_classes(docs: DataFrame) -> DataFrame:
     firsts = settled(ids.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     reps = firsts.select(F.col("rep").alias("id")).distinct()
     sigs = stored(signatures(texts).join(reps, F.col("doc_id") == F.col("id"), "left_semi"), "signatures")
-    bands = sigs.select("doc_id", F.explode("keys").alias("key"))
+    bands = sigs.select("doc_id", "size", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("n > 1")
-    bands = settled(bands.join(shared, "key").select("key", "doc_id", "first", "last"))
+    bands = settled(bands.join(shared, "key").select("key", "doc_id", "size", "first", "last"))
     star = lambda center: bands.where(F.col("doc_id") != F.col(center)).select(F.least("doc_id", center).alias("a"), F.greatest("doc_id", center).alias("b"))
     links = settled(verified(settled(star("first").union(star("last")).distinct()), sigs, texts))
     label = components(links)
     # what the stars left apart within a bucket: a bucket's texts stand in one block each, and those outside its
     # largest class go to every block
-    own = bands.join(label, "doc_id", "left").select("key", "doc_id", F.coalesce("class_id", "doc_id").alias("l"))
-    sizes = own.groupBy("key", "l").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("key").agg(F.max(F.struct("n", "l")).getField("l").alias("most"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("asking")).where("asking > 0 and n > 2")
-    rest = settled(own.join(sizes, "key"))
+    own = bands.join(label, "doc_id", "left").select("key", "doc_id", "size", F.coalesce("class_id", "doc_id").alias("l"))
+    sizes = own.groupBy("key", "l").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    most, blocks = F.max(F.struct("n", "l", "bytes")), lambda n, b: F.greatest(F.lit(1), F.ceil(n / BLOCK_ROWS), F.ceil(b / BLOCK_BYTES)).cast("int")
+    sizes = sizes.groupBy("key").agg(most.alias("most"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("most.n < n and n > 2")
+    sizes = sizes.select("key", F.col("most.l").alias("most"), blocks(F.col("n"), F.col("bytes")).alias("blocks"), blocks(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("asking"))
+    rest = settled(own.drop("size").join(sizes, "key"))
     need = settled(rest.select(F.col("doc_id").alias("id")).distinct())
     some = texts.join(F.broadcast(need), texts["doc_id"] == need["id"], "left_semi") if need.count() <= LISTED else texts
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK_ROWS)).cast("int")
-    numbers = lambda n: F.sequence(F.lit(0), blocks(n) - 1)
-    place = lambda n: F.pmod(F.xxhash64("doc_id"), blocks(n)).cast("int")
-    here = rest.select("key", "doc_id", "l", F.lit(False).alias("asks"), place("n").alias("block"), F.explode(numbers("asking")).alias("ask"))
-    there = rest.where("l <> most").select("key", "doc_id", "l", F.lit(True).alias("asks"), F.explode(numbers("n")).alias("block"), place("asking").alias("ask"))
+    numbers = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    place = lambda c: F.pmod(F.xxhash64("doc_id"), F.col(c)).cast("int")
+    here = rest.select("key", "doc_id", "l", F.lit(False).alias("asks"), place("blocks").alias("block"), F.explode(numbers("asking")).alias("ask"))
+    there = rest.where("l <> most").select("key", "doc_id", "l", F.lit(True).alias("asks"), F.explode(numbers("blocks")).alias("block"), place("asking").alias("ask"))
     rest = here.unionByName(there).join(some, "doc_id")
     kind = texts.schema["doc_id"].dataType.simpleString()
 

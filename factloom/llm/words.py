@@ -66,10 +66,10 @@ def rolling(hashes: np.ndarray, width: int, factor: int) -> np.ndarray:
     return mix64(out)
 
 
-def pieces(batches, most_bytes: int, text: str = "text"):
-    """Record batches cut so that each holds about most_bytes of text, or one longer text."""
+def pieces(batches, most_bytes: int, *texts: str):
+    """Record batches cut so that each holds about most_bytes of text (in the columns named), or one longer row."""
     for b in batches:
-        sizes = np.asarray(pc.fill_null(pc.binary_length(b.column(text)), 0)).astype(np.int64)
+        sizes = sum(np.asarray(pc.fill_null(pc.binary_length(b.column(c)), 0)).astype(np.int64) for c in texts or ("text",))
         at = np.cumsum(sizes) // max(1, most_bytes)
         cuts = np.flatnonzero(np.diff(at)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, b.num_rows]):
