@@ -74,25 +74,57 @@ def coalesced(df: DataFrame, keys: list[str], f: str = "v_from", t: str = "v_to"
 def segments(df: DataFrame, keys: list[str], value: Column, kind: str = "count", f: str = "v_from", t: str = "v_to") -> DataFrame:
     """An aggregate at every instant: count, sum, min or max of the rows valid then, as maximal intervals.
 
-    Counts and sums are running totals of changes at the end points. min and max, which cannot
-    be undone, are taken over the rows that cover each elementary segment.
+    Counts and sums are running totals of changes at the end points. min and max cannot be undone:
+    there a row is laid on the few nodes of a binary tree over a key's segments that make up its
+    time, and a segment takes the least or greatest of the nodes above it. So work grows with
+    rows times the logarithm of a key's segments, however much of its time a key's rows share.
     """
     x = df.select(*keys, value.alias("x"), begin(F.col(f)).alias("f_"), end(F.col(t)).alias("t_")).where("f_ < t_")
     ends = x.select(*keys, F.col("f_").alias("at"), F.lit(1).alias("d"), F.col("x").alias("dx")).union(x.select(*keys, "t_", F.lit(-1), -F.col("x") if kind in ("count", "sum") else F.col("x")))
     ends = ends.groupBy(*keys, "at").agg(F.sum("d").alias("d"), F.sum("dx").alias("dx"))
     w = Window.partitionBy(*keys).orderBy("at")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    seg = ends.select(*keys, F.col("at").alias("f_"), F.lead("at").over(w).alias("t_"), F.sum("d").over(run).alias("n"), F.sum("dx").over(run).alias("total")).where("t_ is not null and n > 0")
+    place = F.row_number().over(w) - 1
+    seg = ends.select(*keys, F.col("at").alias("f_"), place.alias("i"), F.lead("at").over(w).alias("t_"), F.sum("d").over(run).alias("n"), F.sum("dx").over(run).alias("total"))
     if kind in ("count", "sum"):
-        seg = seg.withColumn("value", F.col("n") if kind == "count" else F.col("total"))
+        seg = seg.where("t_ is not null and n > 0").withColumn("value", F.col("n") if kind == "count" else F.col("total"))
     else:
         pick = F.min if kind == "min" else F.max
-        y = x.select(*keys, "x", F.col("f_").alias("xf"), F.col("t_").alias("xt"))
-        seg = seg.join(y, keys).where("xf <= f_ and xt >= t_").groupBy(*keys, "f_", "t_").agg(pick("x").alias("value"))
+        same = lambda side: [F.col(k).eqNullSafe(F.col(f"{k}_{side}")) for k in keys]
+        at = lambda side: seg.select(*[F.col(k).alias(f"{k}_{side}") for k in keys], F.col("f_").alias(f"at_{side}"), F.col("i").alias(side))
+        y = x.join(at("lo"), [*same("lo"), F.col("f_") == F.col("at_lo")]).join(at("hi"), [*same("hi"), F.col("t_") == F.col("at_hi")])
+        nodes = y.select(*keys, "x", F.explode(covering(F.col("lo"), F.col("hi"))).alias("node")).groupBy(*keys, "node").agg(pick("x").alias("x"))
+        above = F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: node_of(k, F.call_function("shiftright", F.col("i").cast("bigint"), k)))
+        seg = seg.where("t_ is not null and n > 0").withColumn("node", F.explode(above))
+        seg = seg.alias("s").join(nodes.alias("o"), [F.col(f"s.{k}").eqNullSafe(F.col(f"o.{k}")) for k in [*keys, "node"]]).groupBy(*[F.col(f"s.{k}").alias(k) for k in keys], "f_", "t_").agg(pick("x").alias("value"))
     out = seg.select(*keys, "value", F.when(F.col("f_") > M.EVER_FROM, F.col("f_")).alias(f), F.when(F.col("t_") < M.EVER_TO, F.col("t_")).alias(t))
     return coalesced(out, [*keys, "value"], f, t)
 
 
+LEVELS = 31  #: of the tree over a key's segments
+
+
+def node_of(level: Column, place: Column) -> Column:
+    return F.call_function("shiftleft", place.cast("bigint"), F.lit(6)) + level
+
+
+def covering(lo: Column, hi: Column) -> Column:
+    """The nodes, at most two a level, that make up the places from lo to before hi."""
+    none = F.array().cast("array<bigint>")
+
+    def step(acc, k):
+        i, j = acc["i"], acc["j"]
+        odd_i, odd_j = (i < j) & (i % 2 == 1), (i < j) & (j % 2 == 1) & ~((i % 2 == 1) & (j == i + 1))
+        first = F.when(odd_i, F.array(node_of(k, i))).otherwise(none)
+        last = F.when(odd_j, F.array(node_of(k, j - 1))).otherwise(none)
+        ni, nj = F.when(odd_i, i + 1).otherwise(i), F.when((i < j) & (j % 2 == 1), j - 1).otherwise(j)
+        half = lambda c: F.call_function("shiftright", c, F.lit(1))
+        return F.struct(half(ni).alias("i"), half(nj).alias("j"), F.concat(acc["out"], first, last).alias("out"))
+
+    start = F.struct(lo.cast("bigint").alias("i"), hi.cast("bigint").alias("j"), none.alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), start, step, lambda acc: acc["out"])
+
+
 def conflicts(statements: DataFrame, view: M.View = M.NOW) -> DataFrame:
     """Pairs of statements with one subject and predicate, other objects, and a common valid time."""
     if view.mode == "history":

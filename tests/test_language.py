@@ -13,7 +13,7 @@ from factloom import model as M
 from factloom.__main__ import main
 from factloom.api import Graph
 from factloom.errors import InvalidQuery, LimitExceeded, Unsupported
-from factloom.operators import paths, recall, writes
+from factloom.operators import paths, recall, temporal, writes
 from factloom.plans import cyclic, ir
 from factloom.plans import datalog as D
 from factloom.plans.cypher import cypher
@@ -351,3 +351,22 @@ def test_memberships_end(people):
     assert writes.graph_members(s.statements, "I:g").count() == 4
     s = writes.remove_from_graph(s.begin(), ids.limit(1), "I:g")
     assert writes.graph_members(s.statements, "I:g").count() == 3 and s.live().where("p = 'name'").count() == 4
+
+
+@FEW
+@given(rows=st.lists(st.tuples(st.integers(0, 12), st.integers(1, 9), st.integers(-5, 5), st.sampled_from(["a", "b"])), min_size=1, max_size=12))
+def test_least_and_greatest_at_every_instant(spark, rows):
+    df = spark.createDataFrame([(k, f, f + n, x) for f, n, x, k in rows], "k string, v_from bigint, v_to bigint, x int")
+    for kind, pick in (("min", min), ("max", max)):
+        got = {}
+        for r in temporal.segments(df, ["k"], F.col("x"), kind).collect():
+            for i in range(r.v_from, r.v_to):
+                assert (r.k, i) not in got
+                got[r.k, i] = r.value
+        want = {(k, i): pick(x for f, n, x, k2 in rows if k2 == k and f <= i < f + n) for k in "ab" for i in range(25) if any(k2 == k and f <= i < f + n for f, n, _, k2 in rows)}
+        assert got == want
+
+
+def test_open_ends_of_extremes(spark):
+    df = spark.createDataFrame([("a", None, 5, 1), ("a", 3, None, 7)], "k string, v_from bigint, v_to bigint, x int")
+    assert {tuple(r) for r in temporal.segments(df, ["k"], F.col("x"), "max").select("v_from", "v_to", "value").collect()} == {(None, 3, 1), (3, None, 7)}
