@@ -71,7 +71,7 @@ class Triple:
     o: object
     eid: Var | None = None
     view: M.View | None = None
-    graph: object = None  #: None, a tuple of graph keys (match once), or Var (a row a membership)
+    graph: object = None  #: None, a tuple of graph keys (a statement in any of them, one time), or a Var (bound to each graph that holds it)
     iso: str | None = None
 
 
