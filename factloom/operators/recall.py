@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import model as M
 from ..errors import InvalidQuery
-from ..plans.settle import numbered
+from ..plans.settle import numbered, settled
 
 K1, B = 1.2, 0.75
 #: Latin letters with marks, and the letters they fold to.
@@ -139,7 +139,7 @@ def ranked(hits: DataFrame, key: str, limit: int | None, by: list[Column] | None
     """Hits with their rank; all of them are numbered by ranges, at most ``limit`` in one task."""
     order = by or [F.desc("score"), F.col(key)]
     if limit is None:
-        return numbered(hits, order, "rank")
+        return numbered(settled(hits), order, "rank")  # settled first, as sorting by ranges reads its input twice
     return hits.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 

@@ -66,11 +66,11 @@ TYPES = {"customer": ("Customer", "c", "c_custkey"), "supplier": ("Supplier", "s
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers, suppliers, nations, regions, parts and orders: always valid, added at transaction 1."""
-    out = []
+    out, tables = [], {name: table(spark, sf_dir, name) for name in TYPES}  # opened once each
     for i, (p, (name, prefix, k, o)) in enumerate(ENTITY.items()):
-        out.append(facts(table(spark, sf_dir, name), F.col(k).cast("bigint") * 64 + i, node(prefix, k), p, o()))
+        out.append(facts(tables[name], F.col(k).cast("bigint") * 64 + i, node(prefix, k), p, o()))
     for i, (name, (kind, prefix, k)) in enumerate(TYPES.items(), len(ENTITY)):
-        out.append(facts(table(spark, sf_dir, name), F.col(k).cast("bigint") * 64 + i, node(prefix, k), M.RDF_TYPE, F.lit(f"I:{kind}")))
+        out.append(facts(tables[name], F.col(k).cast("bigint") * 64 + i, node(prefix, k), M.RDF_TYPE, F.lit(f"I:{kind}")))
     return union(out)
 
 
