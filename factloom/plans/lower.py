@@ -14,7 +14,7 @@ from ..errors import InvalidQuery, LimitExceeded, Unsupported
 from ..functions import cypher as cypher_functions
 from ..functions import sparql as sparql_functions
 from ..functions.values import V, arithmetic, boolean, constant, equal, integer, number, ordered, strict
-from ..operators import paths
+from ..operators import grouped, paths
 from . import cyclic, ir
 from .settle import settled
 
@@ -43,7 +43,11 @@ class Rel:
 
 @dataclass
 class Lowering:
-    """statements: the store; multi: predicates that may hold a triple twice (None: any may)."""
+    """statements: the store; multi: predicates that may hold a triple twice (None: any may).
+
+    groups: relations of which all statements of a predicate are known to consist, so that
+    searches may go by their groups.
+    """
 
     statements: DataFrame
     semantics: ir.Semantics = ir.SPARQL
@@ -53,6 +57,7 @@ class Lowering:
     multi: frozenset | None = None
     language: str = "sparql"
     extra: dict = field(default_factory=dict)  #: functions of the caller's: name -> f(list of V) -> V
+    groups: tuple = ()
 
     def __post_init__(self):
         self.fresh = itertools.count()
@@ -152,7 +157,8 @@ class Lowering:
         else:
             starts = x.sparkSession.createDataFrame([(s,)], "node string")
         if p.mode == "reach":
-            r = paths.reach(x, starts, path).rows
+            g = self._grouped(p, path)
+            r = (grouped.reach(g, starts, path) if g else paths.reach(x, starts, path)).rows
             extra, iso = [], {}
         else:
             found = paths.trails(x, starts, path, p.longest) if p.mode == "trail" else paths.shortest(x, starts, path, p.mode, p.longest)
@@ -172,6 +178,27 @@ class Lowering:
             return Rel(r.select(F.col("node").alias(o.name), *extra), forms=forms, iso=iso)
         return Rel(r.where(F.col("node") == o).select(F.lit(1).alias("__one"), *extra), forms=forms, iso=iso)
 
+    def _grouped(self, p: ir.PathMatch, path) -> grouped.Grouped | None:
+        """The relation of groups that a path goes along, if it takes nothing else."""
+        auto = paths.compile_path(path)
+        return next((g for g in self.groups if g.covers(auto)), None) if (p.view or self.view) == M.NOW else None
+
+    def _by_ends(self, op, kept: tuple):
+        """op where only distinct values of ``kept`` count: a way that cannot come to a statement again is as good as its ends."""
+        if self.groups and isinstance(op, ir.Extend) and isinstance(op.value, ir.Var):
+            return ir.Extend(self._by_ends(op.op, (*kept, op.value.name)), op.var, op.value)
+        if not self.groups or not isinstance(op, ir.Join):
+            return op
+        parts = []
+        for p in op.parts:
+            if isinstance(p, ir.PathMatch) and p.mode == "trail" and not p.capped and p.bind not in kept and sum(getattr(x, "iso", None) == p.iso for x in op.parts) == 1:
+                path = paths.parse_path(p.path) if isinstance(p.path, str) else p.path
+                ways = {inverse for _, _, inverse, _ in paths.compile_path(path).moves}
+                if len(ways) == 1 and self._grouped(p, path):
+                    p = ir.PathMatch(p.s, path, p.o, p.view)
+            parts.append(p)
+        return ir.Join(tuple(parts), op.null_safe)
+
     def _nodescan(self, n: ir.NodeScan) -> Rel:
         x = self._seen(n.view or self.view).where(~F.startswith("p", F.lit(M.SYS)))
         ends = x.where((F.col("p") != M.RDF_TYPE) & M.kind(F.col("o")).isin(*M.NODES)).select("o")
@@ -436,7 +463,39 @@ class Lowering:
         v = self.value(u.value, rel)
         return Rel(rel.df.withColumn(u.var, F.explode(v.col)), rel.maybe | {u.var}, rel.forms, rel.iso)
 
+    def _counted(self, a: ir.Aggregate) -> Rel | None:
+        """Rows of two parts counted from the rows that each has for a value they share; None where that does not do.
+
+        Rows in which one statement stands for two relationships of a MATCH are taken off.
+        """
+        if not isinstance(a.op, ir.Join) or len(a.op.parts) != 2 or any(isinstance(p, ir.PathMatch) for p in a.op.parts) or not a.aggs or any(g != ir.Agg("count") for _, g in a.aggs):
+            return None
+        x, y = (self.lower(p) for p in a.op.parts)
+        shared = [v for v in x.vars if v in y.vars]
+        loose = [v for v in shared if v not in a.op.null_safe and self.semantics.unbound and (v in x.maybe or v in y.maybe)]
+        pairs = [(b, c) for name in set(x.iso) & set(y.iso) for (b, p), (c, q) in itertools.product(x.iso[name], y.iso[name]) if p is None or q is None or p == q]
+        if not shared or loose or len(pairs) > 1 or any(c.startswith("__pe") for pair in pairs for c in pair) or not all(k in x.vars or k in y.vars for k in a.keys):
+            return None
+        y, ren = self._apart(y, shared)
+        on = [F.col(v).eqNullSafe(F.col(ren[v])) if v in a.op.null_safe else F.col(v) == F.col(ren[v]) for v in shared]
+        n, m, total = (f"__n{next(self.fresh)}" for _ in range(3))
+        mine = list(dict.fromkeys([*shared, *[k for k in a.keys if k in x.vars]]))
+        theirs = list(dict.fromkeys([*ren.values(), *[k for k in a.keys if k in y.vars]]))
+        both = x.df.groupBy(*map(column, mine)).agg(F.count("*").alias(n)).join(y.df.groupBy(*map(column, theirs)).agg(F.count("*").alias(m)), on)
+        rows = both.select(*map(column, a.keys), (F.col(n) * F.col(m)).alias(total))
+        if pairs:
+            same = x.df.join(y.df, [*on, F.col(pairs[0][0]) == F.col(pairs[0][1])])
+            rows = rows.unionByName(same.select(*map(column, a.keys), F.lit(-1).cast("bigint").alias(total)))
+        rows = rows.groupBy(*map(column, a.keys)).agg(F.coalesce(F.sum(total), F.lit(0)).alias(total))
+        rows = rows.where(F.col(total) > 0) if a.keys else rows
+        maybe = (x.maybe | y.maybe) & set(a.keys)
+        forms = {k: f for k, f in {**y.forms, **x.forms}.items() if k in a.keys}
+        return Rel(rows.select(*map(column, a.keys), *[F.col(total).alias(name) for name, _ in a.aggs]), maybe, {**forms, **{name: "int" for name, _ in a.aggs}})
+
     def _aggregate(self, a: ir.Aggregate) -> Rel:
+        counted = self._counted(a)
+        if counted is not None:
+            return counted
         rel = self.lower(a.op)
         cols, forms, rows = [], {}, rel.df
         for name, agg in a.aggs:
@@ -507,7 +566,7 @@ class Lowering:
         return F.expr(text), "number", {x: v.number}
 
     def _project(self, p: ir.Project) -> Rel:
-        rel = self.lower(p.op)
+        rel = self.lower(self._by_ends(p.op, p.vars) if p.distinct else p.op)
         cols = [column(v) if v in rel.df.columns else F.lit(None).cast("string").alias(v) for v in p.vars]
         df = rel.df.select(*cols)
         df = df.distinct() if p.distinct else df
