@@ -324,6 +324,8 @@ class Program:
     complete: bool = True  #: whether the rules came to rest within the rounds allowed
     found: list = field(default_factory=list)  #: (predicate, facts) as rounds found them
     bases: dict = field(default_factory=dict)  #: relations of the store that rounds read again and again
+    groups: dict = field(default_factory=dict)  #: predicate -> the groups of which all its statements are known to consist
+    members: dict = field(default_factory=dict)  #: those groups' members, settled
 
     # A relation is a frame (a0 .. an, f, t) with term keys and closed-open bounds; without time f and t are absent.
 
@@ -430,8 +432,10 @@ class Program:
     def body(self, r: Rule, delta: dict | None = None, at: int | None = None) -> DataFrame | None:
         """The rows of a rule's body; the atom at place ``at`` reads the delta."""
         out, tests, nots = None, [], []
-        ordered_body = sorted(range(len(r.body)), key=lambda i: i != at)
-        for i in ordered_body:
+        rest = sorted(range(len(r.body)), key=lambda i: i != at)
+        while rest:  # the delta first, then what shares a variable with the rows so far
+            i = next((i for i in rest if out is not None and not isinstance(r.body[i], Test) and variables(r.body[i]) & set(out.columns)), rest[0])
+            rest.remove(i)
             b = r.body[i]
             if isinstance(b, Test):
                 tests.append(b)
@@ -439,6 +443,10 @@ class Program:
             if isinstance(b, Atom) and b.negated:
                 nots.append(b)
                 continue
+            if out is not None and i != at and self.hops(b) and variables(b) & set(out.columns):
+                used = variables(r.head).union(*[variables(x) for j, x in enumerate(r.body) if j in rest or isinstance(x, Test) or isinstance(x, Atom) and x.negated])
+                out = self.hop(out, b, used if not r.aggs else set(out.columns))
+                continue
             rel = self.both(b) if isinstance(b, Both) else self.relation(b, delta if i == at else None)
             if rel is None:
                 return None
@@ -469,6 +477,27 @@ class Program:
             out = self.without(out, b)
         return out
 
+    def hops(self, b) -> bool:
+        """Whether an atom over two variables can be joined by its groups."""
+        plain = isinstance(b, Atom) and b.name in self.groups and not (self.time or b.negated or b.wrap or b.eid) and b.name not in self.facts
+        return plain and self.view == M.NOW and len(b.args) == 2 and all(isinstance(x, Var) for x in b.args) and b.args[0] != b.args[1]
+
+    def hop(self, out: DataFrame, b: Atom, used: set) -> DataFrame:
+        """out joined with an atom by its groups: where the bound end is not used again, a group counts once, from its outermost place on."""
+        x, y = (v.name for v in b.args)
+        back = x not in out.columns
+        near, far = (y, x) if back else (x, y)
+        if b.name not in self.members:
+            self.members[b.name] = settled(self.groups[b.name].members.select("node", "group", "place"))
+        m = self.members[b.name]
+        keep = [c for c in out.columns if c in used or c == far]
+        at = out.join(m.select(F.col("node").alias(near), F.col("group").alias("__g"), F.col("place").alias("__near")), near)
+        if near not in keep:
+            at = at.groupBy(*keep, "__g").agg((F.max if back else F.min)("__near").alias("__near"))
+        on = ["__g", far] if far in out.columns else ["__g"]
+        x = at.join(m.select(F.col("node").alias(far), F.col("group").alias("__g"), F.col("place").alias("__far")), on)
+        return x.where("__far < __near" if back else "__far > __near").select(*dict.fromkeys([*keep, far])).distinct()
+
     def both(self, b: Both) -> DataFrame:
         if not self.time:
             raise InvalidQuery("since and until need valid time")
@@ -551,7 +580,7 @@ class Program:
             self.found += delta.items()
             looping = [r for r in mine if any(a.name in layer for a, _ in atoms(r))]
             heads = {r.head.name for r in self.rules}
-            for a in {(a.name, len(a.args), a.eid is None): a for r in looping for a, _ in atoms(r) if a.name not in heads}.values():
+            for a in {(a.name, len(a.args), a.eid is None): a for r in looping for a, _ in atoms(r) if a.name not in heads and not self.hops(a)}.values():
                 x = self.base(a)
                 self.bases.setdefault((a.name, len(a.args), a.eid is None), settled(x if self.time or a.eid is not None else x.distinct()))
             layers = {name: Layers(x) for name, x in delta.items()} if not self.time else {}
@@ -632,7 +661,9 @@ def demanded(rules: list[Rule], goal: Atom) -> tuple[list[Rule], Atom]:
             demand = Atom(f"demand__{named(name, how)}", chosen(r.head, how))
             bound = set().union(set(), *[variables(x) for x in demand.args if isinstance(x, Var)])
             body: list = [demand]
-            for b in r.body:
+            rest = list(r.body)
+            while rest:  # in order, but what is bound in a place comes before what is not
+                b = rest.pop(next((i for i, b in enumerate(rest) if (any(variables(x) <= bound for x in (b.left, b.right)) if isinstance(b, Test) else "b" in marks(b, bound))), 0))
                 if isinstance(b, Atom) and b.name in heads:
                     asked = marks(b, bound)
                     if "b" in asked:
@@ -662,14 +693,14 @@ class Answer:
     program: Program
 
 
-def answered(text: str, goal: str, statements: DataFrame, view: M.View = M.NOW, time: bool = False, magic: bool = True, most: int = LIMIT, partial: bool = False) -> Answer:
+def answered(text: str, goal: str, statements: DataFrame, view: M.View = M.NOW, time: bool = False, magic: bool = True, most: int = LIMIT, partial: bool = False, groups: tuple = ()) -> Answer:
     parser = Parser(text)
     rules = checked(parser.program())
     g = Parser(goal, parser.prefixes).atom()
     if magic and not time:
         rules, g = demanded(rules, g)
         rules = checked(rules)
-    p = Program(rules, statements, view, time)
+    p = Program(rules, statements, view, time, groups={g.p: g for g in groups})
     p.run(most, partial)
     x = p.relation(g)
     if x is None:
@@ -679,9 +710,12 @@ def answered(text: str, goal: str, statements: DataFrame, view: M.View = M.NOW,
     return Answer(x.distinct(), "complete" if p.complete else "incomplete", p)
 
 
-def datalog(text: str, goal: str, statements: DataFrame, view: M.View = M.NOW, time: bool = False, magic: bool = True) -> DataFrame:
-    """The rows of a goal atom, such as ``reach(u1, X)``: a column a variable, and v_from and v_to with time."""
-    return answered(text, goal, statements, view, time, magic).rows
+def datalog(text: str, goal: str, statements: DataFrame, view: M.View = M.NOW, time: bool = False, magic: bool = True, groups: tuple = ()) -> DataFrame:
+    """The rows of a goal atom, such as ``reach(u1, X)``: a column a variable, and v_from and v_to with time.
+
+    groups: relations (grouped.Grouped) of which all statements of a predicate are known to consist.
+    """
+    return answered(text, goal, statements, view, time, magic, groups=groups).rows
 
 
 def proof(text: str, fact: str, statements: DataFrame, view: M.View = M.NOW) -> dict | None:
