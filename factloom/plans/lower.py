@@ -46,7 +46,7 @@ class Lowering:
     """statements: the store; multi: predicates that may hold a triple twice (None: any may).
 
     groups: relations of which all statements of a predicate are known to consist, so that
-    searches may go by their groups.
+    searches may go by their groups. links: such relations from one side of a group to the other.
     """
 
     statements: DataFrame
@@ -58,6 +58,7 @@ class Lowering:
     language: str = "sparql"
     extra: dict = field(default_factory=dict)  #: functions of the caller's: name -> f(list of V) -> V
     groups: tuple = ()
+    links: tuple = ()
 
     def __post_init__(self):
         self.fresh = itertools.count()
@@ -68,6 +69,32 @@ class Lowering:
         rel = self.lower(op)
         return rel.df.select(*map(column, rel.vars))
 
+    def distinct(self, op, kept: list[str]) -> DataFrame:
+        """The distinct values of the variables kept in the rows of op.
+
+        A join of triples gives up one other variable after the other: what holds it is joined
+        and only distinct rows without it go on. A relation with links is joined by its groups.
+        """
+        parts = op.parts if isinstance(op, ir.Join) else (op,)
+        plain = self.semantics.triples and all(isinstance(t, ir.Triple) and isinstance(t.p, str) and t.eid is None and t.graph is None and t.iso is None for t in parts)
+        if not plain or not set(kept) <= {x.name for t in parts for x in (t.s, t.o) if isinstance(x, ir.Var)}:
+            return self.run(op).select(*map(column, kept)).distinct()
+        rels = []
+        for t in parts:
+            link = next((x for x in self.links if x.p == t.p), None) if (t.view or self.view) == M.NOW and self.volatile is None else None
+            if link and isinstance(t.s, ir.Var) and isinstance(t.o, ir.Var) and t.s != t.o:
+                g = f"__group{len(rels)}"
+                rels += [side.select(F.col("node").alias(v.name), F.col("group").alias(g)) for side, v in ((link.left, t.s), (link.right, t.o))]
+            else:
+                rels.append(self._triple(t).df)
+        joined = lambda xs: reduce(lambda a, b: a.join(b, on) if (on := [c for c in a.columns if c in b.columns]) else a.crossJoin(b), xs)
+        while out := {c for x in rels for c in x.columns} - {*kept, "__one"}:
+            left = lambda v: {c for x in rels if v in x.columns for c in x.columns} - {v}
+            v = min(out, key=lambda v: (v.startswith("__group"), len(left(v)), v))  # groups last, as they stand for pairs
+            names, mine = sorted(left(v)), [x for x in rels if v in x.columns]
+            rels = [x for x in rels if v not in x.columns] + [joined(mine).select(*(map(column, names) if names else [F.lit(1).alias("__one")])).distinct()]
+        return joined(rels).select(*map(column, kept)).distinct()
+
     def lower(self, op) -> Rel:
         return getattr(self, f"_{type(op).__name__.lower()}")(op)
 
