@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from .. import model as M
 from ..errors import ConstraintViolated, InvalidQuery, LimitExceeded
 from ..plans.settle import Layers, numbered, settled
+from . import paths
 from .temporal import overlaps
 
 FACT = "s string, p string, o string, v_from bigint, v_to bigint"
 MAX_CASCADE = 10_000
+LAZY = 8  #: retractions that are laid over a store before it is written anew
 
 
 @dataclass(frozen=True)
@@ -26,6 +28,7 @@ class Store:
     t: int = 0
     next_eid: int = 1
     tx: tuple = ()  #: (t, instant) of transactions so far
+    lazy: int = 0  #: retractions since statements were written
 
     @staticmethod
     def empty(spark: SparkSession) -> Store:
@@ -104,18 +107,37 @@ def assert_(store: Store, facts: DataFrame) -> tuple[Store, DataFrame]:
 
 
 def cascade(store: Store, roots: DataFrame, most: int = MAX_CASCADE) -> DataFrame:
-    """(eid, depth, parent): the roots and all live statements about them or derived from them."""
+    """(eid, depth, parent): the roots and all live statements about them or derived from them.
+
+    While only few are found, the store is read once a round, and nothing of it is written; the
+    links of all statements are settled when a cascade goes deep or wide.
+    """
     live = store.live()
-    ref = lambda c: F.when(M.kind(F.col(c)) == "S", M.body(F.col(c)).try_cast("bigint"))
-    up = live.select(F.col("eid").alias("child"), F.explode(F.array_compact(F.array(ref("s"), ref("o")))).alias("on"))
-    derived = live.where((F.col("p") == M.DERIVED_FROM) & (M.kind(F.col("s")) == "S")).select(ref("s").alias("child"), ref("o").alias("on")).where("on is not null")
-    up = settled(up.union(derived).distinct())
-    front = settled(roots.select("eid").distinct().join(live.select("eid"), "eid", "left_semi").withColumns({"depth": F.lit(0), "parent": F.col("eid")}))
+    up, every, found = paths.links(live), None, None
+    roots = settled(roots.select("eid").distinct())
+    few = roots.count() <= paths.FEW
+    if few:  # one reading finds which roots live, and the first statements about them
+        both = settled(paths.links(live, own=True).join(F.broadcast(roots.select(F.col("eid").alias("on"))), "on").distinct())
+        front = both.where("child = on and not derived").select(F.col("child").alias("eid")).distinct()
+        found = both.where("child <> on or derived")
+    else:
+        front = roots.join(live.select("eid"), "eid", "left_semi")
+    front = settled(front.withColumns({"depth": F.lit(0), "parent": F.col("eid")}))
     seen, depth, count = Layers(front), 0, front.count()
     while True:
         depth += 1
-        front = front.select(F.col("eid").alias("on")).join(up, "on").groupBy(F.col("child").alias("eid")).agg(F.min("on").alias("parent"))
-        front = settled(front.join(seen.rows.select("eid"), "eid", "left_anti").join(live.select("eid"), "eid", "left_semi").select("eid", F.lit(depth).alias("depth"), "parent"))
+        on = front.select(F.col("eid").alias("on"))
+        if found is not None:
+            found = found.join(on, "on")
+        elif every is None and few and depth <= 3 and front.count() <= paths.FEW:
+            found = up.join(F.broadcast(on), "on")
+        else:
+            every = settled(up) if every is None else every
+            found = every.join(on, "on")
+        front = settled(found.groupBy(F.col("child").alias("eid")).agg(F.min("on").alias("parent"), F.min("derived").alias("derived")).join(seen.rows.select("eid"), "eid", "left_anti"))
+        if front.where("derived").take(1):  # the others are live, as their links are of live statements
+            front = settled(front.join(live.select("eid"), "eid", "left_semi"))
+        front, found = front.select("eid", F.lit(depth).alias("depth"), "parent"), None
         new = front.count()
         if not new:
             return seen.rows
@@ -127,11 +149,17 @@ def cascade(store: Store, roots: DataFrame, most: int = MAX_CASCADE) -> DataFram
 
 def retract(store: Store, roots: DataFrame, why: str = "explicit", most: int = MAX_CASCADE) -> Store:
     """Ends the roots (kind ``why``) and what hangs on them (kind cascade) at this transaction."""
-    gone = cascade(store, roots, most).select(F.col("eid").alias("ge"), F.when(F.col("depth") == 0, M.RETRACTED[why]).otherwise(M.RETRACTED["cascade"]).alias("gk"))
-    x = store.statements.join(gone, F.col("eid") == F.col("ge"), "left")
+    return _ended(store, cascade(store, roots, most), why)
+
+
+def _ended(store: Store, closure: DataFrame, why: str) -> Store:
+    gone = settled(closure.select(F.col("eid").alias("ge"), F.when(F.col("depth") == 0, M.RETRACTED[why]).otherwise(M.RETRACTED["cascade"]).alias("gk")))
+    few = gone.count() <= paths.FEW
+    x = store.statements.join(F.broadcast(gone) if few else gone, F.col("eid") == F.col("ge"), "left")
     ends = F.col("ge").isNotNull() & F.col("t_ret").isNull()
-    x = x.withColumns({"t_ret": F.when(ends, F.lit(store.t)).otherwise(F.col("t_ret")).cast("bigint"), "ret_kind": F.when(ends, F.col("gk")).otherwise(F.col("ret_kind")).cast("tinyint")})
-    return replace(store, statements=settled(x.select(*M.COLUMNS)))
+    x = x.withColumns({"t_ret": F.when(ends, F.lit(store.t)).otherwise(F.col("t_ret")).cast("bigint"), "ret_kind": F.when(ends, F.col("gk")).otherwise(F.col("ret_kind")).cast("tinyint")}).select(*M.COLUMNS)
+    lay = few and store.lazy < LAZY
+    return replace(store, statements=x if lay else settled(x), lazy=store.lazy + 1 if lay else 0)
 
 
 def retract_matching(store: Store, test: Column, most: int = MAX_CASCADE) -> Store:
@@ -150,7 +178,7 @@ def supersede(store: Store, old: int, o, v_from: int | None = None, v_to: int |
     ids = settled(closure.select(F.col("eid").alias("old"), "depth", (F.row_number().over(order) + store.next_eid - 1).cast("bigint").alias("new")))
     if not ids.take(1):
         raise InvalidQuery(f"no live statement {old}")
-    gone = store.live().join(ids, F.col("eid") == F.col("old"))
+    gone = settled(store.live().join(F.broadcast(ids), F.col("eid") == F.col("old")))
     remap = lambda c, side: F.coalesce(M.statement_ref(F.col(f"{side}.new")), F.col(c))
     x = gone.alias("g")
     for c, side in (("s", "a"), ("o", "b")):
@@ -164,7 +192,7 @@ def supersede(store: Store, old: int, o, v_from: int | None = None, v_to: int |
         F.when(top, F.coalesce(F.lit(v_to).cast("bigint"), F.col("g.v_to"))).otherwise(F.col("g.v_to")).alias("v_to"), F.lit(None).cast("tinyint").alias("ret_kind"),
     )
     new = settled(new)
-    ended = retract(store, root, "supersede")
+    ended = _ended(store, closure, "supersede")
     return replace(ended, statements=ended.statements.unionByName(new), next_eid=store.next_eid + new.count()), ids.select("old", "new")
 
 
