@@ -37,3 +37,12 @@ def test_large_groups_are_not_joined(spark, loops):
     part = lambda c: ir.Table(spark.range(200_000).select(F.lit("i:1").alias("k"), F.col("id").cast("string").alias(c)), frozenset(["k"]))
     op = ir.Aggregate(ir.Join((part("x"), part("y")), ("k",)), ("k",), (("n", ir.Agg("count")),))
     assert Lowering(loops).run(op).collect() == [("i:1", 200_000**2)]
+
+
+def test_no_task_holds_all_prices(spark):
+    """Exact percentiles hold every value in one task; the ranks of one value are counts."""
+    from factloom import catalog
+
+    x = catalog.approximate_aggregates(spark, "/root/testdata/sf0.01")
+    assert " percentile(" not in x._jdf.queryExecution().optimizedPlan().toString()
+    assert x.collect() == [(True, True)]
