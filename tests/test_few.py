@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from factloom import model as M
 from factloom.operators import paths, writes
+from factloom.plans import settle
 from factloom.sources import ingest
 
 from .conftest import DATA
@@ -18,6 +19,24 @@ def test_layers_rank_lines_once(spark):
     assert plan(ingest.layers(spark, f"{DATA}/sf0.001")).count("Window [") == 1
 
 
+def test_ranked_layers_are_layers_read_without_ranking(spark):
+    a, b = ingest.layers(spark, f"{DATA}/sf0.001"), ingest.ranked_layers(spark, f"{DATA}/sf0.001")
+    assert a.dtypes == b.dtypes and a.exceptAll(b).count() == b.exceptAll(a).count() == 0
+    assert "Window [" not in plan(b)
+    assert "parquet" not in plan(b.where("p = 'other'"))
+
+
+def test_large_inputs_make_more_tasks(spark, monkeypatch):
+    df = spark.read.parquet(f"{DATA}/sf0.01/lineitem.parquet")
+    assert settle.parts(df) == 0
+    monkeypatch.setattr(settle, "PART_BYTES", 100_000)
+    n = settle.parts(df)
+    assert n > 4
+    out = settle.settled(df.groupBy("l_orderkey").count())
+    assert out.rdd.getNumPartitions() == n
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
 @pytest.fixture()
 def chain(spark):
     """6 hangs on 5, that on 1 and so on; 20 was derived from 1, but ended before; 30 was derived from 5."""
