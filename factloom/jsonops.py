@@ -9,7 +9,9 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, FloatType, IntegralType, MapType, StringType, StructType
 
 from .api import Graph
 from .errors import InvalidQuery
@@ -29,6 +31,21 @@ def rows(df: DataFrame) -> dict:
     return {"columns": df.columns, "rows": [[cell(v) for v in r] for r in df.toLocalIterator()]}
 
 
+def encoded(df: DataFrame) -> DataFrame:
+    """(value): each row as the text of a JSON array, made where the row lies."""
+
+    def text(c: Column, kind: DataType) -> Column:
+        if isinstance(kind, StructType):
+            parts = F.concat(F.lit("["), F.concat_ws(",", *[text(c.getField(f.name), f.dataType) for f in kind]), F.lit("]"))
+            return F.when(c.isNull(), "null").otherwise(parts)
+        as_is = isinstance(kind, (StringType, BooleanType, IntegralType, FloatType, DoubleType, ArrayType, MapType))
+        one = F.to_json(F.array(c if as_is else c.cast("string")))
+        return F.substring(one, F.lit(2), F.length(one) - 2)
+
+    x = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return x.select(F.concat(F.lit("["), F.concat_ws(",", *[text(F.col(f.name), f.dataType) for f in x.schema]), F.lit("]")).alias("value"))
+
+
 def seen(g: Graph, q: dict) -> Graph:
     """The graph under the view that a request names: as_of, at_instant, history, valid_at."""
     g = g.as_of(q["as_of"]) if "as_of" in q else g.at_instant(q["at_instant"]) if "at_instant" in q else g.history() if q.get("history") else g
@@ -41,8 +58,12 @@ def vectors(g: Graph, model: str) -> DataFrame:
     return g.embeddings.where(g.embeddings["model"] == model).select("eid", "vec")
 
 
+def walk(g: Graph, q: dict):
+    return g.path(q["start"], q["path"], q.get("mode", "reach"), q.get("max_hops"), q.get("virtual", False), tuple(q.get("graphs", ())))
+
+
 def walked(g: Graph, q: dict) -> dict:
-    found = g.path(q["start"], q["path"], q.get("mode", "reach"), q.get("max_hops"), q.get("virtual", False), tuple(q.get("graphs", ())))
+    found = walk(g, q)
     return rows(found.rows) | {"verdict": found.verdict}
 
 
@@ -51,23 +72,30 @@ def reasoned(g: Graph, q: dict) -> dict:
     return rows(a.rows) | {"verdict": a.verdict}
 
 
-READS: dict[str, Callable[[Graph, dict], dict]] = {
-    "sparql": lambda g, q: rows(g.sparql(q["text"], q.get("prefixes"))),
-    "cypher": lambda g, q: rows(g.cypher(q["text"], q.get("params"))),
-    "sql": lambda g, q: rows(g.sql(q["text"])),
-    "triples": lambda g, q: rows(g.triples(q.get("s"), q.get("p"), q.get("o"))),
-    "values": lambda g, q: rows(g.values(q["s"], q["p"])),
+#: Reads whose answer is a frame.
+FRAMES: dict[str, Callable[[Graph, dict], DataFrame]] = {
+    "sparql": lambda g, q: g.sparql(q["text"], q.get("prefixes")),
+    "cypher": lambda g, q: g.cypher(q["text"], q.get("params")),
+    "sql": lambda g, q: g.sql(q["text"]),
+    "triples": lambda g, q: g.triples(q.get("s"), q.get("p"), q.get("o")),
+    "values": lambda g, q: g.values(q["s"], q["p"]),
+    "path": lambda g, q: walk(g, q).rows,
+    "events": lambda g, q: g.events(q.get("since")).orderBy("t", "eid"),
+    "graphs": lambda g, q: g.graphs(),
+    "graphMembers": lambda g, q: g.graph_members(q["graph"]),
+    "dependents": lambda g, q: g.dependents(q["eids"]),
+    "bundle": lambda g, q: g.bundle(q["eids"]),
+    "textSearch": lambda g, q: g.text_search(q["text"], q.get("mode", "all"), q.get("limit", 10), q.get("predicate")),
+    "vectorSearch": lambda g, q: g.vector_search(vectors(g, q["model"]), q["vector"], q.get("metric", "cosine"), q.get("limit", 10)),
+    "recall": lambda g, q: g.recall(q["text"], vectors(g, q["model"]), q["vector"], q.get("limit", 10), q.get("mode", "any")),
+    "unembedded": lambda g, q: g.unembedded(q["model"]).select("eid"),
+    "conflicts": lambda g, q: g.conflicts(),
+    "datalog": lambda g, q: g.datalog_report(q["program"], q["goal"], q.get("time", False)).rows,
+}
+
+
+READS: dict[str, Callable[[Graph, dict], dict]] = {name: lambda g, q, f=f: rows(f(g, q)) for name, f in FRAMES.items()} | {
     "path": walked,
-    "events": lambda g, q: rows(g.events(q.get("since")).orderBy("t", "eid")),
-    "graphs": lambda g, q: rows(g.graphs()),
-    "graphMembers": lambda g, q: rows(g.graph_members(q["graph"])),
-    "dependents": lambda g, q: rows(g.dependents(q["eids"])),
-    "bundle": lambda g, q: rows(g.bundle(q["eids"])),
-    "textSearch": lambda g, q: rows(g.text_search(q["text"], q.get("mode", "all"), q.get("limit", 10), q.get("predicate"))),
-    "vectorSearch": lambda g, q: rows(g.vector_search(vectors(g, q["model"]), q["vector"], q.get("metric", "cosine"), q.get("limit", 10))),
-    "recall": lambda g, q: rows(g.recall(q["text"], vectors(g, q["model"]), q["vector"], q.get("limit", 10), q.get("mode", "any"))),
-    "unembedded": lambda g, q: rows(g.unembedded(q["model"]).select("eid")),
-    "conflicts": lambda g, q: rows(g.conflicts()),
     "explainSparql": lambda g, q: {"plan": g.sparql(q["text"], q.get("prefixes"))._jdf.queryExecution().explainString(g.statements.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))},
     "datalog": reasoned,
     "explainDatalog": lambda g, q: {"plan": g.explain_datalog(q["program"], q.get("goal"))},
@@ -134,6 +162,12 @@ def read(g: Graph, request: str | dict) -> dict:
     return called(READS, seen(g, q), q)
 
 
+def lines(g: Graph, request: str | dict) -> DataFrame:
+    """(value): the rows of the answer to a reading request, each as JSON. None of them is brought to the caller."""
+    q = parsed(request)
+    return encoded(called(FRAMES, seen(g, q), q))
+
+
 def write(g: Graph, request: str | dict) -> tuple[Graph, dict]:
     """The graph that a writing request makes (the one given, with dryRun), and a report of what it did."""
     q = parsed(request)

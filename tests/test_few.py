@@ -1,9 +1,14 @@
 """Writes and searches that touch few statements read the store where it lies, and write none of it."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
+from factloom import jsonops
 from factloom import model as M
+from factloom.api import Graph
+from factloom.catalog import QUERIES
 from factloom.operators import paths, writes
 from factloom.plans import settle
 from factloom.sources import ingest
@@ -63,3 +68,20 @@ def test_retracting_few_lays_over_the_store(spark, chain):
         s = writes.retract(s, spark.createDataFrame([(10 - i if i < 6 else 2,)], "eid bigint"))
         assert s.lazy == (i + 1 if i < writes.LAZY else 0)
     assert {r.eid for r in s.live().collect()} == {1, 21}
+
+
+def test_json_lines_are_the_rows_of_the_answer(spark):
+    rows = [(1, M.Iri("a"), "p", 'say "x"\n\\', 1), (2, M.Iri("a"), "q", 1.5, 1), (3, M.Iri("b"), "p", M.Iri("é"), 1, 2)]
+    g = Graph.over(M.literal(spark, rows))
+    sql = "SELECT eid, eid / 4 AS d, eid > 1 AS b, o, t_ret, date '2020-01-02' AS day, 1.50BD AS m, array(p, NULL) AS l, struct(eid, p) AS st FROM statement"
+    for q in ({"op": "sql", "text": sql}, {"op": "triples", "p": "p"}, {"op": "events", "since": 0}, {"op": "datalog", "program": "x(O) :- p(S, O).", "goal": "x(O)"}):
+        want = jsonops.read(g, q)["rows"]
+        assert want and sorted([json.loads(r.value) for r in jsonops.lines(g, q).collect()], key=repr) == sorted(want, key=repr)
+
+
+def test_json_reads_brings_no_rows_to_the_driver(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("rows are brought to the driver")
+
+    monkeypatch.setattr(jsonops, "rows", refuse)
+    assert {r["op"]: r["count"] for r in QUERIES["json_reads"](spark, f"{DATA}/sf0.001").collect()}["events"] == 450
