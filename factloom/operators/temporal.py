@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import model as M
+from ..plans.settle import spread
 
 ALLEN = ("before", "meets", "overlaps", "starts", "during", "finishes", "equals", "finishedBy", "contains", "startedBy", "overlappedBy", "metBy", "after")
 CONVERSE = dict(zip(ALLEN, reversed(ALLEN)))
@@ -82,6 +83,7 @@ def segments(df: DataFrame, keys: list[str], value: Column, kind: str = "count",
     x = df.select(*keys, value.alias("x"), begin(F.col(f)).alias("f_"), end(F.col(t)).alias("t_")).where("f_ < t_")
     ends = x.select(*keys, F.col("f_").alias("at"), F.lit(1).alias("d"), F.col("x").alias("dx")).union(x.select(*keys, "t_", F.lit(-1), -F.col("x") if kind in ("count", "sum") else F.col("x")))
     ends = ends.groupBy(*keys, "at").agg(F.sum("d").alias("d"), F.sum("dx").alias("dx"))
+    ends = spread(ends, *keys)
     w = Window.partitionBy(*keys).orderBy("at")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     place = F.row_number().over(w) - 1

@@ -9,7 +9,7 @@ from factloom import jsonops
 from factloom import model as M
 from factloom.api import Graph
 from factloom.catalog import QUERIES
-from factloom.operators import paths, writes
+from factloom.operators import paths, temporal, writes
 from factloom.plans import settle
 from factloom.sources import ingest
 
@@ -85,3 +85,15 @@ def test_json_reads_brings_no_rows_to_the_driver(spark, monkeypatch):
 
     monkeypatch.setattr(jsonops, "rows", refuse)
     assert {r["op"]: r["count"] for r in QUERIES["json_reads"](spark, f"{DATA}/sf0.001").collect()}["events"] == 450
+
+
+def test_pointwise_steps_deal_large_inputs_to_more_tasks(spark, monkeypatch):
+    def rows():
+        x = temporal.segments(ingest.shipping.__wrapped__(spark, f"{DATA}/sf0.001"), ["s"], F.lit(1))
+        return plan(x).count("RepartitionByExpression"), sorted(x.collect())
+
+    deals, want = rows()
+    assert deals == 0
+    monkeypatch.setattr(settle, "PART_BYTES", 4_000)
+    deals, got = rows()
+    assert deals >= 2 and got == want  # lines by their order, ends by their key
