@@ -20,7 +20,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import model as M
@@ -329,21 +329,47 @@ class Program:
 
     # A relation is a frame (a0 .. an, f, t) with term keys and closed-open bounds; without time f and t are absent.
 
-    def base(self, a: Atom) -> DataFrame:
+    @staticmethod
+    def span() -> Column:
+        return F.concat(F.lit("x:interval|"), F.coalesce(F.col("v_from").cast("string"), F.lit("")), F.lit("/"), F.coalesce(F.col("v_to").cast("string"), F.lit("")))
+
+    def spans(self, r: Rule) -> tuple[dict[int, list[str]], set[int]]:
+        """The interval variables that atoms of the store give themselves, by their places, and the places of the valid atoms that need no join.
+
+        valid(E, I) of an atom's own statement E is a column of that statement, which its eid identifies.
+        """
+        given, done = {}, set()
+        if self.time:
+            return given, done
+        heads = {x.head.name for x in self.rules}
+        stored = lambda b: isinstance(b, Atom) and not b.negated and not b.wrap and b.name not in heads and b.name not in self.facts
+        for i, v in enumerate(r.body):
+            if not (stored(v) and v.name == "valid" and len(v.args) == 2 and v.eid is None and all(isinstance(x, Var) for x in v.args)):
+                continue
+            e, span = (x.name for x in v.args)
+            hosts = [k for k, b in enumerate(r.body) if stored(b) and b.name not in ("valid", "added") and b.eid is not None and b.eid.name == e and span not in variables(b) and e not in {x.name for x in b.args if isinstance(x, Var)} and (b.name, len(b.args), False) not in self.bases]
+            if hosts:
+                given.setdefault(hosts[0], [])
+                given[hosts[0]] += [span] if span not in given[hosts[0]] else []
+                done.add(i)
+        return given, done
+
+    def base(self, a: Atom, spans: bool = False) -> DataFrame:
         x = M.seen(self.statements, self.view)
         if a.name in ("valid", "added") and len(a.args) == 2:
-            span = F.concat(F.lit("x:interval|"), F.coalesce(F.col("v_from").cast("string"), F.lit("")), F.lit("/"), F.coalesce(F.col("v_to").cast("string"), F.lit("")))
-            value = span if a.name == "valid" else F.concat(F.lit("T:"), F.col("t_add").cast("string"))
+            value = self.span() if a.name == "valid" else F.concat(F.lit("T:"), F.col("t_add").cast("string"))
             x = x.select(M.statement_ref("eid").alias("a0"), value.alias("a1"), *([temporal.begin(F.col("v_from")).alias("f"), temporal.end(F.col("v_to")).alias("t")] if self.time else []))
             return x
         x = x.where(F.col("p") == M.RDF_TYPE).where(F.col("o") == f"I:{a.name}") if len(a.args) == 1 else x.where(F.col("p") == a.name)
         cols = [F.col("s").alias("a0")] + ([F.col("o").alias("a1")] if len(a.args) == 2 else [])
         if a.eid is not None:
             cols.append(M.statement_ref("eid").alias("e"))
+        if spans:
+            cols += [self.span().alias("span"), F.col("v_from"), F.col("v_to")]
         return x.select(*cols, temporal.begin(F.col("v_from")).alias("f"), temporal.end(F.col("v_to")).alias("t")) if self.time else x.select(*cols)
 
-    def relation(self, a: Atom, delta: dict | None = None) -> DataFrame:
-        """The rows of an atom with a column a variable, and f and t."""
+    def relation(self, a: Atom, delta: dict | None = None, spans: tuple | list = ()) -> DataFrame:
+        """The rows of an atom with a column a variable, and f and t. spans: variables of its statement's valid interval, each with its bounds."""
         if delta is not None and a.name in delta:
             rel = delta[a.name]
         elif a.name in self.facts:
@@ -352,7 +378,7 @@ class Program:
             return None
         else:
             rel = self.bases.get((a.name, len(a.args), a.eid is None))
-            rel = self.base(a) if rel is None else rel
+            rel = self.base(a, bool(spans)) if rel is None or spans else rel
         seen: dict[str, str] = {}
         for i, x in enumerate(a.args):
             c = f"a{i}"
@@ -364,6 +390,8 @@ class Program:
             else:
                 rel = rel.where(F.col(c) == self.value(x, None).term)
         cols = [F.col(c).alias(n) for n, c in seen.items()] + ([F.col("e").alias(a.eid.name)] if a.eid else [])
+        for v in spans:
+            cols += [F.col("span").alias(v), F.col("v_from").alias(f"__from_{v}"), F.col("v_to").alias(f"__to_{v}")]
         keys = list(seen) + ([a.eid.name] if a.eid else [])
         rel = rel.select(*cols, *(["f", "t"] if self.time else []))
         for op, lo, hi in reversed(a.wrap):
@@ -432,7 +460,8 @@ class Program:
     def body(self, r: Rule, delta: dict | None = None, at: int | None = None) -> DataFrame | None:
         """The rows of a rule's body; the atom at place ``at`` reads the delta."""
         out, tests, nots = None, [], []
-        rest = sorted(range(len(r.body)), key=lambda i: i != at)
+        given, done = self.spans(r)
+        rest = sorted((i for i in range(len(r.body)) if i not in done), key=lambda i: i != at)
         while rest:  # the delta first, then what shares a variable with the rows so far
             i = next((i for i in rest if out is not None and not isinstance(r.body[i], Test) and variables(r.body[i]) & set(out.columns)), rest[0])
             rest.remove(i)
@@ -447,9 +476,10 @@ class Program:
                 used = variables(r.head).union(*[variables(x) for j, x in enumerate(r.body) if j in rest or isinstance(x, Test) or isinstance(x, Atom) and x.negated])
                 out = self.hop(out, b, used if not r.aggs else set(out.columns))
                 continue
-            rel = self.both(b) if isinstance(b, Both) else self.relation(b, delta if i == at else None)
+            rel = self.both(b) if isinstance(b, Both) else self.relation(b, delta if i == at else None, given.get(i, ()))
             if rel is None:
                 return None
+            rel = rel.drop(*[c for c in rel.columns if out is not None and c.startswith(("__from_", "__to_")) and c in out.columns])
             out = rel if out is None else self.joined(out, rel)
         if out is None:
             out = self.statements.sparkSession.range(1).select(*([F.lit(M.EVER_FROM).alias("f"), F.lit(M.EVER_TO).alias("t")] if self.time else [F.lit(1).alias("__one")]))
@@ -466,7 +496,8 @@ class Program:
                 if b.op in ("contains", "starts_with"):
                     out = out.where((F.contains if b.op == "contains" else F.startswith)(x.text, y.text))
                 else:
-                    ends = (*bounds(x.term), *bounds(y.term))
+                    known = lambda z: isinstance(z, Var) and f"__from_{z.name}" in out.columns
+                    ends = [c for z, v in ((b.left, x), (b.right, y)) for c in ((F.col(f"__from_{z.name}"), F.col(f"__to_{z.name}")) if known(z) else bounds(v.term))]
                     out = out.where(temporal.overlaps(*ends) if b.op == "intersects" else temporal.relate(*ends) == b.op)
             elif b.op in ("=", "!="):
                 t = equal(self.value(b.left, out), self.value(b.right, out)).col

@@ -11,6 +11,7 @@ from factloom.api import Graph
 from factloom.catalog import QUERIES
 from factloom.operators import paths, temporal, writes
 from factloom.plans import settle
+from factloom.plans.datalog import Parser, Program, checked, datalog
 from factloom.sources import ingest
 
 from .conftest import DATA
@@ -97,3 +98,19 @@ def test_pointwise_steps_deal_large_inputs_to_more_tasks(spark, monkeypatch):
     monkeypatch.setattr(settle, "PART_BYTES", 4_000)
     deals, got = rows()
     assert deals >= 2 and got == want  # lines by their order, ends by their key
+
+
+def test_valid_of_a_statement_is_read_with_it(spark):
+    rows = [(1, M.Iri("a"), "p", M.Iri("x"), 1, None, 0, 5), (2, M.Iri("a"), "p", M.Iri("y"), 1, None, 0, 9), (3, M.Iri("a"), "p", M.Iri("z"), 1, None, 0, None), (4, M.Iri("b"), "p", M.Iri("x"), 1, None, None, 4), (5, M.Iri("b"), "q", M.Iri("x"), 1, None, 2, 4)]
+    st = M.literal(spark, rows)
+    text = "short(X, Y) :- p(O, X) @ E, p(O, Y) @ G, valid(E, I), valid(G, J), starts(I, J)."
+    x = datalog(text, "short(X, Y)", st)
+    assert plan(x).count("Join ") == 0  # settled; the rule's own plan is below
+    assert {(r.X, r.Y) for r in x.collect()} == {("I:x", "I:y"), ("I:x", "I:z"), ("I:y", "I:z")}
+    p = Program(checked(Parser(text).program()), st)
+    assert plan(p.body(p.rules[0])).count("Join ") == 1
+    same = "both(O) :- p(O, X) @ E, q(O, Y) @ G, valid(E, I), valid(G, J), finishes(J, I). none(O) :- p(O, X) @ E, q(O, X) @ G, valid(E, I), valid(G, I)."
+    assert [r.O for r in datalog(same, "both(O)", st).collect()] == ["I:b"]
+    assert datalog(same, "none(O)", st).count() == 0
+    long = datalog("d(E, D) :- p(O, X) @ E, valid(E, I), D = duration(I).", "d(E, D)", st)
+    assert {(r.E, r.D) for r in long.collect()} == {("S:1", "i:5"), ("S:2", "i:9"), ("S:3", None), ("S:4", None)}
