@@ -27,7 +27,7 @@ from .. import model as M
 from ..errors import InvalidQuery, LimitExceeded, UnsafeRule, Unstratified
 from ..functions.values import V, arithmetic, constant, equal, ordered
 from ..operators import intervals, temporal
-from .settle import Layers, numbered, settled
+from .settle import Layers, numbered, settled, spread
 
 TOKEN = re.compile(r"""\s*(?:%[^\n]*\s*)*(?:(?P<string>"[^"]*")|(?P<number>-?\d+(?:\.\d+)?)|(?P<name>[A-Za-z_][\w:]*)|(?P<op>:-|<=|>=|!=|[()\[\],.<>=+\-*/%@!?]))""")
 AGGREGATES = ("count", "sum", "min", "max")
@@ -738,7 +738,9 @@ def answered(text: str, goal: str, statements: DataFrame, view: M.View = M.NOW,
         x = statements.sparkSession.createDataFrame([], ", ".join(f"`{v}` string" for v in sorted(variables(g))) or "__none int")
     if time:
         x = x.select(*[c for c in x.columns if c not in ("f", "t")], F.when(F.col("f") > M.EVER_FROM, F.col("f")).alias("v_from"), F.when(F.col("t") < M.EVER_TO, F.col("t")).alias("v_to"))
-    return Answer(x.distinct(), "complete" if p.complete else "incomplete", p)
+    # derived facts are once each, and a goal over all their places tells them apart
+    once = g.name in p.facts and not g.wrap and len(p.facts[g.name].columns) == len(g.args) + (2 if time else 0)
+    return Answer(x if once else spread(x, *x.columns).distinct(), "complete" if p.complete else "incomplete", p)
 
 
 def datalog(text: str, goal: str, statements: DataFrame, view: M.View = M.NOW, time: bool = False, magic: bool = True, groups: tuple = ()) -> DataFrame:

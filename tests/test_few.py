@@ -114,3 +114,30 @@ def test_valid_of_a_statement_is_read_with_it(spark):
     assert datalog(same, "none(O)", st).count() == 0
     long = datalog("d(E, D) :- p(O, X) @ E, valid(E, I), D = duration(I).", "d(E, D)", st)
     assert {(r.E, r.D) for r in long.collect()} == {("S:1", "i:5"), ("S:2", "i:9"), ("S:3", None), ("S:4", None)}
+
+
+def test_goals_over_derived_facts_are_answered_without_a_shuffle(spark):
+    rows = [(1, M.Iri("a"), "p", M.Iri("x"), 1, None, 0, 5), (2, M.Iri("a"), "p", M.Iri("x"), 1, None, 5, 9), (3, M.Iri("b"), "p", M.Iri("y"), 1, None, None, 4), (4, M.Iri("b"), "p", M.Iri("b"), 1, None, 7, None)]
+    st = M.literal(spark, rows)
+    text = "k(O, count<L>) :- p(O, L). r(X, Y) :- p(X, Y). r(X, Y) :- p(Y, X). three(X, Y, O) :- r(X, Y), r(X, O)."
+    n = datalog(text, "k(O, N)", st, time=True)
+    assert "Aggregate" not in plan(n) and "Exchange" not in n._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, n.collect()), key=repr) == [("I:a", "i:1", 0, 9), ("I:b", "i:1", 7, None), ("I:b", "i:1", None, 4)]
+    for goal, want in {"r(X, Y)": 5, "r(b, Y)": 2, "r(X, X)": 1, "r(b, y)": 1, "r(b, x)": 0, "p(X, Y)": 3, "three(X, Y)": 5}.items():
+        for time in (False, True):
+            x = datalog(text, goal, st, time=time)
+            got = x.collect()
+            assert not got or ("Aggregate" in plan(x)) == (goal in ("p(X, Y)", "three(X, Y)"))
+            assert len(got) == len(set(got)) == want + (time and goal == "p(X, Y)"), goal
+
+
+def test_goals_over_large_tables_are_dealt_to_more_tasks(spark, monkeypatch):
+    def rows():
+        x = datalog("none(X) :- never(X, Y).", "shipping(O, P)", ingest.shipping.__wrapped__(spark, f"{DATA}/sf0.001"))
+        return x.rdd.getNumPartitions(), plan(x).count("RepartitionByExpression [O"), sorted(x.collect())
+
+    _, deals, want = rows()
+    assert deals == 0
+    monkeypatch.setattr(settle, "PART_BYTES", 4_000)
+    parts, deals, got = rows()
+    assert deals == 1 and parts > 4 and got == want
