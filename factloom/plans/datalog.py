@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from .. import model as M
 from ..errors import InvalidQuery, LimitExceeded, UnsafeRule, Unstratified
 from ..functions.values import V, arithmetic, constant, equal, ordered
 from ..operators import intervals, temporal
-from .settle import Layers, numbered, settled, spread
+from .settle import Layers, numbered, parts, settled, spread
 
 TOKEN = re.compile(r"""\s*(?:%[^\n]*\s*)*(?:(?P<string>"[^"]*")|(?P<number>-?\d+(?:\.\d+)?)|(?P<name>[A-Za-z_][\w:]*)|(?P<op>:-|<=|>=|!=|[()\[\],.<>=+\-*/%@!?]))""")
 AGGREGATES = ("count", "sum", "min", "max")
@@ -327,6 +328,11 @@ class Program:
     groups: dict = field(default_factory=dict)  #: predicate -> the groups of which all its statements are known to consist
     members: dict = field(default_factory=dict)  #: those groups' members, settled
 
+    @cached_property
+    def tasks(self) -> int:
+        """The least tasks of a settled frame with time, as many as the store needs: files behind settled frames are no longer seen."""
+        return parts(self.statements) if self.time else 0
+
     # A relation is a frame (a0 .. an, f, t) with term keys and closed-open bounds; without time f and t are absent.
 
     @staticmethod
@@ -606,14 +612,14 @@ class Program:
                     x = parts[0]
                     for y in parts[1:]:
                         x = x.union(y)
-                    delta[name] = settled(self.merged(x))
+                    delta[name] = settled(self.merged(x), self.tasks)
             self.facts.update(delta)
             self.found += delta.items()
             looping = [r for r in mine if any(a.name in layer for a, _ in atoms(r))]
             heads = {r.head.name for r in self.rules}
             for a in {(a.name, len(a.args), a.eid is None): a for r in looping for a, _ in atoms(r) if a.name not in heads and not self.hops(a)}.values():
                 x = self.base(a)
-                self.bases.setdefault((a.name, len(a.args), a.eid is None), settled(x if self.time or a.eid is not None else x.distinct()))
+                self.bases.setdefault((a.name, len(a.args), a.eid is None), settled(x if self.time or a.eid is not None else x.distinct(), self.tasks))
             layers = {name: Layers(x) for name, x in delta.items()} if not self.time else {}
             while looping and delta:
                 self.rounds += 1
@@ -636,13 +642,13 @@ class Program:
                             found[r.head.name] = found[r.head.name].union(x) if r.head.name in found else x
                 delta = {}
                 for name, x in found.items():
-                    new = settled(self.fresh(x, self.facts.get(name)))
+                    new = settled(self.fresh(x, self.facts.get(name)), self.tasks)
                     if new.take(1):
                         delta[name] = new
                 self.found += delta.items()
                 for name, new in delta.items():
                     old = self.facts.get(name)
-                    self.facts[name] = settled(self.merged(old.union(new)) if old is not None else new)
+                    self.facts[name] = settled(self.merged(old.union(new)) if old is not None else new, self.tasks)
         return self.facts
 
 

@@ -141,3 +141,16 @@ def test_goals_over_large_tables_are_dealt_to_more_tasks(spark, monkeypatch):
     monkeypatch.setattr(settle, "PART_BYTES", 4_000)
     parts, deals, got = rows()
     assert deals == 1 and parts > 4 and got == want
+
+
+def test_rounds_with_time_settle_large_inputs_in_more_tasks(spark, monkeypatch):
+    def facts():
+        p = Program(checked(Parser("open(O) :- shipping(O, P). lately(O) :- past[86400000, 172800000] open(O).").program()), ingest.shipping.__wrapped__(spark, f"{DATA}/sf0.001"), time=True)
+        x = p.run()["lately"]
+        return x.rdd.getNumPartitions(), sorted(x.collect())
+
+    n, want = facts()
+    assert n <= 4 and want
+    monkeypatch.setattr(settle, "PART_BYTES", 4_000)
+    n, got = facts()
+    assert n > 4 and got == want
